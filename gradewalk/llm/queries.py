@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from gradewalk.llm import quality
+from gradewalk.llm import lines, media, mixing, packing, quality, urls
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op4_media_transport_streams": media.op4_media_transport_streams,
+    "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_url_filters": urls.op8_url_filters,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
+    "op6_mix_sources": mixing.ORACLE,
+    "op9_line_dedup": lines.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
