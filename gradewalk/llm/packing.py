@@ -15,7 +15,9 @@ with null or repeated ids are packed as documents of their own; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import os
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -30,46 +32,87 @@ CAPACITY, END_ID = 4096, 1
 SALTS = 1024
 #: Rows of a plan; 48 bytes each.
 PLAN_MOST = 2_000_000
-#: Words kept with their ids by each worker, and the longest such word.
+#: Words kept with their ids by each worker, and the longest word that is encoded together with others.
 CACHE_MOST, WORD_MOST = 400_000, 64
-_BREAKS = str.maketrans("\n\t\r", "   ")
+#: Marks that form one token, apart from the word of letters before them.
+MARKS = ".,;:!?#$%&*()[]{}|/+=~-"
+#: Letters whose lower case depends on their neighbours or on who lowers them.
+UNLIKE = frozenset("\u03a3\u0130")
 
 
 class WordEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, with the ids of frequent words remembered.
 
     The vocabulary's pre-tokenizer never joins across a space, tab or line end, and its normalizer works within
-    words, so a text's ids are those of its space-separated words in order."""
+    words, so a text's ids are those of its space-separated words in order. Unknown words of letters only are encoded
+    together: a word's last id, and no other, is one whose token has the end-of-word suffix, so its ids can be cut
+    out. All others are encoded one by one."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        suffix, self.ends = model["end_of_word_suffix"], np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[k for w, k in model["vocab"].items() if w.endswith(suffix)]] = True
+        # for normalized words of letters between spaces: the same merges without the normalizer and the word pattern
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some words of letters only."""
+        text = unicodedata.normalize("NFC", " ".join(words)).lower()
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words) or cuts and cuts[-1] != 4 * len(ids):
+            return [self._one(w) for w in words]
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Puts words into known; returns all that are new there."""
+        known, stems, tailed = self.known, set(), []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() and len(stem) <= WORD_MOST and (stem.isascii() or not UNLIKE.intersection(stem)):
+                if stem not in known:
+                    stems.add(stem)
+                if stem is not w and stem != w:
+                    tailed.append((w, stem, w[len(stem) :]))
+            else:
+                known[w] = self._one(w)
+        fresh = list(stems)
+        for at in range(0, len(fresh), 10_000):
+            group = fresh[at : at + 10_000]
+            known.update(zip(group, self._together(group), strict=True))
+        for w, stem, tail in tailed:
+            if tail not in known:
+                known[tail] = self._one(tail)
+            known[w] = known[stem] + known[tail]
+        return [*words, *fresh]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > CACHE_MOST:
-            known.clear()
-        split = [t.translate(_BREAKS).split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in known}
-        new.discard("")
-        known[""] = b""
-        once = {}
-        for group in _groups(new, 20_000):
-            for w, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                (known if len(w) <= WORD_MOST else once)[w] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            return [b"".join([known[w] if w in known else once[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-def _groups(items: set[str], most: int) -> Iterator[list[str]]:
-    group = []
-    for x in items:
-        group.append(x)
-        if len(group) == most:
-            yield group
-            group = []
-    if group:
-        yield group
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        missing = set()
+        for words in split:
+            missing.update(set(words).difference(known))
+        full = len(known) >= CACHE_MOST
+        new = self._learn(missing) if missing else []
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if full:
+            if 3 * len(missing) > sum(map(len, split)):  # other texts than before
+                known.clear()
+                known[""] = b""
+            else:
+                for w in new:
+                    known.pop(w, None)
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -80,8 +123,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         encoder = WordEncoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end

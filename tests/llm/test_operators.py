@@ -1,0 +1,577 @@
+"""The ten operators on small awkward tables, against brute force, round trips and held-out labels."""
+
+import bisect
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from gradewalk.llm import components, jaccard, lines, media, mixing, packing, quality, secrets, toxicity, urls, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, did long, tkey string, salt string"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def prose(rnd, n, k=400):
+    return " ".join(f"w{rnd.randrange(k)}" for _ in range(n))
+
+
+def awkward(spark, rows=None):
+    """Documents with nulls, empty and long texts, ties, repeated rows and columns whose names clash with inner ones."""
+    rnd = random.Random(3)
+    base = prose(rnd, 120)
+    texts = [(1, base), (2, base), (3, base.replace("w1 ", "zz ", 1)), (4, None), (5, ""), (6, "   \n\t "), (7, prose(rnd, 9000, 50_000)), (8, "a b c"), (8, "a b c"), (None, base), (None, None), (9, "Same line here today\nother words\nSAME LINE here today  \n"), (10, "same line here today\nx"), (11, "é" * 30 + "\n" + "ÄÖ line of text"), (12, "x" * 50_000)]
+    texts += [(20 + k, prose(rnd, 60)) for k in range(30)]
+    rows = rows if rows is not None else [(i, t, "en", None if k % 7 == 0 else f"s{k % 3}", None, "r", 5, 6, "t", "u") for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return awkward(spark).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return awkward(spark, [])
+
+
+def same_rows(a, b):
+    return sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+# quality rules
+
+
+def brute_quality(text):
+    w = words_of(text)
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    again = {p for v in at.values() if len(v) > 1 for i in v for p in range(i, i + 8)}
+    held = [x for x in (text or "").split("\n") if words_of(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(held) - len(set(held)), len(again)
+
+
+def test_quality_measures(spark):
+    rnd = random.Random(1)
+    texts = [None, "", " \n", "a " * 50, "x " * 7, "x " * 8, "x " * 9, "l1 w\nl1 w\n\n \nl1 w \n### $%", prose(rnd, 300, 5), prose(rnd, 40) + " " + "q r s t u v w x " * 3 + prose(rnd, 40), "\u00a0 é\u2003ü \x1c b"]
+    got = quality.ledger(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {i: brute_quality(t) for i, t in enumerate(texts)}
+
+
+def test_quality_policies_and_ablations(docs, empty):
+    rows = quality.ledger(docs)
+    bits = [r[0] for r in rows.select("fail_bits").collect()]
+    for policy, mask in quality.POLICIES.items():
+        assert rows.filter(quality.passes(policy)).count() == sum(b & mask == 0 for b in bits)
+    for r in quality.ablations(rows, "v1").collect():
+        assert r["n_fail"] == sum(b >> r["bit"] & 1 for b in bits)
+        assert r["n_fail_alone"] == sum(b & 127 == 1 << r["bit"] for b in bits)
+        assert r["n_kept_without"] == sum(b & 127 & ~(1 << r["bit"]) == 0 for b in bits)
+    assert quality.keep_good(docs).columns == docs.columns
+    assert quality.ledger(empty).count() == 0
+
+
+# mixing
+
+
+def test_targets_are_the_water_level(spark):
+    rnd = random.Random(5)
+    for n in (1, 2, 7, 20):
+        sizes = {None if k == n - 1 else f"s{k:02}": rnd.choice([0, 1, 5, 50, 1000]) for k in range(n)}
+        frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(frame).collect()}
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+        target, total, open_ = dict.fromkeys(order, 0.0), float(sum(sizes.values())), set(order)
+        while open_ and total:  # reshare the excess until no source is above its limit
+            level = (total - sum(target[s] for s in order if s not in open_)) / sum(weight[s] for s in open_)
+            over = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+            for s in open_:
+                target[s] = 3.0 * sizes[s] if s in over else level * weight[s]
+            if not over:
+                break
+            open_ -= over
+        assert got == pytest.approx(target)
+
+
+def test_mix_takes_what_targets_ask(spark, docs, empty):
+    rnd = random.Random(9)
+    rows = [(k, prose(rnd, rnd.randrange(1, 90)), "en", rnd.choice(["a", "a", "a", "b", "c", None]), 1, "r", 5, 6, "t", "u") for k in range(900)]
+    frame = awkward(spark, rows)
+    taken = mixing.mix(frame)
+    assert taken.columns == frame.columns
+    a, b = [tuple(r) for r in taken.collect()], [tuple(r) for r in mixing.mix(frame.repartition(3)).collect()]
+    assert same_rows(a, b)
+    counts = {}
+    for r in a:
+        counts[r[0]] = counts.get(r[0], 0) + 1
+    assert max(counts.values()) <= 3
+    size = {r[0]: len(words_of(r[1])) for r in rows}
+    targets = {r["source"]: r["target"] for r in mixing.source_targets(frame.select("source", mixing.word_count(F.col("text")).alias("size"))).collect()}
+    for s, t in targets.items():
+        assert sum(counts.get(r[0], 0) * size[r[0]] for r in rows if r[3] == s) == pytest.approx(t, rel=0.02)
+    assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() > 0
+    assert mixing.mix(empty).count() == 0
+
+
+# packing
+
+
+def test_encoder_is_exact():
+    plain, fast = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY)
+    rnd = random.Random(2)
+    bits = ["the", "The", "thing,", "don't", "it's", "12345", "a1b2", "x.y", "...", "é", "e\u0301x", "ΣΑΣ", "İst", "ß.", "$$$", "word$$$", "\u00a0", "a\u3000b", "\x1c", "\x85", "<|endoftext|>", "中文。", "'s", "हि", "--", "\t", "\n", "\r\n"]
+    texts = ["", " ", "\n"] + ["".join(rnd.choice(bits) + rnd.choice([" ", "", "\n"]) for _ in range(rnd.randrange(1, 60))) for _ in range(300)]
+    for got, t in zip(fast.encode(texts), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def best_fit(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, n)
+        room = rooms.pop(k) if k < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 10, 64, 100])
+def test_plan_is_best_fit_decreasing(capacity):
+    for seed in range(40):
+        rnd = random.Random(seed)
+        lengths = [rnd.randint(1, rnd.choice([capacity, max(1, capacity // 3)])) for _ in range(rnd.randrange(0, 300))]
+        histogram = {n: lengths.count(n) for n in set(lengths)}
+        plan, used = packing.best_fit_plan(histogram, capacity)
+        rooms = [capacity] * used
+        for n, count in histogram.items():
+            own = plan[plan[:, 0] == n]
+            for rank in range(count):
+                row = own[np.searchsorted(own[:, 1], rank, side="right") - 1]
+                rooms[row[2] + (rank - row[1]) // row[3]] -= n
+        assert sorted(rooms) == best_fit(lengths, capacity)
+
+
+def test_room_tree_finds_the_tightest():
+    rnd, tree, held = random.Random(4), packing.RoomTree(37), set()
+    for _ in range(2000):
+        r = rnd.randint(0, 37)
+        tree.set(r, r not in held)
+        held ^= {r}
+        n = rnd.randint(1, 37)
+        assert tree.tightest(n) == min((x for x in held if x >= n), default=None)
+
+
+def test_packing_of_awkward_documents(docs, empty):
+    rows = packing.pack(docs, VOCABULARY).collect()
+    plain = Tokenizer.from_file(VOCABULARY)
+    wanted = sorted((r["doc_id"] is None, r["doc_id"] or 0, k, bytes(np.array(ids[s : s + 4096], "<u4"))) for r in docs.collect() for ids in [plain.encode(r["text"] or "", add_special_tokens=False).ids + [1]] for k, s in enumerate(range(0, len(ids), 4096)))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], bytes(r["ids"])) for r in rows) == wanted
+    places = {}
+    for r in rows:
+        assert r["length"] == len(r["ids"]) // 4 and r["start"] == 4096 * r["piece"]
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 4096
+    assert len(places) == len(best_fit([r["length"] for r in rows], 4096))
+    assert packing.pack(empty, VOCABULARY).count() == 0
+
+
+# media
+
+
+def test_transport_stream_round_trip():
+    rnd = random.Random(6)
+    for n in [0, 1, 170, 176, 177, 183, 184, 191, 192, 193, 5000, media.UNIT - 1, media.UNIT, media.UNIT + 1, 3 * media.UNIT + 7]:
+        text = bytes(rnd.randrange(256) for _ in range(n))
+        x = media.demux(media.mux(text))
+        assert x["payload"] == text + b" " * (-n % 192 if n else 192) and x["n_bytes"] == n and x["continuity_errors"] == 0
+        assert len(x["pts"]) == len(x["raps"]) == -(-len(x["payload"]) // media.UNIT)
+        assert x["pts"] == [k * media.UNIT * media.TICKS // media.SAMPLE_RATE for k in range(len(x["pts"]))]
+
+
+def test_transport_stream_damage_is_seen():
+    stream = media.mux(bytes(range(256)) * 40)
+    packets = [stream[k : k + 188] for k in range(0, len(stream), 188)]
+    assert media.demux(b"".join(packets[:8] + packets[9:]))["continuity_errors"] > 0
+    assert media.demux(b"".join(packets[:8] + packets[7:]))["payload"] == media.demux(stream)["payload"]  # sent twice
+    with pytest.raises(ValueError):
+        media.demux(stream[:-1])
+    broken = bytearray(stream)
+    broken[10] ^= 1
+    with pytest.raises(ValueError):
+        media.demux(bytes(broken))
+    foreign = packets[:3] + [b"\x47\x1f\xff\x10" + b"\xff" * 184] + packets[3:]  # null packets of another pid
+    assert media.demux(b"".join(foreign))["payload"] == media.demux(stream)["payload"]
+
+
+def test_media_column(docs, empty):
+    rows = media.read(media.store(docs)).collect()
+    assert len(rows) == docs.count()
+    texts = sorted((r["text"] or "").encode() for r in docs.collect())
+    wanted = sorted((len(t), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) for t in texts for p in [t + b" " * (-len(t) % 192 if t else 192)])
+    assert sorted((r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == wanted
+    assert len({(r["payload_sha256"], r["n_bytes"]) for r in rows}) == len({(r["media_sha256"], r["feature"]) for r in rows})
+    assert media.read(media.store(empty)).count() == 0
+
+
+# line dedup
+
+
+def brute_lines(rows):
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(SPACE))
+    ids = [lines._NO_ID if i is None else i for i, _ in rows]
+    held = {}
+    for i, (_, t) in zip(ids, rows, strict=True):
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10:
+                held.setdefault(key(x), set()).add(i)
+    out = []
+    for i, (own, t) in zip(ids, rows, strict=True):
+        parts = (t or "").split("\n")
+        kept = [x for x in parts if not (len(key(x)) >= 10 and len(held[key(x)]) > 1 and i != min(held[key(x)]))]
+        out.append((own, len(parts), len(parts) - len(kept), "\n".join(kept)))
+    return out
+
+
+def test_line_dedup(spark, docs, empty):
+    rnd = random.Random(8)
+    pool = [" Common Passage number %d " % k for k in range(40)] + ["short", "", "   ", "ninechars", "éééééééééé", "\ttabbed LINE here\r"]
+    made = awkward(spark, [(rnd.choice([None, *range(60)]), "\n".join(rnd.choice(pool) + rnd.choice(["", " ", str(rnd.randrange(200))]) for _ in range(rnd.randrange(0, 12))), "en", "s", 1, "r", 5, 6, "t", "u") for _ in range(200)])
+    for frame in (docs, made):
+        got = lines._cleaned(frame, 10).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()
+        assert same_rows(map(tuple, got), brute_lines([(r["doc_id"], r["text"]) for r in frame.collect()]))
+    cleaned = lines.dedup_lines(docs)
+    assert cleaned.columns == docs.columns and cleaned.select("size", "row").distinct().collect() == docs.select("size", "row").distinct().collect()
+    assert lines.dedup_lines(empty).count() == 0
+
+
+def test_filters_never_lose_a_repeat():
+    rnd = np.random.RandomState(1)
+    h = rnd.randint(0, 1 << 62, 5000).astype(np.uint64)
+    segment, twice = lines.Segment(1 << 12), h[:300]  # far too small: false positives only
+    for part in np.split(np.concatenate([h, twice]), [1000, 2600]):
+        segment.add(part)
+    assert segment.twice[lines._slots(twice, 1 << 12)].all()
+
+
+# WARC
+
+PAGES = "page_id long, url string, html string, digest string, first long"
+
+
+def pages_frame(spark):
+    rnd = random.Random(12)
+    big = prose(rnd, 500)
+    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, None), (4, "u", ""), (5, "http://é/", "ü" * 499), (6, "v", "ü" * 500), (7, "w", "ü" * 500), (7, "w", "ü" * 500), (None, "z", big), (None, "n", "WARC/1.1\r\n\r\n"), (8, "y", "ü" * 499)]
+    rows += [(100 + k, f"http://x/{k}", prose(rnd, rnd.randrange(1, 2000))) for k in range(40)]
+    return spark.createDataFrame([(*r, "d", 1) for r in rows], PAGES)
+
+
+@pytest.mark.parametrize("split", [300, 4096, 1 << 20])
+def test_warc_round_trip(spark, tmp_path, split):
+    pages = pages_frame(spark)
+    folder = f"file://{tmp_path}/warc"
+    found = warc.read(warc.write(warc.deduplicated(pages), folder), folder, split).collect()
+    rows = [(r["page_id"], r["html"] or "") for r in pages.collect()]
+    first = {}
+    for i, h in rows:
+        if i is not None:
+            first[h] = max(first.get(h, i), i)
+    wanted = []
+    for i, h in rows:
+        b = h.encode()
+        again = len(b) >= 1000 and h in first and (i is None or i < first[h])
+        wanted.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", first[h] if again else None))
+    got = [(warc._page_id(r["record_id"]), r["payload_bytes"], r["digest"], r["record_type"], r["refers_to"] and warc._page_id(r["refers_to"])) for r in found]
+    assert same_rows(got, wanted)
+    assert sorted(r["payload"].decode() for r in found if r["record_type"] == "response") == sorted(h for (_, h), w in zip(rows, wanted, strict=True) if w[3] == "response")
+
+
+def test_warc_reader_ignores_false_magic():
+    parts = [warc.member(k, "u", bytes([31, 139, 8]) * 50 + bytes([k]), "d", None) for k in range(5)]
+    noise = b"\x1f\x8b\x08\x00 no member \x1f\x8b\x08"
+    archive = b"".join(parts)
+    for data in (archive, noise + archive):
+        read = lambda at, n, data=data: data[at : at + n]
+        for split in (1, 17, 100, 10_000):
+            got = [r.offset for s in range(0, len(data), split) for r in warc.records(read, len(data), s, s + split)]
+            assert got == list(np.cumsum([len(data) - len(archive)] + [len(p) for p in parts])[:-1])
+
+
+def test_warc_of_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}/none"
+    none = spark.createDataFrame([], PAGES)
+    assert warc.read(warc.write(warc.deduplicated(none), folder), folder).count() == 0
+
+
+# near copies
+
+
+def shingle_set(text):
+    w = [x for x in (text or "").lower().translate({ord(c): " " for c in SPACE}).split(" ") if x]
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+
+
+def brute_classes(rows, threshold=0.8):
+    sets, n = [shingle_set(t) for _, t in rows], len(rows)
+    near = [[k for k in range(n) if k != j and (sets[j] == sets[k] or (sets[j] and sets[k] and len(sets[j] & sets[k]) / len(sets[j] | sets[k]) >= threshold))] for j in range(n)]
+    root, out = list(range(n)), []
+    for j in range(n):
+        seen, todo = {j}, [j]
+        while todo:
+            todo = [k for k in near[todo.pop()] if k not in seen and not seen.add(k)] + todo
+        root[j] = seen
+    for j in range(n):
+        ids = [rows[k][0] for k in root[j] if rows[k][0] is not None]
+        out.append((rows[j][0], min(ids) if ids else None, len(near[j])))
+    return out
+
+
+def family_rows(seed, n=60):
+    """Texts with copies and chains of edits; similarities keep clear of the threshold's last per mille of recall."""
+    rnd, rows = random.Random(seed), []
+    for k in range(n):
+        w = prose(rnd, rnd.choice([3, 12, 60, 200])).split(" ")
+        for j in range(rnd.choice([1, 1, 2, 5])):
+            rows.append((len(rows), " ".join(w)))
+            if rnd.random() < 0.6:
+                w = list(w)
+                w[rnd.randrange(len(w))] = f"e{k}x{j}"
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [None, (3, 300, 4)])
+def test_jaccard_join(spark, docs, empty, monkeypatch, blocks):
+    if blocks:  # cut nodes and clusters into many blocks
+        for name, value in zip(("NODE_BLOCK", "SET_BLOCK", "MEMBER_BLOCK"), blocks, strict=True):
+            monkeypatch.setattr(jaccard, name, value)
+    made = spark.createDataFrame(family_rows(1), "doc_id long, text string")
+    for frame in (docs, made):
+        got = jaccard.join(frame, recall=0.99999).select("doc_id", "class_id", "n_links").collect()
+        assert same_rows(map(tuple, got), brute_classes([(r["doc_id"], r["text"]) for r in frame.collect()]))
+    kept = jaccard.keep_one(docs, recall=0.99999)
+    assert kept.columns == docs.columns
+    wanted = brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert kept.count() == len({c for _, c, _ in wanted})
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, c, _ in wanted}
+    assert jaccard.join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_one_dense_group_is_linked_exactly():
+    rnd = random.Random(7)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(8)):
+            w[rnd.randrange(300)] = f"e{rnd.randrange(40)}"
+        texts.append(" ".join(w))
+    shingle = jaccard.Shingler()
+    sets = [shingle(t) for t in texts]
+    links, root = jaccard.verify(sets, np.ones(150, np.int64), np.zeros(150, np.int64), 0, 0)
+    exact = [set(s.tolist()) for s in sets]
+    near = np.array([[len(a & b) / len(a | b) >= 0.8 for b in exact] for a in exact])
+    assert links.tolist() == (near.sum(axis=1) - 1).tolist()
+    assert len(set(root.tolist())) == len({tuple(sorted(np.flatnonzero(np.linalg.matrix_power(near.astype(float), 8)[k]))) for k in range(150)})
+
+
+def test_prefixes_are_shortened_to_the_recall():
+    assert jaccard.prefix_depth() == 4
+    for recall in (0.5, 0.9, 0.999):
+        d = jaccard.prefix_depth(recall=recall)
+        assert 1 - (1 - 0.8**d) ** jaccard.TREES >= recall
+        assert d == jaccard.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < recall
+
+
+def test_components(spark):
+    rnd = random.Random(10)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[find(a)] = find(b)
+    got = {r["v"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == {x for a, b in edges if a != b for x in (a, b)}
+    groups = {}
+    for v, c in got.items():
+        groups.setdefault(c, set()).add(find(v))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({find(v) for v in got})
+
+
+# URLs
+
+
+def test_host_path_and_list(spark):
+    rows = ["http://A.Example.NET/en/x?y#z", "https://example.net/EN/", "ftp://net/", "http://net", "http://ünet/ab", "https://fr.org/fr/1", "x.example.com/de/", "http://example.com/de/a://b", "s://Example.com?q/de/", None, "", "://h/p", "http://notexample.com/de/"]
+    got = urls.filter_urls(spark.createDataFrame([(k, u, "host") for k, u in enumerate(rows)], "page_id long, url string, host string")).orderBy("page_id").collect()
+    found = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got]
+    assert found == [("a.example.net", "/en/x", "example.net/en/", "allow"), ("example.net", "/EN/", "net/", "block"), ("net", "/", "net/", "block"), ("net", "", None, "allow"), ("ünet", "/ab", None, "allow"), ("fr.org", "/fr/1", "org/fr/", "allow"), ("", "", None, "allow"), ("example.com", "/de/a://b", "example.com/de/", "block"), ("example.com", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("h", "/p", None, "allow"), ("notexample.com", "/de/", None, "allow")]
+
+
+def test_mined_rules_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MIN_COUNT", 4)
+    rnd = random.Random(11)
+    baskets = [(sorted({f"t{rnd.randrange(6)}" for _ in range(4)}), rnd.choice(["block", "allow"])) for _ in range(80)]
+    baskets = [(i, "block" if {"t1", "t3"} <= set(i) or "t5" in i else v) for i, v in baskets]
+    frame = spark.createDataFrame(baskets, "items array<string>, verdict string")
+    import itertools
+
+    pool = {}
+    for r in range(1, 6):
+        for part in itertools.combinations([f"t{k}" for k in range(6)], r):
+            held = [v for i, v in baskets if set(part) <= set(i)]
+            for v in ("block", "allow"):
+                n = held.count(v)
+                if n >= 4 and n / len(held) >= 0.7:
+                    pool[part, v] = (n / len(held), n / len(baskets))
+    wanted = {(p, v): c for (p, v), c in pool.items() if not any(q != p and set(q) < set(p) and w == v and c2[0] >= c[0] for (q, w), c2 in pool.items())}
+    rules = urls.mine(frame, 0.05, 0.7).collect()
+    assert {(tuple(r["antecedent"]), "block" if r["block"] else "allow") for r in rules} == set(wanted)
+    verdicts = {tuple(r["items"]): r["blocked"] for r in urls.decide(frame, spark.createDataFrame(rules)).collect()}
+    for items in {tuple(i) for i, _ in baskets}:
+        fits = [(round(c[0], 9), round(c[1], 9), v == "block") for (p, v), c in wanted.items() if set(p) <= set(items)]
+        assert verdicts.get(items) == (max(fits)[2] if fits else None)
+
+
+def test_urls_of_nothing(spark):
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+# toxicity
+
+
+def test_chain_on_held_out_documents(spark, empty):
+    rnd = random.Random(13)
+    bad = ["grumph", "snarkle", "blort"]
+
+    def doc(toxic):
+        w = prose(rnd, rnd.randrange(20, 200)).split(" ")
+        if toxic:
+            for _ in range(rnd.randrange(2, 8)):
+                w.insert(rnd.randrange(len(w)), rnd.choice(bad))
+        return " ".join(w)
+
+    rows = [(doc(k % 5 == 0), int(k % 5 == 0)) for k in range(600)]
+    chain = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    again = toxicity.fit([t for t, _ in rows[::-1]], [y for _, y in rows[::-1]])
+    assert all(np.allclose(a, b) for a, b in zip(chain.weights, again.weights, strict=True))
+    assert [len(w) for w in chain.weights] == [len(chain.vocabulary) + 1 + k for k in range(3)]
+    held = [(k, doc(k % 3 == 0)) for k in range(300)] + [(None, None), (None, "")]
+    got = toxicity.judge(spark.createDataFrame(held, "doc_id long, text string"), chain).collect()
+    assert len(got) == len(held)
+    assert sum(r["toxic"] == (r["doc_id"] is not None and r["doc_id"] % 3 == 0) for r in got) >= 298
+    assert toxicity.judge(empty, chain).count() == 0
+    assert not toxicity.fit(["a"], [1]).weights
+
+
+def test_labelled_sample_is_bounded(spark, docs):
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(50)] + [(1, 1, 0), (None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 7).count() <= 7
+    assert toxicity.labelled_sample(docs, labels.limit(0)).count() == 0
+
+
+# secrets
+
+
+def test_forest_on_held_out_findings(spark):
+    model, words = secrets.train(spark, VOCABULARY), secrets.Dictionary(VOCABULARY)
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(secrets.describe(v, b, a, p, words), y) for v, b, a, p, y in secrets.labelled_findings(1500, seed=99)]
+    frame = spark.createDataFrame(rows, "f array<double>, y int").select(array_to_vector("f").alias("features"), "y")
+    judged = model.transform(frame)
+    assert judged.filter(F.col("prediction") == F.col("y")).count() >= 0.95 * len(rows)
+
+
+def test_scan_spans(spark, empty):
+    model = secrets.train(spark, VOCABULARY)
+    value = "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffeeddcc"
+    texts = [(1, f'é words token = "{value}" and more'), (2, None), (3, ""), (4, "order 4111111111111111 of the page"), (None, f'secret: "{value.upper()}"'), (5, "x" * 100_000), (6, f'token = "{value}"'), (6, f'token = "{value}"')]
+    got = secrets.scan(spark.createDataFrame([(i, t, "p") for i, t in texts], "doc_id long, text string, path string"), model, VOCABULARY, "path").collect()
+    assert sorted((r["doc_id"] or 0, r["begin"], r["end"], r["value"]) for r in got) == [(0, 9, 49, value.upper()), (1, 17, 57, value), (6, 9, 49, value), (6, 9, 49, value)]
+    assert secrets.scan(empty, model, VOCABULARY).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    rows = []
+    for k in range(150):
+        text = ". ".join(prose(rnd, rnd.randrange(25, 60)) + ("\n" if rnd.random() < 0.3 else "") for _ in range(3))
+        if k % 5 == 0:
+            text += "\na footer line that returns"
+        rows += [(len(rows) + j, text + (f" tail{j}" if j else ""), "en", f"s{k % 3}", len(text)) for j in range(rnd.choice([1, 1, 3]))]
+    rows += [(5000, "too short", "en", "s0", 1), (5001, None, None, None, None)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen.append([tuple(r) for r in docs.collect()])
+        if stage is not corpus_pipeline.pack:
+            assert docs.columns == names
+    good = [r for r in rows if (m := brute_quality(r[1])) and m[0] >= 20 and 100 * m[4] <= 30 * m[0] and m[3] <= 0.5 * len((r[1] or "").split("\n"))]
+    assert same_rows(seen[0], good)
+    cleaned = [(r[0], b[3], *r[2:]) for r, b in zip(good, brute_lines([(r[0], r[1]) for r in good]), strict=True)]
+    assert same_rows(seen[1], cleaned)
+    first = {c for _, c, _ in brute_classes([(r[0], r[1]) for r in cleaned])}
+    assert same_rows(seen[2], [r for r in cleaned if r[0] in first])
+    kept = {r[0]: r for r in seen[2]}
+    assert all(kept[r[0]] == r for r in seen[3])
+    plain = Tokenizer.from_file(VOCABULARY)
+    tokens = sum(len(plain.encode(r[1], add_special_tokens=False).ids) + 1 for r in seen[3])
+    columns = docs.columns
+    assert sum(r[columns.index("length")] for r in seen[4]) == tokens
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_sql_of_queries_at_small_scale(spark):
+    import os
+
+    import duckdb
+
+    from gradewalk.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in os.listdir(folder):
+        con.execute(f"create view {t.split('.')[0]} as select * from '{folder}/{t}'")
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, folder)
+        names = sorted(got.columns)
+        wanted = con.sql(f"select {', '.join(names)} from ({sql})").fetchall()
+        assert same_rows([tuple(r) for r in got.select(*names).collect()], wanted), name
+
+
+def test_vocabulary_has_word_ends():
+    with open(VOCABULARY, encoding="utf-8") as f:
+        assert json.load(f)["model"]["end_of_word_suffix"] == "</w>"
