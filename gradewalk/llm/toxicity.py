@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from gradewalk.llm.common import table, text_or_empty
 
 CATEGORIES = ("abuse", "dense", "toxic")
-LABELLED_MOST = 8_000
+LABELLED_MOST = 12_000
 VOCABULARY = 256
 FOLDS = 3
 DENSE_PERCENT = 3
-THRESHOLD = 0.5
-RIDGE = 1e-3
+THRESHOLD = 0.3
+RIDGE = 0.4
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +45,7 @@ def words(text: str) -> list[str]:
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Weights, the bias last, of a ridge-penalised logistic model; Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, penalty = np.zeros(a.shape[1]), np.full(a.shape[1], RIDGE * len(a))
+    w, penalty = np.zeros(a.shape[1]), np.full(a.shape[1], RIDGE)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = sigmoid(a @ w)
