@@ -18,10 +18,13 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -43,14 +46,14 @@ UNLIKE = frozenset("\u03a3\u0130")
 class WordEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, with the ids of frequent words remembered.
 
-    The vocabulary's pre-tokenizer never joins across a space, tab or line end, and its normalizer works within
-    words, so a text's ids are those of its space-separated words in order. Unknown words of letters only are encoded
+    The vocabulary's pre-tokenizer never joins across white space, and its normalizer works within
+    words, so a text's ids are those of its words between ASCII white space in order. Unknown words of letters only are encoded
     together: a word's last id, and no other, is one whose token has the end-of-word suffix, so its ids can be cut
     out. All others are encoded one by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -60,6 +63,11 @@ class WordEncoder:
         bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
         self.plain = Tokenizer.from_str(json.dumps(spec))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.size = pa.array([""], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.stems: dict[str, bytes] = {}
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,66 +82,96 @@ class WordEncoder:
         data = ids.tobytes()
         return [data[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
-    def _learn(self, words: set[str]) -> list[str]:
-        """Puts words into known; returns all that are new there."""
-        known, stems, tailed = self.known, set(), []
-        for w in words:
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some words."""
+        stems, fresh, out, pending = self.stems, set(), [], []
+        for k, w in enumerate(words):
             stem = w.rstrip(MARKS)
             if stem.isalpha() and len(stem) <= WORD_MOST and (stem.isascii() or not UNLIKE.intersection(stem)):
-                if stem not in known:
-                    stems.add(stem)
-                if stem is not w and stem != w:
-                    tailed.append((w, stem, w[len(stem) :]))
+                if stem not in stems:
+                    fresh.add(stem)
+                pending.append((k, stem, w[len(stem) :]))
+                out.append(b"")
             else:
-                known[w] = self._one(w)
-        fresh = list(stems)
-        for at in range(0, len(fresh), 10_000):
-            group = fresh[at : at + 10_000]
-            known.update(zip(group, self._together(group), strict=True))
-        for w, stem, tail in tailed:
-            if tail not in known:
-                known[tail] = self._one(tail)
-            known[w] = known[stem] + known[tail]
-        return [*words, *fresh]
+                out.append(self._one(w))
+        new = list(fresh)
+        for at in range(0, len(new), 20_000):
+            group = new[at : at + 20_000]
+            stems.update(zip(group, self._together(group), strict=True))
+        tails: dict[str, bytes] = {"": b""}
+        for k, stem, tail in pending:
+            if tail not in tails:
+                tails[tail] = self._one(tail)
+            out[k] = stems[stem] + tails[tail]
+        if len(stems) > CACHE_MOST // 2:
+            for w in new:
+                del stems[w]
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text begins, and the end)."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy()
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        missing = np.flatnonzero(found < 0)
+        unknown = words.take(pa.array(missing))
+        own = self._learn(unknown.to_pylist())
+        more = np.frombuffer(b"".join(own), "<u4")
+        more_size = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        ids, sizes = np.concatenate([self.ids, more]), np.concatenate([self.size, more_size])
+        entry = found.astype(np.int64)
+        entry[missing] = len(self.size) + np.arange(len(missing))
+        size, start = sizes[entry], (np.cumsum(sizes) - sizes)[entry]
+        if len(self.words) < CACHE_MOST:
+            self.words, self.ids, self.size = pa.concat_arrays([self.words, unknown]), ids, sizes
+        elif 2 * len(missing) > len(words):  # other texts than before
+            self._forget()
+        n = size[code]
+        ends = np.cumsum(n)
+        place = np.repeat(start[code] - (ends - n), n)
+        place += np.arange(len(place))
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return ids[place], np.concatenate([[0], ends])[bounds]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = set()
-        for words in split:
-            missing.update(set(words).difference(known))
-        full = len(known) >= CACHE_MOST
-        new = self._learn(missing) if missing else []
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if full:
-            if 3 * len(missing) > sum(map(len, split)):  # other texts than before
-                known.clear()
-                known[""] = b""
-            else:
-                for w in new:
-                    known.pop(w, None)
-        return out
+        ids, bounds = self.encode_all(pa.array(texts, pa.string()))
+        return [ids[s:e].tobytes() for s, e in zip(bounds, bounds[1:], strict=False)]
+
+
+def _parts(batch: pa.RecordBatch, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch (id, text) in slices of about so many bytes of text, of a row at least."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
 
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every document's pieces, and their ids unless left out.
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document's pieces."""
+    ids are little-endian unsigned 32-bit numbers, and the checksum is theirs."""
     end = np.array([end_id], "<u4").tobytes()
+    fields = [("doc_id", pa.int64(), "long"), ("piece", pa.int32(), "int"), ("start", pa.int64(), "long"), ("length", pa.int64(), "long"), ("ids_crc32", pa.int64(), "long"), ("ids", pa.binary(), "binary")]
+    fields = fields if with_ids else fields[:-1]
+    schema = pa.schema([(n, t) for n, t, _ in fields])
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         encoder = WordEncoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch):
+                all_ids, bounds = encoder.encode_all(part.column(1))
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
+                for doc, s, e in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = all_ids[s:e].tobytes() + end
                     for k, b in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[b : b + 4 * capacity]
-                        rows.append((doc, k, b // 4, len(cut) // 4, cut))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        rows.append((doc, k, b // 4, len(cut) // 4, zlib.crc32(cut), cut))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=False)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, ", ".join(f"{n} {t}" for n, _, t in fields))
 
 
 class RoomTree:
@@ -236,8 +274,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
 
 def packed_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    found = pieces(docs, tokenizer)
-    return place(save(found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pack-pieces"))
+    """pack without the ids themselves, of which a checksum stays."""
+    return place(save(pieces(docs, tokenizer, with_ids=False), "pack-pieces"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
