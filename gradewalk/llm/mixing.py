@@ -32,14 +32,16 @@ def word_count(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, row: Column) -> DataFrame:
-    """row, source, size and k, a digest of id and text that orders documents of one size."""
+    """row, source, size and k, a digest of id and text that orders documents of one size.
+
+    src stands for source and is never null: joins on it can use the partitioning of the windows over it."""
     text = text_or_empty()
     k = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
-    return docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), k.alias("k")).withColumn("salt", F.substring("k", 1, 2))
+    return docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), k.alias("k")).withColumn("salt", F.substring("k", 1, 2)).withColumn("src", _never_null("source"))
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def _never_null(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -64,22 +66,19 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def _offsets(keyed: DataFrame) -> DataFrame:
-    """How many documents of the source stand before each (source, size, salt)."""
-    cells = keyed.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
-    sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n_size"))
-    sizes = sizes.withColumn("before_size", F.sum("n_size").over(Window.partitionBy("source").orderBy("size")) - F.col("n_size"))
-    cells = cells.withColumn("before_salt", F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt")) - F.col("n"))
-    a, b = cells.alias("a"), sizes.alias("b")
-    joined = a.join(b, _same(F.col("a.source"), F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
-    return joined.select(F.col("a.source").alias("source"), F.col("a.size").alias("size"), "salt", (F.col("before_size") + F.col("before_salt")).alias("before"))
+    """How many documents of the source stand before each (src, size, salt)."""
+    cells = keyed.groupBy("src", "size", "salt").agg(F.count("*").alias("n"))
+    sizes = cells.groupBy("src", "size").agg(F.sum("n").alias("n_size"))
+    sizes = sizes.withColumn("before_size", F.sum("n_size").over(Window.partitionBy("src").orderBy("size")) - F.col("n_size")).drop("n_size")
+    cells = cells.withColumn("before_salt", F.sum("n").over(Window.partitionBy("src", "size").orderBy("salt")) - F.col("n"))
+    return cells.join(sizes, ["src", "size"]).select("src", "size", "salt", (F.col("before_size") + F.col("before_salt")).alias("before"))
 
 
 def _placed(keyed: DataFrame, offsets: DataFrame) -> DataFrame:
-    """keyed with pos, a document's place in its source, from 0."""
-    within = Window.partitionBy("source", "size", "salt").orderBy("k")
-    a, b = keyed.withColumn("rn", F.row_number().over(within)).alias("a"), offsets.alias("b")
-    on = _same(F.col("a.source"), F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.salt") == F.col("b.salt"))
-    return a.join(b, on).select("a.row", "a.source", "a.size", (F.col("before") + F.col("rn") - 1).alias("pos"))
+    """row, src, size and pos, a document's place in its source, from 0. Window and join share one shuffle of the rows."""
+    within = Window.partitionBy("src", "size", "salt").orderBy("k")
+    ranked = keyed.withColumn("rn", F.row_number().over(within)).join(offsets, ["src", "size", "salt"])
+    return ranked.select("row", "src", "size", (F.col("before") + F.col("rn") - 1).alias("pos"))
 
 
 def _crossed(rate: Column, offset: Column, cap: int) -> Column:
@@ -89,25 +88,23 @@ def _crossed(rate: Column, offset: Column, cap: int) -> Column:
 
 
 def _with_rates(placed: DataFrame, rates: DataFrame) -> DataFrame:
-    a, b = placed.alias("a"), rates.alias("b")
-    return a.join(b, _same(F.col("a.source"), F.col("b.source"))).select("a.*", *[F.col(f"b.{c}") for c in rates.columns if c != "source"])
+    return placed.join(rates.drop("source"), "src")
 
 
 def plan(keyed: DataFrame, seed: str = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(offsets, rates, placed) of a keyed table; rates has source, source_size, target, rate, u."""
+    """(offsets, rates, placed) of a keyed table; rates has src, source_size, target, rate, u."""
     targets = save(source_targets(keyed, weights, cap), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     first = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    rated = targets.withColumn("rate", rate).withColumn("first", first)
+    rated = targets.withColumn("rate", rate).withColumn("first", first).withColumn("src", _never_null("source"))
     offsets = save(_offsets(keyed), "mix-offsets")
     placed = save(_placed(keyed, offsets), "mix-placed")
     at = lambda j: F.col("first") + j / DRAWS - F.floor(F.col("first") + j / DRAWS)
-    tried = _with_rates(placed, rated).groupBy("source").agg(*[F.sum(_crossed(F.col("rate"), at(j), cap) * F.col("size")).alias(f"t{j}") for j in range(DRAWS)])
-    a, b = rated.alias("a"), tried.alias("b")
-    misses = F.array(*[F.struct(F.abs(F.col(f"b.t{j}") - F.col("a.target")).alias("miss"), F.lit(j).alias("j")) for j in range(DRAWS)])
-    joined = a.join(b, _same(F.col("a.source"), F.col("b.source"))).select("a.*", F.array_min(misses)["j"].alias("j"))
-    u = F.col("first") + F.col("j") / DRAWS
-    return offsets, save(joined.select("source", "source_size", "target", "rate", (u - F.floor(u)).alias("u")), "mix-rates"), placed
+    tried = _with_rates(placed, rated).groupBy("src").agg(*[F.sum(_crossed(F.col("rate"), at(j), cap) * F.col("size")).alias(f"t{j}") for j in range(DRAWS)])
+    misses = F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j")) for j in range(DRAWS)])
+    u = F.col("first") + F.array_min(misses)["j"] / DRAWS
+    chosen = rated.join(tried, "src").select("src", "source_size", "target", "rate", (u - F.floor(u)).alias("u"))
+    return offsets, save(chosen, "mix-rates"), placed
 
 
 def mix(docs: DataFrame, seed: str = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
