@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewalk.llm.bloom import may_be_in
 from gradewalk.llm.common import SPACE_CHARS, save, table, text_or_empty, whole_row
 from gradewalk.llm.components import components
 
@@ -282,7 +283,8 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFr
     members = save(members, "cluster-members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / SET_BLOCK), F.ceil(F.count("*") / MEMBER_BLOCK)).cast("int").alias("blocks"))
     cut = members.join(sizes, "cluster").select("cluster", "cls", "did", "tkey", "n_docs", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
-    texts = cut.join(_keyed(docs), ["did", "tkey"])
+    wanted = _keyed(docs).filter(may_be_in(members, ["did", "tkey"]))  # else every text would be shuffled for a few
+    texts = cut.join(wanted, ["did", "tkey"])
     tasks = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "blocks", "cls", "n_docs", "text")
     schema = pa.schema([("cls", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("whole", pa.bool_())])
@@ -331,10 +333,17 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """docs without near copies: of each class the document of least id (then least text digest) stays, once."""
-    _, classes = classify(docs, recall)
-    kept = classes.groupBy("label").agg(F.min(F.struct("did", "tkey")).alias("first")).select("first.*")
-    rows = _keyed(docs, whole_row(docs).alias("row")).join(kept, ["did", "tkey"])
-    return rows.groupBy("did", "tkey").agg(F.first("row").alias("row")).select("row.*")
+    rows, classes = classify(docs, recall)
+    kept = classes.groupBy("label").agg(F.min(F.struct("did", "tkey")).alias("first")).select("first.*", F.lit(True).alias("kept"))
+    seen = rows.groupBy("did", "tkey").agg(F.count("*").alias("n")).join(kept, ["did", "tkey"], "left")
+    doubtful = save(seen.filter("kept IS NULL OR n > 1").select("did", "tkey", "kept"), "doubtful")
+    # most rows are neither dropped nor repeated: only those that may be are shuffled
+    texts = _keyed(docs, whole_row(docs).alias("row"))
+    doubted = may_be_in(doubtful, ["did", "tkey"])
+    some = texts.filter(doubted).join(doubtful.withColumn("doubted", F.lit(True)), ["did", "tkey"], "left")
+    fine = some.filter("doubted IS NULL").select("row.*")
+    once = some.filter("kept").groupBy("did", "tkey").agg(F.first("row").alias("row")).select("row.*")
+    return texts.filter(~doubted).select("row.*").unionAll(fine).unionAll(once)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ points that two documents hold lose all their lines but those in the document of
    is exact: a false positive of the filter has one document only and falls out here.
 3. Each document gets the keys it has to drop, and loses those lines.
 
-The twice-seen filter is broadcast. It has 8 bits a hash, up to FILTER_MOST bytes; over that it lets more keys through
-to the exact step, which changes the cost, not the result.
+The twice-seen filter is broadcast at a bounded size (see bloom); when full it lets more keys through to the exact step,
+which changes the cost, not the result.
 
 Defined results: a null or empty text is one empty line; rows of equal doc_id are one document; null ids together are
 one document, after all others; an empty table stays empty.
@@ -27,12 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewalk.llm.bloom import SEGMENTS, by_segment, collected, contains, segment, segment_bits, slots
 from gradewalk.llm.common import SPACE_CHARS, save, table, text_or_empty
 
 KEY_LEAST = 10
-PROBES = 4
-FILTER_MOST = 64 << 20
-SEGMENTS = 256
 _ENDS = SPACE_CHARS.encode()
 _NO_ID = (1 << 63) - 1
 
@@ -49,16 +47,6 @@ def doc_keys(text: str, least: int = KEY_LEAST) -> set[bytes]:
     return {k for k in map(key, set(text.encode().split(b"\n"))) if _long(k, least)}
 
 
-def _slots(h: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES places in a segment of so many bits (a power of two) for each hash."""
-    step = (h >> np.uint64(20)) | np.uint64(1)
-    return ((h[None] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(13)) + np.arange(PROBES, dtype=np.uint64)[:, None] * step) & np.uint64(bits - 1)
-
-
-def _segment(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(56)).astype(np.int64)  # SEGMENTS is 2^8
-
-
 class Segment:
     """The once-seen and twice-seen filters of one segment."""
 
@@ -67,51 +55,42 @@ class Segment:
 
     def add(self, h: np.ndarray) -> None:
         h, n = np.unique(h, return_counts=True)
-        slots = _slots(h, self.bits)
-        again = (n > 1) | self.once[slots].all(axis=0)
-        self.twice[slots[:, again].ravel()] = True
-        self.once[slots.ravel()] = True
+        places = slots(h, self.bits)
+        again = (n > 1) | self.once[places].all(axis=0)
+        self.twice[places[:, again].ravel()] = True
+        self.once[places.ravel()] = True
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), text_or_empty().alias("text"))
 
 
-def twice_seen(docs: DataFrame, least: int = KEY_LEAST) -> tuple[list[bytes], int]:
-    """The twice-seen filter by segment, and the bits of a segment."""
+def twice_seen(docs: DataFrame, least: int = KEY_LEAST) -> tuple[bytes, int]:
+    """The twice-seen filter, segment by segment, and the bits of a segment."""
 
     def hashes(batches):
         for b in batches:
             found = [xxhash.xxh3_64_intdigest(k) for t in b.column(0) for k in doc_keys(t.as_py(), least)]
             h = np.array(found, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_segment(h)), pa.array(h.view(np.int64))], names=["seg", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(segment(h)), pa.array(h.view(np.int64))], names=["seg", "h"])
 
     rows = save(_identified(docs).select("text").mapInArrow(hashes, "seg long, h long"), "line-hashes")
-    bits = 1 << 12
-    most, n = FILTER_MOST * 8 // SEGMENTS, rows.count()
-    while bits < most and bits * SEGMENTS < 8 * n:
-        bits <<= 1
+    bits = segment_bits(rows.count())
 
     def fill(batches):
         held: dict[int, Segment] = {}
         for b in batches:
-            seg, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            order = np.argsort(seg, kind="stable")
-            seg, h = seg[order], h[order]
-            cuts = np.flatnonzero(np.diff(seg)) + 1
-            for s, part in zip(seg[np.concatenate([[0], cuts])].tolist() if len(seg) else [], np.split(h, cuts), strict=False):
+            for s, part in by_segment(b.column(1).to_numpy().view(np.uint64)):
                 held.setdefault(s, Segment(bits)).add(part)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x.twice).tobytes() for x in held.values()], pa.binary())], names=["seg", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x.twice).tobytes() for x in held.values()], pa.binary())], names=["seg", "bits"])
 
-    empty = bytes(bits // 8)
-    filled = {r["seg"]: bytes(r["twice"]) for r in rows.repartition(SEGMENTS // 4, "seg").mapInArrow(fill, "seg long, twice binary").collect()}  # FILTER_MOST bytes at most
-    return [filled.get(s, empty) for s in range(SEGMENTS)], bits
+    return collected(rows.repartition(SEGMENTS // 4, "seg").mapInArrow(fill, "seg long, bits binary"), bits), bits
 
 
 def suspects(docs: DataFrame, least: int = KEY_LEAST) -> DataFrame:
     """did and key of all keys that the twice-seen filter has, each once a row of docs."""
-    filters, bits = twice_seen(docs, least)
-    shared = docs.sparkSession.sparkContext.broadcast(b"".join(filters))
+    twice, bits = twice_seen(docs, least)
+    shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches):
         packed = np.frombuffer(shared.value, np.uint8)
@@ -122,8 +101,7 @@ def suspects(docs: DataFrame, least: int = KEY_LEAST) -> DataFrame:
                 keys += own
                 ids += [i] * len(own)
             h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            bit = _slots(h, bits).astype(np.int64) + _segment(h)[None] * bits
-            seen = np.flatnonzero((packed[bit >> 3] >> (7 - (bit & 7)) & 1).all(axis=0)).tolist()
+            seen = np.flatnonzero(contains(packed, bits, h)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in seen], pa.int64()), pa.array([keys[k].decode() for k in seen], pa.string())], names=["did", "key"])
 
     return _identified(docs).mapInArrow(run, "did long, key string")

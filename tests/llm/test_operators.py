@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gradewalk.llm import components, jaccard, lines, media, mixing, packing, quality, secrets, toxicity, urls, warc
+from gradewalk.llm import bloom, components, jaccard, lines, media, mixing, packing, quality, secrets, toxicity, urls, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, did long, tkey string, salt string"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -265,7 +265,7 @@ def test_filters_never_lose_a_repeat():
     segment, twice = lines.Segment(1 << 12), h[:300]  # far too small: false positives only
     for part in np.split(np.concatenate([h, twice]), [1000, 2600]):
         segment.add(part)
-    assert segment.twice[lines._slots(twice, 1 << 12)].all()
+    assert segment.twice[bloom.slots(twice, 1 << 12)].all()
 
 
 # WARC
