@@ -62,3 +62,9 @@ def html(template: str, payload: str) -> str:
     """A page with its data: the mark /*DATA*/ replaced by the payload, which must be JSON."""
     json.loads(payload)
     return template.replace("/*DATA*/", payload.replace("</", "<\\/"))
+
+
+def leading_facility(rows: DataFrame) -> DataFrame:
+    """One row: the planned facility that saves most, of an intervention summary of one target."""
+    planned = rows.filter(~F.col("facility").startswith("ALL"))
+    return planned.agg(F.max_by(F.struct(*rows.columns), F.struct("sum_saved_bld_min", "facility")).alias("r")).select("r.*")

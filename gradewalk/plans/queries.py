@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from gradewalk.config import CODES, DEFAULT
 from gradewalk.functions import cost, geo, text
-from gradewalk.operators import hbi, joins, network, paths, raster, report, spatial, stats, whatif
+from gradewalk.operators import hbi, joins, network, paths, preview, raster, report, spatial, stats, whatif
+from gradewalk.plans import fixture, stages
 from gradewalk.plans.oracles import COSTS, EDGES, NET, WHEEL, ZONE_HOMES, both_ways, edge_rows, elder, full, gridded, interventions, q, rank, search, sensitivity, sloped
 from gradewalk.plans.synth import SIDE, SPIKE, X0, Y0, view
-from gradewalk.sources import files, tables
+from gradewalk.sources import files, stores, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -713,4 +714,29 @@ def viewer_payload(spark, d):
     return report.viewer_cells(hbi.grid(_scored(spark, d)))
 
 
+@query(None)
+def fixture_run(spark, d):
+    """Network, index and grid of the made-up quarter, from its lines, polygons and heights (no tables of the driver)."""
+    layers = stages.Layers(fixture.lines(spark), fixture.stairs(spark), fixture.level(spark), fixture.buildings(spark), fixture.stops(spark), fixture.dem(spark), (fixture.X0, fixture.Y0 + 2000), 5.0)
+    nodes, links = stages.network_stage(layers)
+    return stages.export_stage(stages.index_stage(layers, nodes, links))["grid"]
+
+
+@query(None)
+def raster_preview(spark, d):
+    """The index on a raster of the hill (iterative search; no SQL)."""
+    return preview.raster_index(fixture.dem(spark, 50, 250.0), 50.0, spark.createDataFrame([(5, 5), (30, 20)], "row int, col int"))
+
+
+@query(q(("homes", "dests"), "SELECT facility, n, s AS sum_saved_bld_min FROM (SELECT 'f' || s_nationkey AS facility, count(*) AS n, round(sum(s_acctbal), 6) AS s FROM supplier GROUP BY s_nationkey) ORDER BY s DESC, facility DESC LIMIT 1"))
+def leading_facility(spark, d):
+    rows = table(spark, d, "supplier").groupBy(F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("facility")).agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 6).alias("sum_saved_bld_min"))
+    return report.leading_facility(rows)
+
+
+@query(q(("zones",), "SELECT adm_cd, adm_nm FROM zones WHERE substring(adm_cd, 1, 5) IN ('11110')"))
+def zones_by_prefix(spark, d):
+    return stores.in_boroughs(view(spark, d, "zones"), "adm_cd", ["11110"]).select("adm_cd", "adm_nm")
+
+
 __all__ = ["ORACLES", "QUERIES", "both_ways", "homes_hbi_of", "sloped"]

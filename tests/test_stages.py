@@ -74,3 +74,38 @@ def test_raster_index(spark):
     hidden = preview.hidden_by_blocks(index, 5).first()
     assert hidden["n"] == sum(v >= 1.3 for v in got.values())
     assert raster.block_mean(pixels, 4).count() == 25
+
+
+def test_control_run(spark):
+    from gradewalk.functions.geo import mercator_pixel, project
+    from gradewalk.plans import control
+
+    x, y = [fixture.X0 + 50.0 * k for k in range(41)], [fixture.Y0 + 100.0 * k for k in range(11)]
+    rows = [(k, [(a, b) for a in x]) for k, b in enumerate(y)] + [(100 + k, [(a, b) for b in y]) for k, a in enumerate(x[::4])]
+    flat = spark.createDataFrame([(k, n, float(a), float(b)) for k, pts in rows for n, (a, b) in enumerate(pts)], "line_id long, n int, x double, y double")
+    lon, lat = project(F.col("x"), F.col("y"), 5186, 4326)
+    lines = flat.select("line_id", "n", lon.alias("x"), lat.alias("y")).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("n", "x", "y"))).alias("p")).select("line_id", F.transform("p", lambda q: F.struct(q["x"], q["y"])).alias("points"))
+    px, py = mercator_pixel(lon, lat)
+    box = flat.select(F.floor(F.min(px)).alias("a"), F.floor(F.max(px)).alias("b"), F.floor(F.min(py)).alias("c"), F.floor(F.max(py)).alias("d")).first()
+    pixels = spark.createDataFrame([(r, c, 50.0 + 3.0 * (c - box["a"]) if (r, c) != (box["c"] + 5, box["a"] + 9) else -500.0) for r in range(box["c"] - 3, box["d"] + 4) for c in range(box["a"] - 3, box["b"] + 4)], "row long, col long, z double")
+    stations = spark.createDataFrame([(1, fixture.X0 + 10.0, fixture.Y0 + 10.0, "station")], "id long, x double, y double, target string")
+    grid, _ = control.run(lines, stations, pixels)
+    got = grid.collect()
+    assert len(got) >= 20 and all(r["hbi_mean"] > 1.1 for r in got if r["cell_x"] > fixture.X0 + 250)
+    _, same = control.run(lines, stations, pixels, grid)
+    r = same.first()
+    assert r["n_common"] == len(got) and r["mean_abs_diff"] == 0 and r["rank_corr"] == pytest.approx(1) and r["top10_agree"] == 1
+
+
+def test_stored_tables(spark, tmp_path):
+    from gradewalk.sources import stores
+
+    wide = spark.createDataFrame([("1", "2.0", "1.5", ""), ("2", "3.0", "", "1.25")], "id string, x string, bus_hbi string, medical_hbi string")
+    assert stores.targets(wide) == ["bus", "medical"]
+    got = {(r["id"], r["target"]): r["hbi"] for r in stores.long_table(wide, ["hbi"]).collect()}
+    assert got == {("1", "bus"): 1.5, ("1", "medical"): None, ("2", "bus"): None, ("2", "medical"): 1.25}
+    stores.write_network(wide, wide, str(tmp_path))
+    assert [f.count() for f in stores.read_network(spark, str(tmp_path))] == [2, 2]
+    wide.withColumn("edge", F.col("id") == "1").withColumn("target", F.lit("bus")).write.parquet(f"{tmp_path}/b")
+    assert stores.read_buildings(spark, f"{tmp_path}/b", "bus").count() == 1
+    assert stores.prefer(["b", "a60", "a"]) == "a60" and stores.prefer([]) is None
