@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,8 @@ CACHE_MOST, WORD_MOST = 400_000, 64
 #: Marks that form one token, apart from the word of letters before them.
 MARKS = ".,;:!?#$%&*()[]{}|/+=~-"
 #: Letters whose lower case depends on their neighbours or on who lowers them.
-UNLIKE = frozenset("\u03a3\u0130")
+UNLIKE = "[\u03a3\u0130]"
+TAIL = "(?P<t>[" + re.escape(MARKS) + "]+)$"
 
 
 class WordEncoder:
@@ -67,78 +69,83 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.words, self.ids, self.size = pa.array([""], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        self.stems: dict[str, bytes] = {}
 
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _one(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4")
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some words of letters only."""
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each) of some words of letters only."""
         text = unicodedata.normalize("NFC", " ".join(words)).lower()
         ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(words) or cuts and cuts[-1] != 4 * len(ids):
-            return [self._one(w) for w in words]
-        data = ids.tobytes()
-        return [data[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some words."""
-        stems, fresh, out, pending = self.stems, set(), [], []
-        for k, w in enumerate(words):
-            stem = w.rstrip(MARKS)
-            if stem.isalpha() and len(stem) <= WORD_MOST and (stem.isascii() or not UNLIKE.intersection(stem)):
-                if stem not in stems:
-                    fresh.add(stem)
-                pending.append((k, stem, w[len(stem) :]))
-                out.append(b"")
-            else:
-                out.append(self._one(w))
-        new = list(fresh)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or len(cuts) and cuts[-1] != len(ids):
+            return _joined([self._one(w) for w in words])
+        return ids, np.diff(cuts, prepend=0)
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each) of some words: letters and the marks after them apart, all others one by one."""
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(stems), pc.less_equal(pc.utf8_length(stems), WORD_MOST))
+        plain = pc.and_(plain, pc.invert(pc.match_substring_regex(stems, UNLIKE))).to_numpy(zero_copy_only=False)
+        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+        coded = stems.take(pa.array(easy)).dictionary_encode()
+        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(known < 0)
+        new, found = coded.dictionary.take(pa.array(fresh)).to_pylist(), []
         for at in range(0, len(new), 20_000):
-            group = new[at : at + 20_000]
-            stems.update(zip(group, self._together(group), strict=True))
-        tails: dict[str, bytes] = {"": b""}
-        for k, stem, tail in pending:
-            if tail not in tails:
-                tails[tail] = self._one(tail)
-            out[k] = stems[stem] + tails[tail]
-        if len(stems) > CACHE_MOST // 2:
-            for w in new:
-                del stems[w]
-        return out
+            found.append(self._together(new[at : at + 20_000]))
+        tails = pc.struct_field(pc.extract_regex(words.take(pa.array(easy)), TAIL), "t").dictionary_encode()
+        marks = _joined([self._one(t) for t in tails.dictionary.to_pylist()])
+        rest = _joined([self._one(w) for w in words.take(pa.array(hard)).to_pylist()])
+        # one pool of entries: known words, new stems, tails, an empty entry, hard words; a word is two of them in order
+        parts = [(self.ids, self.size), *found, marks, (np.zeros(0, "<u4"), np.zeros(1, np.int64)), rest]
+        ids, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        first_mark = len(self.size) + len(new)
+        nothing = first_mark + len(marks[1])
+        known[fresh] = len(self.size) + np.arange(len(fresh))
+        entries = np.full((len(words), 2), nothing)
+        entries[easy, 0] = known[coded.indices.to_numpy()]
+        tail = pc.fill_null(tails.indices, -1).to_numpy()
+        entries[easy, 1] = np.where(tail < 0, nothing, first_mark + tail)
+        entries[hard, 0] = nothing + 1 + np.arange(len(hard))
+        return _gathered(ids, size, entries.ravel()), size[entries].sum(axis=1)
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text begins, and the end)."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words, code = coded.dictionary, coded.indices.to_numpy()
-        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
-        missing = np.flatnonzero(found < 0)
+        entry = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(entry < 0)
         unknown = words.take(pa.array(missing))
-        own = self._learn(unknown.to_pylist())
-        more = np.frombuffer(b"".join(own), "<u4")
-        more_size = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-        ids, sizes = np.concatenate([self.ids, more]), np.concatenate([self.size, more_size])
-        entry = found.astype(np.int64)
+        more, more_size = self._learn(unknown)
+        ids, size = np.concatenate([self.ids, more]), np.concatenate([self.size, more_size])
         entry[missing] = len(self.size) + np.arange(len(missing))
-        size, start = sizes[entry], (np.cumsum(sizes) - sizes)[entry]
         if len(self.words) < CACHE_MOST:
-            self.words, self.ids, self.size = pa.concat_arrays([self.words, unknown]), ids, sizes
+            self.words, self.ids, self.size = pa.concat_arrays([self.words, unknown]), ids, size
         elif 2 * len(missing) > len(words):  # other texts than before
             self._forget()
-        n = size[code]
-        ends = np.cumsum(n)
-        place = np.repeat(start[code] - (ends - n), n)
-        place += np.arange(len(place))
+        used = entry[code]
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-        return ids[place], np.concatenate([[0], ends])[bounds]
+        return _gathered(ids, size, used), np.concatenate([[0], np.cumsum(size[used])])[bounds]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, bounds = self.encode_all(pa.array(texts, pa.string()))
         return [ids[s:e].tobytes() for s, e in zip(bounds, bounds[1:], strict=False)]
 
 
+def _joined(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, "<u4"), *entries]), np.array([len(e) for e in entries], np.int64)
+
+
+def _gathered(ids: np.ndarray, size: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The ids of the used entries one after another; entry k holds size[k] ids, in order."""
+    n = size[used]
+    place = np.repeat((np.cumsum(size) - size)[used] - (np.cumsum(n) - n), n)
+    place += np.arange(len(place))
+    return ids[place]
+
+
 def _parts(batch: pa.RecordBatch, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """A batch (id, text) in slices of about so many bytes of text, of a row at least."""
     sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
