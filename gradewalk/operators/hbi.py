@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradewalk.config import DEFAULT, Model
 from gradewalk.functions.cost import cheapest_edges, slope, weights
 from gradewalk.functions.geo import cell, cell_centre
-from gradewalk.operators.paths import multi_source
+from gradewalk.operators.paths import by_component, search
 from gradewalk.operators.spatial import nearest
 
 GRAPHS = ("elder", "flat", "wheel", "wheel_flat")
@@ -33,13 +33,18 @@ def destination_nodes(dests: DataFrame, nodes: DataFrame, m: Model = DEFAULT) ->
     return snap(dests, "id", nodes, m.dest_snap_m).filter("node_id IS NOT NULL").select("target", F.col("node_id").alias("node")).distinct()
 
 
-def round_trips(edges: DataFrame, dests: DataFrame, shards: int = 2) -> DataFrame:
-    """target, graph, node, go, back: least times to a destination and from one, each minimised on its own."""
+def round_trips(edges: DataFrame, dests: DataFrame, shards: int = 2, components: DataFrame | None = None) -> DataFrame:
+    """target, graph, node, go, back: least times to a destination and from one, each minimised on its own.
+
+    With components (node_id, comp) of the network every component is searched in a task of its own."""
     graphs = edges.select("graph").distinct()
     run = lambda back: F.concat_ws("|", "target", F.lit("back" if back else "go"), "graph")
     starts = dests.join(F.broadcast(graphs), how="cross")  # a few graphs
     sources = starts.select(run(False).alias("run"), "graph", F.lit(True).alias("reverse"), "node").unionAll(starts.select(run(True).alias("run"), "graph", F.lit(False).alias("reverse"), "node"))
-    found = multi_source(cheapest_edges(edges), sources, shards)
+    edges = cheapest_edges(edges)
+    if components is not None:
+        edges, sources = by_component(edges, sources, components)
+    found = search(edges, sources, shards)
     part = F.split("run", r"\|")
     leg = lambda name: F.max(F.when(part[1] == name, F.col("d"))).alias(name)
     return found.groupBy(part[0].alias("target"), part[2].alias("graph"), "node").agg(leg("go"), leg("back"))
@@ -64,10 +69,10 @@ def home_times(homes: DataFrame, trips: DataFrame, m: Model = DEFAULT) -> DataFr
     return every.select(*homes.columns, "target", *names).withColumns(ratios)
 
 
-def run(nodes: DataFrame, links: DataFrame, homes: DataFrame, dests: DataFrame, m: Model = DEFAULT, graphs: tuple[str, ...] = GRAPHS) -> DataFrame:
+def run(nodes: DataFrame, links: DataFrame, homes: DataFrame, dests: DataFrame, m: Model = DEFAULT, graphs: tuple[str, ...] = GRAPHS, components: DataFrame | None = None) -> DataFrame:
     """home_times of homes (id, x, y, ...) over a network with heights."""
     edges = weights(sloped(nodes, links, m), m, graphs)
-    return home_times(snap(homes, "id", nodes, m.origin_snap_m), round_trips(edges, destination_nodes(dests, nodes, m)), m)
+    return home_times(snap(homes, "id", nodes, m.origin_snap_m), round_trips(edges, destination_nodes(dests, nodes, m), components=components), m)
 
 
 def usable(rows: DataFrame) -> DataFrame:

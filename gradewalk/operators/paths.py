@@ -1,8 +1,9 @@
 """Shortest paths.
 
 Runs that share a graph are solved together: edges and sources are co-grouped by (graph, shard), the graph is built once
-in the task, and every run on it is one search. Graphs that are one component too large for a task go through `relax`,
-a frontier relaxation in DataFrames."""
+in the task, and every run on it is one search. Components of a graph are independent, so with known components each is
+a graph of its own. Graphs that are still too large for a task go through `relax`, a frontier relaxation in DataFrames;
+`search` sends each graph the right way."""
 
 from __future__ import annotations
 
@@ -120,3 +121,27 @@ def relax(edges: DataFrame, sources: DataFrame, save, rounds: int = 10_000) -> D
         if not front.take(1):
             break
     return best.select("run", "node", "d")
+
+
+#: Edges of a graph that one task takes; about 1 GB in its Python worker.
+TASK_EDGES = 20_000_000
+
+
+def by_component(edges: DataFrame, sources: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, sources) with each component (node_id, comp) of a graph as a graph of its own; results are the same."""
+    named = F.concat_ws("#", "graph", F.col("comp").cast("string"))
+    of = lambda c: components.select(F.col("node_id").alias(c), "comp")
+    parts = edges.join(of("src"), "src").select(named.alias("graph"), "src", "dst", "w")
+    return parts, sources.join(of("node"), "node").select("run", named.alias("graph"), "reverse", "node")
+
+
+def search(edges: DataFrame, sources: DataFrame, shards: int = 1, most_edges: int = TASK_EDGES) -> DataFrame:
+    """multi_source for graphs of at most so many edges, relax for larger ones."""
+    from gradewalk.operators.tables import save
+
+    edges = save(edges, "graphs")
+    large = save(edges.groupBy("graph").agg(F.count("*").alias("n")).filter(F.col("n") > most_edges).select("graph"), "large-graphs")
+    if not large.take(1):
+        return multi_source(edges, sources, shards)
+    small = multi_source(edges.join(large, "graph", "left_anti"), sources.join(large, "graph", "left_anti"), shards)
+    return small.unionByName(relax(edges.join(large, "graph", "left_semi"), sources.join(large, "graph", "left_semi"), save))

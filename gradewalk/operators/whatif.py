@@ -14,7 +14,7 @@ from gradewalk.config import CODES, DEFAULT, FACILITY, SENSITIVITY, Model
 from gradewalk.functions.cost import cheapest_edges, weights
 from gradewalk.functions.geo import cell, cell_centre, distance
 from gradewalk.operators.hbi import destination_nodes, ratio, round_trips, sloped, snap
-from gradewalk.operators.paths import multi_source, single_paths
+from gradewalk.operators.paths import search, single_paths
 from gradewalk.operators.spatial import nearest_any
 from gradewalk.operators.stats import median, spearman
 
@@ -123,7 +123,7 @@ def isochrone_times(nodes: DataFrame, links: DataFrame, points: DataFrame, m: Mo
     starts = nearest_any(points.select("name", "x", "y"), "name", near, 100.0, "node_id").select("name", F.col("node_id").alias("node"))
     edges = cheapest_edges(weights(sloped(nodes, links, m), m, ("flat", "elder", "wheel")))
     runs = starts.withColumn("graph", F.explode(F.array(F.lit("flat"), F.lit("elder"), F.lit("wheel")))).select(F.concat_ws("|", "name", "graph").alias("run"), "graph", F.lit(True).alias("reverse"), "node")
-    found, part = multi_source(edges, runs), F.split("run", r"\|")
+    found, part = search(edges, runs), F.split("run", r"\|")
     return found.select(part[0].alias("name"), part[1].alias("mode"), "node", F.col("d").alias("t"))
 
 

@@ -68,7 +68,8 @@ def homes_and_destinations(layers: Layers, m: Model = DEFAULT) -> tuple[DataFram
 def index_stage(layers: Layers, nodes: DataFrame, links: DataFrame, m: Model = DEFAULT) -> DataFrame:
     """The long building table: one row for each home and target; with a second height model also hbi_dem1."""
     homes, dests = homes_and_destinations(layers, m)
-    rows = save(hbi.run(nodes, links, homes, dests, m), "homes")
+    components = nodes.select("node_id", "comp") if "comp" in nodes.columns else None
+    rows = save(hbi.run(nodes, links, homes, dests, m, components=components), "homes")
     free = hbi.round_trips(hbi.weights(hbi.sloped(nodes, links, m), m, ("wheel",), stairs_passable=True), hbi.destination_nodes(dests, nodes, m))
     rows = rows.join(free.select("target", F.col("node").alias("node_id"), (F.col("go") + F.col("back")).alias("t_wheel_stairok")), ["target", "node_id"], "left")
     if layers.fine_pixels is not None:

@@ -43,6 +43,11 @@ def test_multi_source(spark, shards):
     wanted = {(r, k): v for (r, g, b), ns in runs.items() for k, v in dijkstra([(y, x, w) if b else (x, y, w) for x, y, w in edges[g]], ns).items() if k != 999}
     got = {(r["run"], r["node"]): r["d"] for r in paths.multi_source(frame, sources, shards).collect()}
     assert got == pytest.approx(wanted)
+    for most in (10**6, 0):  # in tasks, and by relaxation
+        assert {(r["run"], r["node"]): r["d"] for r in paths.search(frame, sources.filter("node <> 999"), shards, most).collect()} == pytest.approx(wanted)
+    parts = components.labelled(frame.filter("graph = 'a'").select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("v").alias("node_id"), F.col("component").alias("comp"))
+    split = paths.by_component(frame.filter("graph = 'a'"), sources.filter("graph = 'a'"), parts)
+    assert {(r["run"], r["node"]): r["d"] for r in paths.multi_source(*split).collect()} == pytest.approx({k: v for k, v in wanted.items() if k[0] in ("r1", "r2")})
     relaxed = {(r["run"], r["node"]): r["d"] for r in paths.relax(frame, sources.filter("node <> 999"), tables.save).collect()}
     assert relaxed == pytest.approx(wanted)
 
