@@ -76,8 +76,10 @@ def test_components(spark):
 
     for a, b in edges:
         root[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r["v"]: r["component"] for r in components.labelled(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {v: find(v) for e in edges for v in e}
+    for task_edges in (10**6, 0):  # in one task, and by contraction
+        got = {r["v"]: r["component"] for r in components.labelled(spark.createDataFrame(edges, "a long, b long"), task_edges).collect()}
+        assert got == {v: find(v) for e in edges for v in e}
+    assert components.labelled(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_spatial_joins(spark):
