@@ -112,6 +112,7 @@ def drops(docs: DataFrame, least: int = KEY_LEAST) -> DataFrame:
     """did and the array of keys that this document loses."""
     suspected = save(suspects(docs, least), "line-suspects")
     held = suspected.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("first < last")
+    held = save(held, "line-first")  # joined by an exchange of its own, a common line's partition can be split
     lost = suspected.join(held, "key").filter("did > first")
     return lost.groupBy("did").agg(F.collect_set("key").alias("keys"))
 
