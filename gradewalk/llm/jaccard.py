@@ -65,7 +65,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; hashes of words are remembered."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         self.known, self.most = {}, most
 
     def __call__(self, text: str) -> np.ndarray:
