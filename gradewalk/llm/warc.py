@@ -210,7 +210,8 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     base = pages.select("page_id", "url", text_or_empty("html").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = base.filter(F.octet_length("payload") >= DUPLICATE_LEAST)
     first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # groups are one row a digest; a hot digest's rows stand on the other side, whose partitions Spark splits
+    # saved, so that the join has exchanges of its own on both sides and Spark can split a hot digest's partition
+    first = save(first, "warc-first")
     joined = base.join(first, "digest", "left")
     revisit = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", revisit.alias("refers_to"))
