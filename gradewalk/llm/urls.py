@@ -102,7 +102,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = LIST, min_
     mined = mine(seen.filter("hit IS NOT NULL").select("items", "hit.verdict"), min_support, min_confidence)
     verdicts = decide(seen.filter("hit IS NULL AND host <> ''"), save(mined, "url-rules"))
     own = F.when(F.col("blocked"), "block").otherwise("allow")
-    joined = seen.join(verdicts, "items", "left")
+    joined = seen.join(save(verdicts, "url-verdicts"), "items", "left")  # saved: a common token set's partition can be split
     return joined.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.when(F.col("hit").isNotNull(), F.col("hit.verdict")).otherwise(own).alias("verdict"))
 
 
