@@ -200,7 +200,7 @@ def candidate_links(classes: DataFrame, depth: int) -> DataFrame:
     label = lambda t: F.substring("tries", t * 2 * DEPTH + 1, 2 * depth)
     members = classes.filter("n_shingles > 0").select("v", "n_shingles", "tries")
     nodes = members.select("v", F.explode(F.array(*[F.xxhash64(F.lit(t), label(t)) for t in range(TREES)])).alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = save(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "shared-nodes")  # saved: a hot node's partition can be split in the join
     blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
     rows = nodes.join(shared, "node").withColumn("blocks", blocks)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -282,6 +282,7 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFr
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select("v", "cls", "did", "tkey", "n_docs", "n_shingles"), "v")
     members = save(members, "cluster-members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / SET_BLOCK), F.ceil(F.count("*") / MEMBER_BLOCK)).cast("int").alias("blocks"))
+    sizes = save(sizes, "cluster-sizes")
     cut = members.join(sizes, "cluster").select("cluster", "cls", "did", "tkey", "n_docs", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
     wanted = _keyed(docs).filter(may_be_in(members, ["did", "tkey"]))  # else every text would be shuffled for a few
     texts = cut.join(wanted, ["did", "tkey"])

@@ -268,6 +268,14 @@ def test_filters_never_lose_a_repeat():
     assert segment.twice[bloom.slots(twice, 1 << 12)].all()
 
 
+def test_key_filter_keeps_all_its_keys(spark):
+    keys = spark.range(0, 4000, 2).select("id", F.md5(F.col("id").cast("string")).alias("t"))
+    every = spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).alias("t"))
+    passed = {r["id"] for r in every.filter(bloom.may_be_in(keys, ["id", "t"])).collect()}
+    assert set(range(0, 4000, 2)) <= passed and len(passed) < 2300
+    assert every.filter(bloom.may_be_in(keys.limit(0), ["id", "t"])).count() == 0
+
+
 # WARC
 
 PAGES = "page_id long, url string, html string, digest string, first long"
