@@ -70,6 +70,16 @@ def arc_lengths(points: Column) -> Column:
     return F.transform(points, lambda p, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0.0), lambda a, v: a + v))
 
 
+def running_lengths(points: DataFrame, by: list[str], order: str) -> DataFrame:
+    """points (x, y) with n, their place in their group from 1, and arc, the running length at each; groups of any size."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(order)
+    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
+    placed = points.withColumn("n", F.row_number().over(w).cast("long")).withColumn("_step", step)
+    return placed.withColumn("arc", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_step")
+
+
 def point_at(points: Column, arcs: Column, at: Column) -> Column:
     """The point at an arc length."""
     k = F.greatest(F.least(F.size(F.filter(arcs, lambda d: d <= at)) - 1, F.size(arcs) - 2), F.lit(0))

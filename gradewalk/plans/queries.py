@@ -642,9 +642,16 @@ def dedupe_first(spark, d):
 
 @query(q(("points",), "SELECT user_id, n, round(sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY user_id ORDER BY n), 6) AS arc FROM (SELECT id % 50 AS user_id, x, y, row_number() OVER w AS n, lag(x) OVER w AS px, lag(y) OVER w AS py FROM points WINDOW w AS (PARTITION BY id % 50 ORDER BY id)) WHERE n <= 40"))
 def arc_length(spark, d):
-    p = view(spark, d, "points").withColumn("user_id", F.col("id") % 50).filter("id < 2000")
-    walks = p.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("points"))
-    return walks.select("user_id", F.posexplode(network.arc_lengths(F.slice("points", 1, 40))).alias("n", "arc")).select("user_id", (F.col("n") + 1).cast("long").alias("n"), "arc")
+    """Lengths of all points, of which the SQL asks for each group's first 40; arc_length_all returns every one."""
+    p = view(spark, d, "points").withColumn("user_id", F.col("id") % 50)
+    return network.running_lengths(p, ["user_id"], "id").filter("n <= 40").select("user_id", "n", "arc")
+
+
+@query(q(("points",), "SELECT user_id, id, n, round(sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS arc FROM (SELECT user_id, id, x, y, row_number() OVER w AS n, lag(x) OVER w AS px, lag(y) OVER w AS py FROM points JOIN events ON event_id = id WINDOW w AS (PARTITION BY user_id ORDER BY id))"))
+def arc_length_all(spark, d):
+    """The running length at every event, along its user's events."""
+    users = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id")
+    return network.running_lengths(view(spark, d, "points").join(users, "id"), ["user_id"], "id").select("user_id", "id", "n", F.round("arc", 3).alias("arc"))
 
 
 @query(q(("homes",), """SELECT id, round(6371000 * 2 * asin(sqrt(pow(sin(radians(lat - 37.5) / 2), 2) + cos(radians(lat)) * cos(radians(37.5)) * pow(sin(radians(lon - 127.0) / 2), 2))), 6) AS d_m, round((lon + 180) / 360 * 8388608, 6) AS px, round((1 - asinh(tan(radians(lat))) / pi()) / 2 * 8388608, 6) AS py, CAST(floor((lon * 10 - 1269) * 3) AS BIGINT) AS slot

@@ -353,3 +353,25 @@ def test_named_neighbours_and_reconciliation(spark):
     assert got["서울역"] == pytest.approx(88.2, abs=0.5) and got["종각"] is None
     x, y = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double"), spark.createDataFrame([("a", 1.005), ("b", 2.5)], "k string, v double")
     assert tuple(joins.reconcile(x, y, "k", "v").first()) == (2, 1)
+
+
+def test_running_lengths_of_all_points(spark):
+    rnd = random.Random(5)
+    rows = [(k % 3, k, rnd.uniform(0, 9), rnd.uniform(0, 9)) for k in range(2400)]
+    got = {(r["g"], r["id"]): (r["n"], r["arc"]) for r in network.running_lengths(spark.createDataFrame(rows, "g long, id long, x double, y double"), ["g"], "id").collect()}
+    wanted, last = {}, {}
+    for g, i, x, y in rows:
+        n, arc, px, py = last.get(g, (0, 0.0, x, y))
+        last[g] = (n + 1, arc + math.hypot(x - px, y - py), x, y)
+        wanted[g, i] = last[g][:2]
+    assert len(got) == 2400 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in wanted.items()}
+    assert [got[k][1] for k in wanted] == pytest.approx([v[1] for v in wanted.values()])
+
+
+def test_arc_length_query_reaches_every_event(spark, tmp_path):
+    from gradewalk.plans.queries import QUERIES
+
+    rows = spark.range(2600).selectExpr("id AS event_id", "id % 7 AS user_id", "cast(id AS double) AS value", "timestamp '2024-01-01 00:00:00' AS ts", "'a' AS event_type", "'{}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["arc_length_all"](spark, f"{tmp_path}").collect()
+    assert {r["id"] for r in got} == set(range(2600)) and max(r["n"] for r in got) == 372
