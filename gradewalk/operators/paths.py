@@ -107,12 +107,13 @@ def single_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def relax(edges: DataFrame, sources: DataFrame, save, rounds: int = 10_000) -> DataFrame:
     """multi_source without grouping a graph into one task: every round extends the paths that became cheaper.
 
-    save(df) writes df where executors share it and reads it back, so that lineage stays short."""
+    save(df) writes df where executors share it and reads it back, so that lineage stays short. Raises if paths could
+    still become cheaper after so many rounds."""
     turned = sources.select("run", "graph", "reverse", "node")
-    runs = turned.select("run", "graph", "reverse").distinct()
     best = save(turned.groupBy("run", "graph", "reverse", "node").agg(F.lit(0.0).alias("d")))
+    runs = save(best.select("run", "graph", "reverse").distinct())  # saved: every round joins it
     front, both = best, edges.select("graph", F.lit(False).alias("reverse"), F.col("src").alias("node"), F.col("dst").alias("to"), "w")
-    both = both.unionAll(edges.select("graph", F.lit(True).alias("reverse"), F.col("dst").alias("node"), F.col("src").alias("to"), "w"))
+    both = save(both.unionAll(edges.select("graph", F.lit(True).alias("reverse"), F.col("dst").alias("node"), F.col("src").alias("to"), "w")))
     for _ in range(rounds):
         step = front.join(both, ["graph", "reverse", "node"]).groupBy("run", F.col("to").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
         merged = save(best.select("run", "node", "d").join(step, ["run", "node"], "full").select("run", "node", F.least("d", "n").alias("d"), (F.col("d").isNull() | (F.col("n") < F.col("d") - 1e-9)).alias("new")))
@@ -120,6 +121,8 @@ def relax(edges: DataFrame, sources: DataFrame, save, rounds: int = 10_000) -> D
         best = merged
         if not front.take(1):
             break
+    else:
+        raise RuntimeError(f"paths were still becoming cheaper after {rounds} rounds")
     return best.select("run", "node", "d")
 
 

@@ -52,6 +52,14 @@ def test_multi_source(spark, shards):
     assert relaxed == pytest.approx(wanted)
 
 
+def test_relaxation_ends_whole_or_raises(spark):
+    chain = spark.createDataFrame([("g", k, k + 1, 1.0) for k in range(6)], "graph string, src long, dst long, w double")
+    source = spark.createDataFrame([("r", "g", False, 0)], "run string, graph string, reverse boolean, node long")
+    assert {r["node"]: r["d"] for r in paths.relax(chain, source, tables.save, 7).collect()} == {k: float(k) for k in range(7)}
+    with pytest.raises(RuntimeError, match="still becoming cheaper"):
+        paths.relax(chain, source, tables.save, 3)
+
+
 def test_single_paths(spark):
     es = random_edges(7)
     frame = spark.createDataFrame([("g", *e) for e in es], "graph string, src long, dst long, w double")
