@@ -44,13 +44,13 @@ def list_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Sorted distinct tokens: top level, site (the last two labels), other labels, path parts (digits as #), query keys, scheme."""
+    """Sorted distinct tokens: top level, site (the last two labels), other labels, all path parts (digits as #), query keys, scheme."""
     tag = lambda mark, c: F.transform(c, lambda x: F.concat(F.lit(mark), x))
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "#"), "/"), lambda x: x != "")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"\A([^=]*)", 1)), lambda x: x != "")
-    found = F.concat(tag("top:", F.slice(labels, -1, 1)), tag("site:", F.array(F.substring_index(host, ".", -2))), tag("sub:", F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0)))), tag("path:", F.slice(parts, 1, 2)), tag("key:", keys), tag("scheme:", F.array(F.regexp_extract(url, r"\A([^:]*)", 1))))
+    found = F.concat(tag("top:", F.slice(labels, -1, 1)), tag("site:", F.array(F.substring_index(host, ".", -2))), tag("sub:", F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0)))), tag("path:", parts), tag("key:", keys), tag("scheme:", F.array(F.regexp_extract(url, r"\A([^:]*)", 1))))
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))
 
 

@@ -461,6 +461,13 @@ def test_mined_rules_against_brute_force(spark, monkeypatch):
         assert verdicts.get(items) == (max(fits)[2] if fits else None)
 
 
+def test_deep_path_parts_decide(spark):
+    listed = [(k, f"http://a.{'net' if k % 2 else 'org'}/{'x' if k % 2 else 'fr'}/news/2024/{'casino' if k % 2 else 'sport'}/p{k}.html") for k in range(60)]
+    open_ones = [(100, "http://b.info/u/v/w/casino/q.html"), (101, "http://b.info/u/v/w/sport/q.html")]
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(listed + open_ones, "page_id long, url string"), [("net", "/", "block"), ("org", "/fr/", "allow")]).collect()}
+    assert (got[1], got[2], got[100], got[101]) == ("block", "allow", "block", "allow")
+
+
 def test_urls_of_nothing(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
