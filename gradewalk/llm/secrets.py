@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of 16 or more token characters with a digit, and quoted values after names such as `password =`.
+Candidates are runs of 16 or more token characters with a digit, and quoted values of 8 or more after names such as
+`password =`, of any length.
 The forest looks at length, character transitions (changes of class, bigrams unlike words'), dictionary coverage, the
 path and the neighbouring words. It is trained from labelled findings: a table of (value, before, after, path, label);
 `labelled_findings` makes one by rule where none is given. Candidates are found and described in Arrow batches; the
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from gradewalk.llm.common import table, text_or_empty
 
-CANDIDATE = re.compile(r"""(?<![\w\-+/=.])(?=[A-Za-z_\-+/=.]*[0-9])[A-Za-z0-9_\-+/=.]{16,512}(?![\w\-+/=])""")
-ASSIGNED = re.compile(r"""(?i)(?:password|passwd|secret|api_?key|token)["']?\s{0,3}[:=]\s{0,3}["']([^\s"']{8,512})["']""")
+CANDIDATE = re.compile(r"""(?<![\w\-+/=.])(?=[A-Za-z_\-+/=.]*[0-9])[A-Za-z0-9_\-+/=.]{16,}(?![\w\-+/=])""")
+ASSIGNED = re.compile(r"""(?i)(?:password|passwd|secret|api_?key|token)["']?\s{0,3}[:=]\s{0,3}["']([^\s"']{8,}+)["']""")
 NEAR = 48
 WORD = re.compile(r"[^\W\d_]{2,}")
 NAMES = frozenset("token secret password passwd pwd key apikey api auth bearer credential credentials private access client login".split())

@@ -518,6 +518,22 @@ def test_forest_on_held_out_findings(spark):
     assert judged.filter(F.col("prediction") == F.col("y")).count() >= 0.95 * len(rows)
 
 
+def test_secrets_of_any_length(spark):
+    rnd = random.Random(3)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    fill = lambda n: "".join(rnd.choice(b64) for _ in range(n))
+    jwt = f"{fill(36)}.{fill(700)}.{fill(43)}"
+    texts = {1: (f'token = "{fill(600)}"', 9, 609), 2: (f"token={fill(520)} and", 0, 526), 3: (f"api_key: {jwt} end", 9, 9 + len(jwt))}
+    for text, begin, end in texts.values():
+        assert secrets.candidates(text) == [(begin, end)]
+    assert secrets.candidates(f"see {fill(520)} and") == [(4, 524)]
+    assert secrets.candidates('password = "' + "!?" * 300 + '"') == [(12, 612)]
+    assert secrets.candidates("a1" * 500_000 + "é") == []
+    docs = spark.createDataFrame([(k, t[0]) for k, t in texts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["begin"], r["end"]) for r in secrets.scan(docs, secrets.train(spark, VOCABULARY), VOCABULARY).collect()}
+    assert got >= {(k, *texts[k][1:]) for k in (1, 3)}  # the forest's verdict on an unquoted token=... is its own
+
+
 def test_scan_spans(spark, empty):
     model = secrets.train(spark, VOCABULARY)
     value = "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffeeddcc"
