@@ -279,12 +279,18 @@ def new_candidates(cells: DataFrame, sites: DataFrame, threshold: Column, far_m:
     return far.filter(F.col("hbi_mean") > threshold).orderBy(F.desc("hbi_mean"), "cell_x", "cell_y").limit(most)
 
 
-def spaced_top(cells: DataFrame, apart_m: float, most: int = 5, pool: int = 1000) -> list:
-    """Greedy choice of the highest cells at least apart_m from each other, from the `pool` highest; a short report."""
+def spaced_top(cells: DataFrame, apart_m: float, most: int = 5) -> list:
+    """Greedy choice of the highest cells at least apart_m from each other; a short report.
+
+    Each choice takes the highest of all cells that are far enough from the earlier ones."""
+    from gradewalk.operators.tables import save
+
     chosen: list = []
-    for r in cells.orderBy(F.desc("hbi_mean"), "cell_x", "cell_y").limit(pool).collect():
-        if len(chosen) < most and all(math.hypot(r["cell_x"] - c["cell_x"], r["cell_y"] - c["cell_y"]) >= apart_m for c in chosen):
-            chosen.append(r)
+    left = save(cells, "cells")
+    while len(chosen) < most and (r := left.orderBy(F.desc("hbi_mean"), "cell_x", "cell_y").first()):
+        chosen.append(r)
+        x, y = F.lit(r["cell_x"]), F.lit(r["cell_y"])
+        left = left.filter((F.hypot(F.col("cell_x") - x, F.col("cell_y") - y) >= apart_m) & ~((F.col("cell_x") == x) & (F.col("cell_y") == y)))
     return chosen
 
 

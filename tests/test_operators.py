@@ -354,6 +354,18 @@ def test_spaced_choice(spark):
     assert [r["hbi_mean"] for r in whatif.spaced_top(cells, 400.0, 5)] == [11, 7, 3]
 
 
+def test_spaced_choice_beyond_a_large_hill(spark):
+    hill = [(25.0 * a, 25.0 * b, 100.0 - (a + b) / 100) for a in range(40) for b in range(40)]
+    far = [(50_000.0 + 1000 * k, 0.0, float(k)) for k in range(4)]
+    cells = spark.createDataFrame(hill + far, "cell_x double, cell_y double, hbi_mean double")
+    wanted = []
+    for c in sorted(hill + far, key=lambda c: (-c[2], c[0], c[1])):
+        if all(math.hypot(c[0] - w[0], c[1] - w[1]) >= 2000.0 for w in wanted) and len(wanted) < 3:
+            wanted.append(c)
+    got = [tuple(r) for r in whatif.spaced_top(cells, 2000.0, 3)]
+    assert got == wanted and [c[2] for c in got] == [100.0, 3.0, 1.0]
+
+
 def test_named_neighbours_and_reconciliation(spark):
     a = spark.createDataFrame([("서울역", 127.0, 37.5), ("종각", 127.0, 37.5)], "name string, lon double, lat double")
     b = spark.createDataFrame([("서울역(1호선)", 127.001, 37.5), ("서울", 127.1, 37.5)], "name string, lon double, lat double")
