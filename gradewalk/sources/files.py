@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ def find(spark: SparkSession, root: str, keys: list[str], ext: str) -> DataFrame
     return every.filter(F.lower(name).endswith(ext.lower()) & hit).distinct().orderBy("path")
 
 
-def sniff(head: bytes) -> tuple[str, str]:
+def sniff(head: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple[str, str]:
     """(encoding, delimiter) from a file's first bytes: the first encoding that fits, the commonest delimiter of line one."""
-    for encoding in ENCODINGS:
+    for encoding in encodings:
         for cut in range(4):  # the sample may end inside a character
             try:
                 line = head[: len(head) - cut].decode(encoding).split("\n", 1)[0]
@@ -44,9 +45,29 @@ def head(spark: SparkSession, path: str, n: int = SAMPLE) -> bytes:
     return bytes(row["c"]) if row else b""
 
 
+def fitting(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The encodings in which every line of a file decodes; no character of any of them holds a line feed's byte."""
+
+    def run(batches):
+        bad = set()
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                for encoding in ENCODINGS:
+                    if encoding not in bad:
+                        try:
+                            v.decode(encoding)
+                        except UnicodeDecodeError:
+                            bad.add(encoding)
+        yield pa.RecordBatch.from_pydict({"bad": pa.array(sorted(bad), pa.string())})
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"))
+    bad = {r["bad"] for r in lines.mapInArrow(run, "bad string").distinct().collect()}
+    return tuple(e for e in ENCODINGS if e not in bad)
+
+
 def read_any(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A text table, all columns as text, with its encoding and delimiter found from its head."""
-    encoding, found = sniff(head(spark, path))
+    """A text table, all columns as text, with its encoding found from all of it and its delimiter from its head."""
+    encoding, found = sniff(head(spark, path), fitting(spark, path))
     java = "UTF-8" if encoding == "utf-8-sig" else "x-windows-949"
     if java != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")

@@ -37,6 +37,17 @@ def test_any_text_table(spark, tmp_path, encoding, delimiter):
     assert len(placed) == 1 and 190000 < placed[0]["x"] < 210000
 
 
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    text = "code,name\n" + "".join(f"{k},plain{k}\n" for k in range(9000)) + "9000,강남역\n"
+    assert text.index("강") > files.SAMPLE
+    for encoding in ("cp949", "utf-8-sig"):
+        path = write(tmp_path / f"{encoding}.csv", text.encode(encoding))
+        rows = files.read_any(spark, f"file://{path}")
+        assert rows.count() == 9001 and rows.filter("code = '9000'").first()["name"] == "강남역"
+    with pytest.raises(ValueError, match="unknown encoding"):
+        files.read_any(spark, f"file://{write(tmp_path / 'none.csv', text.encode('utf-8') + bytes([0xFF, 0xFF]))}")
+
+
 def shapefile(kind, shapes, rows, encoding="cp949"):
     """(shp, dbf) bytes of lines or polygons, or points."""
     body = b""
