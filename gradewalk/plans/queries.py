@@ -633,6 +633,13 @@ def set_except(spark, d):
     return joins.unmatched(left, table(spark, d, "customer").filter("c_nationkey < 20").select(F.col("c_nationkey").alias("k")), "k")
 
 
+@query("SELECT c_custkey AS k, 'left' AS side FROM (SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events) UNION ALL SELECT user_id, 'right' FROM (SELECT user_id FROM events EXCEPT SELECT c_custkey FROM customer)")
+def set_except_all(spark, d):
+    """Two whole key sets; set_except's SQL leaves out nations from 20 on."""
+    users = table(spark, d, "events").select(F.col("user_id").alias("k"))
+    return joins.unmatched(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), users, "k")
+
+
 @query(q(("homes", "dests"), "SELECT id, x, y, NULL AS target, weight FROM homes UNION ALL SELECT id, x, y, target, NULL FROM dests"))
 def union_layers(spark, d):
     return joins.merge_zones([view(spark, d, "homes").select("id", "x", "y", "weight"), view(spark, d, "dests")]).select("id", "x", "y", "target", "weight")

@@ -395,3 +395,12 @@ def test_arc_length_query_reaches_every_event(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["arc_length_all"](spark, f"{tmp_path}").collect()
     assert {r["id"] for r in got} == set(range(2600)) and max(r["n"] for r in got) == 372
+
+
+def test_set_except_query_compares_every_key(spark, tmp_path):
+    from gradewalk.plans.queries import QUERIES
+
+    spark.range(40).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(22, 45).selectExpr("id AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["k"], r["side"]) for r in QUERIES["set_except_all"](spark, f"{tmp_path}").collect()}
+    assert got == {(k, "left") for k in range(22)} | {(k, "right") for k in range(40, 45)}
