@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -140,6 +141,17 @@ def test_encoder_is_exact():
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_is_exact_for_every_letter():
+    plain, fast = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    rare = [c for c in letters if not unicodedata.is_normalized("NFC", c)]
+    assert len(rare) > 50
+    for words in (letters, [f"a{c}b" for c in letters], [f"{c}," for c in rare], [f"the{c}ing." for c in rare]):
+        for k in range(0, len(words), 4000):
+            text = " ".join(words[k : k + 4000])
+            assert np.frombuffer(fast.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
