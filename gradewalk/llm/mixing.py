@@ -2,16 +2,18 @@
 
 A source's target is a water level: min(cap x size, level x weight), where the level makes the targets sum to the
 whole. Every document of a source has target / source_size expected copies. Their prefix sum over the source's
-documents, in order of size, plus one random offset crosses integers; a document is taken once per integer crossed.
-As neighbours in that order are alike, the words taken come near the target; of a few seeded draws of the offset, the
-one that comes nearest is used.
+documents, plus one random offset, crosses integers; a document is taken once per integer crossed. Documents stand in
+order of size, every second one on the way up and the others on the way down: neighbours are alike, and both ends are
+small, so any offset takes about as many words as the target asks for (to less than the largest document's share).
 
 Positions in a source come from counts: by (source, size), by (source, size, salt), and a row number within
-(source, size, salt) only, so a source with a third of all rows is never in one task.
+(source, size, salt) only, so a source with a third of all rows is never in one task. Sources are ranked and summed by
+ranges, so their number is not bounded by a task either.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order; a source without words
 has target 0 and none of its documents are taken; null ids and repeated rows count as documents of their own (equal
-rows may swap their copies, which no result shows); an empty table gives an empty mix.
+rows may swap their copies, which no result shows); columns of any name are carried in a struct and can't clash; an
+empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewalk.llm.common import SPACE_CLASS, save, table, text_or_empty, whole_row
+from gradewalk.operators.ordered import running
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-DRAWS = 32
 SEED = "mix-1"
 
 
@@ -45,24 +47,26 @@ def _never_null(c: str) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, source_size, target; one row per source (the windows here are over sources, never documents)."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
+    """source, source_size, n_docs, target; one row per source."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     cycle = F.array(*[F.lit(w) for w in weights])
-    weighted = totals.withColumn("weight", F.element_at(cycle, (F.row_number().over(ordered) - 1) % len(weights) + 1).cast("long"))
-    everything = Window.partitionBy()
+    ranked = running(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    weighted = ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
     # in order of the level at which a source is full: the capped ones come first
-    by_level = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
+    by_level = [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()]
+    filled = save(running(weighted, by_level, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}), "mix-filled")
+    whole = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight_total"))
     filled = (
-        weighted.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("left_over", F.col("total") - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+        filled.join(F.broadcast(whole))  # one row
+        .withColumn("left_over", F.col("total") - cap * F.col("size_before"))
+        .withColumn("weight_left", F.col("weight_total") - F.col("weight_before"))
         .withColumn("capped", F.col("left_over") * F.col("weight") >= cap * F.col("source_size") * F.col("weight_left"))
-        .withColumn("level", F.max(F.when(~F.col("capped"), F.struct(-F.row_number().over(by_level), F.col("left_over"), F.col("weight_left")))).over(everything))
     )
+    least = F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source", "left_over", "weight_left")
+    level = filled.agg(F.min(F.when(~F.col("capped"), least)).alias("level"))
     share = F.col("level.left_over") * F.col("weight") / F.col("level.weight_left")
-    return filled.select("source", "source_size", F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
+    target = F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(share)
+    return filled.join(F.broadcast(level)).select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def _offsets(keyed: DataFrame) -> DataFrame:
@@ -75,53 +79,40 @@ def _offsets(keyed: DataFrame) -> DataFrame:
 
 
 def _placed(keyed: DataFrame, offsets: DataFrame) -> DataFrame:
-    """row, src, size and pos, a document's place in its source, from 0. Window and join share one shuffle of the rows."""
+    """row, src, size and pos, a document's place by size in its source, from 0. Window and join share one shuffle of the rows."""
     within = Window.partitionBy("src", "size", "salt").orderBy("k")
     ranked = keyed.withColumn("rn", F.row_number().over(within)).join(offsets, ["src", "size", "salt"])
     return ranked.select("row", "src", "size", (F.col("before") + F.col("rn") - 1).alias("pos"))
 
 
-def _crossed(rate: Column, offset: Column, cap: int) -> Column:
-    upto = lambda n: F.floor(rate * n + offset)
-    pos = F.col("pos")
-    return F.when(rate >= cap, F.lit(cap).cast("long")).otherwise(upto(pos + 1) - upto(pos)).cast("long")
+def _copies(cap: int) -> Column:
+    """Integers crossed between a document's prefix sum and the next one."""
+    at = F.when(F.col("pos") % 2 == 0, F.expr("pos div 2")).otherwise(F.col("n_docs") - 1 - F.expr("pos div 2"))  # up, then down
+    upto = lambda n: F.floor(F.col("rate") * n + F.col("u"))
+    return F.when(F.col("rate") >= cap, F.lit(cap).cast("long")).otherwise(upto(at + 1) - upto(at)).cast("long")
 
 
-def _with_rates(placed: DataFrame, rates: DataFrame) -> DataFrame:
-    return placed.join(rates.drop("source"), "src")
-
-
-def plan(keyed: DataFrame, seed: str = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(offsets, rates, placed) of a keyed table; rates has src, source_size, target, rate, u."""
-    targets = save(source_targets(keyed, weights, cap), "mix-targets")
+def plan(keyed: DataFrame, seed: str = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """(offsets, rates) of a keyed table; rates has src, source_size, n_docs, target, rate, u."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    first = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    rated = targets.withColumn("rate", rate).withColumn("first", first).withColumn("src", _never_null("source"))
-    offsets = save(_offsets(keyed), "mix-offsets")
-    placed = save(_placed(keyed, offsets), "mix-placed")
-    at = lambda j: F.col("first") + j / DRAWS - F.floor(F.col("first") + j / DRAWS)
-    tried = _with_rates(placed, rated).groupBy("src").agg(*[F.sum(_crossed(F.col("rate"), at(j), cap) * F.col("size")).alias(f"t{j}") for j in range(DRAWS)])
-    misses = F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j")) for j in range(DRAWS)])
-    u = F.col("first") + F.array_min(misses)["j"] / DRAWS
-    chosen = rated.join(tried, "src").select("src", "source_size", "target", "rate", (u - F.floor(u)).alias("u"))
-    return offsets, save(chosen, "mix-rates"), placed
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    rated = source_targets(keyed, weights, cap).withColumn("rate", rate).withColumn("u", u).withColumn("src", _never_null("source"))
+    return save(_offsets(keyed), "mix-offsets"), save(rated.drop("source"), "mix-rates")
 
 
 def mix(docs: DataFrame, seed: str = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """docs' rows, each as often as the mix takes it."""
-    keyed = save(_keyed(docs, F.lit(0)), "mix-sizes")
-    offsets, rates, _ = plan(keyed, seed, cap, weights)
-    placed = _with_rates(_placed(_keyed(docs, whole_row(docs)), offsets), rates)
-    copies = placed.select("row", _crossed(F.col("rate"), F.col("u"), cap).alias("copies")).filter("copies > 0")
+    offsets, rates = plan(save(_keyed(docs, F.lit(0)), "mix-sizes"), seed, cap, weights)
+    copies = _placed(_keyed(docs, whole_row(docs)), offsets).join(rates, "src").select("row", _copies(cap).alias("copies")).filter("copies > 0")
     return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     keyed = save(_keyed(docs, F.struct(F.col("doc_id"))), "mix-sizes")
-    _, rates, placed = plan(keyed)
-    rows = _with_rates(placed, rates)
-    return rows.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (_crossed(F.col("rate"), F.col("u"), CAP) * F.col("size")).alias("taken"))
+    offsets, rates = plan(keyed)
+    rows = _placed(keyed, offsets).join(rates, "src")
+    return rows.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (_copies(CAP) * F.col("size")).alias("taken"))
 
 
 ORACLE = rf"""
@@ -135,15 +126,10 @@ c AS (SELECT *, left_over * weight >= 3 * source_size * weight_left AS capped FR
 l AS (SELECT left_over AS lo, weight_left AS wl FROM c WHERE NOT capped ORDER BY rn LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(lo * weight AS DOUBLE) / wl END AS target FROM c LEFT JOIN l ON true),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE CAST(0 AS DOUBLE) END AS rate,
-  CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS first FROM t),
-p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, k) - 1 AS pos FROM d),
-j AS (SELECT j, CAST(j AS DOUBLE) / {DRAWS} AS step FROM (SELECT unnest(range({DRAWS})) AS j)),
-u AS (SELECT r.source, j, first + step - floor(first + step) AS u FROM r, j),
-e AS (SELECT u.source, j, any_value(u) AS u, any_value(r.target) AS target,
-  sum(size * CASE WHEN rate >= 3 THEN 3 ELSE CAST(floor(rate * (pos + 1) + u) - floor(rate * pos + u) AS BIGINT) END) AS words
-  FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source JOIN u ON u.source IS NOT DISTINCT FROM r.source GROUP BY u.source, j),
-b AS (SELECT source, arg_min(u, (abs(words - target), j)) AS u FROM e GROUP BY source)
+  CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, k) - 1 AS by_size, count(*) OVER (PARTITION BY source) AS n_docs FROM d),
+p AS (SELECT *, CASE WHEN by_size % 2 = 0 THEN by_size // 2 ELSE n_docs - 1 - by_size // 2 END AS pos FROM n)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(size * CASE WHEN rate >= 3 THEN 3 ELSE floor(rate * (pos + 1) + u) - floor(rate * pos + u) END AS BIGINT) AS taken
-FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source JOIN b ON b.source IS NOT DISTINCT FROM p.source
+FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
 """
