@@ -2,13 +2,20 @@
 
 1. Each text becomes its set of five-word shingles (lower case, 64-bit hashes). Documents with equal sets form one class
    and go on as one member with a weight, so exact copies are never paired with each other.
-2. Each class has TREES labels of DEPTH min-hash values. A tree is the trie over one label, sorted by prefix. The search
-   begins with whole labels and shortens the matched prefix until a pair at the threshold, the hardest one, meets in
-   some tree with at least the target recall (`prefix_depth`).
-3. Classes that share a prefix are candidates. In each trie node their sketches are compared; pairs far below the
-   threshold fall out, and the rest are kept as a spanning forest, so a node emits less rows than it has members.
-   Components of these links are clusters. A true pair that met in a tree is always in one cluster.
-4. Each cluster's texts are fetched once, and all its pairs are verified exactly on their shingle sets. What leaves a
+2. Each class has TREES labels of DEPTH min-hash values. A tree is a trie over one label: its members sorted by label,
+   where members below one node stand side by side. Members that share the shortest prefix any of them needs are dealt
+   to a task, which holds a whole subtrie.
+3. The search begins at whole labels and shortens the matched prefix value by value. At each length only those are
+   compared that meet there for the first time and that no chain of links ties yet. How far a member's prefix is
+   shortened depends on the least similarity at or over the threshold that its size allows (`hardest`): it stops once a
+   pair as unlike as that meets in some tree with at least the target recall (`prefix_depth`). Sets of up to three
+   shingles have no partner but their equals and don't enter; sets of seven, whose nearest partner shares six sevenths, stop
+   at a longer prefix than large sets. The rule looks at sizes only: were the length chosen by how full a node is, pairs would be
+   missed just where they meet.
+4. Members that meet and whose sketches (all VALUES, a byte of each) are not far below the threshold are linked; links
+   form a spanning forest, so a node emits less rows than it has members. Components of links are clusters. A pair that
+   met in a tree is in one cluster unless its sketch is off by more than SLACK, 5 standard deviations (under 1e-6).
+5. Each cluster's texts are fetched once, and all its pairs are verified exactly on their shingle sets. What leaves a
    task is one row a member: its links and its component, not its pairs.
 
 Nodes and clusters over a size are cut into blocks, and each pair of blocks is a task of bounded memory; no candidate is
@@ -16,12 +23,13 @@ dropped. Links of a member are counted over documents: all others with a Jaccard
 
 Defined results: texts of one to four words are one shingle; texts without words (null, empty) have equal, empty sets
 and form one class without further links; a class without any id has class_id null; rows with null or repeated ids are
-documents of their own; an empty table gives an empty result.
+documents of their own; columns of any name are carried in a struct and can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +47,10 @@ VALUES = TREES * DEPTH
 #: How far a sketch's estimate may lie below the threshold: 5 standard deviations.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / VALUES) ** 0.5
 #: Members of a block of a trie node, shingles of a block of a cluster, members of such a block.
-NODE_BLOCK, SET_BLOCK, MEMBER_BLOCK = 8192, 4_000_000, 4096
+NODE_BLOCK, SET_BLOCK, MEMBER_BLOCK = 1024, 2_000_000, 2048
 SMALL = 48
+#: Larger sets can have a partner at the threshold itself, or so near to it that the prefix is the same.
+HARDEST_UPTO = 64
 _SPACES = str.maketrans({c: " " for c in SPACE_CHARS})
 _NO_ID = (1 << 63) - 1
 
@@ -56,6 +66,22 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return depth
 
 
+def hardest(n: int, threshold: float = THRESHOLD) -> float | None:
+    """The least similarity, at or over the threshold, of a set of n with another set of any size; None if there is none."""
+    found = []
+    for m in range(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1):
+        both = math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)
+        if both <= min(n, m) and n + m > 2 * both:
+            found.append(both / (n + m - both))
+    return min(found, default=None)
+
+
+def depths(recall: float = RECALL) -> np.ndarray:
+    """By size (the last for all larger ones) the prefix that a member's search ends at; DEPTH + 1 for those without partners."""
+    found = [DEPTH + 1 if (s := hardest(n)) is None else prefix_depth(s, recall=recall) for n in range(HARDEST_UPTO)]
+    return np.array([*found, prefix_depth(recall=recall)])
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -164,59 +190,83 @@ def _runs(keys: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change), [len(change)]])
 
 
-def near(sketch: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that tie together all pairs, within the groups that starts delimits, whose sketches and sizes allow the threshold."""
-    least, found_a, found_b = int(np.ceil((THRESHOLD - SLACK) * VALUES)), [], []
+def near(label: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, last: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A root for each member: roots tie together all pairs whose sketches and sizes allow the threshold and that meet.
+
+    starts delimits subtries, label is sorted within each; two members meet where a prefix of both, no shorter than
+    either's last, agrees. From long prefixes to short ones, pairs are compared where they first meet, unless tied."""
+    least, n = int(np.ceil((THRESHOLD - SLACK) * VALUES)), len(sizes)
+    root, found_a, found_b = np.arange(n), [], []
+    change = np.zeros((n, label.shape[1] + 1), bool)  # by prefix length: a member's prefix is not that of the one before
+    change[starts[:-1]] = True
+    change[1:, 1:] |= np.logical_or.accumulate(label[1:] != label[:-1], axis=1)
+    change[1:, 1:] |= change[1:, :1]
+    longer = np.arange(n)  # nodes of the prefix one value longer
 
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         fits = np.flatnonzero(np.minimum(sizes[a], sizes[b]) >= THRESHOLD * np.maximum(sizes[a], sizes[b]))
         return fits[(sketch[a[fits]] == sketch[b[fits]]).sum(axis=1) >= least]
 
-    lengths = np.diff(starts)
-    group = np.repeat(np.arange(len(lengths)), lengths)
-    small = np.repeat(lengths <= SMALL, lengths)
-    for shift in range(1, int(lengths[lengths <= SMALL].max(initial=1))):
-        a = np.flatnonzero(small[:-shift] & (group[shift:] == group[:-shift]))
-        k = alike(a, a + shift)
-        found_a.append(a[k])
-        found_b.append(a[k] + shift)
-    for k in np.flatnonzero(lengths > SMALL):
-        s, e = starts[k], starts[k + 1]
-        tied = np.arange(s, e)  # one number for all members tied so far: only pairs that tie more are kept
-        for i in range(s, e - 1):
-            rest = np.flatnonzero(tied[i + 1 - s :] != tied[i - s]) + i + 1
-            j = rest[alike(np.full(len(rest), i), rest)]
-            if len(j):
-                met, first = np.unique(tied[j - s], return_index=True)
-                found_a.append(np.full(len(met), i))
-                found_b.append(j[first])
-                tied[np.isin(tied, met)] = tied[i - s]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
-
-
-def candidate_links(classes: DataFrame, depth: int) -> DataFrame:
-    """Edges (a, b) between members' ids that tie together all pairs whose labels agree on a prefix in some tree."""
-    label = lambda t: F.substring("tries", t * 2 * DEPTH + 1, 2 * depth)
-    members = classes.filter("n_shingles > 0").select("v", "n_shingles", "tries")
-    nodes = members.select("v", F.explode(F.array(*[F.xxhash64(F.lit(t), label(t)) for t in range(TREES)])).alias("node"))
+    for depth in range(label.shape[1], int(last.min(initial=label.shape[1])) - 1, -1):
+        every = np.cumsum(change[:, depth]) - 1
+        m = np.flatnonzero(last <= depth)
+        bounds = _runs([every[m]]) if len(m) else np.zeros(1, np.int64)
+        lengths = np.diff(bounds)
+        node, before = every[m], longer[m]
+        small = np.repeat(lengths <= SMALL, lengths)
+        for shift in range(1, int(lengths[lengths <= SMALL].max(initial=1))):
+            k = np.flatnonzero(small[:-shift] & (node[shift:] == node[:-shift]) & (before[shift:] != before[:-shift]) & (root[m[shift:]] != root[m[:-shift]]))
+            a, b = m[k], m[k + shift]
+            ok = alike(a, b)
+            found_a.append(a[ok])
+            found_b.append(b[ok])
+        for k in np.flatnonzero(lengths > SMALL):
+            part, child = m[bounds[k] : bounds[k + 1]], before[bounds[k] : bounds[k + 1]]
+            tied = root[part].copy()
+            for i in range(len(part) - 1):
+                rest = np.flatnonzero((tied[i + 1 :] != tied[i]) & (child[i + 1 :] != child[i])) + i + 1
+                j = rest[alike(np.full(len(rest), part[i]), part[rest])]
+                if len(j):
+                    met, first = np.unique(tied[j], return_index=True)
+                    found_a.append(np.full(len(met), part[i]))
+                    found_b.append(part[j[first]])
+                    tied[np.isin(tied, met)] = tied[i]
+        if found_a:
+            root = _roots(n, np.concatenate(found_a), np.concatenate(found_b))
+            tied = np.flatnonzero(root != np.arange(n))
+            found_a, found_b = [tied], [root[tied]]
+        longer = every
+    return root
+
+
+def candidate_links(classes: DataFrame, last: np.ndarray) -> DataFrame:
+    """Edges (a, b) between members' ids that tie together all pairs that meet in some tree.
+
+    last: by size, the prefix that a member's search ends at (see depths)."""
+    shortest = int(last.min())
+    label = lambda t: F.substring("tries", t * 2 * DEPTH + 1, 2 * DEPTH)
+    alone = [n for n in range(len(last)) if last[n] > DEPTH]
+    members = classes.filter(~F.col("n_shingles").isin(*alone)).select("v", "n_shingles", "tries")
+    prefix = lambda t: F.substring("tries", t * 2 * DEPTH + 1, 2 * shortest)
+    nodes = members.select("v", F.posexplode(F.array(*[F.xxhash64(F.lit(t), prefix(t)) for t in range(TREES)])).alias("tree", "node"))
     shared = save(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "shared-nodes")  # saved: a hot node's partition can be split in the join
     blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
     rows = nodes.join(shared, "node").withColumn("blocks", blocks)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("v", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    met = rows.join(members, "v")
+    rows = rows.select("v", "tree", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    met = rows.join(members, "v").withColumn("label", F.element_at(F.array(*[label(t) for t in range(TREES)]), F.col("tree") + 1)).drop("tree")
 
     def run(batches):
         for t in _grouped(batches, ["node", "lo", "hi"]):
             starts = _runs([t.column(c).to_numpy() for c in ("node", "lo", "hi")])
-            v = t.column("v").to_numpy()
+            v, sizes = t.column("v").to_numpy(), t.column("n_shingles").to_numpy()
             sketch = np.frombuffer(b"".join(t.column("tries").to_pylist()), np.uint8).reshape(len(v), VALUES, 2)[:, :, 1]
-            root = _roots(len(v), *near(np.ascontiguousarray(sketch), t.column("n_shingles").to_numpy(), starts))
+            sorted_label = np.frombuffer(b"".join(t.column("label").to_pylist()), ">u2").reshape(len(v), DEPTH)
+            root = near(sorted_label, np.ascontiguousarray(sketch), sizes, last[np.minimum(sizes, len(last) - 1)], starts)
             tied = np.flatnonzero(root != np.arange(len(v)))
             yield pa.RecordBatch.from_arrays([pa.array(v[tied]), pa.array(v[root[tied]])], names=["a", "b"])
 
-    return met.repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi").mapInArrow(run, "a long, b long")
+    return met.repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi", "label").mapInArrow(run, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -313,7 +363,7 @@ def classify(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFr
     rows = save(signatures(docs), "signatures")
     classes = rows.groupBy("cls").agg(F.min(F.struct("did", "tkey")).alias("first"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("tries").alias("tries"))
     classes = save(classes.select("cls", F.xxhash64("cls").alias("v"), "first.did", "first.tkey", "n_docs", "n_shingles", "tries"), "classes")
-    clusters = components(candidate_links(classes, prefix_depth(recall=recall)))
+    clusters = components(candidate_links(classes, depths(recall)))
     found = save(verified(docs, classes, clusters), "verified")
     parts = components(found.filter("NOT whole").select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "cls")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))

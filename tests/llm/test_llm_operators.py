@@ -417,6 +417,30 @@ def test_prefixes_are_shortened_to_the_recall():
         assert d == jaccard.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < recall
 
 
+def test_hardest_partner_of_a_size():
+    for n in range(1, 30):
+        pairs = [(len(set(range(n)) & b) / len(set(range(n)) | b)) for m in range(1, 45) for k in range(m + 1) for b in [set(range(k)) | set(range(100, 100 + m - k))] if k <= n and b != set(range(n))]
+        assert jaccard.hardest(n) == min((s for s in pairs if s >= 0.8 - 1e-9), default=None)
+    last = jaccard.depths()
+    assert last[:4].tolist() == [9] * 4 and last[4] == last[-1] == 4 and last[7] == 6
+
+
+def test_forest_ties_what_meets():
+    rnd = np.random.RandomState(3)
+    base = rnd.randint(0, 1 << 16, (40, jaccard.VALUES))
+    tries = np.vstack([np.where(rnd.rand(k % 70 + 1, jaccard.VALUES) < 0.1, rnd.randint(0, 1 << 16, (k % 70 + 1, jaccard.VALUES)), b) for k, b in enumerate(base)]).astype(np.uint16)
+    subtrie, last, sizes = tries[:, 0] % 3, rnd.choice([4, 4, 6, 8], len(tries)), rnd.randint(90, 110, len(tries))
+    order = np.lexsort([*tries[:, 7::-1].T, subtrie])
+    tries, subtrie, last, sizes = tries[order], subtrie[order], last[order], sizes[order]
+    sketch = (tries & 255).astype(np.uint8)
+    root = jaccard.near(tries[:, :8], sketch, sizes, last, np.concatenate([[0], np.flatnonzero(np.diff(subtrie)) + 1, [len(tries)]]))
+    least = np.ceil((jaccard.THRESHOLD - jaccard.SLACK) * jaccard.VALUES)
+    pairs = [(i, j) for i in range(len(tries)) for j in range(i) if (tries[i, : max(last[i], last[j])] == tries[j, : max(last[i], last[j])]).all() and subtrie[i] == subtrie[j]]
+    pairs = [(i, j) for i, j in pairs if (sketch[i] == sketch[j]).sum() >= least and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])]
+    assert len(pairs) > 1000
+    assert root.tolist() == jaccard._roots(len(tries), *np.array(pairs).T).tolist()
+
+
 def test_components(spark):
     rnd = random.Random(10)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
