@@ -526,7 +526,8 @@ def test_chain_on_held_out_documents(spark, empty):
     chain = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
     again = toxicity.fit([t for t, _ in rows[::-1]], [y for _, y in rows[::-1]])
     assert all(np.allclose(a, b) for a, b in zip(chain.weights, again.weights, strict=True))
-    assert [len(w) for w in chain.weights] == [len(chain.vocabulary) + 1 + k for k in range(3)]
+    bare = len(chain.features([chain.row("")])[0]) + 1
+    assert [len(w) for w in chain.weights] == [bare + k for k in range(3)]  # each model also sees the earlier probabilities
     held = [(k, doc(k % 3 == 0)) for k in range(300)] + [(None, None), (None, "")]
     got = toxicity.judge(spark.createDataFrame(held, "doc_id long, text string"), chain).collect()
     assert len(got) == len(held)
@@ -535,6 +536,30 @@ def test_chain_on_held_out_documents(spark, empty):
     assert not toxicity.fit(["a"], [1]).weights
 
 
+def test_chain_over_tables_is_the_same(spark, empty):
+    rnd = random.Random(14)
+    stems = ["zorbel" + x for x in ("a", "en", "ig", "um", "ost", "ine")]
+
+    def doc(toxic):
+        w = prose(rnd, rnd.randrange(30, 150)).split(" ")
+        return " ".join(w + (rnd.sample(stems, rnd.randrange(2, 5)) if toxic else rnd.sample(stems, 1) if rnd.random() < 0.05 else []))
+
+    rows = [(k, doc(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, y) for k, _, y in rows if k != 3] + [(4, 0, 0), (9999, 0, 1)], "doc_id long, quality int, toxic int")
+    chain, local = toxicity.train(docs, labels), toxicity.fit([t for k, t, _ in rows if k != 3], [y for k, _, y in rows if k != 3])
+    assert chain.vocabulary == local.vocabulary and chain.telling == local.telling
+    assert all(np.allclose(a, b) for a, b in zip(chain.weights, local.weights, strict=True))
+    # forms that no labelled document had are known by their stem
+    p = chain.probabilities(chain.features([chain.row(t) for t in ("zorbelish and zorbelwards w1 w2", "w1 zorbelish w2", "")]))[:, -1]
+    assert p[0] > 0.5 > 0.3 > p[1] and p[2] < 0.3
+    long_text = prose(rnd, 200_000, 90_000)
+    assert toxicity.judge(spark.createDataFrame([(1, long_text), (2, long_text + " zorbelish zorbelwards")], "doc_id long, text string"), chain).filter("toxic").select("doc_id").collect()[0][0] == 2
+    assert not toxicity.train(docs, labels.filter("toxic = 0")).weights and not toxicity.train(empty, labels).weights
+    none = toxicity.judge(docs, toxicity.train(docs, labels.filter("toxic = 0"))).select("p_toxic", "toxic").distinct().collect()
+    assert [tuple(r) for r in none] == [(0.0, False)]
+
+
 def test_labelled_sample_is_bounded(spark, docs):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(50)] + [(1, 1, 0), (None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
     assert toxicity.labelled_sample(docs, labels, 7).count() <= 7
@@ -639,6 +664,25 @@ def test_sql_of_queries_at_small_scale(spark):
         assert same_rows([tuple(r) for r in got.select(*names).collect()], wanted), name
 
 
+def test_toxic_documents_of_the_small_table(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    judged = toxicity.op7_toxicity_chain(spark, folder)
+    assert judged.count() == docs.count()
+    met = judged.withColumnRenamed("toxic", "found").join(labels, "doc_id").select("found", "toxic", *[f"p_{c}" for c in toxicity.CATEGORIES]).toPandas()
+    assert met[met.toxic == 1].found.mean() >= 0.9 and met[met.toxic == 0].found.mean() <= 0.01
+    p = met[[f"p_{c}" for c in toxicity.CATEGORIES]].corr().to_numpy()
+    assert p[np.triu_indices(3, 1)].max() < 0.97  # the categories differ
+    # half of the labels, judged on the other half: four of 51 toxic documents hold no sign at all
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    held = toxicity.judge(docs, toxicity.train(docs, labels.filter(half))).withColumnRenamed("toxic", "found").join(labels.filter(~half), "doc_id").toPandas()
+    assert held[held.toxic == 1].found.mean() >= 0.75 and held[held.toxic == 0].found.mean() <= 0.02
+
+
 def test_vocabulary_has_word_ends():
     with open(VOCABULARY, encoding="utf-8") as f:
         assert json.load(f)["model"]["end_of_word_suffix"] == "</w>"
