@@ -3,13 +3,15 @@
 Candidates are runs of 16 or more token characters with a digit, and quoted values of 8 or more after names such as
 `password =`, of any length.
 The forest looks at length, character transitions (changes of class, bigrams unlike words'), dictionary coverage, the
-path and the neighbouring words. It is trained from labelled findings: a table of (value, before, after, path, label);
-`labelled_findings` makes one by rule where none is given. Candidates are found and described in Arrow batches; the
-forest is trained and applied by Spark.
+path and the neighbouring words (four before, two after, however long they are). It is trained from labelled findings: a
+table of (value, before, after, path, label); `labelled_findings` makes one by rule where none is given, with
+placeholders and digests rather in tests and documentation, and credentials rather in code and settings. Where a corpus
+has no paths, a document's source stands for it; names without a known ending or folder tell nothing either way.
+Candidates are found and described in Arrow batches; the forest is trained and applied by Spark.
 
 Defined results: null and empty texts have no candidates; values that end at the text's end have no word after; rows
-are scanned one by one, so null ids and repeated rows report their own findings; an empty table gives no findings.
-Spans are in code points.
+are scanned one by one, so null ids and repeated rows report their own findings; a null path is an empty one; an empty
+table gives no findings; other columns, of any name, are not looked at. Spans are in code points.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from gradewalk.llm.common import table, text_or_empty
 
 CANDIDATE = re.compile(r"""(?<![\w\-+/=.])(?=[A-Za-z_\-+/=.]*[0-9])[A-Za-z0-9_\-+/=.]{16,}(?![\w\-+/=])""")
 ASSIGNED = re.compile(r"""(?i)(?:password|passwd|secret|api_?key|token)["']?\s{0,3}[:=]\s{0,3}["']([^\s"']{8,}+)["']""")
-NEAR = 48
+#: Neighbouring words before and after; the text at hand grows from NEAR characters until it holds them.
+BEFORE, AFTER, NEAR = 4, 2, 48
 WORD = re.compile(r"[^\W\d_]{2,}")
 NAMES = frozenset("token secret password passwd pwd key apikey api auth bearer credential credentials private access client login".split())
 INNOCENT = frozenset("commit sha md5 checksum digest uuid guid id order invoice card phone number version example sample placeholder test hash ref isbn".split())
@@ -63,7 +66,7 @@ def describe(value: str, before: str, after: str, path: str, words: Dictionary)
     """The FEATURES of a candidate."""
     n, kinds = len(value), [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
     counts, share = Counter(value), Counter(kinds)
-    near = [w.lower() for w in WORD.findall(before)[-4:] + WORD.findall(after)[:2]]
+    near = [w.lower() for w in WORD.findall(before)[-BEFORE:] + WORD.findall(after)[:AFTER]]
     parts = [p for w in near for p in re.split(r"_", w)]
     return [
         float(n),
@@ -82,6 +85,16 @@ def describe(value: str, before: str, after: str, path: str, words: Dictionary)
     ]
 
 
+def around(text: str, s: int, e: int) -> tuple[str, str]:
+    """So much of the text before and after a span that it holds whole neighbouring words."""
+    n = m = NEAR
+    while n < s and len(WORD.findall(text, s - n, s)) <= BEFORE:  # one more, as the first may be cut
+        n *= 4
+    while e + m < len(text) and len(WORD.findall(text, e, e + m)) <= AFTER:
+        m *= 4
+    return text[max(0, s - n) : s], text[e : e + m]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidates, without overlaps."""
     spans, end = [], 0
@@ -98,11 +111,12 @@ def labelled_findings(n: int = LABELLED_MOST, seed: int = 7) -> list[tuple[str,
     fill = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
     hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     plain = "the of and report value see with from page for this was line entry".split()
-    paths = ["src/app.py", "conf/settings.yaml", "deploy/.env", "src7", "notes", "lib/index.js", "tests/data.json", "doc/example.txt", "src0"]
+    code, trial, plain_paths = ["src/app.py", "conf/settings.yaml", "deploy/.env", "lib/index.js"], ["tests/data.json", "doc/example.txt", "fixtures/sample.yml"], ["src7", "notes", "src0", ""]
     talk = lambda: " ".join(rnd.choice(plain) for _ in range(rnd.randint(0, 5)))
     case = lambda s: s.upper() if rnd.random() < 0.15 else s
     for _ in range(n):
-        path, label = rnd.choice(paths), rnd.random() < 0.5
+        label = rnd.random() < 0.5
+        path = rnd.choice(rnd.choices([code, trial, plain_paths], [5, 1, 6] if label else [2, 4, 6])[0])
         if label:
             value = rnd.choice([lambda: fill(hexa, rnd.choice([32, 40, 64])), lambda: fill(b64, rnd.randint(20, 48)), lambda: "AKIA" + fill(b64[:26] + "0123456789", 16), lambda: fill(b64 + "+/", 40)])()
             name, mark = rnd.choice(["token", "api_key", "secret", "password", "auth_token", "access key", "client_secret"]), rnd.choice([' = "', ': "', "=", " = '", ": "])
@@ -147,7 +161,7 @@ def described(docs: DataFrame, dictionary: str, path_column: str | None = None)
                 text = t.as_py()
                 for s, e in candidates(text):
                     value = text[s:e]
-                    rows.append((doc.as_py(), s, e, value, describe(value, text[max(0, s - NEAR) : s], text[e : e + NEAR], p.as_py(), words)))
+                    rows.append((doc.as_py(), s, e, value, describe(value, *around(text, s, e), p.as_py(), words)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 

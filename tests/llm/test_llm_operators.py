@@ -604,6 +604,35 @@ def test_scan_spans(spark, empty):
     assert secrets.scan(empty, model, VOCABULARY).count() == 0
 
 
+def test_neighbouring_words_are_whole():
+    text = "one two three four " + "y" * 900 + " token = \"VALUE\" " + "z" * 300 + " after"
+    at = text.index("VALUE")
+    before, after = secrets.around(text, at, at + 5)
+    assert secrets.WORD.findall(before)[-4:] == ["three", "four", "y" * 900, "token"] and secrets.WORD.findall(after)[:2] == ["z" * 300, "after"]
+    assert secrets.around("abc", 0, 3) == ("", "")
+
+
+def test_paths_tell_the_forest(spark):
+    model, words = secrets.train(spark, VOCABULARY), secrets.Dictionary(VOCABULARY)
+    places = [k for k, f in enumerate(secrets.FEATURES) if f.startswith("path_")]
+    assert all(model.featureImportances[k] > 0 for k in places)
+    at = lambda path: secrets.describe("x" * 20, "", "", path, words)[-2:]
+    assert [at("a/b.py"), at("tests/x"), at("src7"), at("")] == [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_secrets_of_the_small_tables(spark, sf):
+    import os
+
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    found = {(r["doc_id"], r["value_sha256"]) for r in secrets.op5_secret_scan(spark, folder).collect()}
+    planted = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    wanted = {(r["doc_id"], hashlib.sha256(v.encode()).hexdigest()) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for v in planted.findall(r["text"] or "")}
+    assert wanted and found == wanted
+
+
 # the pipeline
 
 
