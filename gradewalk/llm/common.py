@@ -1,36 +1,19 @@
-"""What the operators of this folder share: tables cut from lineage, let-bindings, row structs."""
+"""What the operators of this folder share: let-bindings, row structs, and tables cut from lineage."""
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewalk.operators.tables import save, shared_dir
+
 #: ASCII white space of the contracts, as the inside of a regular expression's class.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/checkpoints/{os.getuid()}"
-    return f"{folder.rstrip('/')}/gradewalk-{spark.sparkContext.applicationId}"
-
-
-def save(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation.
-
-    A plain table instead of checkpoint(), which computes its input twice."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row; a plain reference inside a lambda would be computed at each call."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -47,3 +30,6 @@ def text_or_empty(name: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "let", "save", "shared_dir", "table", "text_or_empty", "whole_row"]

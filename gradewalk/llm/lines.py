@@ -13,7 +13,8 @@ The twice-seen filter is broadcast at a bounded size (see bloom); when full it l
 which changes the cost, not the result.
 
 Defined results: a null or empty text is one empty line; rows of equal doc_id are one document; null ids together are
-one document, after all others; an empty table stays empty.
+one document, after all others, so that of their common keys all rows keep the lines; other columns are carried in a
+struct, so names like did can't clash; an empty table stays empty.
 """
 
 from __future__ import annotations

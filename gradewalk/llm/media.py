@@ -6,7 +6,8 @@ point each. `demux` reads any such stream back: it parses the program tables, ch
 elementary packets, and lists time stamps with their random-access points.
 
 Defined results: null or empty text is 192 spaces of payload; the stored bytes depend on the text alone, so repeated
-rows have equal values; texts of any length are split over elementary packets; an empty table gives an empty result.
+rows have equal values; null ids keep their rows; texts of any length are split over elementary packets; other columns, of
+any name, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewalk.llm.common import table, text_or_empty
+from gradewalk.llm.common import save, table, text_or_empty
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID, NULL_PID = 188, 0x47, 0x0000, 0x1FFF
@@ -207,5 +208,5 @@ def read(media: DataFrame) -> DataFrame:
 
 
 def op4_media_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read(store(table(spark, sf_dir, "documents")))
+    found = read(save(store(table(spark, sf_dir, "documents")), "media-streams"))
     return found.drop("pts", "rap_packets")

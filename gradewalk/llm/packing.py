@@ -10,7 +10,9 @@ Ranks are counted by (length, salt), so no task meets all pieces of one length.
 few rows for each pair of a length and a remainder, and its size is checked.
 
 Defined results: a null or empty text is the end-of-text id alone; only documents longer than the capacity are cut; rows
-with null or repeated ids are packed as documents of their own; an empty table gives no sequences.
+with null or repeated ids are packed as documents of their own (equal pieces may swap their places, which no result
+shows); pieces of equal length go in order of id and piece; other columns, of any name, are not looked at; an empty table
+gives no sequences.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ Policies are versioned masks over those bits, so that another policy, or a polic
 look at the texts: ablations are bit operations and counts over the ledger.
 
 Defined results: a null or empty text has no words, fails rule 0 and is rejected; rows are judged one by one, so
-repeated rows and null ids keep their own ledger rows; an empty table gives an empty ledger.
+repeated rows and null ids keep their own ledger rows; other columns are carried in a struct, so names like n_words
+can't clash; an empty table gives an empty ledger, and no ablations.
 """
 
 from __future__ import annotations
@@ -101,14 +102,16 @@ def passes(policy: str | int) -> Column:
 
 
 def ablations(rows: DataFrame, policy: str | int) -> DataFrame:
-    """For each rule of a policy: documents that fail it, that fail it alone, and that pass once it is left out."""
+    """For each rule of a policy: documents that fail it, that fail it alone, and that pass once it is left out.
+
+    The ledger is summed to at most 2^rules counts first; each of these meets every rule once. No rows: no result."""
     mask = POLICIES[policy] if isinstance(policy, str) else policy
     masked = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).count()
-    rules = rows.sparkSession.createDataFrame([(b, name, 1 << b) for b, name, _ in RULES if mask >> b & 1], "bit int, rule string, one long")
+    rules = [F.struct(F.lit(b).alias("bit"), F.lit(name).alias("rule"), F.lit(1 << b).cast("long").alias("one")) for b, name, _ in RULES if mask >> b & 1]
+    met = masked.select("bits", "count", F.explode(F.array(*rules)).alias("r")).select("bits", "count", "r.*")
     fails = F.col("bits").bitwiseAND(F.col("one")) != 0
     rest = F.col("bits").bitwiseAND(F.bitwise_not("one")) == 0
-    # at most 2^rules sums against as many rows as there are rules
-    return masked.join(F.broadcast(rules), how="cross").groupBy("bit", "rule").agg(
+    return met.groupBy("bit", "rule").agg(
         F.coalesce(F.sum(F.when(fails, F.col("count"))), F.lit(0)).alias("n_fail"),
         F.coalesce(F.sum(F.when(F.col("bits") == F.col("one"), F.col("count"))), F.lit(0)).alias("n_fail_alone"),
         F.coalesce(F.sum(F.when(rest, F.col("count"))), F.lit(0)).alias("n_kept_without"),
@@ -126,6 +129,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy rejects, alone and together with others."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v1")
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -142,3 +150,11 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 f AS (SELECT *, CAST(""" + " + ".join(f"(CASE WHEN {fails} THEN {1 << bit} ELSE 0 END)" for bit, _, fails in RULES) + r""" AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, fail_bits FROM f
 """
+
+_RULES = ", ".join(f"({b}, '{name}', CAST({1 << b} AS BIGINT))" for b, name, _ in RULES if POLICIES["v1"] >> b & 1)
+ABLATIONS = ORACLE[: ORACLE.rindex("SELECT doc_id, n_words")].rstrip() + f""",
+b AS (SELECT fail_bits & {POLICIES["v1"]} AS bits FROM f)
+SELECT bit, rule, count(*) FILTER (bits & one <> 0) AS n_fail, count(*) FILTER (bits = one) AS n_fail_alone,
+  count(*) FILTER (bits = bits & one) AS n_kept_without, CAST(bit_or(bits) AS BIGINT) AS bits_seen
+FROM b, (VALUES {_RULES}) r(bit, rule, one) GROUP BY bit, rule
+"""

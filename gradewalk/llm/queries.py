@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "quality_ablations": quality.quality_ablations,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
     "op9_line_dedup": lines.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "quality_ablations": quality.ABLATIONS,
 }

@@ -10,7 +10,8 @@ only, so files of lost or repeated attempts do no harm.
 
 Defined results: a null html is an empty payload; payloads under DUPLICATE_LEAST bytes are always responses; of equal
 payloads the rows with the largest page_id are responses (all of them, should that id repeat; all rows, if none has an
-id); null ids come back null; a null url leaves the target header out; an empty table gives empty archives.
+id); null ids come back null; a null url leaves the target header out; other columns, of
+any name, are not looked at; an empty table gives empty archives.
 """
 
 from __future__ import annotations

@@ -664,13 +664,93 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert same_rows(seen[1], cleaned)
     first = {c for _, c, _ in brute_classes([(r[0], r[1]) for r in cleaned])}
     assert same_rows(seen[2], [r for r in cleaned if r[0] in first])
-    kept = {r[0]: r for r in seen[2]}
-    assert all(kept[r[0]] == r for r in seen[3])
-    plain = Tokenizer.from_file(VOCABULARY)
-    tokens = sum(len(plain.encode(r[1], add_special_tokens=False).ids) + 1 for r in seen[3])
-    columns = docs.columns
-    assert sum(r[columns.index("length")] for r in seen[4]) == tokens
+    assert same_rows(seen[3], [r for r in seen[2] for _ in range(brute_mix(seen[2])[r[0]])])
+    brute_packed([(r[0], r[1]) for r in seen[3]], docs.columns, seen[4])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+    # every stage takes an empty table and columns whose names clash with inner ones
+    extra = awkward(spark, [(k, prose(rnd, 40, 5000) + "\nsome common line here", "en", "s", 1, "r", 5, 6, "t", "u") for k in range(6)] + [(None, None, None, None, None, "r", 5, 6, "t", "u")] * 2)
+    for frame in (extra.limit(0), extra):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, str(tmp_path))
+            if stage is corpus_pipeline.pack:
+                brute_packed([(r["doc_id"], r["text"]) for r in frame.collect()], out.columns, [tuple(r) for r in out.collect()])
+            else:
+                assert out.columns == frame.columns, name
+                assert (out.count() == 0) == (frame is not extra), name
+
+
+def brute_mix(rows, weights=(1, 2, 3), cap=3):
+    """Copies of each id, from the definition of the mix."""
+    size = {r[0]: len(words_of(r[1])) for r in rows}
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in sources}
+    weight, level, open_ = {s: weights[k % 3] for k, s in enumerate(sources)}, 0.0, set(sources)
+    while True:
+        level = (sum(total.values()) - cap * sum(total[s] for s in sources if s not in open_)) / max(sum(weight[s] for s in open_), 1)
+        over = {s for s in open_ if level * weight[s] > cap * total[s]}
+        if not over:
+            break
+        open_ -= over
+    copies = {}
+    for s in sources:
+        own = sorted((size[r[0]], hashlib.md5(f"{r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest(), r[0]) for r in rows if r[3] == s)
+        own = own[::2] + own[1::2][::-1]
+        rate = min(level * weight[s] / total[s], cap) if total[s] else 0
+        u = int(hashlib.md5(f"{mixing.SEED}:{s or ''}".encode()).hexdigest()[:8], 16) / 2**32
+        for k, (_, _, i) in enumerate(own):
+            copies[i] = cap if rate >= cap else int(np.floor(rate * (k + 1) + u) - np.floor(rate * k + u))
+    return copies
+
+
+def brute_packed(docs, columns, rows):
+    """Holds packed pieces against the tokenizer and against best-fit decreasing piece by piece."""
+    plain = Tokenizer.from_file(VOCABULARY)
+    wanted, places = [], {}
+    for i, text in docs:
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [1]
+        wanted += [(i, k, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
+    at = {c: k for k, c in enumerate(columns)}
+    assert same_rows([tuple(r[at[c]] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in rows], wanted)
+    for r in rows:
+        places.setdefault(r[at["sequence_id"]], []).append((r[at["offset"]], r[at["length"]]))
+    for p in places.values():
+        assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 4096
+    assert len(places) == len(best_fit([w[3] for w in wanted], 4096))
+
+
+def test_packing_query_on_the_smallest_table(spark):
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    found = packing.op1_best_fit_packing(spark, folder)
+    brute_packed([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()], found.columns, [tuple(r) for r in found.collect()])
+
+
+def test_jaccard_query_on_the_smallest_table(spark):
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    found = jaccard.op3_ngram_jaccard_join(spark, folder).select("doc_id", "class_id", "n_links").collect()
+    assert same_rows(map(tuple, found), brute_classes([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]))
+
+
+def test_media_query_on_the_smallest_table(spark):
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    found = media.op4_media_transport_streams(spark, folder).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256").collect()
+    wanted = []
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        t = (r["text"] or "").encode()
+        p, m = t + b" " * (-len(t) % 192 if t else 192), media.mux(t)
+        wanted.append((r["doc_id"], len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest()))
+    assert same_rows(map(tuple, found), wanted)
 
 
 def test_sql_of_queries_at_small_scale(spark):
