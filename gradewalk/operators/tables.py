@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OURS: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Our part of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Our part of spark.checkpoint.dir. Where that is unset: a local folder if all of Spark is one process, else the warehouse.
+
+    It is deleted when the driver's process ends."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file:///tmp/checkpoints/{os.getuid()}"
-    return f"{folder.rstrip('/')}/gradewalk-{spark.sparkContext.applicationId}"
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        folder = f"file:///tmp/checkpoints/{os.getuid()}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    path = f"{folder.rstrip('/')}/gradewalk-{spark.sparkContext.applicationId}"
+    if path not in _OURS:
+        _OURS.add(path)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the JVM is gone: the folder stays
+        pass
 
 
 def save(df: DataFrame, label: str = "table") -> DataFrame:
