@@ -42,8 +42,10 @@ PLAN_MOST = 2_000_000
 CACHE_MOST, WORD_MOST = 400_000, 64
 #: Marks that form one token, apart from the word of letters before them.
 MARKS = ".,;:!?#$%&*()[]{}|/+=~-"
-#: Letters whose lower case depends on their neighbours or on who lowers them.
-UNLIKE = "[\u03a3\u0130]"
+#: Letters that NFC takes apart into a letter and a mark (none is beyond the second plane), and those whose lower case
+#: depends on their neighbours or on who lowers them.
+APART = "".join(c for c in map(chr, range(0x20000)) if c.isalpha() and not unicodedata.normalize("NFC", c).isalpha())
+UNLIKE = f"[\u03a3\u0130{APART}]"
 TAIL = "(?P<t>[" + re.escape(MARKS) + "]+)$"
 
 
@@ -87,9 +89,8 @@ class WordEncoder:
     def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each) of some words: letters and the marks after them apart, all others one by one."""
         stems = pc.utf8_rtrim(words, characters=MARKS)
-        normal = pc.utf8_normalize(stems, form="NFC")  # some letters come apart into a letter and a mark
-        plain = pc.and_(pc.and_(pc.utf8_is_alpha(stems), pc.utf8_is_alpha(normal)), pc.less_equal(pc.utf8_length(stems), WORD_MOST))
-        plain = pc.and_(plain, pc.invert(pc.match_substring_regex(normal, UNLIKE))).to_numpy(zero_copy_only=False)
+        plain = pc.and_(pc.utf8_is_alpha(stems), pc.less_equal(pc.utf8_length(stems), WORD_MOST))
+        plain = pc.and_(plain, pc.invert(pc.match_substring_regex(stems, UNLIKE))).to_numpy(zero_copy_only=False)
         easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
         coded = stems.take(pa.array(easy)).dictionary_encode()
         known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
