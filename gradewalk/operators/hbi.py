@@ -10,6 +10,8 @@ from gradewalk.functions.cost import cheapest_edges, slope, weights
 from gradewalk.functions.geo import cell, cell_centre
 from gradewalk.operators.paths import by_component, search
 from gradewalk.operators.spatial import nearest
+from gradewalk.operators.stats import quantiles
+from gradewalk.operators.tables import save
 
 GRAPHS = ("elder", "flat", "wheel", "wheel_flat")
 
@@ -99,15 +101,16 @@ def summary(rows: DataFrame, m: Model = DEFAULT) -> DataFrame:
     inner = ~F.col("edge") if "edge" in rows.columns else F.lit(True)
     v = inner & F.col("hbi").isNotNull()
     h, over = F.col("hbi"), v & (F.col("hbi") >= m.band_high)
-    median = lambda c: F.percentile(F.when(v, F.col(c)), F.lit(0.5))
     share = lambda cond, base: F.try_divide(F.count_if(cond), F.count_if(base))
     metrics = {
-        "n_buildings": F.count_if(v).cast("double"), "n_excluded_edge": F.count_if(~inner).cast("double"), "hbi_median": median("hbi"),
+        "n_buildings": F.count_if(v).cast("double"), "n_excluded_edge": F.count_if(~inner).cast("double"), "hbi_median": F.max("_hbi"),
         "share_mid": share(v & (h >= m.band_mid) & (h < m.band_high), v), "share_high": share(over, v), "n_high": F.count_if(over).cast("double"),
-        "home_ratio_median": median("home_ratio"), "elder_minutes_median": median("t_elder") / 60, "wheel_unreachable_share": share(inner & F.col("t_wheel").isNull(), inner),
+        "home_ratio_median": F.max("_home"), "elder_minutes_median": F.max("_elder") / 60, "wheel_unreachable_share": share(inner & F.col("t_wheel").isNull(), inner),
         "weight_high": F.sum(F.when(over, F.col("weight"))), "weight_all": F.sum(F.when(v, F.col("weight"))),
     }
-    wide = rows.groupBy("target").agg(*[c.alias(n) for n, c in metrics.items()])
+    rows = save(rows, "index")  # read for the medians and for the rest
+    middle = quantiles(rows.filter(v), ["target"], {"_hbi": ("hbi", 0.5), "_home": ("home_ratio", 0.5), "_elder": ("t_elder", 0.5)})
+    wide = rows.join(F.broadcast(middle), "target", "left").groupBy("target").agg(*[c.alias(n) for n, c in metrics.items()])  # a row a target
     return wide.unpivot("target", list(metrics), "metric", "value")
 
 

@@ -11,7 +11,7 @@ from gradewalk.config import CODES, DEFAULT, Model
 from gradewalk.functions.geo import cell, cell_centre, haversine
 from gradewalk.functions.text import digits, number, place_name, station_key
 from gradewalk.operators.spatial import with_any
-from gradewalk.operators.stats import best, pearson, quartile_groups, spearman, tail_means
+from gradewalk.operators.stats import best, pearson, quantiles, quartile_groups, share_below, spearman, tail_means
 
 LATEST = "__LATEST__"
 
@@ -199,7 +199,7 @@ def merged_summary(cells: DataFrame) -> DataFrame:
 
 def ranked_sites(sites: DataFrame, cells: DataFrame) -> DataFrame:
     """sites (name, hbi_mean) with their percentile among merged cells."""
-    found = sites.filter("hbi_mean IS NOT NULL").join(cells.select(F.col("hbi_mean").alias("_v")), how="cross").groupBy("name").agg(F.avg((F.col("_v") < F.col("hbi_mean")).cast("double")).alias("percentile"))
+    found = share_below(sites, "name", "hbi_mean", cells, "hbi_mean", "percentile")
     return sites.join(found, "name", "left").withColumn("top10", F.col("percentile") >= 0.9)
 
 
@@ -220,9 +220,9 @@ def compare_grids(a: DataFrame, b: DataFrame, m: Model = DEFAULT) -> DataFrame:
     size = m.grid_m
     at = lambda d, name: d.select(cell(F.col("cell_x"), size).alias("gx"), cell(F.col("cell_y"), size).alias("gy"), F.col("hbi_mean").alias(name))
     both = at(a, "a").join(at(b, "b"), ["gx", "gy"])
-    cuts = both.agg(F.percentile("a", F.lit(0.9)).alias("a90"), F.percentile("b", F.lit(0.9)).alias("b90"))
+    cuts = quantiles(both, [], {"a90": ("a", 0.9), "b90": ("b", 0.9), "a50": ("a", 0.5), "b50": ("b", 0.5)})
     top, high = F.col("a") >= F.col("a90"), F.col("a") >= m.band_mid
-    found = both.join(F.broadcast(cuts), how="cross").agg(F.count("*").alias("n_common"), (F.count_if(top & (F.col("b") >= F.col("b90"))) / F.greatest(F.count_if(top), F.lit(1))).alias("top10_agree"), F.count_if(high).alias("n_mid_or_high"), F.try_divide(F.count_if(high & (F.col("b") < m.band_mid)), F.count_if(high)).alias("missed"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"), F.percentile("a", F.lit(0.5)).alias("median_a"), F.percentile("b", F.lit(0.5)).alias("median_b"))
+    found = both.join(F.broadcast(cuts), how="cross").agg(F.count("*").alias("n_common"), (F.count_if(top & (F.col("b") >= F.col("b90"))) / F.greatest(F.count_if(top), F.lit(1))).alias("top10_agree"), F.count_if(high).alias("n_mid_or_high"), F.try_divide(F.count_if(high & (F.col("b") < m.band_mid)), F.count_if(high)).alias("missed"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"), F.max("a50").alias("median_a"), F.max("b50").alias("median_b"))
     return found.join(F.broadcast(spearman(both, [], "a", "b").withColumnRenamed("rho", "rank_corr")), how="cross")
 
 
@@ -235,8 +235,13 @@ def nearest_named(stations: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def first_match(names: DataFrame, sites: DataFrame, key: str, name: str, order: str) -> DataFrame:
-    """names with the first site (by order) whose name contains key; for short lists."""
-    met = F.broadcast(names).join(sites, F.col(name).contains(F.col(key)))
+    """names with the first site (by order) whose name contains key.
+
+    A name that contains the key contains its first three characters (or all of a shorter one): both sides meet by that."""
+    k, n = F.col(key), F.col(name)
+    parts = lambda w: F.when(F.length(n) >= w, F.transform(F.sequence(F.lit(1), F.length(n) - w + 1), lambda i: F.substr(n, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+    grams = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[parts(w) for w in (1, 2, 3)])))
+    met = names.select(key, F.substring(key, 1, 3).alias("_g")).distinct().join(sites.select(name, order, grams.alias("_g")), "_g").filter(n.contains(k))
     return names.join(met.groupBy(key).agg(F.min_by(name, order).alias(name)), key, "left")
 
 

@@ -16,7 +16,7 @@ from gradewalk.functions.geo import cell, cell_centre, distance
 from gradewalk.operators.hbi import destination_nodes, ratio, round_trips, sloped, snap
 from gradewalk.operators.paths import search, single_paths
 from gradewalk.operators.spatial import nearest_any
-from gradewalk.operators.stats import median, spearman
+from gradewalk.operators.stats import quantiles, share_below, spearman
 
 ALL = "ALL"
 
@@ -41,11 +41,11 @@ def sensitivity(indices: DataFrame, m: Model = DEFAULT) -> DataFrame:
     """scenario, hbi_median, share_high, rank_corr_vs_base, top10_overlap (share of the base's top tenth also on top)."""
     base = indices.filter("scenario = 'base'").select("id", F.col("hbi").alias("base"))
     rows = indices.join(base, "id")
-    cuts = indices.groupBy("scenario").agg(F.percentile("hbi", F.lit(0.9)).alias("cut"))
+    cuts = quantiles(indices, ["scenario"], {"cut": ("hbi", 0.9), "hbi_median": ("hbi", 0.5)})
     base_cut = cuts.filter("scenario = 'base'").select(F.col("cut").alias("base_cut"))
     marked = rows.join(F.broadcast(cuts), "scenario").join(F.broadcast(base_cut), how="cross")  # one row a scenario, one row
     top, both = F.col("base") >= F.col("base_cut"), (F.col("base") >= F.col("base_cut")) & (F.col("hbi") >= F.col("cut"))
-    found = marked.groupBy("scenario").agg(median(F.col("hbi")).alias("hbi_median"), F.avg((F.col("hbi") >= m.band_high).cast("double")).alias("share_high"), (F.count_if(both) / F.greatest(F.count_if(top), F.lit(1))).alias("top10_overlap"))
+    found = marked.groupBy("scenario").agg(F.max("hbi_median").alias("hbi_median"), F.avg((F.col("hbi") >= m.band_high).cast("double")).alias("share_high"), (F.count_if(both) / F.greatest(F.count_if(top), F.lit(1))).alias("top10_overlap"))
     return found.join(spearman(rows, ["scenario"], "base", "hbi").withColumnRenamed("rho", "rank_corr_vs_base"), "scenario", "left")
 
 
@@ -265,7 +265,7 @@ def site_rank(sites: DataFrame, homes: DataFrame, cells: DataFrame, m: Model = D
     radius = sites.agg(F.min_by("radius", "name")).first()[0]
     centres = homes.select(cell_centre(cell(F.col("x"), m.grid_m), m.grid_m).alias("x"), cell_centre(cell(F.col("y"), m.grid_m), m.grid_m).alias("y")).distinct()
     circles = within(centres, h, radius).groupBy("x", "y").agg(F.count("*").alias("n"), F.avg("hbi").alias("mean")).filter(F.col("n") >= m.min_count)
-    below = lambda frame, c, name: own.select("name", "hbi_mean").join(frame.select(F.col(c).alias("_v")), how="cross").groupBy("name").agg(F.avg((F.col("_v") < F.col("hbi_mean")).cast("double")).alias(name))  # noqa: E731  a few sites
+    below = lambda frame, c, name: share_below(own, "name", "hbi_mean", frame, c, name)
     ranked = sites.select("name").join(own, "name", "left").join(below(cells, "hbi_mean", "percentile"), "name", "left").join(below(circles, "mean", "percentile_circle"), "name", "left")
     return ranked.select("name", F.coalesce("n_bld", F.lit(0)).alias("n_bld"), "hbi_mean", "share_high", "percentile", (F.col("percentile") >= 0.9).alias("top10"), "percentile_circle", (F.col("percentile_circle") >= 0.9).alias("top10_circle"))
 
@@ -299,7 +299,7 @@ def ablation(rows: DataFrame, m: Model = DEFAULT) -> DataFrame:
 
     t_wheel_stairok (wheelchair times if stairs could be passed) and hbi_dem1 (another height model) are optional."""
     v = rows.filter("hbi IS NOT NULL AND t_flat IS NOT NULL")
-    cuts = v.agg(F.percentile("t_elder", F.lit(0.9)).alias("e90"), F.percentile("t_flat", F.lit(0.9)).alias("f90"), F.percentile("t_flat", F.lit(0.5)).alias("f50"))
+    cuts = quantiles(v, [], {"e90": ("t_elder", 0.9), "f90": ("t_flat", 0.9), "f50": ("t_flat", 0.5)})
     size = m.coarse_grid_m
     coarse = v.groupBy(cell(F.col("x"), size).alias("gx"), cell(F.col("y"), size).alias("gy")).agg(F.avg("hbi").alias("coarse"))
     full = v.withColumn("gx", cell(F.col("x"), size)).withColumn("gy", cell(F.col("y"), size)).join(coarse, ["gx", "gy"]).join(F.broadcast(cuts), how="cross")

@@ -288,6 +288,41 @@ def test_p_values():
     assert stats.p_of_correlation(0.0, 10) == pytest.approx(1) and stats.p_of_correlation(1.0, 10) is None and stats.p_of_correlation(0.5, 2) is None
 
 
+def test_small_p_values_keep_their_digits():
+    # closed forms: f = 1: 1 - 2/pi atan t; f = 2: 1 - t / sqrt(t^2 + 2); f = 4 from the integral of the density
+    for r in (1e-6, 0.1, 0.5, 0.99, 1 - 1e-9):
+        assert stats.p_of_correlation(r, 3) == pytest.approx(2 / math.pi * math.acos(r), rel=1e-9)
+        assert stats.p_of_correlation(r, 4) == pytest.approx(1 - r, rel=1e-6)
+        assert stats.p_of_correlation(-r, 6) == pytest.approx((1 - r) ** 2 * (2 + r) / 2, rel=1e-6, abs=1e-17)
+    assert stats.p_of_correlation(0.9, 202) == pytest.approx(6.0e-74, rel=0.9)  # log10 p = -73.3 or so
+    for n in (40, 41, 400, 401, 5000):  # both sums give the same where they meet
+        r = (30 / (n - 2)) ** 0.5
+        a, b = stats.p_of_correlation(r * (1 - 1e-9), n), stats.p_of_correlation(r * (1 + 1e-9), n)
+        assert a == pytest.approx(b, rel=1e-4)
+
+
+def test_quantiles_and_shares_over_many_parts(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), rnd.choice([None, 0.5, rnd.random()]), rnd.random()) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: (r["m"], r["t"]) for r in stats.quantiles(frame, ["g"], {"m": ("x", 0.5), "t": ("y", 0.9)}).collect()}
+    for g in "ab":
+        xs, ys = [x for h, x, _ in rows if h == g and x is not None], [y for h, _, y in rows if h == g]
+        assert got[g] == pytest.approx((np.quantile(xs, 0.5), np.quantile(ys, 0.9)))
+    assert tuple(stats.quantiles(frame.limit(0), [], {"m": ("x", 0.5)}).first()) == (None,)
+    sites = spark.createDataFrame([("s", 0.5), ("t", 2.0), ("u", None)], "name string, v double")
+    below = {r["name"]: r["share"] for r in stats.share_below(sites, "name", "v", frame, "x", "share").collect()}
+    xs = [x for _, x, _ in rows if x is not None]
+    assert below == {"s": sum(x < 0.5 for x in xs) / len(xs), "t": 1.0}
+
+
+def test_first_match_is_exact(spark):
+    names = spark.createDataFrame([("",), ("b",), ("bc",), ("cde",), ("cdef",), ("zz",)], "k string")
+    sites = spark.createDataFrame([("abcde", 1), ("xbc", 2), ("cdefg", 3), ("b", 0), (None, 4)], "n string, o int")
+    got = {r["k"]: r["n"] for r in joins.first_match(names, sites, "k", "n", "o").collect()}
+    assert got == {"": "b", "b": "b", "bc": "abcde", "cde": "abcde", "cdef": "cdefg", "zz": None}
+
+
 def test_quantile_rules_differ(spark):
     frame = spark.createDataFrame([(float(k), float(k)) for k in range(1, 9)], "hbi double, v double")
     quarters = {r["quarter"]: r["n"] for r in stats.quartile_groups(frame, "hbi", "v").collect()}
