@@ -1,21 +1,31 @@
 """Shortest paths.
 
-Runs that share a graph are solved together: edges and sources are co-grouped by (graph, shard), the graph is built once
-in the task, and every run on it is one search. Components of a graph are independent, so with known components each is
-a graph of its own. Graphs that are still too large for a task go through `relax`, a frontier relaxation in DataFrames;
-`search` sends each graph the right way."""
+Nodes of a graph are cut into blocks of neighbouring ids, as many as its edges need. A task holds one block's edges as
+flat arrays and carries the distances of all its runs at once from the nodes that became nearer to every node they reach
+(`Block.spread`); what it finds for nodes of other blocks is handed on, and blocks that got something nearer go again,
+until nothing changes. A graph of one block, such as a city's streets, is done in one round, and a country's takes about
+as many rounds as a path crosses blocks, not as it has links. Ids are numbered by place (network.merge_nodes), so blocks
+are strips of the map; other ids give the same distances in more rounds.
 
-from __future__ import annotations
+Components of a graph are independent, so with known components each is a graph of its own. `relax` is the same without
+blocks: a round for each link of the longest path, for graphs whose ids have no order."""
 
-import heapq
+from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewalk.operators.tables import save
+
+#: Edges of a block: 24 bytes each as they come, about 200 while they are sorted into arrays.
+BLOCK_EDGES = 2_000_000
+#: Distances (runs x nodes) that are carried at once; 8 bytes each.
+STATES = 16_000_000
 
-class Adjacency:
+
+class Block:
     """Out-edges of dense node numbers; parallel edges keep the cheapest."""
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
@@ -25,83 +35,158 @@ class Adjacency:
         a, b, w = a[order], b[order], w[order]
         first = np.ones(len(a), bool)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, self.head, self.w = a[first], b[first].tolist(), w[first].tolist()
-        self.start = np.searchsorted(a, np.arange(len(self.ids) + 1)).tolist()
+        self.tail, self.head, self.w = a[first], b[first], w[first]
+        self.start = np.searchsorted(self.tail, np.arange(len(self.ids) + 1))
+        self.step = 2 * float(self.w.mean()) if len(self.w) else 1.0
 
     def number(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers of those ids that the graph has."""
-        k = np.searchsorted(self.ids, ids)
-        k = np.minimum(k, len(self.ids) - 1)
-        return k[self.ids[k] == ids] if len(self.ids) else k[:0]
-
-    def search(self, sources: list[int], target: int | None = None) -> tuple[np.ndarray, list[int]]:
-        """Distances from the nearest source, and predecessors (of equal paths the one by the smaller node)."""
-        dist, before = [float("inf")] * len(self.ids), [-1] * len(self.ids)
-        for s in sources:
-            dist[s] = 0.0
-        heap = [(0.0, s) for s in sorted(set(sources))]
-        start, head, w = self.start, self.head, self.w
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
-                continue
-            if u == target:
+        """Numbers of ids, -1 for those that the block has no edge at."""
+        if not len(self.ids):
+            return np.full(len(ids), -1)
+        k = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[k] == ids, k, -1)
+
+    def spread(self, dist: np.ndarray, states: np.ndarray, until: int | None = None) -> np.ndarray:
+        """Carries distances from states on; dist is changed in place. Returns the states that got nearer.
+
+        A state is run * nodes + node. States nearer than a limit go first, and the limit grows by the mean cost of two edges,
+        so few states are carried on before their distance is final. Stops when state `until` is final."""
+        n, limit, far, changed = len(self.ids), -np.inf, [states], []
+        while True:
+            waiting = np.unique(np.concatenate(far))
+            waiting = waiting[dist[waiting] >= limit]
+            if not len(waiting) or until is not None and dist[waiting].min() >= dist[until]:
                 break
-            for k in range(start[u], start[u + 1]):
-                v, n = head[k], d + w[k]
-                if n < dist[v]:
-                    dist[v], before[v] = n, u
-                    heapq.heappush(heap, (n, v))
-        return np.array(dist), before
+            limit = dist[waiting].min() + self.step
+            now = dist[waiting] < limit
+            near, far = waiting[now], [waiting[~now]]
+            while len(near):
+                node, d = near % n, dist[near]
+                begin = self.start[node]
+                many = self.start[node + 1] - begin
+                edge = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                to, cost = np.repeat(near - node, many) + self.head[edge], np.repeat(d, many) + self.w[edge]
+                better = cost < dist[to]
+                to, cost = to[better], cost[better]
+                np.minimum.at(dist, to, cost)
+                to = np.unique(to)
+                changed.append(to)
+                soon = dist[to] < limit
+                near = to[soon]
+                far.append(to[~soon])
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *changed]))
+
+
+def _solve(edges: pa.Table, entries: pa.Table) -> pa.Table:
+    """run, node, d of the fresh entries and of all that got nearer from them. Entries: run, reverse, node, d, fresh."""
+    found = [(np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0))]
+    back, run, node, d, fresh = (entries.column(c).to_numpy() for c in ("reverse", "run", "node", "d", "fresh"))
+    for reverse in (False, True):
+        mine = np.flatnonzero(back == reverse)
+        if not len(mine):
+            continue
+        block = Block(*(edges.column(c).to_numpy() for c in (("dst", "src") if reverse else ("src", "dst"))), edges.column("w").to_numpy())
+        place = block.number(node[mine])
+        mine, place = mine[place >= 0], place[place >= 0]  # the others have no edge here
+        runs, number = np.unique(run[mine], return_inverse=True)
+        n, most = len(block.ids), max(1, STATES // max(len(block.ids), 1))
+        for low in range(0, len(runs), most):
+            part = (number >= low) & (number < low + most)
+            state = (number[part] - low) * n + place[part]
+            dist = np.full(min(most, len(runs) - low) * n, np.inf)
+            np.minimum.at(dist, state, d[mine[part]])
+            start = np.unique(state[fresh[mine[part]]])
+            got = np.union1d(start, block.spread(dist, start))
+            found.append((runs[low + got // n], block.ids[got % n], dist[got]))
+    r, v, x = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table({"run": pa.array(r, pa.string()), "node": pa.array(v, pa.int64()), "d": pa.array(x, pa.float64())})
 
 
 def multi_source(edges: DataFrame, sources: DataFrame, shards: int = 1) -> DataFrame:
+    """search for graphs of one block each: one round, both directions from one copy of the edges."""
+    dealt = edges.select(F.col("graph").alias("g"), "src", "dst", "w", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
+    shard = F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int").alias("shard")
+    starts = sources.select("run", "graph", "reverse", "node", F.lit(0.0).alias("d"), F.lit(True).alias("fresh"), shard)
+    return dealt.groupBy("g", "part").cogroup(starts.groupBy("graph", "shard")).applyInArrow(_solve, "run string, node long, d double")
+
+
+def search(edges: DataFrame, sources: DataFrame, shards: int = 1, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """run, node, d: the least cost between each node and the run's sources.
 
     edges: graph, src, dst, w. sources: run, graph, reverse (cost of going to a source rather than from it), node.
-    Runs of a graph are dealt over so many shards. Unreachable nodes have no row."""
-    own = F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int")
-    # fresh names: sources are often made from edges, and columns of one origin would be ambiguous
-    dealt = edges.select(F.col("graph").alias("g"), "src", "dst", "w", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
-
-    def solve(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(e):
-            src, dst, w = (e[c].to_numpy() for c in ("src", "dst", "w"))
-            for back, part in s.groupby("reverse"):
-                graph = Adjacency(dst, src, w) if back else Adjacency(src, dst, w)
-                for run, rows in part.groupby("run"):
-                    d, _ = graph.search(graph.number(rows["node"].to_numpy()).tolist())
-                    ok = np.isfinite(d)
-                    found.append(pd.DataFrame({"run": run, "node": graph.ids[ok], "d": d[ok]}))
-        return pd.concat(found) if found else pd.DataFrame({"run": pd.Series([], dtype=str), "node": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=float)})
+    Runs of a block are dealt over so many shards. Unreachable nodes have no row, and neither have sources at which no
+    edge of their graph begins or ends."""
+    edges = save(edges.select("graph", "src", "dst", "w"), "graphs")
+    ends = edges.groupBy("graph").agg(F.min(F.least("src", "dst")).alias("first_id"), F.max(F.greatest("src", "dst")).alias("last_id"), F.ceil(F.count("*") / block_edges).cast("int").alias("blocks"))
+    if not ends.filter("blocks > 1").take(1):
+        return multi_source(edges, sources, shards)
+    large = save(ends.filter("blocks > 1"), "large-graphs")
+    small = multi_source(edges.join(large, "graph", "left_anti"), sources.join(large, "graph", "left_anti"), shards)
+    return small.unionByName(_by_blocks(edges, sources, large, shards))
+
+
+def _by_blocks(edges: DataFrame, sources: DataFrame, plan: DataFrame, shards: int, rounds: int = 1_000_000) -> DataFrame:
+    """search over graphs of several blocks. plan: graph, first_id, last_id, blocks."""
+    at = lambda node: F.floor((F.col(node) - F.col("first_id")).cast("double") * F.col("blocks") / (F.col("last_id") - F.col("first_id") + 1)).cast("int")
+    keys = ["graph", "reverse", "block", "shard"]
+    # an edge belongs to its source's block; in searches towards the sources, to its target's
+    way = F.explode(F.array(F.struct(F.lit(False).alias("reverse"), at("src").alias("block")), F.struct(F.lit(True).alias("reverse"), at("dst").alias("block")))).alias("way")
+    held = edges.join(plan, "graph").select("graph", way, "src", "dst", "w").select("graph", "way.*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "src", "dst", "w")
+    held = save(held.join(sources.select("graph", "reverse").distinct(), ["graph", "reverse"], "left_semi"), "blocks")
+    runs = save(sources.join(plan, "graph").select("run", "graph", "reverse", "first_id", "last_id", "blocks", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int").alias("shard")).distinct(), "runs")
+    nodes = edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    first = sources.join(nodes, ["graph", "node"], "left_semi").join(runs, ["run", "graph", "reverse"])
+    state = save(first.select("run", *keys[:2], at("node").alias("block"), "shard", "node", F.lit(0.0).alias("d"), F.lit(True).alias("fresh")).distinct(), "distances")
+
+    def solve(key, block: pa.Table, entries: pa.Table) -> pa.Table:
+        found = _solve(block, entries)
+        return found.append_column("by", pa.array([key[2].as_py()] * found.num_rows, pa.int32()))
 
-    return dealt.groupBy("g", "part").cogroup(sources.withColumn("shard", own).groupBy("graph", "shard")).applyInPandas(solve, "run string, node long, d double")
+    for _ in range(rounds):
+        active = state.filter("fresh").select(*keys).distinct()
+        entries = state.join(active, keys, "left_semi")
+        needed = held.join(active, keys, "left_semi").select(*[F.col(k).alias(f"{k}_") for k in keys], "src", "dst", "w")
+        found = needed.groupBy(*[f"{k}_" for k in keys]).cogroup(entries.groupBy(*keys)).applyInArrow(solve, "run string, node long, d double, by int")
+        found = found.join(runs, "run").select("run", *keys[:2], at("node").alias("block"), "shard", "node", "d", "by")
+        # what a block found for its own nodes has been carried on; what another found for them has not
+        both = state.select("run", *keys, "node", "d", F.lit(True).alias("known")).unionByName(found.select("run", *keys, "node", "d", (F.col("by") == F.col("block")).alias("known")))
+        least = both.groupBy("run", *keys, "node").agg(F.min(F.when(F.col("known"), F.col("d"))).alias("own"), F.min(F.when(~F.col("known"), F.col("d"))).alias("other"))
+        fresh = F.col("other").isNotNull() & (F.col("own").isNull() | (F.col("other") < F.col("own")))
+        state = save(least.select("run", *keys, "node", F.least("own", "other").alias("d"), fresh.alias("fresh")), "distances")
+        if not state.filter("fresh").take(1):
+            return state.select("run", "node", "d")
+    raise RuntimeError(f"distances still changed after {rounds} rounds")
 
 
 def single_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """run, nodes (array, origin first) and cost for pairs (run, graph, o, d); null where there is no way."""
-
-    def solve(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        graph, rows = Adjacency(*(e[c].to_numpy() for c in ("src", "dst", "w"))), []
-        for run, o, d in zip(p["run"], p["o"], p["d"], strict=True):
-            a, b = graph.number(np.array([o])), graph.number(np.array([d]))
-            if o == d:
-                rows.append((run, [int(o)], 0.0))
-                continue
-            dist, before = graph.search(a.tolist(), int(b[0])) if len(a) and len(b) else (None, None)
-            if dist is None or not np.isfinite(dist[b[0]]):
-                rows.append((run, None, None))
-                continue
-            way, k = [], int(b[0])
-            while k >= 0:
-                way.append(int(graph.ids[k]))
-                k = before[k]
-            rows.append((run, way[::-1], float(dist[b[0]])))
-        return pd.DataFrame(rows, columns=["run", "nodes", "cost"])
+    """run, nodes (array, origin first) and cost for pairs (run, graph, o, d); null where there is no way.
+
+    A graph is one task; of equally cheap ways the one whose last differing step leaves the smaller node."""
+
+    def way(block: Block, back: Block, o: int, d: int) -> tuple[list[int], float] | None:
+        a, b = block.number(np.array([o, d]))
+        if a < 0 or b < 0:
+            return None
+        dist = np.full(len(block.ids), np.inf)
+        dist[a] = 0.0
+        block.spread(dist, np.array([a]), int(b))
+        if not np.isfinite(dist[b]):
+            return None
+        found = [b]
+        while found[-1] != a:  # the edge into a node that gave it its distance
+            v = found[-1]
+            into = slice(back.start[v], back.start[v + 1])
+            found.append(int(back.head[into][np.flatnonzero(dist[back.head[into]] + back.w[into] == dist[v])[0]]))
+        return [int(block.ids[k]) for k in reversed(found)], float(dist[b])
+
+    def solve(e: pa.Table, p: pa.Table) -> pa.Table:
+        src, dst, w = (e.column(c).to_numpy() for c in ("src", "dst", "w"))
+        block, back = Block(src, dst, w), Block(dst, src, w)
+        ways = [([o], 0.0) if o == d else way(block, back, o, d) for o, d in zip(p.column("o").to_pylist(), p.column("d").to_pylist(), strict=True)]
+        return pa.table({"run": p.column("run"), "nodes": pa.array([x and x[0] for x in ways], pa.list_(pa.int64())), "cost": pa.array([x and x[1] for x in ways], pa.float64())})
 
     own = edges.select(F.col("graph").alias("g"), "src", "dst", "w")
-    return own.groupBy("g").cogroup(pairs.groupBy("graph")).applyInPandas(solve, "run string, nodes array<long>, cost double")
+    return own.groupBy("g").cogroup(pairs.select("run", "graph", "o", "d").groupBy("graph")).applyInArrow(solve, "run string, nodes array<long>, cost double")
 
 
 def relax(edges: DataFrame, sources: DataFrame, save, rounds: int = 10_000) -> DataFrame:
@@ -126,25 +211,9 @@ def relax(edges: DataFrame, sources: DataFrame, save, rounds: int = 10_000) -> D
     return best.select("run", "node", "d")
 
 
-#: Edges of a graph that one task takes; about 1 GB in its Python worker.
-TASK_EDGES = 20_000_000
-
-
 def by_component(edges: DataFrame, sources: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, sources) with each component (node_id, comp) of a graph as a graph of its own; results are the same."""
     named = F.concat_ws("#", "graph", F.col("comp").cast("string"))
     of = lambda c: components.select(F.col("node_id").alias(c), "comp")
     parts = edges.join(of("src"), "src").select(named.alias("graph"), "src", "dst", "w")
     return parts, sources.join(of("node"), "node").select("run", named.alias("graph"), "reverse", "node")
-
-
-def search(edges: DataFrame, sources: DataFrame, shards: int = 1, most_edges: int = TASK_EDGES) -> DataFrame:
-    """multi_source for graphs of at most so many edges, relax for larger ones."""
-    from gradewalk.operators.tables import save
-
-    edges = save(edges, "graphs")
-    large = save(edges.groupBy("graph").agg(F.count("*").alias("n")).filter(F.col("n") > most_edges).select("graph"), "large-graphs")
-    if not large.take(1):
-        return multi_source(edges, sources, shards)
-    small = multi_source(edges.join(large, "graph", "left_anti"), sources.join(large, "graph", "left_anti"), shards)
-    return small.unionByName(relax(edges.join(large, "graph", "left_semi"), sources.join(large, "graph", "left_semi"), save))

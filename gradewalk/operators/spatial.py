@@ -7,13 +7,13 @@ full as a city block stays small; skewed cells are left to adaptive execution, w
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewalk.functions.geo import cell, distance, in_rings
-
-NEAR_LEVELS = 12
+from gradewalk.operators.tables import save
 
 
 def _celled(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -40,17 +40,21 @@ def nearest(left: DataFrame, key: str, right: DataFrame, radius: float, right_id
 
 
 def nearest_any(left: DataFrame, key: str, right: DataFrame, start: float, right_id: str, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
-    """Nearest right point without a limit: rings that double until every left row has its point."""
-    open_, done, radius = left.select(key, lx, ly), None, start
-    for _ in range(NEAR_LEVELS):
-        found = nearest(open_, key, right, radius, right_id, lx, ly, rx, ry)
-        hit = found.filter(F.col("d").isNotNull()).select(key, right_id, "d")
-        done = hit if done is None else done.unionAll(hit)
-        open_ = found.filter(F.col("d").isNull()).select(key, lx, ly)
-        if not open_.take(1):
-            break
-        radius *= 4
-    return left.join(done, key, "left")
+    """Nearest right point without a limit: the radius grows fourfold until every left row with coordinates has its point.
+
+    It ends when the radius spans both sides; rows are left without a point only if there are no right points."""
+    right = save(right.select(right_id, rx, ry).filter(F.col(rx).isNotNull() & F.col(ry).isNotNull()), "nearest-to")
+    open_ = save(left.select(key, lx, ly).filter(F.col(lx).isNotNull() & F.col(ly).isNotNull()), "nearest-of")
+    corners = open_.select(F.col(lx).alias("x"), F.col(ly).alias("y")).unionAll(right.select(rx, ry))
+    span = corners.agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    hits = []
+    while True:
+        found = save(nearest(open_, key, right, start, right_id, lx, ly, rx, ry), "nearest")
+        hits.append(found.filter("d IS NOT NULL").select(key, right_id, "d"))
+        open_ = found.filter("d IS NULL").select(key, lx, ly)
+        if start >= span or not open_.take(1):
+            return left.join(reduce(DataFrame.unionAll, hits), key, "left")
+        start *= 4
 
 
 def with_any(left: DataFrame, right: DataFrame, radius: float, key: str, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", how: str = "left_semi") -> DataFrame:

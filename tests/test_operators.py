@@ -43,7 +43,7 @@ def test_multi_source(spark, shards):
     wanted = {(r, k): v for (r, g, b), ns in runs.items() for k, v in dijkstra([(y, x, w) if b else (x, y, w) for x, y, w in edges[g]], ns).items() if k != 999}
     got = {(r["run"], r["node"]): r["d"] for r in paths.multi_source(frame, sources, shards).collect()}
     assert got == pytest.approx(wanted)
-    for most in (10**6, 0):  # in tasks, and by relaxation
+    for most in (10**6, 150, 17):  # in one block, and in several
         assert {(r["run"], r["node"]): r["d"] for r in paths.search(frame, sources.filter("node <> 999"), shards, most).collect()} == pytest.approx(wanted)
     parts = components.labelled(frame.filter("graph = 'a'").select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("v").alias("node_id"), F.col("component").alias("comp"))
     split = paths.by_component(frame.filter("graph = 'a'"), sources.filter("graph = 'a'"), parts)
@@ -60,6 +60,33 @@ def test_relaxation_ends_whole_or_raises(spark):
         paths.relax(chain, source, tables.save, 3)
 
 
+def test_blocks_of_a_street_grid(spark):
+    """Ways that leave a block and come back, and many blocks between source and target."""
+    rnd, side = random.Random(12), 14
+    es = [(a, b, rnd.uniform(1, 40)) for k in range(side * side) for n in ([k + 1] if k % side < side - 1 else []) + ([k + side] if k < side * (side - 1) else []) for a, b in ((k, n), (n, k))]
+    frame = spark.createDataFrame([("g", *e) for e in es], "graph string, src long, dst long, w double")
+    sources = spark.createDataFrame([("r1", "g", False, 0), ("r2", "g", True, 100), ("r2", "g", True, 7)], "run string, graph string, reverse boolean, node long")
+    wanted = {("r1", k): v for k, v in dijkstra(es, [0]).items()} | {("r2", k): v for k, v in dijkstra([(b, a, w) for a, b, w in es], [100, 7]).items()}
+    for most in (10**6, 120):
+        got = {(r["run"], r["node"]): r["d"] for r in paths.search(frame, sources, 1, most).collect()}
+        assert got == pytest.approx(wanted) and len(got) == 2 * side * side
+
+
+def test_many_runs_are_carried_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    es = random_edges(21, 40, 160)
+    edges = pa.table({"src": [e[0] for e in es], "dst": [e[1] for e in es], "w": [e[2] for e in es]})
+    entries = pa.table({"run": [f"r{k}" for k in range(30)], "reverse": [False] * 30, "node": list(range(30)), "d": [float(k % 3) for k in range(30)], "fresh": [True] * 30})
+    whole = paths._solve(edges, entries).to_pydict()
+    monkeypatch.setattr(paths, "STATES", 100)
+    parts = paths._solve(edges, entries).to_pydict()
+    key = lambda t: {(r, n): d for r, n, d in zip(t["run"], t["node"], t["d"], strict=True)}
+    assert key(whole) == key(parts)
+    has = {x for e in es for x in e[:2]}
+    assert key(whole) == pytest.approx({(f"r{s}", k): v + s % 3 for s in range(30) if s in has for k, v in dijkstra(es, [s]).items()})
+
+
 def test_single_paths(spark):
     es = random_edges(7)
     frame = spark.createDataFrame([("g", *e) for e in es], "graph string, src long, dst long, w double")
