@@ -200,6 +200,28 @@ def principal_axis(points: Column) -> Column:
     return F.struct((cx + low * F.cos(angle)).alias("ax"), (cy + low * F.sin(angle)).alias("ay"), (cx + high * F.cos(angle)).alias("bx"), (cy + high * F.sin(angle)).alias("by"), cx.alias("cx"), cy.alias("cy"))
 
 
+def box_axis(points: Column) -> Column:
+    """Middles of the short sides of the least rectangle around the points, in any rotation: struct<ax,ay,bx,by>.
+
+    Such a rectangle has a side along two of the hull's points, so the direction of every pair of points is tried."""
+    pair = lambda p, q: F.struct(F.atan2(q["y"] - p["y"], q["x"] - p["x"]).alias("t"))
+    turns = F.array_distinct(F.flatten(F.transform(points, lambda p: F.transform(F.filter(points, lambda q: (q["x"] > p["x"]) | ((q["x"] == p["x"]) & (q["y"] > p["y"]))), lambda q: pair(p, q)["t"]))))
+
+    def box(t: Column) -> Column:
+        u = F.transform(points, lambda p: p["x"] * F.cos(t) + p["y"] * F.sin(t))
+        v = F.transform(points, lambda p: p["y"] * F.cos(t) - p["x"] * F.sin(t))
+        wide, high = F.array_max(u) - F.array_min(u), F.array_max(v) - F.array_min(v)
+        return F.struct(F.round(wide * high, 6).alias("area"), t.alias("t"), F.array_min(u).alias("u0"), F.array_max(u).alias("u1"), F.array_min(v).alias("v0"), F.array_max(v).alias("v1"))
+
+    b = F.array_min(F.transform(turns, box))
+    lying = b["u1"] - b["u0"] >= b["v1"] - b["v0"]
+    um, vm = (b["u0"] + b["u1"]) / 2, (b["v0"] + b["v1"]) / 2
+    au, av = F.when(lying, b["u0"]).otherwise(um), F.when(lying, vm).otherwise(b["v0"])
+    bu, bv = F.when(lying, b["u1"]).otherwise(um), F.when(lying, vm).otherwise(b["v1"])
+    x, y = (lambda u, v: u * F.cos(b["t"]) - v * F.sin(b["t"])), (lambda u, v: u * F.sin(b["t"]) + v * F.cos(b["t"]))
+    return F.struct(x(au, av).alias("ax"), y(au, av).alias("ay"), x(bu, bv).alias("bx"), y(bu, bv).alias("by"))
+
+
 def compass(dx: Column, dy: Column) -> Column:
     """One of eight directions of a vector, north up."""
     names = F.array(*[F.lit(d) for d in ("N", "NE", "E", "SE", "S", "SW", "W", "NW")])

@@ -234,6 +234,16 @@ def nearest_named(stations: DataFrame, others: DataFrame) -> DataFrame:
     return met
 
 
+def far_namesakes(met: DataFrame, limit: float = 500.0) -> DataFrame:
+    """Rows of nearest_named whose namesake lies farther away than the limit: their coordinates want a look."""
+    return met.filter(F.col("d_m") > limit)
+
+
+def complete_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a value in each of the columns, such as both ends of a route or a facility."""
+    return rows.dropna("any", subset=columns)
+
+
 def first_match(names: DataFrame, sites: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """names with the first site (by order) whose name contains key.
 

@@ -111,6 +111,16 @@ def merge_nodes(links: DataFrame, m: Model = DEFAULT) -> tuple[DataFrame, DataFr
     return nodes.select("node_id", (F.col("kx") * m.snap_m).alias("x"), (F.col("ky") * m.snap_m).alias("y")), keyed.filter("u <> v").drop("_u", "_v")
 
 
+def merge_within(points: DataFrame, key: str, tolerance: float = 1.0) -> DataFrame:
+    """key and node: points (key, x, y) whose distances chain within a tolerance share the least key of the chain.
+
+    Rounding (merge_nodes) parts points on two sides of a grid line; this does not, and depends on no order of rows."""
+    other = points.select(F.col(key).alias("_o"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    pairs = within(points.select(key, "x", "y"), other, tolerance).filter(F.col(key) < F.col("_o"))
+    chains = labelled(pairs.select(F.col(key).alias("a"), F.col("_o").alias("b"))).withColumnRenamed("v", key)
+    return points.select(key).join(chains, key, "left").select(key, F.coalesce("component", key).alias("node"))
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows, distinct in `order`, with their rank from 0: counts by bucket of the first column, then ranks in buckets."""
     bucket = F.floor(F.col(order[0]) / 64)

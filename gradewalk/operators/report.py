@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def metric(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return found.groupBy("target").agg(F.min_by("value", "_k").alias("value"))
 
 
+def metric_names(tables: list[DataFrame]) -> DataFrame:
+    """metric: the sorted distinct metric names of several reports."""
+    return reduce(DataFrame.unionAll, [t.select("metric") for t in tables]).distinct().orderBy("metric")
+
+
 def bundle(fields: DataFrame) -> DataFrame:
     """One row `json` from fields (key, value, label, need array, optional): fields and the list of missing ones."""
     missing = F.col("value").isNull() & ~F.col("optional")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,34 +10,10 @@ from gradewalk.functions import cost, geo, text
 from gradewalk.operators import hbi, joins, network, paths, preview, raster, report, spatial, stats, whatif
 from gradewalk.plans import fixture, stages
 from gradewalk.plans.oracles import COSTS, EDGES, NET, WHEEL, ZONE_HOMES, both_ways, edge_rows, elder, full, gridded, interventions, q, rank, search, sensitivity, sloped
+from gradewalk.plans.registry import ORACLES, QUERIES, query, table
 from gradewalk.plans.synth import SIDE, SPIKE, X0, Y0, view
 from gradewalk.sources import files, stores, tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name; doubles are rounded to six places, as in the SQL."""
-
-    def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
-
-        QUERIES[f.__name__] = run
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def zoned(points: DataFrame, spark: SparkSession, sf_dir: str, key: str = "id") -> DataFrame:
     """points with adm_cd, adm_nm, gu of the zone they are in."""
     zones = view(spark, sf_dir, "zones").withColumn("ordinal", F.col("adm_cd"))

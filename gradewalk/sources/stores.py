@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewalk.functions.geo import in_rings
+
 
 def write_network(nodes: DataFrame, links: DataFrame, folder: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
@@ -41,3 +43,9 @@ def prefer(names: list[str], mark: str = "60") -> str | None:
 def in_boroughs(rows: DataFrame, code: str, boroughs: list[str]) -> DataFrame:
     """Rows whose code begins with one of the boroughs' five digits."""
     return rows.filter(F.substring(code, 1, 5).isin(boroughs))
+
+
+def zone_at(zones: DataFrame, x: float, y: float) -> DataFrame:
+    """Zones (rings and envelope) that a point, such as a study's centre, lies in."""
+    inside = F.lit(x).between(F.col("x0"), F.col("x1")) & F.lit(y).between(F.col("y0"), F.col("y1"))
+    return zones.filter(inside & in_rings(F.lit(x), F.lit(y), F.col("rings")))
