@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyarrow import fs
@@ -12,7 +13,7 @@ from gradewalk.config import CODES
 from gradewalk.functions import geo, text
 from gradewalk.operators import hbi, joins, network, preview, report, shapes, stats, whatif
 from gradewalk.operators.tables import shared_dir
-from gradewalk.plans.oracles import ZONE_HOMES, q, rank
+from gradewalk.plans.oracles import COSTS, EDGES, NET, ZONE_HOMES, both_ways, edge_rows, elder, gridded, interventions, q, rank, search
 from gradewalk.plans.queries import _scored, zoned
 from gradewalk.plans.registry import query, table
 from gradewalk.plans.synth import SIDE, X0, Y0, view
@@ -378,6 +379,74 @@ def zone_at_centre(spark, d):
     return stores.zone_at(view(spark, d, "zones").withColumn("rings", rings), 201010.0, 545910.0).select("adm_cd")
 
 
+# searches with another oracle each
+
+#: Facilities over the hill; a ramp is as fast as level ground.
+_DECKS = [("deck", "ramp", "planned", 200030.0, 545600.0, 201300.0, 546200.0), ("bridge", "ramp", "existing", 200040.0, 545210.0, 201160.0, 545700.0)]
+
+
+def _hub_sql(body: str, *more: str) -> str:
+    values = ", ".join(f"('{n}', '{t}', '{s}', {', '.join(f'{v}::DOUBLE' for v in at)})" for n, t, s, *at in _DECKS)
+    sql = re.sub(r"\(VALUES \('lift'.*?\) t\(facility", f"(VALUES {values}) t(facility", interventions(body, (*NET, "hubs", *more)), flags=re.DOTALL)
+    return sql.replace("FROM dests t", "FROM hubs t").replace("target = 'station'", "target = 'hub'")
+
+
+def _hub_times(spark, d) -> DataFrame:
+    facilities = spark.createDataFrame([(*f, None, None) for f in _DECKS], "facility string, type string, status string, ax double, ay double, bx double, by double, wait_s double, speed double")
+    nodes = view(spark, d, "nodes")
+    return whatif.intervention_times(nodes, view(spark, d, "links"), view(spark, d, "homes"), view(spark, d, "hubs"), whatif.facility_edges(facilities, nodes))
+
+
+@query(_hub_sql(f"SELECT facility, target, (gx + 0.5) * CAST(250 AS DOUBLE) AS cell_x, (gy + 0.5) * CAST(250 AS DOUBLE) AS cell_y, n_benefit, mean_saved_min FROM (SELECT facility, target, {gridded('ef')}, count(*) AS n_benefit, round(avg(saved) / 60, 6) AS mean_saved_min FROM ef WHERE ben GROUP BY ALL) g WHERE n_benefit >= 5"))
+def hub_intervention_grid(spark, d):
+    """Cells in which decks over the hill help at least five homes."""
+    return whatif.intervention_grid(_hub_times(spark, d))
+
+
+@query(_hub_sql("""SELECT facility, target, g.adm_cd, n_benefit, weight_benefit, weight_x_saved_min, weight_exit_high, weight_all FROM (
+ SELECT facility, target, adm_cd, count(*) FILTER (ben) AS n_benefit, round(sum(weight) FILTER (ben), 6) AS weight_benefit, round(sum(weight * saved / 60) FILTER (ben), 6) AS weight_x_saved_min, CASE WHEN count(*) FILTER (xh) >= 5 THEN round(sum(weight) FILTER (xh), 6) END AS weight_exit_high
+ FROM ef JOIN zones z ON ef.x >= z.x0 AND ef.x < z.x1 AND ef.y >= z.y0 AND ef.y < z.y1 GROUP BY ALL) g
+ JOIN (SELECT adm_cd, sum(weight) AS weight_all FROM homes h JOIN zones z ON h.x >= z.x0 AND h.x < z.x1 AND h.y >= z.y0 AND h.y < z.y1 GROUP BY adm_cd) a ON a.adm_cd = g.adm_cd WHERE n_benefit >= 5""", "zones"))
+def hub_intervention_district(spark, d):
+    own = zoned(view(spark, d, "homes"), spark, d).select("id", "adm_cd", "weight")
+    times = _hub_times(spark, d).join(own.select("id", "adm_cd"), "id")
+    return whatif.intervention_district(times, own.filter("adm_cd IS NOT NULL").groupBy("adm_cd").agg(F.sum("weight").alias("weight_all")))
+
+
+_ROUTES = [("up", 0, 4000), ("over", 500, 6000), ("here", 77, 77), ("down", 4000, 0), ("none", 3, 900_000)]
+_ROUTE_COSTS = {"elder": COSTS["elder"], "adult": f"({COSTS['elder']}) * 0.8 / 1.1", "wheel": COSTS["wheel"], "flat": COSTS["flat"]}
+_ROUTE_ROWS = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in _ROUTES) + ") p(name, o, d)), md AS (SELECT unnest(['elder', 'adult', 'wheel', 'flat']) AS mode)"
+
+
+@query(q(("nodes", "links"), "SELECT pr.name, md.mode, round(CASE WHEN pr.o = pr.d THEN 0 ELSE best.d END, 6) AS seconds, CASE WHEN mode = 'flat' THEN round(CASE WHEN pr.o = pr.d THEN 0 ELSE best.d END * 0.8, 6) END AS flat_m FROM pr CROSS JOIN md LEFT JOIN best ON best.run = pr.name || '|' || md.mode AND best.node = pr.d", ",\n".join([EDGES, _ROUTE_ROWS, search(edge_rows(_ROUTE_COSTS), "SELECT name || '|' || mode AS run, mode AS g, o AS node FROM pr, md")]), True))
+def route_seconds(spark, d):
+    """Times of the cheapest ways in four modes, and the length of the level one."""
+    pairs = spark.createDataFrame(_ROUTES, "name string, o long, d long")
+    found = whatif.routes(view(spark, d, "nodes"), view(spark, d, "links"), pairs)
+    return found.select("name", "mode", "seconds", F.when(F.col("mode") == "flat", F.col("length_m")).alias("flat_m"))
+
+
+@query(f"""WITH RECURSIVE px AS (SELECT i // 40 AS row, i % 40 AS col, 30 + 250 * exp(-(pow(200000 + (i % 40 + 0.5) * 50 - 201300, 2) + pow(547000 - (i // 40 + 0.5) * 50 - 546200, 2)) / CAST(320000 AS DOUBLE)) AS z FROM (SELECT range AS i FROM range(1600))),
+sl AS (SELECT a.row * 40 + a.col AS u, b.row * 40 + b.col AS v, 50 * sqrt(i * i + j * j) AS length, greatest(-0.4, least(0.4, (b.z - a.z) / (50 * sqrt(i * i + j * j)))) AS s, false AS is_stair FROM px a, (SELECT * FROM (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) o(i, j)) o JOIN px b ON b.row = a.row + i AND b.col = a.col + j),
+{both_ways()},
+{search(edge_rows({"elder": elder(), "flat": "length / 0.8"}), "SELECT run, g, node FROM (SELECT unnest([5 * 40 + 5, 30 * 40 + 20]) AS node), (SELECT * FROM (VALUES ('go', 'elder~'), ('back', 'elder'), ('flat', 'flat~')) r(run, g))")}
+SELECT CAST(node // 40 AS INT) AS row, CAST(node % 40 AS INT) AS col, round(CASE WHEN 2 * f < 1 THEN 1 ELSE (g + b) / (2 * f) END, 6) AS hbi FROM (SELECT node, max(d) FILTER (run = 'go') AS g, max(d) FILTER (run = 'back') AS b, max(d) FILTER (run = 'flat') AS f FROM best GROUP BY node)""")
+def raster_index(spark, d):
+    """The index on a raster of the hill, over eight neighbours of each pixel."""
+    row, col = F.expr("id div 40").cast("int"), (F.col("id") % 40).cast("int")
+    off = lambda v, at: (v - at) * (v - at)
+    z = 30 + 250 * F.exp(-(off(200000 + (col + 0.5) * 50, 201300) + off(547000 - (row + 0.5) * 50, 546200)) / 320000)
+    pixels = spark.range(1600).select(row.alias("row"), col.alias("col"), z.alias("z"))
+    return preview.raster_index(pixels, 50.0, spark.createDataFrame([(5, 5), (30, 20)], "row int, col int"))
+
+
+@query(q(("scored",), f"SELECT count(*) AS n_cells, round(sum(hbi_mean), 4) AS hbi_sum, greatest(10, ceil((list_sort(list(elder_min)))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] / 5) * 5)::DOUBLE AS cap FROM (SELECT {gridded('scored')}, count(*) AS n, avg(hbi) AS hbi_mean, median(t_elder) / 60 AS elder_min FROM scored WHERE hbi IS NOT NULL GROUP BY ALL HAVING count(*) >= 5)"))
+def viewer_scale(spark, d):
+    """The viewer's cells and its colour cap, parsed back from its JSON text."""
+    back = report.viewer_cells(hbi.grid(_scored(spark, d))).select(F.from_json("json", "cells array<array<double>>, cap double").alias("j"))
+    return back.select(F.size("j.cells").cast("long").alias("n_cells"), F.round(F.aggregate("j.cells", F.lit(0.0), lambda a, c: a + c[3]), 4).alias("hbi_sum"), "j.cap")
+
+
 # files written and read back
 
 

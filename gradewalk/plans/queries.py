@@ -211,9 +211,21 @@ def _reached(spark, d):
     return whatif.reached_links(times, links, minutes)
 
 
-@query(None)
+_AREAS = """lk AS (SELECT DISTINCT r.name, r.mode, r.minutes, r.u, r.v, a.x AS xu, a.y AS yu, b.x AS xv, b.y AS yv FROM rl r JOIN nodes a ON a.node_id = r.u JOIN nodes b ON b.node_id = r.v),
+sh AS (SELECT DISTINCT u, v, xu, yu, xv, yv FROM lk),
+gx AS (SELECT *, unnest(range(CAST(floor((least(xu, xv) - 25) / 5) AS BIGINT), CAST(floor((greatest(xu, xv) + 25) / 5) AS BIGINT) + 1)) AS gx FROM sh),
+gy AS (SELECT *, unnest(range(CAST(floor((least(yu, yv) - 25) / 5) AS BIGINT), CAST(floor((greatest(yu, yv) + 25) / 5) AS BIGINT) + 1)) AS gy FROM gx),
+tt AS (SELECT *, (gx + 0.5) * 5 - xu AS px, (gy + 0.5) * 5 - yu AS py, xv - xu AS dx, yv - yu AS dy FROM gy),
+nr AS (SELECT u, v, gx, gy FROM (SELECT *, greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) AS t FROM tt) WHERE sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) <= 25),
+ce AS (SELECT DISTINCT name, mode, minutes, gx, gy FROM lk JOIN nr USING (u, v)),
+ar AS (SELECT name, mode, minutes, count(*) * 25 / CAST(1000000 AS DOUBLE) AS area FROM ce GROUP BY ALL),
+ho AS (SELECT name, mode, minutes, count(*) AS n FROM homes h JOIN ce ON ce.gx = floor(h.x / 5) AND ce.gy = floor(h.y / 5) GROUP BY ALL)"""
+_REACHED = """rl AS (SELECT split_part(a.run, '|', 1) AS name, split_part(a.run, '|', 2) AS mode, minutes, u, v FROM links JOIN best a ON a.node = u JOIN best b ON b.node = v AND b.run = a.run, (SELECT unnest([5, 10, 15]) AS minutes) WHERE greatest(a.d, b.d) <= minutes * 60)"""
+
+
+@query(q(("nodes", "links", "homes"), "SELECT ar.name, ar.mode, ar.minutes, round(ar.area, 6) AS area_km2, round(ar.area / f.area, 6) AS ratio_to_flat, CASE WHEN n >= 5 THEN n END AS n_res_bld FROM ar LEFT JOIN ar f ON f.name = ar.name AND f.minutes = ar.minutes AND f.mode = 'flat' LEFT JOIN ho ON ho.name = ar.name AND ho.mode = ar.mode AND ho.minutes = ar.minutes", ",\n".join([EDGES, _ISO, search(edge_rows({k: COSTS[k] for k in ("elder", "flat", "wheel")}), "SELECT name || '|' || g AS run, g || '~' AS g, node FROM st, (SELECT unnest(['elder', 'flat', 'wheel']) AS g)"), _REACHED, _AREAS]), True))
 def isochrone_areas(spark, d):
-    """Areas of reached land, in 5 m cells (SQL has no buffers here)."""
+    """Areas of reached land, in 5 m cells, and the homes in them."""
     from gradewalk.operators.tables import save
 
     cells = save(whatif.cover_cells(_reached(spark, d), view(spark, d, "nodes")), "isochrones")

@@ -45,6 +45,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "torn": (("links",), "SELECT u, v, length, is_stair, flat FROM links WHERE (u * 3 + v) % 7 > 2"),
     "homes_wide": (("customer",), f"SELECT c_custkey AS id, {_spread('c_custkey', 7919, 104729, 0, 0, 1979, 1973)} FROM customer"),
     "dests": (("supplier",), f"SELECT s_suppkey AS id, {_spread('s_suppkey', 6151, 3079, 0, 0, 1993, 1987)}, CASE s_nationkey % 4 WHEN 0 THEN 'medical' WHEN 1 THEN 'bus' WHEN 2 THEN 'elderly' ELSE 'station' END AS target FROM supplier"),
+    # a few far destinations on one side, so that trips cross the hill
+    "hubs": (("region",), f"SELECT CAST(r_regionkey AS BIGINT) AS id, CAST({X0 + 20} AS DOUBLE) AS x, CAST({Y0 + 200} + 350 * r_regionkey AS DOUBLE) AS y, 'hub' AS target FROM region"),
     "points": (("events",), f"SELECT event_id AS id, {_spread('(user_id * 31 + event_id)', 613, 1103, 300, 300, 1409, 1423)}, value, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS period, event_type, props FROM events"),
     "zones": (("nation", "region"), f"""SELECT '11110' || lpad(CAST(n_nationkey AS VARCHAR(8)), 5, '0') AS adm_cd, '1101' || lpad(CAST(n_nationkey AS VARCHAR(8)), 4, '0') AS adm_cd_stat, n_name AS adm_nm, r_name AS gu,
  CAST({X0} + 400 * (n_nationkey % 5) AS DOUBLE) AS x0, CAST({Y0} + 400 * {_div('n_nationkey', 5)} AS DOUBLE) AS y0, CAST({X0} + 400 * (n_nationkey % 5 + 1) AS DOUBLE) AS x1, CAST({Y0} + 400 * ({_div('n_nationkey', 5)} + 1) AS DOUBLE) AS y1
