@@ -50,11 +50,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """source, source_size, n_docs, target; one row per source."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = running(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    ranked = running(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")}, stored=True)
     weighted = ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
     # in order of the level at which a source is full: the capped ones come first
     by_level = [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()]
-    filled = save(running(weighted, by_level, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}), "mix-filled")
+    filled = running(weighted, by_level, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}, stored=True)
     whole = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight_total"))
     filled = (
         filled.join(F.broadcast(whole))  # one row

@@ -504,6 +504,51 @@ def test_deep_path_parts_decide(spark):
     assert (got[1], got[2], got[100], got[101]) == ("block", "allow", "block", "allow")
 
 
+def test_url_query_against_brute_force(spark):
+    """Hosts, paths and list rules by plain string code, and the mined rules by counting every token set."""
+    import itertools
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        k = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:k])
+        return host, re.split(r"[?#]", rest[k:], maxsplit=1)[0]
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.LIST if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    def items(url, host, path):
+        labels, query = host.split("."), re.search(r"\?([^#]*)", url)
+        found = {"top:" + labels[-1], "site:" + ".".join(labels[-2:]), "scheme:" + url.split(":", 1)[0]} | {"sub:" + x for x in labels[:-2]}
+        found |= {"path:" + x for x in re.sub(r"[0-9]+", "#", path).split("/") if x}
+        return found | {"key:" + k.split("=", 1)[0] for k in (query[1].split("&") if query else []) if k.split("=", 1)[0]}
+
+    pages = [(r["page_id"], r["url"], *parts(r["url"])) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()]
+    listed = [(items(u, h, p), rule(h, p)[1]) for _, u, h, p in pages if rule(h, p)[0]]
+    least, count, said = max(urls.MIN_SUPPORT * len(listed), urls.MIN_COUNT), {}, {}
+    often = {t for t in set().union(*[i for i, _ in listed]) if sum(t in i for i, _ in listed) >= least}
+    for own, v in listed:
+        for n in range(1, len(own & often) + 1):
+            for part in itertools.combinations(sorted(own & often), n):
+                count[part] = count.get(part, 0) + 1
+                said[part, v] = said.get((part, v), 0) + 1
+    pool = {(p, v): (n / count[p], n / len(listed)) for (p, v), n in said.items() if n >= least and n / count[p] >= urls.MIN_CONFIDENCE}
+    rules = [(set(p), v, c) for (p, v), c in pool.items() if not any(w == v and set(q) < set(p) and c2[0] >= c[0] for (q, w), c2 in pool.items())]
+    wanted = []
+    for i, u, h, p in pages:
+        name, verdict = rule(h, p)
+        fits = [(round(c[0], 9), round(c[1], 9), v == "block") for t, v, c in rules if h and t <= items(u, h, p)]
+        wanted.append((i, h, p, name, verdict or ("block" if fits and max(fits)[2] else "allow")))
+    found = urls.op8_url_filters(spark, folder).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert same_rows(map(tuple, found), wanted)
+
+
 def test_urls_of_nothing(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
