@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from gradewalk.operators.tables import save
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], upto: bool = False) -> DataFrame:
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], upto: bool = False, stored: bool = False) -> DataFrame:
     """df with a column for each name in sums: its sum over the rows before (with upto: and including) each row.
 
-    order must tell all rows apart, or the places of equal rows are arbitrary. Sums of no rows are 0."""
-    df = save(df, "to-order")  # dealing by range reads its input twice
+    order must tell all rows apart, or the places of equal rows are arbitrary. Sums of no rows are 0. Dealing by range reads
+    df twice, so it is saved first, unless it is stored already or a small sum over what is."""
+    df = df if stored else save(df, "to-order")
     dealt = save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
     totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums.values())])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part only

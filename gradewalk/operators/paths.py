@@ -7,8 +7,7 @@ until nothing changes. A graph of one block, such as a city's streets, is done i
 as many rounds as a path crosses blocks, not as it has links. Ids are numbered by place (network.merge_nodes), so blocks
 are strips of the map; other ids give the same distances in more rounds.
 
-Components of a graph are independent, so with known components each is a graph of its own. `relax` is the same without
-blocks: a round for each link of the longest path, for graphs whose ids have no order."""
+Components of a graph are independent, so with known components each is a graph of its own."""
 
 from __future__ import annotations
 
@@ -23,6 +22,8 @@ from gradewalk.operators.tables import save
 BLOCK_EDGES = 2_000_000
 #: Distances (runs x nodes) that are carried at once; 8 bytes each.
 STATES = 16_000_000
+#: More than any path crosses blocks.
+ROUNDS = 1_000_000
 
 
 class Block:
@@ -110,22 +111,22 @@ def multi_source(edges: DataFrame, sources: DataFrame, shards: int = 1) -> DataF
     return dealt.groupBy("g", "part").cogroup(starts.groupBy("graph", "shard")).applyInArrow(_solve, "run string, node long, d double")
 
 
-def search(edges: DataFrame, sources: DataFrame, shards: int = 1, block_edges: int = BLOCK_EDGES) -> DataFrame:
+def search(edges: DataFrame, sources: DataFrame, shards: int = 1, block_edges: int = BLOCK_EDGES, rounds: int = ROUNDS) -> DataFrame:
     """run, node, d: the least cost between each node and the run's sources.
 
     edges: graph, src, dst, w. sources: run, graph, reverse (cost of going to a source rather than from it), node.
     Runs of a block are dealt over so many shards. Unreachable nodes have no row, and neither have sources at which no
-    edge of their graph begins or ends."""
+    edge of their graph begins or ends. Raises if distances of large graphs still change after so many rounds."""
     edges = save(edges.select("graph", "src", "dst", "w"), "graphs")
     ends = edges.groupBy("graph").agg(F.min(F.least("src", "dst")).alias("first_id"), F.max(F.greatest("src", "dst")).alias("last_id"), F.ceil(F.count("*") / block_edges).cast("int").alias("blocks"))
     if not ends.filter("blocks > 1").take(1):
         return multi_source(edges, sources, shards)
     large = save(ends.filter("blocks > 1"), "large-graphs")
     small = multi_source(edges.join(large, "graph", "left_anti"), sources.join(large, "graph", "left_anti"), shards)
-    return small.unionByName(_by_blocks(edges, sources, large, shards))
+    return small.unionByName(_by_blocks(edges, sources, large, shards, rounds))
 
 
-def _by_blocks(edges: DataFrame, sources: DataFrame, plan: DataFrame, shards: int, rounds: int = 1_000_000) -> DataFrame:
+def _by_blocks(edges: DataFrame, sources: DataFrame, plan: DataFrame, shards: int, rounds: int) -> DataFrame:
     """search over graphs of several blocks. plan: graph, first_id, last_id, blocks."""
     at = lambda node: F.floor((F.col(node) - F.col("first_id")).cast("double") * F.col("blocks") / (F.col("last_id") - F.col("first_id") + 1)).cast("int")
     keys = ["graph", "reverse", "block", "shard"]
@@ -189,28 +190,6 @@ def single_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.groupBy("g").cogroup(pairs.select("run", "graph", "o", "d").groupBy("graph")).applyInArrow(solve, "run string, nodes array<long>, cost double")
 
 
-def relax(edges: DataFrame, sources: DataFrame, save, rounds: int = 10_000) -> DataFrame:
-    """multi_source without grouping a graph into one task: every round extends the paths that became cheaper.
-
-    save(df) writes df where executors share it and reads it back, so that lineage stays short. Raises if paths could
-    still become cheaper after so many rounds."""
-    turned = sources.select("run", "graph", "reverse", "node")
-    best = save(turned.groupBy("run", "graph", "reverse", "node").agg(F.lit(0.0).alias("d")))
-    runs = save(best.select("run", "graph", "reverse").distinct())  # saved: every round joins it
-    front, both = best, edges.select("graph", F.lit(False).alias("reverse"), F.col("src").alias("node"), F.col("dst").alias("to"), "w")
-    both = save(both.unionAll(edges.select("graph", F.lit(True).alias("reverse"), F.col("dst").alias("node"), F.col("src").alias("to"), "w")))
-    for _ in range(rounds):
-        step = front.join(both, ["graph", "reverse", "node"]).groupBy("run", F.col("to").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
-        merged = save(best.select("run", "node", "d").join(step, ["run", "node"], "full").select("run", "node", F.least("d", "n").alias("d"), (F.col("d").isNull() | (F.col("n") < F.col("d") - 1e-9)).alias("new")))
-        front = merged.filter("new").join(runs, "run")
-        best = merged
-        if not front.take(1):
-            break
-    else:
-        raise RuntimeError(f"paths were still becoming cheaper after {rounds} rounds")
-    return best.select("run", "node", "d")
-
-
 def by_component(edges: DataFrame, sources: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, sources) with each component (node_id, comp) of a graph as a graph of its own; results are the same."""
     named = F.concat_ws("#", "graph", F.col("comp").cast("string"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradewalk.config import CODES
 from gradewalk.functions import geo, text
-from gradewalk.operators import hbi, joins, network, preview, report, shapes, stats, whatif
+from gradewalk.operators import hbi, joins, network, preview, report, shapes, spatial, stats, whatif
 from gradewalk.operators.tables import shared_dir
 from gradewalk.plans.oracles import COSTS, EDGES, NET, ZONE_HOMES, both_ways, edge_rows, elder, gridded, interventions, q, rank, search
 from gradewalk.plans.queries import _scored, zoned
@@ -210,6 +210,31 @@ def stair_connectors(spark, d):
     return network.stair_connectors(table(spark, d, "supplier").select(k.alias("ordinal"), ring.alias("ring")), view(spark, d, "nodes")).select("u", "v", "length", F.round("xm", 3).alias("xm"), F.round("ym", 3).alias("ym"))
 
 
+_CROSS = "a AS (SELECT n_nationkey AS line_id, CAST(10 * n_nationkey AS DOUBLE) AS c FROM nation), b AS (SELECT 100 + r_regionkey AS line_id, CAST(903 + 47 * r_regionkey AS DOUBLE) AS e FROM region), k AS (SELECT a.line_id AS la, b.line_id AS lb, (e - c) / 3 AS x FROM a, b), cut AS (SELECT line_id, unnest([0, 600])::DOUBLE AS x FROM (SELECT line_id FROM a UNION ALL SELECT line_id FROM b) UNION SELECT la, x FROM k UNION SELECT lb, x FROM k), pc AS (SELECT line_id, x AS x0, lead(x) OVER (PARTITION BY line_id ORDER BY x) AS x1 FROM cut)"
+
+
+@query(f"WITH {_CROSS} SELECT line_id, round({X0} + x0, 4) AS x0, round({X0} + x1, 4) AS x1, round({Y0} + coalesce(x0 + c, e - 2 * x0), 4) AS y0, round({Y0} + coalesce(x1 + c, e - 2 * x1), 4) AS y1 FROM pc LEFT JOIN a USING (line_id) LEFT JOIN b USING (line_id) WHERE x1 IS NOT NULL")
+def noding_oblique(spark, d):
+    """Two families of slanted lines, cut where they cross."""
+    point = lambda x, y: F.struct((F.lit(X0) + x).cast("double").alias("x"), (F.lit(Y0) + y).cast("double").alias("y"))
+    c, e = F.col("n_nationkey") * 10, 903 + F.col("r_regionkey") * 47
+    up = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("line_id"), F.array(point(F.lit(0), c), point(F.lit(600), c + 600)).alias("points"))
+    down = table(spark, d, "region").select((100 + F.col("r_regionkey")).cast("long").alias("line_id"), F.array(point(F.lit(0), e), point(F.lit(600), e - 1200)).alias("points"))
+    parts = network.node_lines(up.unionAll(down))
+    end = lambda k, v: F.round(F.element_at("points", k)[v], 4)
+    forward = end(1, "x") <= end(-1, "x")
+    pick = lambda k, v: F.when(forward, end(k, v)).otherwise(end(-k, v))
+    return parts.select(F.col("line_id").cast("int").alias("line_id"), pick(1, "x").alias("x0"), pick(-1, "x").alias("x1"), pick(1, "y").alias("y0"), pick(-1, "y").alias("y1"))
+
+
+@query(q(("homes", "zones"), "SELECT id, min(adm_cd) AS adm_cd FROM homes h LEFT JOIN zones z ON (h.x >= z.x0 AND h.x < z.x0 + 399 AND h.y >= z.y0 AND h.y < z.y0 + 133) OR (h.x >= z.x0 AND h.x < z.x0 + 133 AND h.y >= z.y0 AND h.y < z.y0 + 399) GROUP BY id"))
+def concave_zones(spark, d):
+    """Homes in L-shaped zones, through cells and the even-odd rule."""
+    z = view(spark, d, "zones").select("adm_cd", F.array(_ell(F.col("x0"), F.col("y0"), F.lit(66.5))).alias("rings"), "x0", "y0", "x1", "y1")
+    found = spatial.in_polygons(view(spark, d, "homes").withColumn("x", F.col("x") + 1e-7).withColumn("y", F.col("y") + 1e-7), "id", z, "adm_cd", spatial.inside_rings(), 100.0)
+    return found.select("id", "adm_cd")
+
+
 # lookups and roll-ups
 
 

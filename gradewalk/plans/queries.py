@@ -97,25 +97,27 @@ def sssp_back(spark, d):
     return _trips(spark, d).filter("back IS NOT NULL").select("node", F.col("back").alias("seconds"))
 
 
-def _relaxed(spark, d):
-    from gradewalk.operators.tables import save
-
+@query(ORACLES["sssp_back"])
+def sssp_relaxed(spark, d):
+    """The search of sssp_back with the network cut into blocks that hand their distances on, as graphs too large for a task are."""
     nodes = view(spark, d, "nodes")
     dests = hbi.destination_nodes(view(spark, d, "dests").filter("target = 'medical'"), nodes)
     sources = dests.select(F.lit("x").alias("run"), F.lit("elder").alias("graph"), F.lit(False).alias("reverse"), "node")
-    return paths.relax(cost.weights(sloped_links(spark, d), names=("elder",)), sources, save)
+    found = paths.search(cost.weights(sloped_links(spark, d), names=("elder",)), sources, block_edges=4_000)
+    return found.select("node", F.col("d").alias("seconds"))
 
 
-@query(q(("nodes", "links", "dests"), "SELECT node, round(d, 6) AS seconds FROM best WHERE d < 200", f"{EDGES},\ndn AS{_DN},\n{_ONE.replace('{g}', 'elder')}", True))
-def sssp_relaxed(spark, d):
-    """The frontier relaxation, for graphs too large for a task; of its distances the SQL asks for those under 200 s."""
-    return _relaxed(spark, d).filter("d < 200").select("node", F.col("d").alias("seconds"))
+_TRADE = "te AS (SELECT l_suppkey AS s, 1000000000 + l_partkey AS p, min(l_extendedprice / l_quantity) / 100 AS w FROM lineitem GROUP BY ALL)"
 
 
-@query(ORACLES["sssp_back"])
-def sssp_relaxed_all(spark, d):
-    """The frontier relaxation's distances of every node that is reached."""
-    return _relaxed(spark, d).select("node", F.col("d").alias("seconds"))
+@query(q((), "SELECT node, round(d, 6) AS cost FROM best", f"{_TRADE},\n" + search("SELECT 't' AS g, s AS src, p AS dst, w FROM te UNION ALL SELECT 't', p, s, w FROM te", "SELECT 'x' AS run, 't' AS g, s_suppkey AS node FROM supplier WHERE s_nationkey = 3"), True))
+def sssp_trade(spark, d):
+    """Least costs over who supplies what, from a nation's suppliers: a graph that grows with the tables, in blocks."""
+    pair = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), (1_000_000_000 + F.col("l_partkey")).alias("p")).agg((F.min(F.col("l_extendedprice") / F.col("l_quantity")) / 100).alias("w"))
+    way = F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("s").alias("dst")))).alias("e")
+    edges = pair.select(F.lit("t").alias("graph"), way, "w").select("graph", "e.*", "w")
+    sources = table(spark, d, "supplier").filter("s_nationkey = 3").select(F.lit("x").alias("run"), F.lit("t").alias("graph"), F.lit(False).alias("reverse"), F.col("s_suppkey").alias("node"))
+    return paths.search(edges, sources, block_edges=200_000).select("node", F.col("d").alias("cost"))
 
 
 def homes_hbi_of(spark, d):
@@ -613,15 +615,9 @@ def set_intersect(spark, d):
     return view(spark, d, "zones").select(F.col("adm_cd").alias("code")).intersect(view(spark, d, "codetab").select(text.digits(F.col("code")).alias("code")))
 
 
-@query("SELECT s_nationkey AS k, 'left' AS side FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 20) UNION ALL SELECT c_nationkey, 'right' FROM (SELECT c_nationkey FROM customer WHERE c_nationkey < 20 EXCEPT SELECT s_nationkey FROM supplier)")
-def set_except(spark, d):
-    left = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return joins.unmatched(left, table(spark, d, "customer").filter("c_nationkey < 20").select(F.col("c_nationkey").alias("k")), "k")
-
-
 @query("SELECT c_custkey AS k, 'left' AS side FROM (SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events) UNION ALL SELECT user_id, 'right' FROM (SELECT user_id FROM events EXCEPT SELECT c_custkey FROM customer)")
-def set_except_all(spark, d):
-    """Two whole key sets; set_except's SQL leaves out nations from 20 on."""
+def set_except(spark, d):
+    """Keys that only one of two tables has."""
     users = table(spark, d, "events").select(F.col("user_id").alias("k"))
     return joins.unmatched(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), users, "k")
 
@@ -642,15 +638,8 @@ def dedupe_first(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("l_partkey"))
 
 
-@query(q(("points",), "SELECT user_id, n, round(sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY user_id ORDER BY n), 6) AS arc FROM (SELECT id % 50 AS user_id, x, y, row_number() OVER w AS n, lag(x) OVER w AS px, lag(y) OVER w AS py FROM points WINDOW w AS (PARTITION BY id % 50 ORDER BY id)) WHERE n <= 40"))
-def arc_length(spark, d):
-    """Lengths of all points, of which the SQL asks for each group's first 40; arc_length_all returns every one."""
-    p = view(spark, d, "points").withColumn("user_id", F.col("id") % 50)
-    return network.running_lengths(p, ["user_id"], "id").filter("n <= 40").select("user_id", "n", "arc")
-
-
 @query(q(("points",), "SELECT user_id, id, n, round(sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS arc FROM (SELECT user_id, id, x, y, row_number() OVER w AS n, lag(x) OVER w AS px, lag(y) OVER w AS py FROM points JOIN events ON event_id = id WINDOW w AS (PARTITION BY user_id ORDER BY id))"))
-def arc_length_all(spark, d):
+def arc_length(spark, d):
     """The running length at every event, along its user's events."""
     users = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id")
     return network.running_lengths(view(spark, d, "points").join(users, "id"), ["user_id"], "id").select("user_id", "id", "n", F.round("arc", 3).alias("arc"))

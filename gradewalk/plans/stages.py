@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gradewalk.config import CODES, DEFAULT, Model
 from gradewalk.functions import text
 from gradewalk.operators import hbi, network, raster, spatial
+from gradewalk.operators.stats import quantiles
 from gradewalk.operators.tables import save
 
 
@@ -105,8 +106,9 @@ def wide_table(rows: DataFrame) -> DataFrame:
 def checks(nodes_built: int, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of sanity figures: kept nodes, missing heights, snapped homes, median index."""
     z = nodes.agg((F.count("*") / F.lit(nodes_built)).alias("kept_share"), F.avg(F.col("z").isNull().cast("double")).alias("height_missing"))
-    h = rows.agg(F.avg(F.col("node_id").isNotNull().cast("double")).alias("snapped_share"), F.percentile("hbi", F.lit(0.5)).alias("hbi_median"))
-    return z.join(F.broadcast(h), how="cross")
+    h = rows.agg(F.avg(F.col("node_id").isNotNull().cast("double")).alias("snapped_share"))
+    middle = quantiles(rows, [], {"hbi_median": ("hbi", 0.5)})
+    return z.join(F.broadcast(h), how="cross").join(F.broadcast(middle), how="cross")  # single rows
 
 
 def write(tables: dict[str, DataFrame], folder: str) -> None:

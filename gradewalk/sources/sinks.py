@@ -9,6 +9,7 @@ import sqlite3
 import struct
 import tempfile
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
     store.create_dir(os.path.dirname(place), recursive=True)
     with store.open_output_stream(place, compression=None) as out:
-        text = io.StringIO()
-        writer = csv.writer(text)
-        writer.writerow(df.columns)
-        for r in df.toLocalIterator():
-            writer.writerow(["" if v is None else v for v in r])
-        out.write(b"\xef\xbb\xbf" + text.getvalue().encode())
+        with io.TextIOWrapper(out, "utf-8-sig", newline="") as text:  # rows go out as they come
+            writer = csv.writer(text)
+            writer.writerow(df.columns)
+            writer.writerows(["" if v is None else v for v in r] for r in df.toLocalIterator())
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -92,9 +91,18 @@ def write_gpkg(df: DataFrame, path: str, table: str, geometry: str, kind: str, s
 
 
 def cell_wkb(x: Column, y: Column, size: Column) -> Column:
-    """The polygon of a grid cell; row by row in Python, for suppressed cells only."""
-    return F.udf(lambda a, b, c: wkb_polygon(square(a, b, c)), "binary")(x, y, size)
+    """The polygon of a grid cell, in batches of rows."""
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([wkb_polygon(square(*v)) for v in zip(a, b, c, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(x, y, size)
 
 
 def point_wkb(x: Column, y: Column) -> Column:
-    return F.udf(lambda a, b: wkb_point(a, b), "binary")(x, y)
+    """A point, in batches of rows."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([wkb_point(*v) for v in zip(a, b, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(x, y)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradewalk.config import DEFAULT
-from gradewalk.operators import components, hbi, joins, network, paths, raster, report, spatial, stats, tables, whatif
+from gradewalk.operators import components, hbi, joins, network, paths, raster, report, shapes, spatial, stats, tables, whatif
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -48,16 +48,37 @@ def test_multi_source(spark, shards):
     parts = components.labelled(frame.filter("graph = 'a'").select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("v").alias("node_id"), F.col("component").alias("comp"))
     split = paths.by_component(frame.filter("graph = 'a'"), sources.filter("graph = 'a'"), parts)
     assert {(r["run"], r["node"]): r["d"] for r in paths.multi_source(*split).collect()} == pytest.approx({k: v for k, v in wanted.items() if k[0] in ("r1", "r2")})
-    relaxed = {(r["run"], r["node"]): r["d"] for r in paths.relax(frame, sources.filter("node <> 999"), tables.save).collect()}
-    assert relaxed == pytest.approx(wanted)
 
 
-def test_relaxation_ends_whole_or_raises(spark):
+def test_outlines_hold_their_cells(spark):
+    rnd = random.Random(5)
+    ring_area = lambda r: sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r, r[1:], strict=False)) / 2
+    sets = {"box": [(x, y) for x in range(4) for y in range(3)], "hole": [(x, y) for x in range(5) for y in range(5) if (x, y) != (2, 2)], "touch": [(0, 0), (1, 1), (2, 0)], "noise": [(x, y) for x in range(30) for y in range(30) if rnd.random() < 0.6]}
+    rows = [(n, x - 7, y + 3) for n, c in sets.items() for x, y in c]
+    got = {r["n"]: r for r in shapes.outlines(spark.createDataFrame(rows, "n string, gx long, gy long"), ["n"], 5.0, 0.0).collect()}
+    for n, c in sets.items():
+        assert got[n]["area_m2"] == 25.0 * len(c) == sum(ring_area(r) for r in got[n]["rings"])  # holes count below zero
+        assert all(r[0] == r[-1] for r in got[n]["rings"])
+    assert len(got["box"]["rings"]) == 1 and len(got["box"]["rings"][0]) == 5
+    assert len(got["hole"]["rings"]) == 2 and len(got["touch"]["rings"]) == 3
+    smooth = shapes.outlines(spark.createDataFrame([("d", x, y) for x in range(-40, 40) for y in range(-40, 40) if x * x + y * y < 1500], "n string, gx long, gy long"), ["n"], 5.0, 10.0).first()
+    assert len(smooth["rings"][0]) < 40 and sum(ring_area(r) for r in smooth["rings"]) == pytest.approx(smooth["area_m2"], rel=0.03)
+
+
+def test_contraction_agrees_with_one_task(spark):
+    rnd = random.Random(6)
+    edges = [(rnd.randrange(20_000), rnd.randrange(20_000)) for _ in range(15_000)] + [(30_000 + k, 30_001 + k) for k in range(3_000)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    one = {r["v"]: r["component"] for r in components.labelled(frame).collect()}
+    assert {r["v"]: r["component"] for r in components.labelled(frame, 10).collect()} == one
+
+
+def test_blocks_end_whole_or_raise(spark):
     chain = spark.createDataFrame([("g", k, k + 1, 1.0) for k in range(6)], "graph string, src long, dst long, w double")
     source = spark.createDataFrame([("r", "g", False, 0)], "run string, graph string, reverse boolean, node long")
-    assert {r["node"]: r["d"] for r in paths.relax(chain, source, tables.save, 7).collect()} == {k: float(k) for k in range(7)}
-    with pytest.raises(RuntimeError, match="still becoming cheaper"):
-        paths.relax(chain, source, tables.save, 3)
+    assert {r["node"]: r["d"] for r in paths.search(chain, source, 1, 2).collect()} == {k: float(k) for k in range(7)}
+    with pytest.raises(RuntimeError, match="still changed"):
+        paths.search(chain, source, 1, 2, 2)
 
 
 def test_blocks_of_a_street_grid(spark):
@@ -455,7 +476,7 @@ def test_arc_length_query_reaches_every_event(spark, tmp_path):
 
     rows = spark.range(2600).selectExpr("id AS event_id", "id % 7 AS user_id", "cast(id AS double) AS value", "timestamp '2024-01-01 00:00:00' AS ts", "'a' AS event_type", "'{}' AS props")
     rows.write.parquet(f"{tmp_path}/events.parquet")
-    got = QUERIES["arc_length_all"](spark, f"{tmp_path}").collect()
+    got = QUERIES["arc_length"](spark, f"{tmp_path}").collect()
     assert {r["id"] for r in got} == set(range(2600)) and max(r["n"] for r in got) == 372
 
 
@@ -464,5 +485,5 @@ def test_set_except_query_compares_every_key(spark, tmp_path):
 
     spark.range(40).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(22, 45).selectExpr("id AS user_id").write.parquet(f"{tmp_path}/events.parquet")
-    got = {(r["k"], r["side"]) for r in QUERIES["set_except_all"](spark, f"{tmp_path}").collect()}
+    got = {(r["k"], r["side"]) for r in QUERIES["set_except"](spark, f"{tmp_path}").collect()}
     assert got == {(k, "left") for k in range(22)} | {(k, "right") for k in range(40, 45)}
