@@ -101,8 +101,8 @@ def outlines(cells: DataFrame, by: list[str], size: float, tolerance: float = 10
     """by, area_m2 (of the cells) and rings: the outlines of each group's cells (gx, gy), without points that matter less.
 
     A group is one task: an isochrone's, whose cells are bounded by its minutes."""
-    keys = cells.select(*by).schema
-    schema = keys.add("area_m2", "double").add("rings", f"array<{RING}>")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*by).schema)
+    schema = f"{keys}, area_m2 double, rings array<{RING}>"
 
     def run(group: pa.Table) -> pa.Table:
         rings = [r * size for r in cell_outlines(group.column("gx").to_numpy(), group.column("gy").to_numpy())]
