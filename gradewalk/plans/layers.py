@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.config import CODES
-from gradewalk.functions import geo, text
-from gradewalk.operators import hbi, joins, network, preview, report, shapes, spatial, stats, whatif
+from gradewalk.functions import cost, geo, text
+from gradewalk.operators import hbi, joins, network, paths, preview, report, shapes, spatial, stats, whatif
 from gradewalk.operators.tables import shared_dir
-from gradewalk.plans.oracles import COSTS, EDGES, NET, ZONE_HOMES, both_ways, edge_rows, elder, gridded, interventions, q, rank, search
+from gradewalk.plans.oracles import COSTS, EDGES, FULL, NET, ZONE_HOMES, both_ways, edge_rows, elder, gridded, interventions, q, rank, search
 from gradewalk.plans.queries import _scored, zoned
 from gradewalk.plans.registry import query, table
-from gradewalk.plans.synth import SIDE, X0, Y0, view
+from gradewalk.plans.synth import SIDE, X0, Y0, ctes, view
 from gradewalk.sources import files, sinks, stores, tables, vector
 
 # predicates and filters
@@ -438,6 +438,31 @@ def hub_intervention_district(spark, d):
     return whatif.intervention_district(times, own.filter("adm_cd IS NOT NULL").groupBy("adm_cd").agg(F.sum("weight").alias("weight_all")))
 
 
+_TOWN = ("nodes", "links", "homes", "dests")
+
+
+def _town_sql(body: str) -> str:
+    """The full search, asked of the growing town's views."""
+    return "WITH RECURSIVE " + ctes(*(f"town_{n}" for n in _TOWN)) + ",\n" + ",\n".join(f"{n} AS (SELECT * FROM town_{n})" for n in _TOWN) + ",\n" + FULL + "\n" + body
+
+
+@query(_town_sql("SELECT id, target, round(t_elder, 6) AS t_elder, round(t_flat, 6) AS t_flat, round(t_wheel, 6) AS t_wheel, round(hbi, 6) AS hbi FROM hh"))
+def town_index(spark, d):
+    """The index of homes in a town that grows with the tables."""
+    layer = lambda n: view(spark, d, f"town_{n}")
+    return hbi.run(layer("nodes"), layer("links"), layer("homes"), layer("dests")).select("id", "target", "t_elder", "t_flat", "t_wheel", "hbi")
+
+
+@query(_town_sql("SELECT node, round(d, 6) AS seconds FROM best WHERE run = 'medical|elder|back'"))
+def town_times(spark, d):
+    """Times from clinics to every node of the growing town, the network cut into blocks."""
+    nodes = view(spark, d, "town_nodes")
+    edges = cost.weights(hbi.sloped(nodes, view(spark, d, "town_links")), names=("elder",))
+    dests = hbi.destination_nodes(view(spark, d, "town_dests").filter("target = 'medical'"), nodes)
+    sources = dests.select(F.lit("x").alias("run"), F.lit("elder").alias("graph"), F.lit(False).alias("reverse"), "node")
+    return paths.search(edges, sources, block_edges=100_000).select("node", F.col("d").alias("seconds"))
+
+
 _ROUTES = [("up", 0, 4000), ("over", 500, 6000), ("here", 77, 77), ("down", 4000, 0), ("none", 3, 900_000)]
 _ROUTE_COSTS = {"elder": COSTS["elder"], "adult": f"({COSTS['elder']}) * 0.8 / 1.1", "wheel": COSTS["wheel"], "flat": COSTS["flat"]}
 _ROUTE_ROWS = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in _ROUTES) + ") p(name, o, d)), md AS (SELECT unnest(['elder', 'adult', 'wheel', 'flat']) AS mode)"

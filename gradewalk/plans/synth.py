@@ -47,6 +47,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "dests": (("supplier",), f"SELECT s_suppkey AS id, {_spread('s_suppkey', 6151, 3079, 0, 0, 1993, 1987)}, CASE s_nationkey % 4 WHEN 0 THEN 'medical' WHEN 1 THEN 'bus' WHEN 2 THEN 'elderly' ELSE 'station' END AS target FROM supplier"),
     # a few far destinations on one side, so that trips cross the hill
     "hubs": (("region",), f"SELECT CAST(r_regionkey AS BIGINT) AS id, CAST({X0 + 20} AS DOUBLE) AS x, CAST({Y0 + 200} + 350 * r_regionkey AS DOUBLE) AS y, 'hub' AS target FROM region"),
+    # a street grid of as many nodes as there are orders, over hills: it grows with the tables
+    "town": (("orders",), "SELECT o_orderkey AS node_id, CAST(floor(sqrt(CAST((SELECT count(*) FROM orders) AS DOUBLE))) AS BIGINT) AS side FROM orders"),
+    "town_nodes": (("town",), f"SELECT node_id, x, y, 120 + 70 * sin((x - {X0}) / 300) + 45 * cos((y - {Y0}) / 230) AS z FROM (SELECT node_id, CAST({X0} + {PITCH} * CAST(floor(node_id / side) AS BIGINT) AS DOUBLE) AS x, CAST({Y0} + {PITCH} * (node_id % side) AS DOUBLE) AS y FROM town WHERE node_id < side * side) t"),
+    "town_links": (("town",), f"""SELECT u, v, CAST({PITCH} AS DOUBLE) AS length, (u * 7 + v * 3) % 23 = 0 AS is_stair, (u * 5 + v) % 29 = 0 AS flat FROM (
+ SELECT node_id AS u, node_id + side AS v FROM town WHERE node_id < side * (side - 1) UNION ALL SELECT node_id AS u, node_id + 1 AS v FROM town WHERE node_id < side * side AND node_id % side < side - 1) l"""),
+    "town_homes": (("customer", "town"), f"SELECT c_custkey AS id, CAST({X0} + (c_custkey * 7919) % ({PITCH} * side) AS DOUBLE) AS x, CAST({Y0} + (c_custkey * 104729) % ({PITCH} * side) AS DOUBLE) AS y, CAST(144 * (1 + c_custkey % 5) AS DOUBLE) AS weight FROM customer CROSS JOIN (SELECT DISTINCT side FROM town) t"),
+    "town_dests": (("supplier", "town"), f"SELECT s_suppkey AS id, CAST({X0} + (s_suppkey * 6151) % ({PITCH} * side) AS DOUBLE) AS x, CAST({Y0} + (s_suppkey * 3079) % ({PITCH} * side) AS DOUBLE) AS y, CASE s_nationkey % 8 WHEN 0 THEN 'medical' ELSE 'shop' END AS target FROM supplier CROSS JOIN (SELECT DISTINCT side FROM town) t"),
     "points": (("events",), f"SELECT event_id AS id, {_spread('(user_id * 31 + event_id)', 613, 1103, 300, 300, 1409, 1423)}, value, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS period, event_type, props FROM events"),
     "zones": (("nation", "region"), f"""SELECT '11110' || lpad(CAST(n_nationkey AS VARCHAR(8)), 5, '0') AS adm_cd, '1101' || lpad(CAST(n_nationkey AS VARCHAR(8)), 4, '0') AS adm_cd_stat, n_name AS adm_nm, r_name AS gu,
  CAST({X0} + 400 * (n_nationkey % 5) AS DOUBLE) AS x0, CAST({Y0} + 400 * {_div('n_nationkey', 5)} AS DOUBLE) AS y0, CAST({X0} + 400 * (n_nationkey % 5 + 1) AS DOUBLE) AS x1, CAST({Y0} + 400 * ({_div('n_nationkey', 5)} + 1) AS DOUBLE) AS y1
