@@ -34,7 +34,7 @@ def building_predicates(spark, d):
 
 
 @query("""SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 < 2 AND s_suppkey % 6 NOT IN (1, 2, 3, 4)""")
-def open_city_places(spark, d):
+def city_places_open(spark, d):
     """Places of the city that are not closed, paused, cancelled or struck off."""
     k, n = F.col("s_suppkey") % 6, F.col("s_nationkey") % 3
     address = F.when(n == 0, "서울특별시 중구 1").when(n == 1, "서울 종로구 2").otherwise("부산광역시 3")
