@@ -55,18 +55,15 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     # in order of the level at which a source is full: the capped ones come first
     by_level = [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()]
     filled = running(weighted, by_level, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}, stored=True)
-    whole = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight_total"))
-    filled = (
-        filled.join(F.broadcast(whole))  # one row
-        .withColumn("left_over", F.col("total") - cap * F.col("size_before"))
-        .withColumn("weight_left", F.col("weight_total") - F.col("weight_before"))
-        .withColumn("capped", F.col("left_over") * F.col("weight") >= cap * F.col("source_size") * F.col("weight_left"))
-    )
+    whole = filled.agg(F.sum("source_size"), F.sum("weight")).first()  # two numbers
+    number = lambda v: F.lit(v).cast("long")
+    filled = filled.withColumn("left_over", number(whole[0]) - cap * F.col("size_before")).withColumn("weight_left", number(whole[1]) - F.col("weight_before"))
+    filled = filled.withColumn("capped", F.col("left_over") * F.col("weight") >= cap * F.col("source_size") * F.col("weight_left"))
     least = F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source", "left_over", "weight_left")
-    level = filled.agg(F.min(F.when(~F.col("capped"), least)).alias("level"))
-    share = F.col("level.left_over") * F.col("weight") / F.col("level.weight_left")
+    level = filled.agg(F.min(F.when(~F.col("capped"), least))).first()[0]  # the first source that is not full, if any
+    share = number(level and level["left_over"]) * F.col("weight") / number(level and level["weight_left"])
     target = F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(share)
-    return filled.join(F.broadcast(level)).select("source", "source_size", "n_docs", target.alias("target"))
+    return filled.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def _offsets(keyed: DataFrame) -> DataFrame:
