@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradewalk.llm import jaccard, lines, media, mixing, packing, quality, secrets, toxicity, urls, warc
+from gradewalk.llm import jaccard, lines, media, mixing, negatives, packing, quality, secrets, toxicity, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "quality_ablations": quality.quality_ablations,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
     "op9_line_dedup": lines.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
     "quality_ablations": quality.ABLATIONS,
 }
