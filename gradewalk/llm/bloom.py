@@ -56,6 +56,21 @@ def collected(rows: DataFrame, bits: int) -> bytes:
     return b"".join(found.get(s, empty) for s in range(SEGMENTS))
 
 
+def packed(hashes: DataFrame, n: int) -> tuple[bytes, int]:
+    """A filter of about n hashes (a column h), and the bits of a segment."""
+    bits = segment_bits(n)
+
+    def fill(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, part in by_segment(b.column(0).to_numpy().view(np.uint64)):
+                held.setdefault(s, np.zeros(bits, bool))[slots(part, bits).ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["seg", "bits"])
+
+    dealt = hashes.repartition(SEGMENTS // 4, F.shiftrightunsigned("h", 56))
+    return collected(dealt.mapInArrow(fill, "seg long, bits binary"), bits), bits
+
+
 def may_be_in(keys: DataFrame, columns: list[str]) -> Column:
     """A predicate over `columns` of another table: true for all rows of keys, and for few others.
 

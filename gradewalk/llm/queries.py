@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradewalk.llm import jaccard, lines, media, mixing, negatives, packing, quality, secrets, toxicity, urls, warc
+from gradewalk.llm import jaccard, lines, media, mixing, negatives, neighbours, packing, phrases, quality, secrets, toxicity, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_phrase_collocations": phrases.op12_phrase_collocations,
+    "op13_quality_neighbours": neighbours.op13_quality_neighbours,
     "quality_ablations": quality.quality_ablations,
 }
 
@@ -25,5 +27,6 @@ ORACLES = {
     "op9_line_dedup": lines.ORACLE,
     "op10_quality_rules": quality.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
+    "op12_phrase_collocations": phrases.ORACLE,
     "quality_ablations": quality.ABLATIONS,
 }
