@@ -7,13 +7,15 @@ points that two documents hold lose all their lines but those in the document of
    segment a hash that the once-seen filter already has is put into the twice-seen filter.
 2. Documents are read again; only keys that the twice-seen filter has are shuffled, and grouped by the key itself. That
    is exact: a false positive of the filter has one document only and falls out here.
-3. Each document gets the keys it has to drop, and loses those lines.
+3. Each text gets those of its own keys that its document has to drop, and loses those lines. Texts are told apart by a
+   hash beside the id, so rows of one id, or all rows without one, don't share a list that grows with their number.
 
 The twice-seen filter is broadcast at a bounded size (see bloom); when full it lets more keys through to the exact step,
 which changes the cost, not the result.
 
 Defined results: a null or empty text is one empty line; rows of equal doc_id are one document; null ids together are
-one document, after all others, so that of their common keys all rows keep the lines; other columns are carried in a
+one document, after all others, so that of their common keys all rows keep the lines; very long texts are split whole, in one
+row's memory; other columns are carried in a
 struct, so names like did can't clash; an empty table stays empty.
 """
 
@@ -63,7 +65,8 @@ class Segment:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), text_or_empty().alias("text"))
+    """did, tid (a hash of the text; texts of one hash only share their lists of keys) and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text_or_empty()).alias("tid"), text_or_empty().alias("text"))
 
 
 def twice_seen(docs: DataFrame, least: int = KEY_LEAST) -> tuple[bytes, int]:
@@ -90,32 +93,33 @@ def twice_seen(docs: DataFrame, least: int = KEY_LEAST) -> tuple[bytes, int]:
 
 
 def suspects(docs: DataFrame, least: int = KEY_LEAST) -> DataFrame:
-    """did and key of all keys that the twice-seen filter has, each once a row of docs."""
+    """did, tid and key of all keys that the twice-seen filter has, each once a row of docs."""
     twice, bits = twice_seen(docs, least)
     shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches):
         packed = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            ids, keys = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            keys, many = [], []
+            for t in b.column(2):
                 own = doc_keys(t.as_py(), least)
                 keys += own
-                ids += [i] * len(own)
+                many.append(len(own))
             h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            seen = np.flatnonzero(contains(packed, bits, h)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in seen], pa.int64()), pa.array([keys[k].decode() for k in seen], pa.string())], names=["did", "key"])
+            seen = np.flatnonzero(contains(packed, bits, h))
+            rows = pa.array(np.repeat(np.arange(b.num_rows), many)[seen])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([keys[k].decode() for k in seen.tolist()], pa.string())], names=["did", "tid", "key"])
 
-    return _identified(docs).mapInArrow(run, "did long, key string")
+    return _identified(docs).mapInArrow(run, "did long, tid long, key string")
 
 
 def drops(docs: DataFrame, least: int = KEY_LEAST) -> DataFrame:
-    """did and the array of keys that this document loses."""
+    """did, tid and the array of keys that this text loses: keys of its own."""
     suspected = save(suspects(docs, least), "line-suspects")
     held = suspected.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("first < last")
     held = save(held, "line-first")  # joined by an exchange of its own, a common line's partition can be split
     lost = suspected.join(held, "key").filter("did > first")
-    return lost.groupBy("did").agg(F.collect_set("key").alias("keys"))
+    return lost.groupBy("did", "tid").agg(F.collect_set("key").alias("keys"))
 
 
 def without(text: str, keys: list[str] | None) -> tuple[int, int, str]:
@@ -130,8 +134,8 @@ def without(text: str, keys: list[str] | None) -> tuple[int, int, str]:
 
 def _cleaned(docs: DataFrame, least: int) -> DataFrame:
     """docs with their columns packed in `row`, and n_lines, n_dropped, kept (the text left)."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"))
-    joined = packed.join(drops(docs, least), "did", "left").select("row", "text", "keys")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text_or_empty()).alias("tid"))
+    joined = packed.join(drops(docs, least), ["did", "tid"], "left").select("row", "text", "keys")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
