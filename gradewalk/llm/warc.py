@@ -16,6 +16,7 @@ any name, are not looked at; an empty table gives empty archives.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -176,8 +177,36 @@ def records(read_at: Callable[[int, int], bytes], size: int, start: int, end: in
             pos += 1
 
 
+def stated_digest(said: str | None) -> tuple[str, str] | None:
+    """Algorithm and bare lower-case hex of a digest in hex or base32; null if it is neither, or of an unknown algorithm."""
+    name, _, value = (said or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        found = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper().rstrip("=") + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError:
+        return None
+    return (name, found.hex()) if len(found) == size else None
+
+
+def described(r: Record) -> tuple:
+    """A record's row. Raises if its payload differs from its digest, unless the payload is stored in chunks."""
+    kind, said = r.headers.get("warc-type"), stated_digest(r.headers.get("warc-payload-digest"))
+    if kind == "revisit":
+        length, digest = r.http.get("content-length", ""), said[1] if said and said[0] == "sha1" else None
+        return r.headers.get("warc-record-id"), kind, r.headers.get("warc-target-uri"), digest, r.headers.get("warc-refers-to"), int(length) if length.isdigit() else None, None
+    if said and "transfer-encoding" not in r.http and hashlib.new(said[0], r.payload).hexdigest() != said[1]:
+        raise ValueError(f"payload of {r.headers.get('warc-record-id')} differs from its digest")
+    return r.headers.get("warc-record-id"), kind, r.headers.get("warc-target-uri"), hashlib.sha1(r.payload).hexdigest(), r.headers.get("warc-refers-to"), len(r.payload), r.payload
+
+
 def read(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """record_id, record_type, uri, digest, refers_to, payload_bytes, payload (null for revisits) of the archives of a manifest (path, bytes)."""
+    """record_id, record_type, uri, digest, refers_to, payload_bytes, payload of the archives of a manifest (path, bytes).
+
+    All kinds of records are read, from any writer: digest is the payload's SHA-1 in hex, of a revisit the stated one if it is
+    a SHA-1; a revisit has no payload, and its length only if its HTTP head tells it; headers that a record lacks are null."""
     splits = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     n = max(1, manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1)
     fields = "record_id string, record_type string, uri string, digest string, refers_to string, payload_bytes long, payload binary"
@@ -190,12 +219,7 @@ def read(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
                 with store.open_input_file(path) as f:
                     held, weight = [], 0
                     for r in records(lambda at, n, f=f: f.read_at(n, at), size, start, start + split_bytes):
-                        kind = r.headers["warc-type"]
-                        length = len(r.payload) if kind == "response" else int(r.http["content-length"])
-                        digest = hashlib.sha1(r.payload).hexdigest() if kind == "response" else r.headers["warc-payload-digest"].removeprefix("sha1:")
-                        if r.headers["warc-payload-digest"] != f"sha1:{digest}":
-                            raise ValueError(f"payload of {r.headers['warc-record-id']} differs from its digest")
-                        held.append((r.headers["warc-record-id"], kind, r.headers.get("warc-target-uri"), digest, r.headers.get("warc-refers-to"), length, r.payload if kind == "response" else None))
+                        held.append(described(r))
                         weight += len(r.payload)
                         if weight > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
