@@ -1,11 +1,23 @@
 """Shortest paths.
 
-Nodes of a graph are cut into blocks of neighbouring ids, as many as its edges need. A task holds one block's edges as
-flat arrays and carries the distances of all its runs at once from the nodes that became nearer to every node they reach
-(`Block.spread`); what it finds for nodes of other blocks is handed on, and blocks that got something nearer go again,
-until nothing changes. A graph of one block, such as a city's streets, is done in one round, and a country's takes about
-as many rounds as a path crosses blocks, not as it has links. Ids are numbered by place (network.merge_nodes), so blocks
-are strips of the map; other ids give the same distances in more rounds.
+A graph of up to BLOCK_EDGES edges, such as a city's streets, is one task: its edges are flat arrays, and the distances of
+all of its runs are carried at once from the nodes that became nearer to every node they reach (`Block.spread`).
+
+A larger graph is cut into cells of equally many edges. Nodes are numbered along a space-filling curve through their
+places, or by id where no places are given (ids are numbered by place, see network.merge_nodes), and a cell ends where its
+edges are counted, so neither far nor hashed ids fill one. Then:
+
+1. Each cell finds the distances between its border nodes inside it, and from the sources in it to them.
+2. These distances and the edges between cells are a smaller graph, the overlay, of border nodes only. Pairs that a third
+   border node lies between are left out. It is searched like any other graph, in one task or through its own overlay.
+3. Each cell carries the distances of its border nodes and sources to the rest of it.
+
+That takes the same few steps however far paths go. It pays where few nodes are border nodes, as on maps. Graphs whose
+nodes are nearly all border nodes (hashed ids without places, graphs without places at all) are searched by rounds
+instead: blocks that got something nearer from another block carry it on, until nothing changes; few steps cross such a
+graph. Both give the distances of the one task.
+
+Extra edges only lower distances: `lowered` starts from their ends and visits what gets nearer, for any number of runs.
 
 Components of a graph are independent, so with known components each is a graph of its own."""
 
@@ -13,13 +25,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewalk.operators.ordered import running
 from gradewalk.operators.tables import save
 
 #: Edges of a block: 24 bytes each as they come, about 200 while they are sorted into arrays.
 BLOCK_EDGES = 2_000_000
+#: Ends of edges in a cell of the overlay; a cell's work grows with the square root of it for each node.
+CELL_EDGES = 16_000
+#: The overlay is used where there are so many times more nodes than border nodes; border nodes of a cell up to which pairs are thinned out.
+OVERLAY_SHARE, THINNED = 3, 1_024
+#: By how much, of the whole way, sums of the same costs in another order may differ.
+ROUNDING = 1e-9
 #: Distances (runs x nodes) that are carried at once; 8 bytes each.
 STATES = 16_000_000
 #: More than any path crosses blocks.
@@ -38,7 +57,8 @@ class Block:
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.tail, self.head, self.w = a[first], b[first], w[first]
         self.start = np.searchsorted(self.tail, np.arange(len(self.ids) + 1))
-        self.step = 2 * float(self.w.mean()) if len(self.w) else 1.0
+        costly = self.w[self.w > 0]
+        self.step = 2 * float(costly.mean()) if len(costly) else 1.0
 
     def number(self, ids: np.ndarray) -> np.ndarray:
         """Numbers of ids, -1 for those that the block has no edge at."""
@@ -79,8 +99,8 @@ class Block:
 
 
 def _solve(edges: pa.Table, entries: pa.Table) -> pa.Table:
-    """run, node, d of the fresh entries and of all that got nearer from them. Entries: run, reverse, node, d, fresh."""
-    found = [(np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0))]
+    """run, reverse, node, d of the fresh entries and of all that got nearer from them. Entries: run, reverse, node, d, fresh."""
+    found = [(np.zeros(0, object), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0))]
     back, run, node, d, fresh = (entries.column(c).to_numpy() for c in ("reverse", "run", "node", "d", "fresh"))
     for reverse in (False, True):
         mine = np.flatnonzero(back == reverse)
@@ -98,71 +118,343 @@ def _solve(edges: pa.Table, entries: pa.Table) -> pa.Table:
             np.minimum.at(dist, state, d[mine[part]])
             start = np.unique(state[fresh[mine[part]]])
             got = np.union1d(start, block.spread(dist, start))
-            found.append((runs[low + got // n], block.ids[got % n], dist[got]))
-    r, v, x = (np.concatenate(c) for c in zip(*found, strict=True))
-    return pa.table({"run": pa.array(r, pa.string()), "node": pa.array(v, pa.int64()), "d": pa.array(x, pa.float64())})
+            found.append((runs[low + got // n], np.full(len(got), reverse), block.ids[got % n], dist[got]))
+    return _table(found)
+
+
+def _table(found: list[tuple]) -> pa.Table:
+    r, b, v, x = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table({"run": pa.array(r, pa.string()), "reverse": pa.array(b, pa.bool_()), "node": pa.array(v, pa.int64()), "d": pa.array(x, pa.float64())})
+
+
+def _of(graph: pa.Scalar, found: pa.Table) -> pa.Table:
+    return found.add_column(0, "graph", pa.array([graph.as_py()] * found.num_rows, pa.string()))
+
+
+_FOUND = "graph string, run string, reverse boolean, node long, d double"
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int").alias("shard")
+
+
+def _parts(shards: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part")
+
+
+def _entries(sources: DataFrame) -> DataFrame:
+    return sources.select("run", "graph", "reverse", "node", F.lit(0.0).alias("d"))
+
+
+def _one_block(edges: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
+    """A task for each graph and shard, both directions from one copy of the edges."""
+    dealt = edges.select(F.col("graph").alias("g"), "src", "dst", "w", _parts(shards))
+    starts = entries.select("run", "graph", "reverse", "node", "d", F.lit(True).alias("fresh"), _shard(shards))
+    return dealt.groupBy("g", "part").cogroup(starts.groupBy("graph", "shard")).applyInArrow(lambda key, e, x: _of(key[0], _solve(e, x)), _FOUND)
 
 
 def multi_source(edges: DataFrame, sources: DataFrame, shards: int = 1) -> DataFrame:
-    """search for graphs of one block each: one round, both directions from one copy of the edges."""
-    dealt = edges.select(F.col("graph").alias("g"), "src", "dst", "w", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
-    shard = F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int").alias("shard")
-    starts = sources.select("run", "graph", "reverse", "node", F.lit(0.0).alias("d"), F.lit(True).alias("fresh"), shard)
-    return dealt.groupBy("g", "part").cogroup(starts.groupBy("graph", "shard")).applyInArrow(_solve, "run string, node long, d double")
+    """search for graphs of one block each."""
+    return _one_block(edges, _entries(sources), shards).select("run", "node", "d")
 
 
-def search(edges: DataFrame, sources: DataFrame, shards: int = 1, block_edges: int = BLOCK_EDGES, rounds: int = ROUNDS) -> DataFrame:
+def search(edges: DataFrame, sources: DataFrame, shards: int = 1, block_edges: int = BLOCK_EDGES, rounds: int = ROUNDS, places: DataFrame | None = None, cell_edges: int = CELL_EDGES) -> DataFrame:
     """run, node, d: the least cost between each node and the run's sources.
 
-    edges: graph, src, dst, w. sources: run, graph, reverse (cost of going to a source rather than from it), node.
-    Runs of a block are dealt over so many shards. Unreachable nodes have no row, and neither have sources at which no
-    edge of their graph begins or ends. Raises if distances of large graphs still change after so many rounds."""
+    edges: graph, src, dst, w. sources: run, graph, reverse (cost of going to a source rather than from it), node. places
+    (node_id, x, y) make good cells of graphs that are too large for a task. Runs are dealt over so many shards. Unreachable
+    nodes have no row, and neither have sources at which no edge of their graph begins or ends. Raises if distances of
+    graphs that are searched by rounds still change after so many."""
     edges = save(edges.select("graph", "src", "dst", "w"), "graphs")
-    ends = edges.groupBy("graph").agg(F.min(F.least("src", "dst")).alias("first_id"), F.max(F.greatest("src", "dst")).alias("last_id"), F.ceil(F.count("*") / block_edges).cast("int").alias("blocks"))
-    if not ends.filter("blocks > 1").take(1):
-        return multi_source(edges, sources, shards)
-    large = save(ends.filter("blocks > 1"), "large-graphs")
-    small = multi_source(edges.join(large, "graph", "left_anti"), sources.join(large, "graph", "left_anti"), shards)
-    return small.unionByName(_by_blocks(edges, sources, large, shards, rounds))
+    return _search(edges, _entries(sources), shards, block_edges, rounds, places, cell_edges).select("run", "node", "d")
+
+
+def _large(edges: DataFrame, block_edges: int) -> DataFrame | None:
+    """The graphs that are too large for a task, stored."""
+    large = edges.groupBy("graph").count().filter(F.col("count") > block_edges).select("graph")
+    return save(large, "large-graphs") if large.take(1) else None
+
+
+def _search(edges: DataFrame, entries: DataFrame, shards: int, block_edges: int, rounds: int, places: DataFrame | None, cell_edges: int, overlays: bool = True) -> DataFrame:
+    """search from stored edges and from entries that may have come some way already: graph, run, reverse, node, d."""
+    large = _large(edges, block_edges)
+    if large is None:
+        return _one_block(edges, entries, shards)
+    small = _one_block(edges.join(large, "graph", "left_anti"), entries.join(large, "graph", "left_anti"), shards)
+    edges, entries = edges.join(large, "graph", "left_semi"), save(entries.join(large, "graph", "left_semi"), "entries")
+    if overlays:
+        cells = numbered(edges, min(block_edges, cell_edges), places)
+        marked = save(with_blocks(edges, cells), "cells")
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("sb").alias("block")), F.struct(F.col("dst").alias("node"), F.col("db").alias("block")))).alias("end")
+        borders = save(marked.filter("sb <> db").select("graph", ends).select("graph", "end.*").distinct(), "borders")
+        if borders.count() * OVERLAY_SHARE <= cells.count():
+            return small.unionByName(_over(marked, borders, entries, cells, shards, block_edges, rounds, places, cell_edges))
+    blocks = numbered(edges, block_edges, places)
+    return small.unionByName(_by_rounds(with_blocks(edges, blocks), blocks, entries, shards, rounds))
+
+
+def _curve(places: DataFrame) -> DataFrame:
+    """node and z, its place along a curve that visits squares of a 65,536 x 65,536 grid quarter by quarter."""
+    x0, y0, x1, y1 = places.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    side = max((x1 or 0.0) - (x0 or 0.0), (y1 or 0.0) - (y0 or 0.0), 1e-9)
+    at = lambda c, low: F.floor((F.col(c) - F.lit(low)) / F.lit(side) * 65_535).cast("long")
+
+    def apart(v: Column) -> Column:  # its bits, each followed by a zero
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return places.select(F.col("node_id").alias("node"), apart(at("x", x0)).bitwiseOR(F.shiftleft(apart(at("y", y0)), 1)).alias("z"))
+
+
+def numbered(edges: DataFrame, most: int, places: DataFrame | None = None) -> DataFrame:
+    """graph, node and block, stored: the ends of edges at the nodes of a block are at most `most`, or those of its last node more."""
+    ends = edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph", "node").agg(F.count("*").alias("n"))
+    if places is not None:
+        ends = ends.join(_curve(places).groupBy("node").agg(F.min("z").alias("z")), "node", "left")
+    order = ["graph", *(["z"] if places is not None else []), "node"]
+    placed = running(ends, [F.col(c) for c in order], {"before": F.col("n")})
+    return save(placed.select("graph", "node", F.floor(F.col("before") / most).alias("block")), "numbered")
+
+
+def with_blocks(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """edges with sb and db, the blocks of their ends."""
+    of = lambda node, block: blocks.select("graph", F.col("node").alias(node), F.col("block").alias(block))
+    return edges.join(of("src", "sb"), ["graph", "src"]).join(of("dst", "db"), ["graph", "dst"]).select("graph", "src", "dst", "w", "sb", "db")
+
+
+def _between(block: Block, at: np.ndarray) -> np.ndarray:
+    """Distances between some nodes of a block."""
+    n, found = len(block.ids), np.empty((len(at), len(at)))
+    most = max(1, STATES // max(n, 1))
+    for low in range(0, len(at), most):
+        part = at[low : low + most]
+        start = np.arange(len(part)) * n + part
+        dist = np.full(len(part) * n, np.inf)
+        dist[start] = 0.0
+        block.spread(dist, start)
+        found[low : low + most] = dist.reshape(-1, n)[:, at]
+    return found
+
+
+def _thinned(d: np.ndarray) -> np.ndarray:
+    """Which pairs have to be kept, so that sums over kept pairs give all distances.
+
+    A pair goes if both legs over a third node are shorter than it and add up to it."""
+    keep = np.isfinite(d) & ~np.eye(len(d), dtype=bool)
+    if len(d) <= THINNED:
+        most = d * (1 + 1e-12)
+        for c in range(len(d)):
+            to, on = d[:, c : c + 1], d[c : c + 1]
+            keep &= ~((to + on <= most) & (to < d) & (on < d))
+    return keep
+
 
+def _across(key: tuple, cell: pa.Table, entries: pa.Table) -> pa.Table:
+    """What the overlay needs of a cell: edges between its border nodes (run is null, src to node), and entries at them."""
+    src, dst, w = (cell.column(c).to_numpy() for c in ("src", "dst", "w"))
+    borders = np.unique(src[cell.column("border").to_numpy(zero_copy_only=False)])
+    found = _solve(cell, entries)
+    found = found.filter(pa.array(np.isin(found.column("node").to_numpy(), borders)))
+    block = Block(src, dst, w)
+    d = _between(block, block.number(borders))
+    a, b = np.nonzero(_thinned(d))
+    pairs = _table([(np.full(len(a), None, object), np.zeros(len(a), bool), borders[b], d[a, b])])
+    ends = pa.concat_arrays([pa.array(borders[a]), pa.nulls(found.num_rows, pa.int64())])
+    return _of(key[0], pa.concat_tables([pairs, found])).append_column("src", ends)
 
-def _by_blocks(edges: DataFrame, sources: DataFrame, plan: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """search over graphs of several blocks. plan: graph, first_id, last_id, blocks."""
-    at = lambda node: F.floor((F.col(node) - F.col("first_id")).cast("double") * F.col("blocks") / (F.col("last_id") - F.col("first_id") + 1)).cast("int")
+
+def _over(marked: DataFrame, borders: DataFrame, entries: DataFrame, cells: DataFrame, shards: int, block_edges: int, rounds: int, places: DataFrame | None, cell_edges: int) -> DataFrame:
+    """The search through the overlay of border nodes."""
+    inner = marked.filter("sb = db").select("graph", F.col("sb").alias("block"), "src", "dst", "w", F.lit(False).alias("border"))
+    loops = borders.select("graph", "block", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("border"))
+    inner = save(inner.unionByName(loops), "inner")
+    placed = save(entries.join(cells, ["graph", "node"]).select("run", "graph", "reverse", "node", "d", F.lit(True).alias("fresh"), "block"), "placed")
+    left = inner.select(F.col("graph").alias("g"), F.col("block").alias("b"), "src", "dst", "w", "border").groupBy("g", "b")
+    found = save(left.cogroup(placed.groupBy("graph", "block")).applyInArrow(_across, f"{_FOUND}, src long"), "across")
+    between = found.filter("run IS NULL").select("graph", "src", F.col("node").alias("dst"), F.col("d").alias("w"))
+    overlay = save(between.unionByName(marked.filter("sb <> db").select("graph", "src", "dst", "w")), "overlay")
+    smaller = overlay.count() * 2 <= marked.count()
+    at = _search(overlay, found.filter("run IS NOT NULL").drop("src"), shards, block_edges, rounds, places, cell_edges, smaller)
+    met = at.join(borders, ["graph", "node"]).select("run", "graph", "reverse", "node", "d", F.lit(True).alias("fresh"), "block").unionByName(placed).withColumn("shard", _shard(shards))
+    dealt = inner.select(F.col("graph").alias("g"), F.col("block").alias("b"), "src", "dst", "w", _parts(shards)).groupBy("g", "b", "part")
+    return dealt.cogroup(met.groupBy("graph", "block", "shard")).applyInArrow(lambda key, e, x: _of(key[0], _solve(e, x)), _FOUND)
+
+
+def _blocks_of(edges: pa.Table, nodes: np.ndarray) -> np.ndarray:
+    """The blocks of nodes at edges with sb and db."""
+    ids, first = np.unique(np.concatenate([edges.column("src").to_numpy(), edges.column("dst").to_numpy()]), return_index=True)
+    blocks = np.concatenate([edges.column("sb").to_numpy(), edges.column("db").to_numpy()])[first]
+    return blocks[np.searchsorted(ids, nodes)] if len(nodes) else np.zeros(0, np.int64)
+
+
+def _merged(state: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """The least distance of each node, and whether it is news: found in another block, and nearer than what is known.
+
+    What a block found for its own nodes has been carried on; what another found for them has not."""
+    both = state.select(*keys, "d", F.lit(True).alias("known")).unionByName(found.select(*keys, "d", (F.col("by") == F.col("block")).alias("known")))
+    least = both.groupBy(*keys).agg(F.min(F.when(F.col("known"), F.col("d"))).alias("own"), F.min(F.when(~F.col("known"), F.col("d"))).alias("other"))
+    fresh = F.col("other").isNotNull() & (F.col("own").isNull() | (F.col("other") < F.col("own")))
+    return least.select(*keys, F.least("own", "other").alias("d"), fresh.alias("fresh"))
+
+
+def _held(marked: DataFrame, shards: int) -> DataFrame:
+    """Edges by block: an edge belongs to its source's block; in searches towards the sources, to its target's."""
+    way = F.explode(F.array(F.struct(F.lit(False).alias("reverse"), F.col("sb").alias("block")), F.struct(F.lit(True).alias("reverse"), F.col("db").alias("block")))).alias("way")
+    return marked.select("graph", way, "src", "dst", "w", "sb", "db").select("graph", "way.*", _parts(shards), "src", "dst", "w", "sb", "db")
+
+
+def _by_rounds(marked: DataFrame, blocks: DataFrame, entries: DataFrame, shards: int, rounds: int) -> DataFrame:
+    """search over graphs of several blocks that hand distances on."""
     keys = ["graph", "reverse", "block", "shard"]
-    # an edge belongs to its source's block; in searches towards the sources, to its target's
-    way = F.explode(F.array(F.struct(F.lit(False).alias("reverse"), at("src").alias("block")), F.struct(F.lit(True).alias("reverse"), at("dst").alias("block")))).alias("way")
-    held = edges.join(plan, "graph").select("graph", way, "src", "dst", "w").select("graph", "way.*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "src", "dst", "w")
-    held = save(held.join(sources.select("graph", "reverse").distinct(), ["graph", "reverse"], "left_semi"), "blocks")
-    runs = save(sources.join(plan, "graph").select("run", "graph", "reverse", "first_id", "last_id", "blocks", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int").alias("shard")).distinct(), "runs")
-    nodes = edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    first = sources.join(nodes, ["graph", "node"], "left_semi").join(runs, ["run", "graph", "reverse"])
-    state = save(first.select("run", *keys[:2], at("node").alias("block"), "shard", "node", F.lit(0.0).alias("d"), F.lit(True).alias("fresh")).distinct(), "distances")
-
-    def solve(key, block: pa.Table, entries: pa.Table) -> pa.Table:
-        found = _solve(block, entries)
-        return found.append_column("by", pa.array([key[2].as_py()] * found.num_rows, pa.int32()))
+    held = _held(marked, shards).withColumnRenamed("part", "shard")
+    held = save(held.join(entries.select("graph", "reverse").distinct(), ["graph", "reverse"], "left_semi"), "blocks")
+    state = save(entries.join(blocks, ["graph", "node"]).select("run", *keys[:3], _shard(shards), "node", "d", F.lit(True).alias("fresh")).distinct(), "distances")
+
+    def solve(key, block: pa.Table, rows: pa.Table) -> pa.Table:
+        found = _of(key[0], _solve(block, rows))
+        own = pa.array(np.full(found.num_rows, key[2].as_py()), pa.int64())
+        return found.append_column("block", pa.array(_blocks_of(block, found.column("node").to_numpy()), pa.int64())).append_column("by", own)
 
     for _ in range(rounds):
         active = state.filter("fresh").select(*keys).distinct()
-        entries = state.join(active, keys, "left_semi")
-        needed = held.join(active, keys, "left_semi").select(*[F.col(k).alias(f"{k}_") for k in keys], "src", "dst", "w")
-        found = needed.groupBy(*[f"{k}_" for k in keys]).cogroup(entries.groupBy(*keys)).applyInArrow(solve, "run string, node long, d double, by int")
-        found = found.join(runs, "run").select("run", *keys[:2], at("node").alias("block"), "shard", "node", "d", "by")
-        # what a block found for its own nodes has been carried on; what another found for them has not
-        both = state.select("run", *keys, "node", "d", F.lit(True).alias("known")).unionByName(found.select("run", *keys, "node", "d", (F.col("by") == F.col("block")).alias("known")))
-        least = both.groupBy("run", *keys, "node").agg(F.min(F.when(F.col("known"), F.col("d"))).alias("own"), F.min(F.when(~F.col("known"), F.col("d"))).alias("other"))
-        fresh = F.col("other").isNotNull() & (F.col("own").isNull() | (F.col("other") < F.col("own")))
-        state = save(least.select("run", *keys, "node", F.least("own", "other").alias("d"), fresh.alias("fresh")), "distances")
+        needed = held.join(active, keys, "left_semi").select(*[F.col(k).alias(f"{k}_") for k in keys], "src", "dst", "w", "sb", "db")
+        found = needed.groupBy(*[f"{k}_" for k in keys]).cogroup(state.join(active, keys, "left_semi").groupBy(*keys)).applyInArrow(solve, f"{_FOUND}, block long, by long")
+        state = save(_merged(state, found.withColumn("shard", _shard(shards)), ["run", *keys, "node"]), "distances")
         if not state.filter("fresh").take(1):
-            return state.select("run", "node", "d")
+            return state.select("graph", "run", "reverse", "node", "d")
     raise RuntimeError(f"distances still changed after {rounds} rounds")
 
 
-def single_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def _lower(edges: pa.Table, rows: pa.Table) -> pa.Table:
+    """run, reverse, node, d of what fresh rows lower. Rows without a run are the base's; all rows go one way."""
+    reverse = bool(rows.column("reverse")[0].as_py())
+    block = Block(*(edges.column(c).to_numpy() for c in (("dst", "src") if reverse else ("src", "dst"))), edges.column("w").to_numpy())
+    run, of, node, d, fresh = (rows.column(c).to_numpy() for c in ("run", "of", "node", "d", "fresh"))
+    place, base, n = block.number(node), np.array([r is None for r in run], bool), len(block.ids)
+    found = [(np.zeros(0, object), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0))]
+    for name in np.unique(of[~base]):
+        ground = np.full(n, np.inf)
+        mine = base & (of == name) & (place >= 0)
+        ground[place[mine]] = d[mine]
+        mine = np.flatnonzero(~base & (of == name) & (place >= 0))
+        runs, number = np.unique(run[mine], return_inverse=True)
+        most = max(1, STATES // max(n, 1))
+        for low in range(0, len(runs), most):
+            part = (number >= low) & (number < low + most)
+            state, value, news = (number[part] - low) * n + place[mine[part]], d[mine[part]], fresh[mine[part]].astype(bool)
+            dist = np.tile(ground, min(most, len(runs) - low))
+            np.minimum.at(dist, state[~news], value[~news])
+            nearer = news.copy()
+            nearer[news] = value[news] < dist[state[news]]
+            np.minimum.at(dist, state[nearer], value[nearer])
+            start = np.unique(state[nearer])
+            got = np.union1d(start, block.spread(dist, start))
+            found.append((runs[low + got // n], np.full(len(got), reverse), block.ids[got % n], dist[got]))
+    return _table(found)
+
+
+def lowered(edges: DataFrame, base: DataFrame, extra: DataFrame, block_edges: int = BLOCK_EDGES, rounds: int = ROUNDS, places: DataFrame | None = None) -> DataFrame:
+    """run, node, d of the nodes that extra edges bring nearer than they are in the base run.
+
+    base: of, graph, reverse, node, d, as a search found them (of is its run). extra: run, of, graph, reverse, src, dst, w; a
+    run may have several edges, and its ways may take any of them in turn. Only blocks in which something gets nearer are
+    visited, with one copy of their edges for all runs."""
+    edges, base = save(edges.select("graph", "src", "dst", "w"), "graphs"), base.select("of", "graph", "reverse", "node", "d")
+    to, fro = (F.when(F.col("reverse"), F.col(a)).otherwise(F.col(b)) for a, b in (("src", "dst"), ("dst", "src")))
+    ways = save(extra.select("run", "of", "graph", "reverse", fro.alias("fro"), to.alias("to"), "w"), "extra")
+    large = _large(edges, block_edges)
+    if large is None:
+        place = lambda rows: rows.withColumn("block", F.lit(0).cast("long"))
+        marked = edges.select("*", F.lit(0).cast("long").alias("sb"), F.lit(0).cast("long").alias("db"))
+    else:
+        blocks = numbered(edges, block_edges, places)
+        place = lambda rows: rows.join(blocks, ["graph", "node"])
+        marked = with_blocks(edges, blocks)
+    keys = ["graph", "reverse", "block"]
+    held, ground = save(_held(marked, 1).drop("part"), "blocks"), save(place(base), "base")
+    ends = ways.select("of", "graph", F.explode(F.array("fro", "to")).alias("node")).distinct()
+    ends = save(ground.join(ends, ["of", "graph", "node"], "left_semi").select("of", "graph", "node", F.col("d").alias("known")), "ends")
+    own = ["run", "of", *keys, "node"]
+
+    def steps(at: DataFrame) -> DataFrame:
+        """The extra edges' next entries from known distances (run, of, graph, node, d) of their ends, where they lower the base."""
+        met = ways.join(at.select("run", F.col("node").alias("fro"), "d"), ["run", "fro"]).select("run", "of", "graph", "reverse", F.col("to").alias("node"), (F.col("d") + F.col("w")).alias("d"))
+        better = met.join(ends, ["of", "graph", "node"], "left").filter(F.col("known").isNull() | (F.col("d") < F.col("known")))
+        return place(better.drop("known")).select(*own, "d", F.lit(None).cast("long").alias("by"))
+
+    first = ways.select("run", "of", "graph", F.col("fro").alias("node")).distinct().join(ends, ["of", "graph", "node"]).withColumnRenamed("known", "d")
+    state = save(steps(first).groupBy(*own).agg(F.min("d").alias("d")).withColumn("fresh", F.lit(True)), "lowered")
+
+    def solve(key, block: pa.Table, rows: pa.Table) -> pa.Table:
+        found = _of(key[0], _lower(block, rows)) if rows.num_rows else _of(key[0], _table([(np.zeros(0, object), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0))]))
+        by = pa.array(np.full(found.num_rows, key[2].as_py()), pa.int64())
+        return found.append_column("block", pa.array(_blocks_of(block, found.column("node").to_numpy()), pa.int64())).append_column("by", by)
+
+    of_run = ways.select("run", "of").distinct()
+    for _ in range(rounds):
+        if not state.filter("fresh").take(1):
+            low = state.join(base.select("of", "graph", "node", F.col("d").alias("was")), ["of", "graph", "node"], "left")
+            return low.filter(F.col("was").isNull() | (F.col("d") < F.col("was"))).select("run", "node", "d")
+        active = state.filter("fresh").select(*keys).distinct()
+        needed = held.join(active, keys, "left_semi").select(*[F.col(k).alias(f"{k}_") for k in keys], "src", "dst", "w", "sb", "db")
+        rows = state.select("run", "of", *keys, "node", "d", "fresh").unionByName(ground.select(F.lit(None).cast("string").alias("run"), "of", *keys, "node", "d", F.lit(False).alias("fresh"))).join(active, keys, "left_semi")
+        found = needed.groupBy(*[f"{k}_" for k in keys]).cogroup(rows.groupBy(*keys)).applyInArrow(solve, f"{_FOUND}, block long, by long")
+        found = save(found.join(of_run, "run").select(*own, "d", "by"), "lower")
+        news = found.unionByName(steps(found)).withColumn("by", F.coalesce("by", F.lit(-1)))
+        state = save(_merged(state, news, own), "lowered")
+    raise RuntimeError(f"distances still changed after {rounds} rounds")
+
+
+def single_paths(edges: DataFrame, pairs: DataFrame, shards: int = 1, block_edges: int = BLOCK_EDGES, places: DataFrame | None = None) -> DataFrame:
     """run, nodes (array, origin first) and cost for pairs (run, graph, o, d); null where there is no way.
 
-    A graph is one task; of equally cheap ways the one whose last differing step leaves the smaller node."""
+    Of equally cheap ways the one whose last differing step leaves the smaller node. A graph of up to block_edges edges is
+    one task; in larger ones the ways are walked over stored distances (_walked)."""
+    edges, pairs = save(edges.select("graph", "src", "dst", "w"), "graphs"), pairs.select("run", "graph", "o", "d")
+    large = _large(edges, block_edges)
+    if large is None:
+        return _within(edges, pairs)
+    small = _within(edges.join(large, "graph", "left_anti"), pairs.join(large, "graph", "left_anti"))
+    edges, pairs = edges.join(large, "graph", "left_semi"), save(pairs.join(large, "graph", "left_semi"), "pairs")
+    return small.unionByName(_walked(edges, pairs, shards, block_edges, places))
+
+
+def _walked(edges: DataFrame, pairs: DataFrame, shards: int, block_edges: int, places: DataFrame | None) -> DataFrame:
+    """single_paths in graphs of many blocks.
+
+    Searched from both ends, a node is on a cheapest way where both distances add up to the whole cost. Joins leave the
+    edges between such nodes that use up their distance; these few are walked back from the target."""
+    away = F.concat(F.lit("o"), "run").alias("run"), "graph", F.lit(False).alias("reverse"), F.col("o").alias("node")
+    back = F.concat(F.lit("d"), "run").alias("run"), "graph", F.lit(True).alias("reverse"), F.col("d").alias("node")
+    found = save(_search(edges, _entries(pairs.select(*away).unionAll(pairs.select(*back))), shards, block_edges, ROUNDS, places, CELL_EDGES), "both-ends")
+    side = lambda letter, name: found.filter(F.substring("run", 1, 1) == letter).select(F.expr("substring(run, 2)").alias("run"), "graph", "node", F.col("d").alias(name))
+    gone, left = side("o", "gone"), side("d", "left")
+    costs = save(gone.withColumnRenamed("node", "d").join(pairs, ["run", "graph", "d"]).filter("o <> d").select("run", F.col("gone").alias("cost")), "costs")
+    slack = (F.col("cost") + 1) * ROUNDING
+    near = save(gone.join(left, ["run", "graph", "node"]).join(costs, "run").filter(F.col("gone") + F.col("left") <= F.col("cost") + slack).select("run", "graph", "node", "gone", "cost"), "on-ways")
+    tail, head = near.select("run", "graph", F.col("node").alias("src"), F.col("gone").alias("a"), "cost"), near.select("run", "graph", F.col("node").alias("dst"), F.col("gone").alias("b"))
+    tight = edges.join(tail, ["graph", "src"]).join(head, ["run", "graph", "dst"]).filter(F.abs(F.col("a") + F.col("w") - F.col("b")) <= slack)
+    steps = tight.select("run", "src", "dst", (F.col("a") >= F.col("b")).alias("level")).distinct().join(pairs.select("run", "o", "d"), "run")
+
+    def walk(rows: pa.Table) -> pa.Table:
+        into: dict[int, list[tuple[bool, int]]] = {}
+        for src, dst, level in zip(*(rows.column(c).to_pylist() for c in ("src", "dst", "level")), strict=True):
+            into.setdefault(dst, []).append((level, src))
+        o, way, seen = rows.column("o")[0].as_py(), [rows.column("d")[0].as_py()], set()
+        while way and way[-1] != o:  # steps that cost nothing may lead round; they come last, and dead ends are left
+            seen.add(way[-1])
+            on = [(level, v) for level, v in into.get(way[-1], []) if v not in seen]
+            way = [*way, min(on)[1]] if on else way[:-1]
+        return pa.table({"run": rows.column("run").slice(0, 1), "nodes": pa.array([way[::-1]], pa.list_(pa.int64()))})
+
+    ways = steps.groupBy("run").applyInArrow(walk, "run string, nodes array<long>")  # a group is what lies on one pair's cheapest ways
+    here = pairs.filter("o = d").select("run", F.array("o").alias("nodes"), F.lit(0.0).alias("cost"))
+    return here.unionByName(pairs.filter("o <> d").select("run").join(ways, "run", "left").join(costs, "run", "left").select("run", "nodes", "cost"))
+
+
+def _within(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """single_paths in graphs of one block each."""
 
     def way(block: Block, back: Block, o: int, d: int) -> tuple[list[int], float] | None:
         a, b = block.number(np.array([o, d]))

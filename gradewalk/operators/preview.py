@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradewalk.config import DEFAULT, Model
 from gradewalk.functions.cost import cheapest_edges, weights
 from gradewalk.operators.hbi import ratio
-from gradewalk.operators.paths import multi_source
+from gradewalk.operators.paths import search
 from gradewalk.operators.raster import grid_links
 
 
@@ -20,7 +20,8 @@ def raster_index(pixels: DataFrame, size: float, targets: DataFrame, m: Model =
     edges = cheapest_edges(weights(links, m, ("elder", "flat")))
     start = targets.select((F.col("row").cast("long") * F.lit(1 << 31) + F.col("col")).alias("node"))
     runs = F.array(*[F.struct(F.lit(n).alias("run"), F.lit(g).alias("graph"), F.lit(b).alias("reverse")) for n, g, b in (("go", "elder", True), ("back", "elder", False), ("flat", "flat", True))])
-    found = multi_source(edges, start.select(F.explode(runs).alias("r"), "node").select("r.*", "node"))
+    at = pixels.select((F.col("row").cast("long") * F.lit(1 << 31) + F.col("col")).alias("node_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    found = search(edges, start.select(F.explode(runs).alias("r"), "node").select("r.*", "node"), places=at)
     pick = lambda n: F.max(F.when(F.col("run") == n, F.col("d")))
     wide = found.groupBy("node").agg((pick("go") + pick("back")).alias("e"), (2 * pick("flat")).alias("f"))
     h = F.when(F.col("f") < 1, 1.0).otherwise(ratio(F.col("e"), F.col("f")))

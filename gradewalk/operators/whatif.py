@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from gradewalk.config import CODES, DEFAULT, FACILITY, SENSITIVITY, Model
 from gradewalk.functions.cost import cheapest_edges, weights
 from gradewalk.functions.geo import cell, cell_centre, distance
-from gradewalk.operators.hbi import destination_nodes, ratio, round_trips, sloped, snap
-from gradewalk.operators.paths import search, single_paths
+from gradewalk.operators.hbi import destination_nodes, legs, ratio, round_trips, sloped, snap
+from gradewalk.operators.paths import lowered, search, single_paths
 from gradewalk.operators.spatial import nearest_any
 from gradewalk.operators.stats import quantiles, share_below, spearman
+from gradewalk.operators.tables import save
 
 ALL = "ALL"
 
@@ -63,27 +64,37 @@ def facility_edges(facilities: DataFrame, nodes: DataFrame, m: Model = DEFAULT)
 def intervention_times(nodes: DataFrame, links: DataFrame, homes: DataFrame, dests: DataFrame, facility: DataFrame, m: Model = DEFAULT) -> DataFrame:
     """One row for each facility (and ALL: those not yet there), target and home: times before and after.
 
-    facility is what facility_edges gives; its edges go both ways at the same time in the elder and the wheelchair graph."""
-    base = weights(sloped(nodes, links, m), m, ("elder", "flat", "wheel"))
+    facility is what facility_edges gives; its edges go both ways at the same time in the elder and the wheelchair graph. New
+    edges only lower times, so each facility visits just what it brings nearer, from one copy of the network."""
+    edges = save(cheapest_edges(weights(sloped(nodes, links, m), m, ("elder", "flat", "wheel"))), "weights")
+    before = save(legs(edges, destination_nodes(dests, nodes, m), 1, places=nodes), "before")
     each = facility.select(F.col("facility").alias("scenario"), "u", "v", "seconds").unionAll(facility.filter("status <> 'existing'").select(F.lit(ALL).alias("scenario"), "u", "v", "seconds"))
+    each = save(each, "facilities")
     names = each.select("scenario").distinct()
-    ways = each.select("scenario", F.col("u").alias("src"), F.col("v").alias("dst"), "seconds").unionAll(each.select("scenario", F.col("v").alias("src"), F.col("u").alias("dst"), "seconds"))
-    tagged = lambda s: F.concat(s, F.lit("/"), F.col("graph"))
-    old = base.select(tagged(F.lit("before")).alias("graph"), "src", "dst", "w")
-    new = base.filter("graph <> 'flat'").join(F.broadcast(names), how="cross").select(tagged(F.col("scenario")).alias("graph"), "src", "dst", "w")  # a few scenarios
-    extra = ways.withColumn("graph", F.explode(F.array(F.lit("elder"), F.lit("wheel")))).select(tagged(F.col("scenario")).alias("graph"), "src", "dst", F.col("seconds").alias("w"))
-    trips = round_trips(old.unionAll(new).unionAll(extra), destination_nodes(dests, nodes, m), 1)
-    total, part = F.col("go") + F.col("back"), F.split("graph", "/")
-    pick = lambda g, name: F.max(F.when(part[1] == g, total)).alias(name)
-    before = trips.filter(part[0] == "before").groupBy("target", "node").agg(pick("elder", "elder0"), pick("flat", "flat0"), pick("wheel", "wheel0"))
-    after = trips.filter(part[0] != "before").groupBy(part[0].alias("facility"), "target", "node").agg(pick("elder", "elder1"), pick("wheel", "wheel1"))
-    before = before.select(F.col("target").alias("_t"), F.col("node").alias("_n"), "elder0", "flat0", "wheel0")
+    run = F.concat_ws("|", "target", "leg", "graph")
+    searched = before.filter("graph <> 'flat'").select("target", "leg", "graph").distinct()
+    way = F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("way")
+    extra = each.join(F.broadcast(searched), how="cross").select(F.concat_ws("|", "scenario", run).alias("run"), run.alias("of"), "graph", (F.col("leg") == "go").alias("reverse"), way, F.col("seconds").alias("w"))  # a few targets, legs and graphs
+    base = before.filter("graph <> 'flat'").select(run.alias("of"), "graph", (F.col("leg") == "go").alias("reverse"), "node", "d")
+    low = lowered(edges, base, extra.select("run", "of", "graph", "reverse", "way.*", "w"), places=nodes)
+    tail = F.substring_index("run", "|", -3)  # what a facility is called may hold anything
+    part = F.split(tail, r"\|")
+    legs_of = [(g, leg, f"{g}_{leg}") for g in ("elder", "flat", "wheel") for leg in ("go", "back")]
+    pick = lambda g, leg, name: F.max(F.when((F.col("graph") == g) & (F.col("leg") == leg), F.col("d"))).alias(name)
+    was = before.groupBy(F.col("target").alias("_t"), F.col("node").alias("_n")).agg(*[pick(*x) for x in legs_of])
+    now = low.select(F.substring("run", F.lit(1), F.length("run") - F.length(tail) - 1).alias("facility"), part[0].alias("target"), part[1].alias("leg"), part[2].alias("graph"), "node", "d")
+    now = now.groupBy("facility", F.col("target").alias("_t"), F.col("node").alias("_n")).agg(*[pick(g, leg, f"new_{name}") for g, leg, name in legs_of if g != "flat"])
     snapped = snap(homes, "id", nodes, m.origin_snap_m).filter("node_id IS NOT NULL")
-    met = snapped.join(after, F.col("node_id") == F.col("node")).drop("node")
-    return met.join(before, (F.col("node_id") == F.col("_n")) & (F.col("target") == F.col("_t")), "left").drop("_t", "_n")
+    every = snapped.join(F.broadcast(names.withColumnRenamed("scenario", "facility")), how="cross").join(F.broadcast(before.select("target").distinct()), how="cross")  # a row for each home, facility and target is what is asked for
+    on = (F.col("node_id") == F.col("_n")) & (F.col("target") == F.col("_t"))
+    met = every.join(was, on, "left").drop("_t", "_n").join(now.withColumnRenamed("facility", "_f"), on & (F.col("facility") == F.col("_f")), "left").drop("_t", "_n", "_f")
+    met = met.filter(F.coalesce(*[F.col(c) for c in met.columns if c.startswith(("elder_", "wheel_", "new_"))]).isNotNull())
+    total = lambda g, new: (F.coalesce(F.col(f"new_{g}_go"), F.col(f"{g}_go")) if new else F.col(f"{g}_go")) + (F.coalesce(F.col(f"new_{g}_back"), F.col(f"{g}_back")) if new else F.col(f"{g}_back"))
+    return met.select(*snapped.columns, "facility", "target", total("elder", True).alias("elder1"), total("wheel", True).alias("wheel1"), total("elder", False).alias("elder0"), total("flat", False).alias("flat0"), total("wheel", False).alias("wheel0"))
 
 
-def _effects(times: DataFrame, m: Model) -> DataFrame:
+def effects(times: DataFrame, m: Model = DEFAULT) -> DataFrame:
+    """times with saved, benefit, newly, wheel_benefit, the index before and after, and whether a band was left."""
     ok = F.col("elder0").isNotNull() & F.col("elder1").isNotNull()
     saved = F.when(ok, F.col("elder0") - F.col("elder1")).otherwise(0.0)
     newly = F.col("wheel0").isNull() & F.col("wheel1").isNotNull()
@@ -96,7 +107,7 @@ def intervention_summary(times: DataFrame, m: Model = DEFAULT) -> DataFrame:
     """Fourteen columns for each facility and target."""
     ben = lambda c: F.when(F.col("benefit"), c)
     n_high = F.count_if("exit_high")
-    return _effects(times, m).groupBy("facility", "target").agg(
+    return effects(times, m).groupBy("facility", "target").agg(
         F.count_if("benefit").alias("n_benefit"), F.coalesce(F.sum(ben(F.col("weight"))), F.lit(0.0)).alias("weight_benefit"), (F.avg(ben(F.col("saved"))) / 60).alias("mean_saved_min"), (F.max(ben(F.col("saved"))) / 60).alias("max_saved_min"),
         (F.coalesce(F.sum(ben(F.col("saved"))), F.lit(0.0)) / 60).alias("sum_saved_bld_min"), F.avg(ben(F.col("h0"))).alias("hbi_before"), F.avg(ben(F.col("h1"))).alias("hbi_after"), F.count_if("newly").alias("wheel_newly_reachable"), F.count_if("wheel_benefit").alias("wheel_benefit"),
         n_high.alias("n_exit_high"), F.when(n_high >= m.min_count, F.sum(F.when(F.col("exit_high"), F.col("weight")))).alias("weight_exit_high"), F.count_if("exit_mid").alias("n_exit_mid"),
@@ -105,7 +116,7 @@ def intervention_summary(times: DataFrame, m: Model = DEFAULT) -> DataFrame:
 
 def intervention_grid(times: DataFrame, m: Model = DEFAULT) -> DataFrame:
     size = m.grid_m
-    found = _effects(times, m).filter("benefit").groupBy("facility", "target", cell(F.col("x"), size).alias("gx"), cell(F.col("y"), size).alias("gy")).agg(F.count("*").alias("n_benefit"), (F.avg("saved") / 60).alias("mean_saved_min"))
+    found = effects(times, m).filter("benefit").groupBy("facility", "target", cell(F.col("x"), size).alias("gx"), cell(F.col("y"), size).alias("gy")).agg(F.count("*").alias("n_benefit"), (F.avg("saved") / 60).alias("mean_saved_min"))
     return found.filter(F.col("n_benefit") >= m.min_count).select("facility", "target", cell_centre(F.col("gx"), size).alias("cell_x"), cell_centre(F.col("gy"), size).alias("cell_y"), "n_benefit", "mean_saved_min")
 
 
@@ -113,7 +124,7 @@ def intervention_district(times: DataFrame, weight_all: DataFrame, m: Model = DE
     """Roll-up of times with adm_cd; weight_all has adm_cd and weight_all of every usable home."""
     n_high = F.count_if("exit_high")
     ben = lambda c: F.when(F.col("benefit"), c)
-    found = _effects(times, m).filter("adm_cd IS NOT NULL").groupBy("facility", "target", "adm_cd").agg(F.count_if("benefit").alias("n_benefit"), F.sum(ben(F.col("weight"))).alias("weight_benefit"), F.sum(ben(F.col("weight") * F.col("saved") / 60)).alias("weight_x_saved_min"), F.when(n_high >= m.min_count, F.sum(F.when(F.col("exit_high"), F.col("weight")))).alias("weight_exit_high"))
+    found = effects(times, m).filter("adm_cd IS NOT NULL").groupBy("facility", "target", "adm_cd").agg(F.count_if("benefit").alias("n_benefit"), F.sum(ben(F.col("weight"))).alias("weight_benefit"), F.sum(ben(F.col("weight") * F.col("saved") / 60)).alias("weight_x_saved_min"), F.when(n_high >= m.min_count, F.sum(F.when(F.col("exit_high"), F.col("weight")))).alias("weight_exit_high"))
     return found.filter(F.col("n_benefit") >= m.min_count).join(weight_all, "adm_cd", "left")
 
 
@@ -123,7 +134,7 @@ def isochrone_times(nodes: DataFrame, links: DataFrame, points: DataFrame, m: Mo
     starts = nearest_any(points.select("name", "x", "y"), "name", near, 100.0, "node_id").select("name", F.col("node_id").alias("node"))
     edges = cheapest_edges(weights(sloped(nodes, links, m), m, ("flat", "elder", "wheel")))
     runs = starts.withColumn("graph", F.explode(F.array(F.lit("flat"), F.lit("elder"), F.lit("wheel")))).select(F.concat_ws("|", "name", "graph").alias("run"), "graph", F.lit(True).alias("reverse"), "node")
-    found, part = search(edges, runs), F.split("run", r"\|")
+    found, part = search(edges, runs, places=nodes), F.split("run", r"\|")
     return found.select(part[0].alias("name"), part[1].alias("mode"), "node", F.col("d").alias("t"))
 
 
@@ -233,7 +244,7 @@ def routes(nodes: DataFrame, links: DataFrame, pairs: DataFrame, m: Model = DEFA
     edges = edges.unionAll(edges.filter("graph = 'elder'").select(F.lit("adult").alias("graph"), "src", "dst", (F.col("w") * (m.elder_speed / m.adult_speed)).alias("w")))
     modes = F.array(*[F.lit(x) for x in ("elder", "adult", "wheel", "flat")])
     wanted = pairs.withColumn("graph", F.explode(modes)).select(F.concat_ws("|", "name", "graph").alias("run"), "graph", "o", "d")
-    found = single_paths(edges, wanted)
+    found = single_paths(edges, wanted, places=nodes)
     step = F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("src"), F.get("nodes", i + 1).alias("dst")))
     part = F.split("run", r"\|")
     steps = found.filter(F.size("nodes") > 1).select("run", part[1].alias("graph"), F.explode(step).alias("s")).select("run", "graph", "s.src", "s.dst")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gradewalk.config import CODES
 from gradewalk.functions import cost, geo, text
 from gradewalk.operators import hbi, joins, network, paths, preview, report, shapes, spatial, stats, whatif
-from gradewalk.operators.tables import shared_dir
+from gradewalk.operators.tables import save, shared_dir
 from gradewalk.plans.oracles import COSTS, EDGES, FULL, NET, ZONE_HOMES, both_ways, edge_rows, elder, gridded, interventions, q, rank, search
 from gradewalk.plans.queries import _scored, zoned
 from gradewalk.plans.registry import query, table
@@ -378,12 +378,11 @@ def metric_union(spark, d):
     return report.metric_names([p.select(F.col("p_brand").alias("metric")), p.select(F.col("p_type").alias("metric"))])
 
 
-@query(f"""WITH p AS (SELECT i // {SIDE} AS r, i % {SIDE} AS c, 1 + (i * 29 % 101) / CAST(150 AS DOUBLE) AS h FROM (SELECT range AS i FROM range({SIDE * SIDE})))
-SELECT count(*) FILTER (h >= 1.3) AS n, round(count(*) FILTER (h >= 1.3 AND m < 1.32) / CAST(count(*) FILTER (h >= 1.3) AS DOUBLE), 6) AS hidden FROM (SELECT h, avg(h) OVER (PARTITION BY r // 5, c // 5) AS m FROM p)""")
+@query(q(("grid",), "SELECT count(*) FILTER (h >= 1.3) AS n, round(count(*) FILTER (h >= 1.3 AND m < 1.32) / CAST(count(*) FILTER (h >= 1.3) AS DOUBLE), 6) AS hidden FROM (SELECT h, avg(h) OVER (PARTITION BY r // 5, c // 5) AS m FROM p)", f"p AS (SELECT i // {SIDE} AS r, i % {SIDE} AS c, 1 + (i * 29 % 101) / CAST(150 AS DOUBLE) AS h FROM grid)"))
 def hidden_by_blocks(spark, d):
     """Burdened pixels whose block of five by five looks fine."""
-    i = F.col("id")
-    index = spark.range(SIDE * SIDE).select(F.expr(f"id div {SIDE}").cast("int").alias("row"), (i % SIDE).cast("int").alias("col"), (1 + (i * 29 % 101) / 150).alias("hbi"))
+    i = F.col("i")
+    index = view(spark, d, "grid").select(F.expr(f"i div {SIDE}").cast("int").alias("row"), (i % SIDE).cast("int").alias("col"), (1 + (i * 29 % 101) / 150).alias("hbi"))
     return preview.hidden_by_blocks(index, 5, 1.32)
 
 
@@ -460,7 +459,51 @@ def town_times(spark, d):
     edges = cost.weights(hbi.sloped(nodes, view(spark, d, "town_links")), names=("elder",))
     dests = hbi.destination_nodes(view(spark, d, "town_dests").filter("target = 'medical'"), nodes)
     sources = dests.select(F.lit("x").alias("run"), F.lit("elder").alias("graph"), F.lit(False).alias("reverse"), "node")
-    return paths.search(edges, sources, block_edges=100_000).select("node", F.col("d").alias("seconds"))
+    return paths.search(edges, sources, block_edges=100_000, places=nodes).select("node", F.col("d").alias("seconds"))
+
+
+#: Decks of the growing town, in parts of its side of 25 m streets.
+_TOWN_DECKS = [("deck", "ramp", "planned", 0.1, 0.15, 0.62, 0.55), ("bridge", "monorail", "existing", 0.2, 0.8, 0.75, 0.7), ("lane", "ramp", "planned", 0.5, 0.3, 0.9, 0.35)]
+_TOWN_FACILITIES = "(SELECT facility, type, status, " + ", ".join(f"{o} + CAST(floor({c} * side) * 25 AS DOUBLE) AS {c}" for c, o in (("ax", X0), ("ay", Y0), ("bx", X0), ("by_", Y0))) + " FROM (VALUES " + ", ".join(f"('{n}', '{t}', '{s}', {', '.join(f'{v}::DOUBLE' for v in at)})" for n, t, s, *at in _TOWN_DECKS) + ") f(facility, type, status, ax, ay, bx, by_), (SELECT DISTINCT side FROM town))"
+
+
+def _town_decks_sql(body: str) -> str:
+    """Interventions, asked of the growing town's views."""
+    sql = interventions(body, ()).removeprefix("WITH RECURSIVE ")
+    sql = re.sub(r"SELECT \* FROM \(VALUES \('lift'.*?\) t\(facility, type, status, ax, ay, bx, by_\)", f"SELECT * FROM {_TOWN_FACILITIES}", sql, flags=re.DOTALL)
+    return "WITH RECURSIVE " + ctes(*(f"town_{n}" for n in _TOWN)) + ",\n" + ",\n".join(f"{n} AS (SELECT * FROM town_{n})" for n in _TOWN) + ",\n" + sql.replace("target = 'station'", "target = 'medical'")
+
+
+@query(_town_decks_sql("SELECT facility, target, count(*) AS n, count(*) FILTER (ben) AS n_benefit, round(coalesce(sum(saved) FILTER (ben), 0) / 60, 4) AS sum_saved_min, round(avg(h0) FILTER (ben), 6) AS hbi_before, round(avg(h1) FILTER (ben), 6) AS hbi_after, count(*) FILTER (newly) AS newly, count(*) FILTER (wben) AS wheel_benefit FROM ef GROUP BY ALL"))
+def town_facilities(spark, d):
+    """What new decks save in the growing town."""
+    nodes = view(spark, d, "town_nodes")
+    side = view(spark, d, "town").select("side").distinct()
+    decks = spark.createDataFrame(_TOWN_DECKS, "facility string, type string, status string, a double, b double, c double, e double").join(F.broadcast(side), how="cross")  # one row
+    at = lambda c, origin: (origin + F.floor(F.col(c) * F.col("side")) * 25).cast("double")
+    decks = decks.select("facility", "type", "status", at("a", X0).alias("ax"), at("b", Y0).alias("ay"), at("c", X0).alias("bx"), at("e", Y0).alias("by"), F.lit(None).cast("double").alias("wait_s"), F.lit(None).cast("double").alias("speed"))
+    dests = view(spark, d, "town_dests").filter("target = 'medical'")
+    times = whatif.intervention_times(nodes, view(spark, d, "town_links"), view(spark, d, "town_homes"), dests, whatif.facility_edges(decks, nodes))
+    e = whatif.effects(times)
+    return e.groupBy("facility", "target").agg(F.count("*").alias("n"), F.count_if("benefit").alias("n_benefit"), F.round(F.coalesce(F.sum(F.when(F.col("benefit"), F.col("saved"))), F.lit(0.0)) / 60, 4).alias("sum_saved_min"), F.avg(F.when(F.col("benefit"), F.col("h0"))).alias("hbi_before"), F.avg(F.when(F.col("benefit"), F.col("h1"))).alias("hbi_after"), F.count_if("newly").alias("newly"), F.count_if("wheel_benefit").alias("wheel_benefit"))
+
+
+_ENDS_OF_ORDERS = "ro AS (SELECT o_orderkey AS run, (o_custkey * 7919) % (side * side) AS o, (o_orderkey * 104729 + 31) % (side * side) AS d FROM orders, (SELECT DISTINCT side FROM town) WHERE o_orderkey % 1500 = 7)"
+
+
+@query("WITH RECURSIVE " + ctes("town_nodes", "town_links") + ",\nnodes AS (SELECT * FROM town_nodes), links AS (SELECT * FROM town_links),\n" + EDGES + f",\n{_ENDS_OF_ORDERS},\n" + search(f"SELECT 'elder' AS g, src, dst, {elder()} AS w FROM dl", "SELECT CAST(run AS VARCHAR) AS run, 'elder' AS g, o AS node FROM ro") + "\nSELECT ro.run AS o_orderkey, round(CASE WHEN o = ro.d THEN 0 ELSE best.d END, 6) AS seconds, round(CASE WHEN o = ro.d THEN 0 ELSE best.d END, 6) AS walked FROM ro LEFT JOIN best ON best.run = CAST(ro.run AS VARCHAR) AND best.node = ro.d")
+def town_routes(spark, d):
+    """Ways between the ends of one order in 1,500 across blocks of the growing town: their costs, and those of the steps they take."""
+    nodes = view(spark, d, "town_nodes")
+    edges = save(cost.weights(hbi.sloped(nodes, view(spark, d, "town_links")), names=("elder",)), "town-weights")
+    side = view(spark, d, "town").select("side").distinct()
+    ends = table(spark, d, "orders").filter("o_orderkey % 1500 = 7").join(F.broadcast(side), how="cross")  # one row
+    size = F.col("side") * F.col("side")
+    pairs = ends.select(F.col("o_orderkey").cast("string").alias("run"), F.lit("elder").alias("graph"), (F.col("o_custkey") * 7919 % size).alias("o"), ((F.col("o_orderkey") * 104729 + 31) % size).alias("d"))
+    found = save(paths.single_paths(edges, pairs, 4, 20_000, nodes), "town-routes")
+    step = F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("src"), F.get("nodes", i + 1).alias("dst")))
+    taken = found.filter(F.size("nodes") > 1).select("run", F.explode(step).alias("s")).select("run", "s.*").join(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), ["src", "dst"]).groupBy("run").agg(F.sum("w").alias("walked"))
+    return found.join(taken, "run", "left").select(F.col("run").cast("long").alias("o_orderkey"), F.col("cost").alias("seconds"), F.when(F.col("cost").isNotNull(), F.coalesce("walked", F.lit(0.0))).alias("walked"))
 
 
 _ROUTES = [("up", 0, 4000), ("over", 500, 6000), ("here", 77, 77), ("down", 4000, 0), ("none", 3, 900_000)]
@@ -476,17 +519,17 @@ def route_seconds(spark, d):
     return found.select("name", "mode", "seconds", F.when(F.col("mode") == "flat", F.col("length_m")).alias("flat_m"))
 
 
-@query(f"""WITH RECURSIVE px AS (SELECT i // 40 AS row, i % 40 AS col, 30 + 250 * exp(-(pow(200000 + (i % 40 + 0.5) * 50 - 201300, 2) + pow(547000 - (i // 40 + 0.5) * 50 - 546200, 2)) / CAST(320000 AS DOUBLE)) AS z FROM (SELECT range AS i FROM range(1600))),
+@query(f"""WITH RECURSIVE {ctes("hill")}, px AS (SELECT i // 40 AS row, i % 40 AS col, 30 + 250 * exp(-(pow(200000 + (i % 40 + 0.5) * 50 - 201300, 2) + pow(547000 - (i // 40 + 0.5) * 50 - 546200, 2)) / CAST(320000 AS DOUBLE)) AS z FROM hill),
 sl AS (SELECT a.row * 40 + a.col AS u, b.row * 40 + b.col AS v, 50 * sqrt(i * i + j * j) AS length, greatest(-0.4, least(0.4, (b.z - a.z) / (50 * sqrt(i * i + j * j)))) AS s, false AS is_stair FROM px a, (SELECT * FROM (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) o(i, j)) o JOIN px b ON b.row = a.row + i AND b.col = a.col + j),
 {both_ways()},
 {search(edge_rows({"elder": elder(), "flat": "length / 0.8"}), "SELECT run, g, node FROM (SELECT unnest([5 * 40 + 5, 30 * 40 + 20]) AS node), (SELECT * FROM (VALUES ('go', 'elder~'), ('back', 'elder'), ('flat', 'flat~')) r(run, g))")}
 SELECT CAST(node // 40 AS INT) AS row, CAST(node % 40 AS INT) AS col, round(CASE WHEN 2 * f < 1 THEN 1 ELSE (g + b) / (2 * f) END, 6) AS hbi FROM (SELECT node, max(d) FILTER (run = 'go') AS g, max(d) FILTER (run = 'back') AS b, max(d) FILTER (run = 'flat') AS f FROM best GROUP BY node)""")
 def raster_index(spark, d):
     """The index on a raster of the hill, over eight neighbours of each pixel."""
-    row, col = F.expr("id div 40").cast("int"), (F.col("id") % 40).cast("int")
+    row, col = F.expr("i div 40").cast("int"), (F.col("i") % 40).cast("int")
     off = lambda v, at: (v - at) * (v - at)
     z = 30 + 250 * F.exp(-(off(200000 + (col + 0.5) * 50, 201300) + off(547000 - (row + 0.5) * 50, 546200)) / 320000)
-    pixels = spark.range(1600).select(row.alias("row"), col.alias("col"), z.alias("z"))
+    pixels = view(spark, d, "hill").select(row.alias("row"), col.alias("col"), z.alias("z"))
     return preview.raster_index(pixels, 50.0, spark.createDataFrame([(5, 5), (30, 20)], "row int, col int"))
 
 

@@ -258,8 +258,8 @@ def _lines(spark, d):
     return view(spark, d, "lines").select("line_id", F.array(point("ax", "ay"), point("bx", "by_")).alias("points"))
 
 
-_PARTS = f"""h AS (SELECT line_id, ay AS y, unnest(range(0, 8)) AS k FROM lines WHERE line_id < 100), v AS (SELECT line_id, ax AS x, unnest(range(0, 10)) AS k FROM lines WHERE line_id >= 100),
-hp AS (SELECT line_id, CASE WHEN k = 0 THEN {X0 - 50} ELSE {X0} + 250 * (k - 1) END AS x0, y AS y0, CASE WHEN k = 7 THEN {X0 + 2050} ELSE {X0} + 250 * k END AS x1, y AS y1 FROM h),
+_PARTS = f"""more AS (SELECT count(*) - 7 AS more FROM lines WHERE line_id >= 100), h AS (SELECT line_id, ay AS y, unnest(range(0, 8 + more)) AS k, more FROM lines, more WHERE line_id < 100), v AS (SELECT line_id, ax AS x, unnest(range(0, 10)) AS k FROM lines WHERE line_id >= 100),
+hp AS (SELECT line_id, CASE WHEN k = 0 THEN {X0 - 50} ELSE {X0} + 250 * (k - 1) END AS x0, y AS y0, CASE WHEN k = 7 + more THEN {X0 + 2050} + 250 * more ELSE {X0} + 250 * k END AS x1, y AS y1 FROM h),
 vp AS (SELECT line_id, x AS x0, CASE WHEN k = 0 THEN {Y0 - 50} ELSE {Y0} + 200 * (k - 1) END AS y0, x AS x1, CASE WHEN k = 9 THEN {Y0 + 1650} ELSE {Y0} + 200 * k END AS y1 FROM v),
 parts AS (SELECT line_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM hp UNION ALL SELECT line_id, x0::DOUBLE, y0::DOUBLE, x1::DOUBLE, y1::DOUBLE FROM vp)"""
 
@@ -309,38 +309,41 @@ def level_tags(spark, d):
 
 # rasters
 
-_RASTER = f"px AS (SELECT i // {SIDE} AS row, i % {SIDE} AS col, 50 + 40 * sin(CAST(i % {SIDE} AS DOUBLE) / 9) + 25 * cos(CAST(i // {SIDE} AS DOUBLE) / 7) AS z FROM (SELECT range AS i FROM range({SIDE * SIDE})) WHERE (i * 13) % 97 <> 0)"
+_RASTER = f"px AS (SELECT i // {SIDE} AS row, i % {SIDE} AS col, 50 + 40 * sin(CAST(i % {SIDE} AS DOUBLE) / 9) + 25 * cos(CAST(i // {SIDE} AS DOUBLE) / 7) AS z FROM grid WHERE (i * 13) % 97 <> 0)"
 
 
-def _pixels(spark):
-    i = F.col("id")
-    row, col = F.floor(i / SIDE).cast("int"), (i % SIDE).cast("int")
-    return spark.range(SIDE * SIDE).filter("(id * 13) % 97 <> 0").select(row.alias("row"), col.alias("col"), (50 + 40 * F.sin(col / 9) + 25 * F.cos(row / 7)).alias("z"))
+def _every_pixel(spark, d):
+    i = F.col("i")
+    return view(spark, d, "grid").select("i", F.floor(i / SIDE).cast("int").alias("row"), (i % SIDE).cast("int").alias("col"))
 
 
-@query(q(("homes",), f"""SELECT id, round(CASE WHEN n4 = 4 THEN z4 ELSE nearest.z END, 6) AS z FROM (
+def _pixels(spark, d):
+    row, col = F.col("row"), F.col("col")
+    return _every_pixel(spark, d).filter("(i * 13) % 97 <> 0").select("row", "col", (50 + 40 * F.sin(col / 9) + 25 * F.cos(row / 7)).alias("z"))
+
+
+@query(q(("homes", "grid"), f"""SELECT id, round(CASE WHEN n4 = 4 THEN z4 ELSE nearest.z END, 6) AS z FROM (
  SELECT h.id, h.nr, h.nc, count(p.z) AS n4, sum(p.z * CASE WHEN p.row = fr THEN 1 - (py - fr) ELSE py - fr END * CASE WHEN p.col = fc THEN 1 - (px - fc) ELSE px - fc END) AS z4 FROM (
   SELECT id, px, py, floor(px) AS fc, floor(py) AS fr, CAST(greatest(0, least({SIDE - 1}, round_even(py, 0))) AS BIGINT) AS nr, CAST(greatest(0, least({SIDE - 1}, round_even(px, 0))) AS BIGINT) AS nc FROM (SELECT id, (x - {X0}) / 25 - 0.5 AS px, ({Y0 + 25 * SIDE} - y) / 25 - 0.5 AS py FROM homes)) h
   LEFT JOIN px p ON p.row IN (fr, fr + 1) AND p.col IN (fc, fc + 1) GROUP BY ALL) b LEFT JOIN px nearest ON nearest.row = nr AND nearest.col = nc""", _RASTER))
 def elevation_bilinear(spark, d):
-    return raster.bilinear(view(spark, d, "homes"), "id", _pixels(spark), (X0, Y0 + 25 * SIDE), (25.0, -25.0)).select("id", "z")
+    return raster.bilinear(view(spark, d, "homes"), "id", _pixels(spark, d), (X0, Y0 + 25 * SIDE), (25.0, -25.0)).select("id", "z")
 
 
-@query(q((), "SELECT row, col, round(coalesce(z, (SELECT avg(n.z) FROM px n WHERE abs(n.row - a.row) <= 1 AND abs(n.col - a.col) <= 1)), 6) AS z FROM every a", _RASTER.replace("WHERE (i * 13) % 97 <> 0", "WHERE (i * 13) % 97 <> 0") + f", every AS (SELECT i // {SIDE} AS row, i % {SIDE} AS col, px.z FROM (SELECT range AS i FROM range({SIDE * SIDE})) LEFT JOIN px ON px.row = i // {SIDE} AND px.col = i % {SIDE})"))
+@query(q(("grid",), "SELECT row, col, round(coalesce(z, (SELECT avg(n.z) FROM px n WHERE abs(n.row - a.row) <= 1 AND abs(n.col - a.col) <= 1)), 6) AS z FROM every a", _RASTER + f", every AS (SELECT i // {SIDE} AS row, i % {SIDE} AS col, px.z FROM grid LEFT JOIN px ON px.row = i // {SIDE} AND px.col = i % {SIDE})"))
 def void_fill(spark, d):
-    every = spark.range(SIDE * SIDE).select(F.floor(F.col("id") / SIDE).cast("int").alias("row"), (F.col("id") % SIDE).cast("int").alias("col"))
-    holes = every.join(_pixels(spark), ["row", "col"], "left").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.coalesce("z", F.lit(-999.0)).alias("z"))
+    holes = _every_pixel(spark, d).join(_pixels(spark, d), ["row", "col"], "left").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.coalesce("z", F.lit(-999.0)).alias("z"))
     return raster.fill_voids(holes)
 
 
-@query(q((), "SELECT row // 3 AS row, col // 3 AS col, round(avg(z), 6) AS z FROM px GROUP BY ALL HAVING count(*) = 9", _RASTER))
+@query(q(("grid",), "SELECT row // 3 AS row, col // 3 AS col, round(avg(z), 6) AS z FROM px GROUP BY ALL HAVING count(*) = 9", _RASTER))
 def block_means(spark, d):
-    return raster.block_mean(_pixels(spark), 3)
+    return raster.block_mean(_pixels(spark, d), 3)
 
 
-@query(q((), "SELECT a.row * 2147483648 + a.col AS u, b.row * 2147483648 + b.col AS v, round(sqrt((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) * 25, 6) AS length, round(b.z - a.z, 6) AS dz FROM px a JOIN px b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1)", _RASTER))
+@query(q(("grid",), "SELECT a.row * 2147483648 + a.col AS u, b.row * 2147483648 + b.col AS v, round(sqrt((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) * 25, 6) AS length, round(b.z - a.z, 6) AS dz FROM px a JOIN px b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1)", _RASTER))
 def raster_links(spark, d):
-    return raster.grid_links(_pixels(spark), 25.0)
+    return raster.grid_links(_pixels(spark, d), 25.0)
 
 
 # spatial joins

@@ -19,10 +19,21 @@ def _div(a: str, b: int) -> str:
     return f"CAST(floor({a} / {b}) AS BIGINT)"
 
 
-_node = f"SELECT CAST(i AS BIGINT) AS node_id, CAST({X0} + {PITCH} * {_div('i', SIDE)} AS DOUBLE) AS x, CAST({Y0} + {PITCH} * (i % {SIDE}) AS DOUBLE) AS y FROM {{rows:{SPIKE}}} r"
-_links = f"""SELECT CAST(i AS BIGINT) AS u, CAST(i + {SIDE} AS BIGINT) AS v FROM {{rows:{SIDE * (SIDE - 1)}}} a
- UNION ALL SELECT CAST(i AS BIGINT) AS u, CAST(i + 1 AS BIGINT) AS v FROM {{rows:{SPIKE}}} b WHERE i % {SIDE} < {SIDE - 1}
+def _grown(least: int, wide: int) -> str:
+    """Numbers 0 to least, and on to a tenth of the orders, in whole rows of so many."""
+    return f"SELECT CAST(i AS BIGINT) AS i FROM {{rows:{least}}} r UNION ALL SELECT o_orderkey AS i FROM orders WHERE o_orderkey >= {least} AND o_orderkey < (SELECT CAST(floor(count(*) / {10 * wide}) AS BIGINT) * {wide} FROM orders)"
+
+
+def _id(i: str) -> str:
+    """The node at a place of the grid; one number is the spike's."""
+    return f"CAST({i} + CASE WHEN {i} >= {SPIKE} THEN 1 ELSE 0 END AS BIGINT)"
+
+
+_node = f"SELECT {_id('i')} AS node_id, CAST({X0} + {PITCH} * {_div('i', SIDE)} AS DOUBLE) AS x, CAST({Y0} + {PITCH} * (i % {SIDE}) AS DOUBLE) AS y FROM grid"
+_links = f"""SELECT {_id('i')} AS u, {_id(f'(i + {SIDE})')} AS v FROM grid WHERE i + {SIDE} < (SELECT count(*) FROM grid)
+ UNION ALL SELECT {_id('i')} AS u, {_id('(i + 1)')} AS v FROM grid WHERE i % {SIDE} < {SIDE - 1}
  UNION ALL SELECT CAST(0 AS BIGINT) AS u, CAST({SPIKE} AS BIGINT) AS v"""
+_columns = f"(SELECT count(*) FROM grid WHERE i >= {SPIKE} AND i % {SIDE} = 0)"
 
 
 def _spread(key: str, p: int, q: int, dx: int, dy: int, mx: int, my: int) -> str:
@@ -33,15 +44,18 @@ _use = "CASE c_mktsegment WHEN 'BUILDING' THEN 'BDU001' WHEN 'HOUSEHOLD' THEN 'B
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # name: (views or tables below it, SQL)
-    "nodes": ((), f"SELECT node_id, x, y, {_height.format(x='x', y='y')} AS z FROM ({_node}) n UNION ALL SELECT CAST({SPIKE} AS BIGINT), CAST({X0 - PITCH} AS DOUBLE), CAST({Y0} AS DOUBLE), CAST(50 AS DOUBLE)"),
-    "links": ((), f"SELECT u, v, CAST({PITCH} AS DOUBLE) AS length, (u * 7 + v * 3) % 23 = 0 AS is_stair, (u * 5 + v) % 29 = 0 AS flat FROM ({_links}) l"),
+    # streets of 81 nodes, at least as many as nodes in them, more with the tables; pixels of a hill likewise
+    "grid": (("orders",), _grown(SPIKE, SIDE)),
+    "hill": (("orders",), _grown(1600, 40)),
+    "nodes": (("grid",), f"SELECT node_id, x, y, {_height.format(x='x', y='y')} AS z FROM ({_node}) n UNION ALL SELECT CAST({SPIKE} AS BIGINT), CAST({X0 - PITCH} AS DOUBLE), CAST({Y0} AS DOUBLE), CAST(50 AS DOUBLE)"),
+    "links": (("grid",), f"SELECT u, v, CAST({PITCH} AS DOUBLE) AS length, (u * 7 + v * 3) % 23 = 0 AS is_stair, (u * 5 + v) % 29 = 0 AS flat FROM ({_links}) l"),
     "buildings": (("customer",), f"SELECT c_custkey AS id, {_spread('c_custkey', 7919, 104729, 500, 500, 997, 991)}, {_use} AS use_code, CAST(1 + c_custkey % 5 AS DOUBLE) AS floors, CAST(144 AS DOUBLE) AS area FROM customer"),
     "homes": (("buildings",), "SELECT id, x, y, floors, area, floors * area AS weight FROM buildings WHERE use_code IN ('BDU001', 'BDU002')"),
     # homes with a made-up index, for roll-ups that need no shortest paths
     "scored": (("homes",), """SELECT id, x, y, weight, CASE WHEN id % 17 = 0 THEN NULL ELSE t_flat * (1 + CAST((id * 37) % 101 AS DOUBLE) / 90) END AS t_elder, t_flat,
  CASE WHEN id % 17 = 0 THEN NULL ELSE 1 + CAST((id * 37) % 101 AS DOUBLE) / 90 END AS hbi, CASE WHEN id % 13 = 0 THEN NULL ELSE t_flat * 2 END AS t_wheel, 'medical' AS target FROM (SELECT *, CAST(300 + (id * 53) % 907 AS DOUBLE) AS t_flat FROM homes) h"""),
-    "lines": ((), f"""SELECT CAST(i AS BIGINT) AS line_id, CAST({X0 - 50} AS DOUBLE) AS ax, CAST({Y0} + 200 * i AS DOUBLE) AS ay, CAST({X0 + 2050} AS DOUBLE) AS bx, CAST({Y0} + 200 * i AS DOUBLE) AS by_ FROM {{rows:9}} a
- UNION ALL SELECT CAST(100 + i AS BIGINT), CAST({X0} + 250 * i AS DOUBLE), CAST({Y0 - 50} AS DOUBLE), CAST({X0} + 250 * i AS DOUBLE), CAST({Y0 + 1650} AS DOUBLE) FROM {{rows:7}} b"""),
+    "lines": (("grid",), f"""SELECT CAST(i AS BIGINT) AS line_id, CAST({X0 - 50} AS DOUBLE) AS ax, CAST({Y0} + 200 * i AS DOUBLE) AS ay, CAST({X0 + 2050} + 250 * {_columns} AS DOUBLE) AS bx, CAST({Y0} + 200 * i AS DOUBLE) AS by_ FROM {{rows:9}} a
+ UNION ALL SELECT CAST(100 + k AS BIGINT), CAST({X0} + 250 * k AS DOUBLE), CAST({Y0 - 50} AS DOUBLE), CAST({X0} + 250 * k AS DOUBLE), CAST({Y0 + 1650} AS DOUBLE) FROM (SELECT i AS k FROM {{rows:7}} b UNION ALL SELECT 7 + {_div(f'(i - {SPIKE})', SIDE)} AS k FROM grid WHERE i >= {SPIKE} AND i % {SIDE} = 0) c"""),
     "torn": (("links",), "SELECT u, v, length, is_stair, flat FROM links WHERE (u * 3 + v) % 7 > 2"),
     "homes_wide": (("customer",), f"SELECT c_custkey AS id, {_spread('c_custkey', 7919, 104729, 0, 0, 1979, 1973)} FROM customer"),
     "dests": (("supplier",), f"SELECT s_suppkey AS id, {_spread('s_suppkey', 6151, 3079, 0, 0, 1993, 1987)}, CASE s_nationkey % 4 WHEN 0 THEN 'medical' WHEN 1 THEN 'bus' WHEN 2 THEN 'elderly' ELSE 'station' END AS target FROM supplier"),
