@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +67,8 @@ def node_lines(lines: DataFrame, cell_m: float = NODING_CELL_M) -> DataFrame:
     return joined.select("line_id", "part", F.concat(F.array(F.col("p")[0]["a"]), F.transform("p", lambda s: s["b"])).alias("points"))
 
 
-def arc_lengths(points: Column) -> Column:
-    """Running length at each point."""
-    step = lambda p, i: F.when(i == 0, 0.0).otherwise(F.hypot(p["x"] - F.get(points, i - 1)["x"], p["y"] - F.get(points, i - 1)["y"]))
-    steps = F.transform(points, step)
-    return F.transform(points, lambda p, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0.0), lambda a, v: a + v))
+def _arcs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])
 
 
 def running_lengths(points: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -80,22 +81,35 @@ def running_lengths(points: DataFrame, by: list[str], order: str) -> DataFrame:
     return placed.withColumn("arc", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_step")
 
 
-def point_at(points: Column, arcs: Column, at: Column) -> Column:
-    """The point at an arc length."""
-    k = F.greatest(F.least(F.size(F.filter(arcs, lambda d: d <= at)) - 1, F.size(arcs) - 2), F.lit(0))
-    share = F.coalesce(F.try_divide(at - F.get(arcs, k), F.get(arcs, k + 1) - F.get(arcs, k)), F.lit(0.0))
-    part = lambda c: F.get(points, k)[c] + share * (F.get(points, k + 1)[c] - F.get(points, k)[c])
-    return F.struct(part("x").alias("x"), part("y").alias("y"))
-
-
 def segmentize(parts: DataFrame, m: Model = DEFAULT) -> DataFrame:
-    """Links of at most segment_m: keys of parts, k, x0, y0, x1, y1, xm, ym, length. Equal cuts of each polyline's length."""
-    keys = [c for c in parts.columns if c != "points"]
-    d = parts.withColumn("arcs", arc_lengths(F.col("points"))).withColumn("total", F.element_at("arcs", -1)).filter(F.col("total") >= SHORTEST_M)
-    d = d.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("total") / m.segment_m).cast("int"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda k: point_at(F.col("points"), F.col("arcs"), F.col("total") * k / F.col("n"))
-    d = d.select(*keys, "k", at(F.col("k")).alias("a"), at(F.col("k") + 1).alias("b"), at(F.col("k") + 0.5).alias("c"), (F.col("total") / F.col("n")).alias("length"))
-    return d.select(*keys, "k", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), F.col("c.x").alias("xm"), F.col("c.y").alias("ym"), "length")
+    """Links of at most segment_m: keys of parts, k, x0, y0, x1, y1, xm, ym, length. Equal cuts of each polyline's length.
+
+    A polyline's running lengths are made once, and its cuts are looked up in them."""
+    keys, ends = [c for c in parts.columns if c != "points"], ["x0", "y0", "x1", "y1", "xm", "ym", "length"]
+
+    def cut(batches):
+        for b in batches:
+            rows, out = [], []
+            for row, points in enumerate(b.column(b.num_columns - 1)):
+                flat = points.values
+                x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")) if flat is not None and len(flat) else (np.zeros(1), np.zeros(1))
+                arcs = _arcs(x, y)
+                total = arcs[-1]
+                if total < SHORTEST_M:
+                    continue
+                n = max(1, math.ceil(total / m.segment_m))
+                at = np.arange(2 * n + 1) / (2 * n) * total
+                px, py = np.interp(at, arcs, x), np.interp(at, arcs, y)
+                rows += [row] * n
+                out.append(np.stack([np.arange(n), px[:-1:2], py[:-1:2], px[2::2], py[2::2], px[1::2], py[1::2], np.full(n, total / n)]))
+            found = np.concatenate(out, axis=1) if out else np.zeros((8, 0))
+            taken = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(found[0].astype(np.int32)), *[pa.array(c) for c in found[1:]]], names=[*keys, "k", *ends])
+
+    schema = parts.select(*keys).schema.add("k", "integer")
+    for c in ends:
+        schema = schema.add(c, "double")
+    return parts.select(*keys, "points").mapInArrow(cut, schema)
 
 
 def merge_nodes(links: DataFrame, m: Model = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from gradewalk.operators.tables import save
 
 
+def filled(df: DataFrame, c: str, order: str) -> DataFrame:
+    """df with nulls of c replaced by the last value above in the order of a column that tells rows apart.
+
+    Each part, dealt by range, fills itself; rows above its first value take the last value of the parts before it."""
+    dealt = save(save(df, "to-order").repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ordered")
+    last = dealt.groupBy("_part").agg(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias("_last"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part only
+    bases = last.select("_part", F.last("_last", ignorenulls=True).over(earlier).alias("_base"))
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(bases), "_part").withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(within), F.col("_base"))).select(*df.columns)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], upto: bool = False, stored: bool = False) -> DataFrame:
     """df with a column for each name in sums: its sum over the rows before (with upto: and including) each row.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewalk.operators.tables import save
+
 LOWEST, HIGHEST = -100.0, 3000.0
 
 
@@ -33,22 +37,45 @@ def bilinear(points: DataFrame, key: str, pixels: DataFrame, origin: tuple[float
     return points.join(z, key, "left")
 
 
-def fill_voids(pixels: DataFrame, low: float = -20.0, rounds: int = 64) -> DataFrame:
-    """pixels with heights under `low` replaced by the mean of their valid neighbours, ring by ring from outside in."""
-    from gradewalk.operators.tables import save
-
-    known = save(pixels.select("row", "col", F.when(F.col("z") >= low, F.col("z").cast("double")).alias("z")), "pixels")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+def _filled(rows: np.ndarray, cols: np.ndarray, z: np.ndarray, void: np.ndarray, rounds: int) -> np.ndarray:
+    """Heights of pixels, with voids replaced ring by ring by the mean of their valid neighbours."""
+    r, c = rows - rows.min() + 1, cols - cols.min() + 1
+    shape = (r.max() + 2, c.max() + 2)
+    height, valid, gap = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+    height[r[~void], c[~void]], valid[r[~void], c[~void]], gap[r[void], c[void]] = z[~void], True, True
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
     for _ in range(rounds):
-        gaps = known.filter("z IS NULL")
-        if not gaps.take(1):
-            break
-        looked = gaps.select("row", "col", F.explode(around).alias("o")).select(F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-        means = looked.join(known.filter("z IS NOT NULL"), ["row", "col"]).groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.avg("z").alias("mean"))
-        if not means.take(1):
+        y, x = np.nonzero(gap)
+        n = sum(valid[y + i, x + j].astype(np.int64) for i, j in around) if len(y) else np.zeros(0)
+        met = n > 0
+        if not met.any():
             break
-        known = save(known.join(means, ["row", "col"], "left").select("row", "col", F.coalesce("z", "mean").alias("z")), "pixels")
-    return known
+        y, x = y[met], x[met]
+        height[y, x] = sum(np.where(valid[y + i, x + j], height[y + i, x + j], 0.0) for i, j in around) / n[met]
+        valid[y, x], gap[y, x] = True, False
+    return np.where(valid[r, c], height[r, c], np.nan)
+
+
+def fill_voids(pixels: DataFrame, low: float = -20.0, rounds: int = 64, tile: int = 256) -> DataFrame:
+    """pixels with heights under `low` replaced by the mean of their valid neighbours, ring by ring from outside in.
+
+    A tile with voids gets the pixels up to `rounds` away, as far as anything can reach it, and fills all its rings in one
+    task; other tiles stay as they are. Voids deeper than `rounds`, or without any valid pixel near, keep a null."""
+    known = save(pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.when(F.col("z") >= low, F.col("z").cast("double")).alias("z")), "pixels")
+    own = lambda c: F.floor(F.col(c) / tile).cast("long")
+    torn = known.filter("z IS NULL").select(own("row").alias("ty"), own("col").alias("tx")).distinct()
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - rounds) / tile).cast("long"), F.floor((F.col(c) + rounds) / tile).cast("long")))
+    dealt = known.select("*", reach("row").alias("ty")).select("*", reach("col").alias("tx")).join(save(torn, "torn-tiles"), ["ty", "tx"], "left_semi")
+
+    def fill(key, part):
+        row, col, z = (part.column(c).to_numpy() for c in ("row", "col", "z"))
+        void = np.isnan(z)
+        found = _filled(row, col, z, void, rounds)
+        mine = void & (row // tile == key[0].as_py()) & (col // tile == key[1].as_py())
+        return pa.table({"row": row[mine], "col": col[mine], "z": pa.array(found[mine], pa.float64(), from_pandas=True)})
+
+    filled = dealt.groupBy("ty", "tx").applyInArrow(fill, "row long, col long, z double")
+    return known.filter("z IS NOT NULL").unionByName(filled)
 
 
 def block_mean(pixels: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewalk.functions.geo import cell, distance, in_rings
@@ -89,21 +89,35 @@ def inside_box(x: str = "x", y: str = "y", box: tuple[str, str, str, str] = ("x0
     return (F.col(x) >= F.col(box[0])) & (F.col(x) < F.col(box[2])) & (F.col(y) >= F.col(box[1])) & (F.col(y) < F.col(box[3]))
 
 
+def summed_areas(cells: DataFrame) -> DataFrame:
+    """gx, gy, n: how many of some distinct cells (gx, gy from 0) are at most as far along both axes, for every cell of their box.
+
+    Sums along rows, then along columns; a row or column is as long as the box is wide, and each goes its own way."""
+    ends = cells.agg(F.max("gx").alias("mx"), F.max("gy").alias("my"))
+    axis = lambda c, most: F.explode(F.sequence(F.lit(0).cast("long"), F.col(most))).alias(c)
+    lattice = ends.filter("mx IS NOT NULL").select("my", axis("gx", "mx")).repartition("gx").select("gx", axis("gy", "my"))
+    each = lattice.join(cells.select("gx", "gy", F.lit(1).alias("own")), ["gx", "gy"], "left")
+    upto = lambda by, order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = each.withColumn("row", F.sum(F.coalesce("own", F.lit(0))).over(upto("gy", "gx")))
+    return rows.select("gx", "gy", F.sum("row").over(upto("gx", "gy")).alias("n"))
+
+
 def edge_flag(points: DataFrame, key: str, covers: DataFrame, buffer_m: float, cell_m: float) -> DataFrame:
     """points with `edge`: whether any cell within the buffer's box of cells is uncovered.
 
     covers has x0, y0, x1, y1. Cells start at the covers' corner less the buffer and two cells, and a cell is covered
-    if a cover reaches into it. As covered cells are distinct, counting them in the box decides."""
+    if a cover reaches into it. As covered cells are distinct, counting them in the box decides: four lookups of sums."""
     r = math.ceil(buffer_m / cell_m)
     corner = covers.agg((F.min("x0") - (r + 2) * cell_m).alias("ox"), (F.min("y0") - (r + 2) * cell_m).alias("oy"))
-    spans = covers.join(F.broadcast(corner))
+    spans = covers.join(F.broadcast(corner))  # one row
     part = lambda low, high, o: F.sequence(F.floor((F.col(low) - F.col(o)) / cell_m).cast("long"), F.ceil((F.col(high) - F.col(o)) / cell_m).cast("long") - 1)
     cells = spans.select(F.explode(part("x0", "x1", "ox")).alias("gx"), "y0", "y1", "oy").select("gx", F.explode(part("y0", "y1", "oy")).alias("gy")).distinct()
+    cells = save(cells, "covered")
+    sums = summed_areas(cells)
+    ends = cells.agg(F.max("gx").alias("mx"), F.max("gy").alias("my"))
     placed = points.join(F.broadcast(corner)).withColumn("_cx", F.floor((F.col("x") - F.col("ox")) / cell_m).cast("long")).withColumn("_cy", F.floor((F.col("y") - F.col("oy")) / cell_m).cast("long"))
-    # runs of covered cells along x turn the box count into 2r + 1 lookups a cell row
-    wanted = placed.select("_cx", "_cy").distinct().withColumn("gy", F.explode(F.sequence(F.col("_cy") - r, F.col("_cy") + r)))
-    rows = cells.groupBy("gy").agg(F.array_sort(F.collect_list("gx")).alias("xs"))
-    inside = F.size(F.filter("xs", lambda g: g.between(F.col("_cx") - r, F.col("_cx") + r)))
-    full = wanted.join(rows, "gy").groupBy("_cx", "_cy").agg(F.sum(inside).alias("n"))
+    corners = F.array(*[F.struct(F.least(F.col("_cx") + i, F.col("mx")).alias("gx"), F.least(F.col("_cy") + j, F.col("my")).alias("gy"), F.lit(s).alias("sign")) for i, j, s in ((r, r, 1), (-r - 1, r, -1), (r, -r - 1, -1), (-r - 1, -r - 1, 1))])
+    asked = placed.select("_cx", "_cy").distinct().join(F.broadcast(ends)).select("_cx", "_cy", F.explode(corners).alias("c")).select("_cx", "_cy", "c.*")
+    full = asked.join(sums, ["gx", "gy"]).groupBy("_cx", "_cy").agg(F.sum(F.col("sign") * F.col("n")).alias("n"))  # no sum before the first cell
     found = placed.join(full, ["_cx", "_cy"], "left").withColumn("edge", F.coalesce(F.col("n"), F.lit(0)) < (2 * r + 1) ** 2)
     return found.select(*points.columns, "edge")

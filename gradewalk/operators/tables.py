@@ -12,13 +12,14 @@ _OURS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Our part of spark.checkpoint.dir. Where that is unset: a local folder if all of Spark is one process, else the warehouse.
+    """Our part of spark.checkpoint.dir. Where that is unset: a local folder if all of Spark is one process, else the
+    warehouse; raises if that lies in a machine's own file system.
 
     It is deleted when the driver's process ends."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         alone = spark.sparkContext.master.split("[")[0] == "local"
-        folder = f"file:///tmp/checkpoints/{os.getuid()}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        folder = f"file:///tmp/checkpoints/{os.getuid()}" if alone else f"{_warehouse(spark)}/_checkpoints"
     path = f"{folder.rstrip('/')}/gradewalk-{spark.sparkContext.applicationId}"
     if path not in _OURS:
         _OURS.add(path)
@@ -26,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _warehouse(spark: SparkSession) -> str:
+    """The warehouse, if executors on other machines see it."""
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    store = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getScheme() or spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if store.split(":")[0] == "file":
+        raise ValueError(f"set spark.checkpoint.dir: the warehouse {folder} may be a folder of one machine")
+    return folder
+
+
 def _delete(jvm, conf, path: str) -> None:
     try:
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -410,6 +410,21 @@ def edge_flag(spark, d):
     return spatial.edge_flag(view(spark, d, "homes_wide"), "id", covers, 500.0, 50.0).select("id", "edge")
 
 
+_STRIP = f"""bx AS (SELECT o_orderkey AS id, CAST({X0} + 100 * (o_orderkey % 60) AS DOUBLE) AS x0, CAST({Y0} + 100 * CAST(floor(o_orderkey / 60) AS BIGINT) AS DOUBLE) AS y0, o_custkey, o_orderkey * 7919 % 211 < 5 AS torn FROM orders),
+pt AS (SELECT id, x0 + o_custkey % 97 + 0.5 AS x, y0 + o_custkey * 3 % 89 + 0.5 AS y FROM bx WHERE id % 10 = 4),
+ce AS (SELECT CAST(floor((x0 + i) / 50) AS BIGINT) AS gx, CAST(floor((y0 + j) / 50) AS BIGINT) AS gy FROM bx, (SELECT unnest([0, 50]) AS i), (SELECT unnest([0, 50]) AS j) WHERE NOT torn)"""
+
+
+@query(f"WITH {_STRIP}, pc AS (SELECT id, CAST(floor(x / 50) AS BIGINT) AS cx, CAST(floor(y / 50) AS BIGINT) AS cy FROM pt), ws AS (SELECT id, cx, unnest(range(cy - 4, cy + 5)) AS gy FROM pc) SELECT pt.id, count(gx) < 81 AS edge FROM pt LEFT JOIN (SELECT id, ce.gx FROM ws JOIN ce ON ce.gy = ws.gy AND ce.gx BETWEEN cx - 4 AND cx + 4) m ON m.id = pt.id GROUP BY pt.id")
+def edge_flag_strip(spark, d):
+    """Points near gaps or ends of a strip of covers, one for each order, so that the raster of sums grows with the table."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    boxes = table(spark, d, "orders").select(k.alias("id"), (X0 + 100 * (k % 60)).cast("double").alias("x0"), (Y0 + 100 * F.expr("o_orderkey div 60")).cast("double").alias("y0"), c.alias("c"), (k * 7919 % 211 < 5).alias("torn"))
+    covers = boxes.filter("NOT torn").select("x0", "y0", (F.col("x0") + 100).alias("x1"), (F.col("y0") + 100).alias("y1"))
+    points = boxes.filter("id % 10 = 4").select("id", (F.col("x0") + F.col("c") % 97 + 0.5).alias("x"), (F.col("y0") + F.col("c") * 3 % 89 + 0.5).alias("y"))
+    return spatial.edge_flag(points, "id", covers, 200.0, 50.0).select("id", "edge")
+
+
 @query(q(("points", "buildings"), """SELECT id, EXISTS (SELECT 1 FROM buildings b WHERE b.use_code IN ('BDU001', 'BDU002') AND (b.x - p.x) * (b.x - p.x) + (b.y - p.y) * (b.y - p.y) <= 625) AND NOT EXISTS (SELECT 1 FROM buildings b WHERE b.use_code = 'BDU003' AND (b.x - p.x) * (b.x - p.x) + (b.y - p.y) * (b.y - p.y) <= 625) AS residential FROM points p"""))
 def proximity_semi_anti(spark, d):
     b = view(spark, d, "buildings").withColumn("cls", text.use_class(F.col("use_code"), F.lit(""), CODES.use_classes, CODES.residential_kind))
@@ -636,6 +651,14 @@ def fill_down(spark, d):
     return tables.fill_down(rows, "filled", "o_orderkey", ["o_custkey"]).select("o_orderkey", "filled")
 
 
+@query("SELECT line, last_value(flag IGNORE NULLS) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flag FROM (SELECT line, CASE WHEN line % 13 = 5 THEN least END AS flag FROM (SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS line, min(l_returnflag) AS least FROM lineitem GROUP BY 1) t)")
+def fill_down_whole(spark, d):
+    """Merged cells of one whole table, filled from above in the order of its lines."""
+    line = F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").groupBy(line.alias("line")).agg(F.min("l_returnflag").alias("flag")).withColumn("flag", F.when(F.col("line") % 13 == 5, F.col("flag")))
+    return tables.fill_down(rows, "flag", "line")
+
+
 @query("SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY l_orderkey")
 def dedupe_first(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("l_partkey"))

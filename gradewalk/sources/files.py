@@ -24,11 +24,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
+def contents(spark: SparkSession, root: str) -> DataFrame:
+    """path, modificationTime, length and content of all files under root; none if there is no root."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
+
+
 def find(spark: SparkSession, root: str, keys: list[str], ext: str) -> DataFrame:
     """path and length of files under root with this ending, in any case, and any of the keys in their name; none if there is no root."""
-    if not exists(spark, root):
-        return spark.createDataFrame([], "path string, length long")
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root).select("path", "length")
+    every = contents(spark, root).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     hit = F.lit(False)
     for k in keys:

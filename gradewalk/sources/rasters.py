@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from gradewalk.operators.raster import HIGHEST, LOWEST
+from gradewalk.sources.files import contents
 
 PIXELS = "path string, x double, y double, z float"
 
@@ -84,7 +85,7 @@ def read_rasters(spark: SparkSession, root: str, box: tuple[float, float, float,
                     x, y, rows, cols = x[inside], y[inside], rows[inside], cols[inside]
                 yield pd.DataFrame({"path": path, "x": x, "y": y, "z": z[rows, cols].astype("float32")})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = contents(spark, root)
     return files.filter("lower(path) RLIKE '[.](asc|tif|tiff)$'").select("path", "content").mapInPandas(decode, PIXELS)
 
 
@@ -114,21 +115,21 @@ def png_rgb(data: bytes) -> np.ndarray:
     out, above = np.zeros((height, width * channels), np.int64), np.zeros(width * channels, np.int64)
     for r in range(height):
         kind, line = raw[r, 0], raw[r, 1:].astype(np.int64)
-        if kind == 2:
+        if kind == 1:
+            line = np.cumsum(line.reshape(width, channels), axis=0).ravel() & 255
+        elif kind == 2:
             line = (line + above) & 255
-        elif kind:
-            line = line.copy()
-            for i in range(len(line)):
-                a = line[i - channels] if i >= channels else 0
-                b, c = above[i], above[i - channels] if i >= channels else 0
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
+        elif kind:  # each byte needs the one before it
+            got, up = [0] * channels, [0] * channels + above.tolist()
+            for i, v in enumerate(line.tolist()):
+                a, b, c = got[i], up[i + channels], up[i]
+                if kind == 3:
                     guess = (a + b) // 2
                 else:
                     p = a + b - c
                     guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[i] = (line[i] + guess) & 255
+                got.append((v + guess) & 255)
+            line = np.array(got[channels:], np.int64)
         out[r] = above = line
     return out.reshape(height, width, channels)[:, :, :3].astype(np.uint8)
 
@@ -148,5 +149,5 @@ def read_terrain_tiles(spark: SparkSession, root: str) -> DataFrame:
                 r, c = np.indices(z.shape)
                 yield pd.DataFrame({"row": (int(m[2]) * 256 + r).ravel(), "col": (int(m[1]) * 256 + c).ravel(), "z": z.ravel()})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = contents(spark, root)
     return files.filter("lower(path) LIKE '%.png'").select("path", "content").mapInPandas(decode, "row long, col long, z double")

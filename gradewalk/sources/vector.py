@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.functions.geo import guess_code, parse_points, project
+from gradewalk.sources.files import contents
 
 # Fixed values of the shapefile format: shape types and their dimensions.
 POINT, LINE, POLYGON, MULTIPOINT = 1, 3, 5, 8
@@ -63,7 +64,7 @@ def read_shapefiles(spark: SparkSession, root: str, keys: list[str], encoding: s
     """Shapes of all shapefiles under root with any key in their name, in their own coordinates.
 
     The encoding is used where no .cpg names one. Columns of different files meet in one map of texts."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = contents(spark, root)
     stem, ext = F.regexp_extract("path", r"^(.*)\.[^./]+$", 1), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     wanted = F.lit(False)
     for k in keys:
@@ -95,7 +96,7 @@ def to_working(layer: DataFrame, code: int | None = None) -> DataFrame:
         codes = layer.withColumn("_code", F.lit(code))
     else:
         guess = layer.groupBy("path").agg(guess_code(F.min("x0")).alias("_code"))
-        codes = layer.join(F.broadcast(guess), "path")
+        codes = layer.join(guess, "path")
 
     def moved(p):
         out = F.struct(p["x"].alias("x"), p["y"].alias("y"))

@@ -1,0 +1,124 @@
+"""Summed areas, voids by tiles, cuts of long lines, fill-down by ranges, missing folders, and folders of one machine."""
+
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gradewalk.operators import network, ordered, raster, spatial, tables
+from gradewalk.sources import rasters, vector
+from gradewalk.sources import tables as texts
+
+
+def test_summed_areas(spark):
+    rnd = random.Random(3)
+    cells = {(rnd.randrange(40), rnd.randrange(25)) for _ in range(300)}
+    got = {(r["gx"], r["gy"]): r["n"] for r in spatial.summed_areas(spark.createDataFrame(sorted(cells), "gx long, gy long")).collect()}
+    width, height = max(x for x, _ in cells) + 1, max(y for _, y in cells) + 1
+    assert got == {(x, y): sum(a <= x and b <= y for a, b in cells) for x in range(width) for y in range(height)}
+    assert spatial.summed_areas(spark.createDataFrame([], "gx long, gy long")).count() == 0
+
+
+def test_edge_flag_against_counting(spark):
+    rnd = random.Random(7)
+    covers = [(50.0 * x, 50.0 * y, 50.0 * x + rnd.choice([50.0, 49.0, 130.0]), 50.0 * y + 50.0) for x in range(60) for y in range(40) if rnd.random() < 0.97]
+    points = [(k, rnd.uniform(-300, 3400), rnd.uniform(-300, 2400)) for k in range(500)]
+    cells = {(x, y) for a, b, c, d in covers for x in range(int(a // 50), int(-(-c // 50))) for y in range(int(b // 50), int(-(-d // 50)))}
+    wanted = {k: any((int(x // 50) + i, int(y // 50) + j) not in cells for i in range(-3, 4) for j in range(-3, 4)) for k, x, y in points}
+    got = spatial.edge_flag(spark.createDataFrame(points, "id long, x double, y double"), "id", spark.createDataFrame(covers, "x0 double, y0 double, x1 double, y1 double"), 150.0, 50.0)
+    assert {r["id"]: r["edge"] for r in got.collect()} == wanted and len(set(wanted.values())) == 2
+
+
+def by_rings(z, low, rounds):
+    z = {k: (v if v >= low else None) for k, v in z.items()}
+    for _ in range(rounds):
+        news = {}
+        for (r, c), v in z.items():
+            if v is None:
+                near = [z[p] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and z.get(p := (r + i, c + j)) is not None]
+                if near:
+                    news[r, c] = sum(near) / len(near)
+        if not news:
+            break
+        z |= news
+    return z
+
+
+def test_voids_by_tiles_as_by_rings(spark):
+    """Voids across tiles, deeper than the rounds, at the rim, and beside pixels that don't exist."""
+    rnd = random.Random(5)
+    z = {(r, c): rnd.uniform(0, 90) for r in range(60) for c in range(50) if not (20 <= r < 24 and c > 30)}
+    for r0, c0, h, w in ((5, 5, 3, 30), (12, 12, 25, 9), (50, 0, 10, 10), (30, 40, 2, 2)):
+        z |= {(r, c): -999.0 for r in range(r0, r0 + h) for c in range(c0, c0 + w) if (r, c) in z}
+    frame = spark.createDataFrame([(*k, v) for k, v in z.items()], "row int, col int, z double")
+    for rounds, tile in ((64, 16), (3, 16), (3, 7), (64, 256)):
+        got = {(r["row"], r["col"]): r["z"] for r in raster.fill_voids(frame, rounds=rounds, tile=tile).collect()}
+        wanted = by_rings(z, -20.0, rounds)
+        assert len(got) == len(z) and {k for k, v in got.items() if v is None} == {k for k, v in wanted.items() if v is None}
+        assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in wanted.items() if v is not None})
+    assert any(v is None for v in by_rings(z, -20.0, 3).values())
+
+
+def test_cuts_of_a_long_line(spark):
+    """A line of 10^5 points is cut in one pass; short and broken ones beside it."""
+    n = 100_000
+    t = np.arange(n) / 50.0
+    long = [{"x": float(100 * a), "y": float(20 * np.sin(a))} for a in t]
+    rows = [(1, long), (2, [{"x": 0.0, "y": 0.0}, {"x": 70.0, "y": 0.0}, {"x": 70.0, "y": 0.0}, {"x": 70.0, "y": 20.0}]), (3, [{"x": 1.0, "y": 1.0}, {"x": 1.01, "y": 1.0}]), (4, None), (5, [])]
+    got = network.segmentize(spark.createDataFrame(rows, "line_id long, points array<struct<x:double,y:double>>"))
+    assert got.columns == ["line_id", "k", "x0", "y0", "x1", "y1", "xm", "ym", "length"]
+    short = [tuple(r) for r in got.filter("line_id <> 1").orderBy("k").collect()]
+    assert short == [(2, 0, 0.0, 0.0, 30.0, 0.0, 15.0, 0.0, 30.0), (2, 1, 30.0, 0.0, 60.0, 0.0, 45.0, 0.0, 30.0), (2, 2, 60.0, 0.0, 70.0, 20.0, 70.0, 5.0, 30.0)]
+    x, y = 100 * t, 20 * np.sin(t)
+    total = np.hypot(np.diff(x), np.diff(y)).sum()
+    one = got.filter("line_id = 1").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.max("k").alias("k"), F.max("length").alias("most")).first()
+    assert one["n"] == one["k"] + 1 == -(-int(np.ceil(total)) // 30) and one["total"] == pytest.approx(total) and one["most"] <= 30
+
+
+def test_fill_down_over_ranges(spark):
+    rnd = random.Random(9)
+    rows = [(k, f"v{k}" if rnd.random() < 0.02 else None, "x") for k in range(5_000)]
+    rnd.shuffle(rows)
+    got = texts.fill_down(spark.createDataFrame(rows, "line long, c string, _other string").repartition(7), "c")
+    last, wanted = None, {}
+    for k, v, _ in sorted(rows, key=lambda r: r[0]):
+        last = v or last
+        wanted[k] = last
+    assert {r["line"]: r["c"] for r in got.collect()} == wanted and got.columns == ["line", "c", "_other"]
+    plan = got._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan.split("ordered")[0] and ordered.filled(got.limit(0), "c", "line").count() == 0
+
+
+def test_missing_folders_give_no_rows(spark, tmp_path):
+    gone = str(tmp_path / "nothing here")
+    assert vector.read_shapefiles(spark, gone, ["N3L"]).count() == 0
+    assert rasters.read_rasters(spark, gone).count() == 0 and rasters.read_terrain_tiles(spark, gone).count() == 0
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_png_filters(kind):
+    rnd = np.random.default_rng(kind)
+    h, w, ch = 9, 11, 3
+    pixels = rnd.integers(0, 256, (h, w * ch))
+    lines = []
+    for r in range(h):
+        out = []
+        for i in range(w * ch):
+            a = pixels[r, i - ch] if i >= ch else 0
+            b = pixels[r - 1, i] if r else 0
+            c = pixels[r - 1, i - ch] if r and i >= ch else 0
+            p = int(a) + int(b) - int(c)
+            guess = [0, a, b, (int(a) + int(b)) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][kind]
+            out.append((int(pixels[r, i]) - int(guess)) & 255)
+        lines.append(bytes([kind, *out]))
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"".join(lines))) + part(b"IEND", b"")
+    assert (rasters.png_rgb(png) == pixels.reshape(h, w, ch)).all()
+
+
+def test_a_warehouse_of_one_machine_is_refused_on_a_cluster(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables._warehouse(spark)  # the tests' warehouse is a local folder
