@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradewalk.operators.raster import HIGHEST, LOWEST
 from gradewalk.sources.files import contents
+from gradewalk.sources.ranges import Ranges, listed
 
 PIXELS = "path string, x double, y double, z float"
 
@@ -35,64 +40,138 @@ _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _OFFSETS, _ROWS, _COUNTS, _PREDICTOR, _TIL
 _SIZES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 
 
-def geotiff(data: bytes) -> tuple[np.ndarray, float, float, float]:
-    """As ascii_grid, for one-band strips or tiles, plain or deflated, without a predictor."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack(order + "I", data[4:8])[0]
-    tags = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
+#: Bytes of neighbouring tiles or strips that are read at once.
+READ_AT_ONCE = 1 << 20
+_SPLIT = "path string, content binary, kind string, ks array<int>, at long, ends array<long>, shape array<int>, dtype string, packed boolean, nodata double, place array<double>"
+
+
+@dataclass
+class Layout:
+    """What a one-band GeoTIFF's directory says: size, tiles or strips and where they lie, and the place on the map."""
+
+    width: int
+    height: int
+    across: int  # tiles beside each other
+    tile: tuple[int, int]  # height, width
+    offsets: tuple[int, ...]
+    counts: tuple[int, ...]
+    dtype: str
+    packed: bool
+    nodata: float | None
+    left: float
+    top: float
+    size: float
+
+    def touched(self, box: tuple[float, float, float, float] | None) -> list[int]:
+        """Tiles with pixels in a box, or up to two pixels outside it."""
+        rows, cols = -(-self.height // self.tile[0]), self.across
+        if box is None:
+            return list(range(rows * cols))
+        row = lambda y: math.floor((self.top - y) / self.size)
+        col = lambda x: math.floor((x - self.left) / self.size)
+        r = range(max(0, (row(box[3]) - 2) // self.tile[0]), min(rows - 1, (row(box[1]) + 2) // self.tile[0]) + 1)
+        c = range(max(0, (col(box[0]) - 2) // self.tile[1]), min(cols - 1, (col(box[2]) + 2) // self.tile[1]) + 1)
+        return [i * cols + j for i in r for j in c]
+
+
+def layout(f: Ranges) -> Layout:
+    """Of one-band strips or tiles, plain or deflated, without a predictor; reads the directory only."""
+    head = f.read(0, 8)
+    order = {b"II": "<", b"MM": ">"}[head[:2]]
+    at = struct.unpack(order + "I", head[4:8])[0]
+    n = struct.unpack(order + "H", f.read(at, 2))[0]
+    entries, tags = f.read(at + 2, 12 * n), {}
+    for k in range(n):
+        entry = entries[12 * k : 12 * k + 12]
+        tag, kind, many = struct.unpack(order + "HHI", entry[:8])
         if kind in _SIZES:
             size, letter = _SIZES[kind]
-            place = at + 10 + 12 * k
-            place = place if n * size <= 4 else struct.unpack(order + "I", data[place : place + 4])[0]
-            raw = data[place : place + n * size]
-            tags[tag] = raw if letter == "c" else struct.unpack(f"{order}{n}{letter}", raw)
+            raw = entry[8 : 8 + many * size] if many * size <= 4 else f.read(struct.unpack(order + "I", entry[8:12])[0], many * size)
+            tags[tag] = raw if letter == "c" else struct.unpack(f"{order}{many}{letter}", raw)
     one = lambda t, default=None: tags.get(t, (default,))[0]
     if one(_COMPRESSION, 1) not in (1, 8, 32946) or one(_PREDICTOR, 1) != 1:
         raise ValueError("a TIFF compression that is not read here")
-    w, h, dtype = one(_WIDTH), one(_HEIGHT), np.dtype(order + {1: "u", 2: "i", 3: "f"}[one(_FORMAT, 1)] + str(one(_BITS) // 8))
-    bw, bh = (one(_TILE_W), one(_TILE_H)) if _TILE_W in tags else (w, one(_ROWS, h))
-    offsets, counts = tags.get(_TILE_OFFSETS) or tags[_OFFSETS], tags.get(_TILE_COUNTS) or tags[_COUNTS]
-    across, z = -(-w // bw), np.full((h, w), np.nan)
-    for k, (o, c) in enumerate(zip(offsets, counts, strict=True)):
-        raw = data[o : o + c]
-        block = np.frombuffer(raw if one(_COMPRESSION, 1) == 1 else zlib.decompress(raw), dtype)
-        block = block.reshape(-1, bw)
-        y, x = k // across * bh, k % across * bw
-        part = block[: h - y, : w - x]
-        z[y : y + len(part), x : x + part.shape[1]] = part
-    if _NODATA in tags:
-        z[z == float(tags[_NODATA].split(b"\0")[0])] = np.nan
+    w, h = one(_WIDTH), one(_HEIGHT)
+    tile = (one(_TILE_H), one(_TILE_W)) if _TILE_W in tags else (one(_ROWS, h), w)
     scale, tie = tags[_SCALE], tags[_TIE]
-    return z, tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0]
+    nodata = float(tags[_NODATA].split(b"\0")[0]) if _NODATA in tags else None
+    dtype = order + {1: "u", 2: "i", 3: "f"}[one(_FORMAT, 1)] + str(one(_BITS) // 8)
+    return Layout(w, h, -(-w // tile[1]), tile, tags.get(_TILE_OFFSETS) or tags[_OFFSETS], tags.get(_TILE_COUNTS) or tags[_COUNTS], dtype, one(_COMPRESSION, 1) != 1, nodata, tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0])
+
+
+def raster_splits(spark: SparkSession, root: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """What read_rasters reads of each raster under root: ranges of neighbouring tiles or strips that a box touches; ASCII grids whole.
+
+    at and ends are the range's bounds: ends[k] is where the k-th tile ends, and the last one where reading does. Where Spark
+    brought the file, content is that range of it."""
+
+    def plan(batches):
+        part = lambda f, at, end: None if f.content is None else f.read(at, end - at)
+        for b in batches:
+            rows = []
+            for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f = Ranges(path, content)
+                if path.lower().endswith(".asc"):
+                    rows.append((path, content, "text", [], 0, [f.size], [], "", False, None, []))
+                    continue
+                y = layout(f)
+                shape, place = [y.height, y.width, y.across, *y.tile], [y.left, y.top, y.size]
+                ks: list[int] = []
+                for k in sorted(y.touched(box), key=lambda k: y.offsets[k]):
+                    if ks and (y.offsets[k] != ends[-1] or y.offsets[k] + y.counts[k] - y.offsets[ks[0]] > READ_AT_ONCE):
+                        rows.append((path, part(f, y.offsets[ks[0]], ends[-1]), "tiff", ks, y.offsets[ks[0]], ends, shape, y.dtype, y.packed, y.nodata, place))
+                        ks = []
+                    ends = [*(ends if ks else []), y.offsets[k] + y.counts[k]]
+                    ks = [*ks, k]
+                if ks:
+                    rows.append((path, part(f, y.offsets[ks[0]], ends[-1]), "tiff", ks, y.offsets[ks[0]], ends, shape, y.dtype, y.packed, y.nodata, place))
+                f.close()
+            types = [pa.string(), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.float64())]
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _SPLIT.split(", ")])
+
+    return listed(spark, root, ("asc", "tif", "tiff")).mapInArrow(plan, _SPLIT)
 
 
 def read_rasters(spark: SparkSession, root: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """path, x, y (pixel centres) and z of all rasters under root; no-data and impossible heights are left out.
 
-    With a box, pixels farther than two pixels outside it are too."""
-
-    def decode(frames):
-        for f in frames:
-            for path, data in zip(f["path"], f["content"], strict=True):
-                z, left, top, size = ascii_grid(data) if path.lower().endswith(".asc") else geotiff(data)
-                ok = np.isfinite(z) & (z >= LOWEST) & (z <= HIGHEST)
-                rows, cols = np.nonzero(ok)
-                x, y = left + (cols + 0.5) * size, top - (rows + 0.5) * size
-                if box is not None:
-                    inside = (x >= box[0] - 2 * size) & (x <= box[2] + 2 * size) & (y >= box[1] - 2 * size) & (y <= box[3] + 2 * size)
-                    x, y, rows, cols = x[inside], y[inside], rows[inside], cols[inside]
-                yield pd.DataFrame({"path": path, "x": x, "y": y, "z": z[rows, cols].astype("float32")})
+    With a box, pixels farther than two pixels outside it are too, and their tiles aren't read. Many tasks share a file."""
+
+    def pixels(path: str, z: np.ndarray, left: float, top: float, size: float) -> pa.RecordBatch:
+        rows, cols = np.nonzero(np.isfinite(z) & (z >= LOWEST) & (z <= HIGHEST))
+        x, y = left + (cols + 0.5) * size, top - (rows + 0.5) * size
+        if box is not None:
+            inside = (x >= box[0] - 2 * size) & (x <= box[2] + 2 * size) & (y >= box[1] - 2 * size) & (y <= box[3] + 2 * size)
+            x, y, rows, cols = x[inside], y[inside], rows[inside], cols[inside]
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(x), pa.string()), pa.array(x), pa.array(y), pa.array(z[rows, cols].astype(np.float32))], names=["path", "x", "y", "z"])
+
+    def decode(batches):
+        for b in batches:
+            for path, content, kind, ks, at, ends, shape, dtype, packed, nodata, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = content
+                if data is None:
+                    with Ranges(path) as f:
+                        data = f.read(at, ends[-1] - at)
+                if kind == "text":
+                    yield pixels(path, *ascii_grid(data))
+                    continue
+                (height, width, across, th, tw), (left, top, size), start = shape, place, 0
+                for k, end in zip(ks, ends, strict=True):
+                    raw, start = data[start : end - at], end - at
+                    block = np.frombuffer(zlib.decompress(raw) if packed else raw, np.dtype(dtype))
+                    y, x = k // across * th, k % across * tw
+                    block = block[: len(block) // tw * tw].reshape(-1, tw)[: height - y, : width - x].astype(np.float64)
+                    if nodata is not None:
+                        block[block == nodata] = np.nan
+                    yield pixels(path, block, left + x * size, top - y * size, size)
 
-    files = contents(spark, root)
-    return files.filter("lower(path) RLIKE '[.](asc|tif|tiff)$'").select("path", "content").mapInPandas(decode, PIXELS)
+    splits = raster_splits(spark, root, box)
+    return splits.repartition(F.col("path"), F.col("at")).mapInArrow(decode, PIXELS)
 
 
 def mosaic(pixels: DataFrame, size: float, origin: tuple[float, float]) -> DataFrame:
     """row, col, z on one raster with this top left corner; overlapping files give the mean."""
-    from pyspark.sql import functions as F
-
     row, col = F.floor((origin[1] - F.col("y")) / size).cast("int"), F.floor((F.col("x") - origin[0]) / size).cast("int")
     return pixels.groupBy(row.alias("row"), col.alias("col")).agg(F.avg("z").alias("z"))
 

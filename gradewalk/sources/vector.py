@@ -1,17 +1,19 @@
 """Vector layers: shapefiles, GeoJSON zones and WKT line networks.
 
-Files come through Spark's binaryFile source, so any store that Spark reads will do; each is decoded in one task."""
+Shapefiles are read in ranges of their records, by several tasks each (see ranges); texts are decoded in one task each."""
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.functions.geo import guess_code, parse_points, project
-from gradewalk.sources.files import contents
+from gradewalk.sources.ranges import Ranges, listed
 
 # Fixed values of the shapefile format: shape types and their dimensions.
 POINT, LINE, POLYGON, MULTIPOINT = 1, 3, 5, 8
@@ -19,75 +21,140 @@ RING = "array<struct<x:double,y:double>>"
 SHAPES = f"path string, n long, kind string, parts array<{RING}>, x0 double, y0 double, x1 double, y1 double, attributes map<string,string>"
 
 
-def shapes(data: bytes):
-    """(kind, parts) of each record; measures and heights are left out, null shapes are (None, [])."""
-    at = 100
-    while at + 8 <= len(data):
-        size = struct.unpack(">i", data[at + 4 : at + 8])[0] * 2
-        body = data[at + 8 : at + 8 + size]
-        at += 8 + size
-        kind = struct.unpack("<i", body[:4])[0] if len(body) >= 4 else 0
-        base = kind % 10
-        if base == POINT:
-            yield "point", [[struct.unpack("<2d", body[4:20])]]
-        elif base in (LINE, POLYGON):
-            n_parts, n_points = struct.unpack("<2i", body[36:44])
-            starts = [*struct.unpack(f"<{n_parts}i", body[44 : 44 + 4 * n_parts]), n_points]
-            flat = struct.unpack(f"<{2 * n_points}d", body[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points])
-            points = list(zip(flat[::2], flat[1::2], strict=True))
-            yield "line" if base == LINE else "polygon", [points[s:e] for s, e in zip(starts, starts[1:], strict=False)]
-        elif base == MULTIPOINT:
-            n = struct.unpack("<i", body[36:40])[0]
-            flat = struct.unpack(f"<{2 * n}d", body[40 : 40 + 16 * n])
-            yield "multipoint", [list(zip(flat[::2], flat[1::2], strict=True))]
-        else:
-            yield None, []
-
-
-def attributes(data: bytes, encoding: str):
-    """A dict of texts for each record of a dBASE table; deleted ones too, as shapes keep their place."""
-    n, head, width = struct.unpack("<IHH", data[4:12])
-    fields, at = [], 32
-    while at + 32 <= head and data[at] != 0x0D:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), data[at + 16]))
-        at += 32
-    for k in range(n):
-        row, pos, found = data[head + k * width : head + (k + 1) * width], 1, {}
-        for name, size in fields:
-            text = row[pos : pos + size].decode(encoding, "replace").strip(" \0")
-            found[name] = text or None
-            pos += size
-        yield found
-
-
-def read_shapefiles(spark: SparkSession, root: str, keys: list[str], encoding: str = "cp949") -> DataFrame:
-    """Shapes of all shapefiles under root with any key in their name, in their own coordinates.
-
-    The encoding is used where no .cpg names one. Columns of different files meet in one map of texts."""
-    files = contents(spark, root)
+#: Bytes of records that a task reads at once.
+READ_AT_ONCE = 4 << 20
+_SPLIT = "path string, first long, records long, at long, end long, shp_path string, shp binary, dbf_path string, dbf binary, code string"
+
+
+def shape(body: bytes, box: tuple[float, float, float, float] | None = None):
+    """(kind, parts) of a record; measures and heights are left out, null shapes are (None, []).
+
+    With a box, shapes whose envelope, as the record states it, doesn't meet it are null shapes: their points aren't looked at."""
+    kind = struct.unpack("<i", body[:4])[0] if len(body) >= 4 else 0
+    base = kind % 10
+    if base not in (POINT, LINE, POLYGON, MULTIPOINT):
+        return None, []
+    x0, y0, x1, y1 = struct.unpack("<2d", body[4:20]) * 2 if base == POINT else struct.unpack("<4d", body[4:36])
+    if box is not None and not (x1 >= box[0] and y1 >= box[1] and x0 <= box[2] and y0 <= box[3]):
+        return None, []
+    if base == POINT:
+        return "point", [[(x0, y0)]]
+    if base == MULTIPOINT:
+        flat = struct.unpack(f"<{2 * struct.unpack('<i', body[36:40])[0]}d", body[40 : 40 + 16 * struct.unpack("<i", body[36:40])[0]])
+        return "multipoint", [list(zip(flat[::2], flat[1::2], strict=True))]
+    n_parts, n_points = struct.unpack("<2i", body[36:44])
+    starts = [*struct.unpack(f"<{n_parts}i", body[44 : 44 + 4 * n_parts]), n_points]
+    flat = struct.unpack(f"<{2 * n_points}d", body[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points])
+    points = list(zip(flat[::2], flat[1::2], strict=True))
+    return "line" if base == LINE else "polygon", [points[s:e] for s, e in zip(starts, starts[1:], strict=False)]
+
+
+def offsets(shp: Ranges, shx: Ranges | None) -> list[int]:
+    """Where each record begins, and where the last one ends: from the index beside the file, or from the records' heads."""
+    if shx is not None:
+        flat = np.frombuffer(shx.read(100, (shx.size - 100) // 8 * 8), ">i4").reshape(-1, 2).astype(np.int64) * 2
+        return [*flat[:, 0].tolist(), int(flat[-1].sum()) + 8] if len(flat) else [100]
+    found, window, start = [100], b"", 100
+    while True:
+        at = found[-1]
+        if at + 8 > start + len(window):
+            start, window = at, shp.read(at, READ_AT_ONCE)
+        if len(window) - (at - start) < 8:
+            return found
+        found.append(at + 8 + struct.unpack(">i", window[at - start + 4 : at - start + 8])[0] * 2)
+
+
+def attributes(dbf: Ranges, first: int, n: int, encoding: str, fields: list[str] | None = None) -> list[dict[str, str | None]]:
+    """A dict of texts for each of n records of a dBASE table; deleted ones too, as shapes keep their place. Only asked fields are decoded."""
+    rows, head, width = struct.unpack("<IHH", dbf.read(4, 8))
+    names, at, pos, wanted = dbf.read(32, head - 32), 0, 1, []
+    while at + 32 <= len(names) and names[at] != 0x0D:
+        name, size = names[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), names[at + 16]
+        if fields is None or name in fields:
+            wanted.append((name, pos, pos + size))
+        at, pos = at + 32, pos + size
+    data = dbf.read(head + first * width, max(0, min(n, rows - first)) * width)
+    text = lambda k, s, e: data[k * width + s : k * width + e].decode(encoding, "replace").strip(" \0") or None
+    return [{name: text(k, s, e) for name, s, e in wanted} for k in range(len(data) // width)]
+
+
+def shape_splits(spark: SparkSession, root: str, keys: list[str], encoding: str = "cp949") -> DataFrame:
+    """Runs of records of all shapefiles under root with any key in their name: first, records, and their bytes at to end.
+
+    Where Spark brought the files, shp is that range of bytes, and dbf the table's head with its part of the rows."""
+    files = listed(spark, root, ("shp", "shx", "dbf", "cpg"))
     stem, ext = F.regexp_extract("path", r"^(.*)\.[^./]+$", 1), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     wanted = F.lit(False)
     for k in keys:
         wanted = wanted | F.element_at(F.split("path", "/"), -1).contains(k)
-    sets = files.filter(wanted).select(stem.alias("path"), ext.alias("ext"), "content").filter(F.col("ext").isin("shp", "dbf", "cpg")).groupBy("path").agg(*[F.max(F.when(F.col("ext") == e, F.col("content"))).alias(e) for e in ("shp", "dbf", "cpg")])
+    of = [F.max(F.when(F.col("ext") == e, F.struct("path", "content"))).alias(e) for e in ("shp", "shx", "dbf", "cpg")]
+    sets = files.filter(wanted).select(stem.alias("stem"), ext.alias("ext"), "path", "content").groupBy("stem").agg(*of).filter("shp IS NOT NULL")
+
+    def plan(batches):
+        opened = lambda f: f and Ranges(f["path"], f["content"])
+
+        def rows_of(f: Ranges | None, first: int, n: int) -> bytes | None:
+            if f is None or f.content is None:
+                return None
+            head, width = struct.unpack("<HH", f.read(8, 4))
+            return f.read(0, head) + f.read(head + first * width, n * width)
+
+        for b in batches:
+            rows = []
+            for stem, shp, shx, dbf, cpg in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                code = encoding
+                if cpg:
+                    with opened(cpg) as f:
+                        code = f.read(0, f.size).decode("ascii", "replace").strip()
+                code = "cp949" if code.lower() in ("949", "ks_c_5601-1987") else code
+                f, table, index, first = opened(shp), opened(dbf), opened(shx), 0
+                at = offsets(f, index)
+                for k in range(1, len(at)):
+                    if k == len(at) - 1 or at[k + 1] - at[first] > READ_AT_ONCE:
+                        own = None if f.content is None else f.read(at[first], at[k] - at[first])
+                        rows.append((stem, first, k - first, at[first], at[k], shp["path"], own, dbf and dbf["path"], rows_of(table, first, k - first), code))
+                        first = k
+                for x in (f, table, index):
+                    if x:
+                        x.close()
+            types = [pa.string(), *[pa.int64()] * 4, *[pa.string(), pa.binary()] * 2, pa.string()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _SPLIT.split(", ")])
+
+    return sets.mapInArrow(plan, _SPLIT)
+
+
+def read_shapefiles(spark: SparkSession, root: str, keys: list[str], encoding: str = "cp949", box: tuple[float, float, float, float] | None = None, fields: list[str] | None = None) -> DataFrame:
+    """Shapes of all shapefiles under root with any key in their name, in their own coordinates.
+
+    The encoding is used where no .cpg names one. Columns of different files meet in one map of texts, of all fields or of
+    those asked for. With a box (in the files' coordinates) shapes are told by the envelopes in their records, before their
+    points are decoded. A file is read by as many tasks as its records need."""
 
     def decode(frames):
         for f in frames:
-            for path, shp, dbf, cpg in zip(f["path"], f["shp"], f["dbf"], f["cpg"], strict=True):
-                code = cpg.decode("ascii", "replace").strip() if cpg is not None else encoding
-                code = "cp949" if code.lower() in ("949", "ks_c_5601-1987") else code
-                table = attributes(dbf, code) if dbf is not None else iter(())
-                rows = []
-                for n, (kind, parts) in enumerate(shapes(shp)):
-                    own = next(table, {})
+            for path, first, n, at, end, shp_path, shp, dbf_path, dbf, code in f.itertuples(index=False):
+                data = shp
+                if data is None:
+                    with Ranges(shp_path) as file:
+                        data = file.read(at, end - at)
+                table: list[dict] = []
+                if isinstance(dbf_path, str):
+                    with Ranges(dbf_path, dbf) as file:
+                        table = attributes(file, first if dbf is None else 0, n, code, fields)
+                rows, pos = [], 0
+                for k in range(n):
+                    size = struct.unpack(">i", data[pos + 4 : pos + 8])[0] * 2
+                    kind, parts = shape(data[pos + 8 : pos + 8 + size], box)
+                    pos += 8 + size
                     if kind is None or not any(parts):
                         continue
                     xs, ys = zip(*[p for part in parts for p in part], strict=True)
-                    rows.append((path, n, kind, [[{"x": x, "y": y} for x, y in part] for part in parts], min(xs), min(ys), max(xs), max(ys), own))
+                    rows.append((path, first + k, kind, [[{"x": x, "y": y} for x, y in part] for part in parts], min(xs), min(ys), max(xs), max(ys), table[k] if k < len(table) else {}))
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", "n", "kind", "parts", "x0", "y0", "x1", "y1", "attributes"])
 
-    return sets.filter("shp IS NOT NULL").mapInPandas(decode, SHAPES)
+    return shape_splits(spark, root, keys, encoding).repartition(F.col("path"), F.col("first")).mapInPandas(decode, SHAPES)
 
 
 def to_working(layer: DataFrame, code: int | None = None) -> DataFrame:
