@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# How places, stations and districts are written in the published tables.
+NUMBERED, DOTS = r"제(\d+)", "[·ㆍ・.,]"
+BRACKETED, STATION = r"\(.*?\)", "역"
+CITY_DISTRICT = r"서울(?:특별시)?\s+(\S+구)"
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -13,17 +19,17 @@ def digits(c: Column) -> Column:
 def place_name(c: Column) -> Column:
     """A place's name without white space, with 제N as N and one kind of middle dot."""
     bare = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s+", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"제(\d+)", "$1"), "[·ㆍ・.,]", ".")
+    return F.regexp_replace(F.regexp_replace(bare, NUMBERED, "$1"), DOTS, ".")
 
 
 def station_key(c: Column) -> Column:
     """A station's name without brackets, spaces and a final 역."""
-    bare = F.replace(F.regexp_replace(c, r"\(.*?\)", ""), F.lit(" "), F.lit(""))
-    return F.when(bare.endswith("역") & (F.length(bare) > 2), F.regexp_replace(bare, "역$", "")).otherwise(bare)
+    bare = F.replace(F.regexp_replace(c, BRACKETED, ""), F.lit(" "), F.lit(""))
+    return F.when(bare.endswith(STATION) & (F.length(bare) > 2), F.regexp_replace(bare, f"{STATION}$", "")).otherwise(bare)
 
 
 def district_of_address(c: Column) -> Column:
-    found = F.regexp_extract(c, r"서울(?:특별시)?\s+(\S+구)", 1)
+    found = F.regexp_extract(c, CITY_DISTRICT, 1)
     return F.when(found != "", found)
 
 

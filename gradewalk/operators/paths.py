@@ -34,7 +34,7 @@ from gradewalk.operators.tables import save
 #: Edges of a block: 24 bytes each as they come, about 200 while they are sorted into arrays.
 BLOCK_EDGES = 2_000_000
 #: Ends of edges in a cell of the overlay; a cell's work grows with the square root of it for each node.
-CELL_EDGES = 16_000
+CELL_EDGES = 8_000
 #: The overlay is used where there are so many times more nodes than border nodes; border nodes of a cell up to which pairs are thinned out.
 OVERLAY_SHARE, THINNED = 3, 1_024
 #: By how much, of the whole way, sums of the same costs in another order may differ.
@@ -213,7 +213,7 @@ def numbered(edges: DataFrame, most: int, places: DataFrame | None = None) -> Da
     if places is not None:
         ends = ends.join(_curve(places).groupBy("node").agg(F.min("z").alias("z")), "node", "left")
     order = ["graph", *(["z"] if places is not None else []), "node"]
-    placed = running(ends, [F.col(c) for c in order], {"before": F.col("n")})
+    placed = running(ends, [F.col(c) for c in order], {"before": F.col("n")}, stored=True)  # a sum over stored edges
     return save(placed.select("graph", "node", F.floor(F.col("before") / most).alias("block")), "numbered")
 
 
@@ -268,12 +268,12 @@ def _over(marked: DataFrame, borders: DataFrame, entries: DataFrame, cells: Data
     """The search through the overlay of border nodes."""
     inner = marked.filter("sb = db").select("graph", F.col("sb").alias("block"), "src", "dst", "w", F.lit(False).alias("border"))
     loops = borders.select("graph", "block", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("border"))
-    inner = save(inner.unionByName(loops), "inner")
+    inner = inner.unionByName(loops)
     placed = save(entries.join(cells, ["graph", "node"]).select("run", "graph", "reverse", "node", "d", F.lit(True).alias("fresh"), "block"), "placed")
     left = inner.select(F.col("graph").alias("g"), F.col("block").alias("b"), "src", "dst", "w", "border").groupBy("g", "b")
     found = save(left.cogroup(placed.groupBy("graph", "block")).applyInArrow(_across, f"{_FOUND}, src long"), "across")
     between = found.filter("run IS NULL").select("graph", "src", F.col("node").alias("dst"), F.col("d").alias("w"))
-    overlay = save(between.unionByName(marked.filter("sb <> db").select("graph", "src", "dst", "w")), "overlay")
+    overlay = between.unionByName(marked.filter("sb <> db").select("graph", "src", "dst", "w"))
     smaller = overlay.count() * 2 <= marked.count()
     at = _search(overlay, found.filter("run IS NOT NULL").drop("src"), shards, block_edges, rounds, places, cell_edges, smaller)
     met = at.join(borders, ["graph", "node"]).select("run", "graph", "reverse", "node", "d", F.lit(True).alias("fresh"), "block").unionByName(placed).withColumn("shard", _shard(shards))

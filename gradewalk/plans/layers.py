@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -459,7 +458,7 @@ def town_times(spark, d):
     edges = cost.weights(hbi.sloped(nodes, view(spark, d, "town_links")), names=("elder",))
     dests = hbi.destination_nodes(view(spark, d, "town_dests").filter("target = 'medical'"), nodes)
     sources = dests.select(F.lit("x").alias("run"), F.lit("elder").alias("graph"), F.lit(False).alias("reverse"), "node")
-    return paths.search(edges, sources, block_edges=100_000, places=nodes).select("node", F.col("d").alias("seconds"))
+    return paths.search(edges, sources, block_edges=400_000, places=nodes).select("node", F.col("d").alias("seconds"))
 
 
 #: Decks of the growing town, in parts of its side of 25 m streets.
@@ -488,19 +487,19 @@ def town_facilities(spark, d):
     return e.groupBy("facility", "target").agg(F.count("*").alias("n"), F.count_if("benefit").alias("n_benefit"), F.round(F.coalesce(F.sum(F.when(F.col("benefit"), F.col("saved"))), F.lit(0.0)) / 60, 4).alias("sum_saved_min"), F.avg(F.when(F.col("benefit"), F.col("h0"))).alias("hbi_before"), F.avg(F.when(F.col("benefit"), F.col("h1"))).alias("hbi_after"), F.count_if("newly").alias("newly"), F.count_if("wheel_benefit").alias("wheel_benefit"))
 
 
-_ENDS_OF_ORDERS = "ro AS (SELECT o_orderkey AS run, (o_custkey * 7919) % (side * side) AS o, (o_orderkey * 104729 + 31) % (side * side) AS d FROM orders, (SELECT DISTINCT side FROM town) WHERE o_orderkey % 1500 = 7)"
+_ENDS_OF_ORDERS = "ro AS (SELECT o_orderkey AS run, (o_custkey * 7919) % (side * side) AS o, (o_orderkey * 104729 + 31) % (side * side) AS d FROM orders, (SELECT DISTINCT side FROM town) WHERE o_orderkey % 5000 = 7)"
 
 
 @query("WITH RECURSIVE " + ctes("town_nodes", "town_links") + ",\nnodes AS (SELECT * FROM town_nodes), links AS (SELECT * FROM town_links),\n" + EDGES + f",\n{_ENDS_OF_ORDERS},\n" + search(f"SELECT 'elder' AS g, src, dst, {elder()} AS w FROM dl", "SELECT CAST(run AS VARCHAR) AS run, 'elder' AS g, o AS node FROM ro") + "\nSELECT ro.run AS o_orderkey, round(CASE WHEN o = ro.d THEN 0 ELSE best.d END, 6) AS seconds, round(CASE WHEN o = ro.d THEN 0 ELSE best.d END, 6) AS walked FROM ro LEFT JOIN best ON best.run = CAST(ro.run AS VARCHAR) AND best.node = ro.d")
 def town_routes(spark, d):
-    """Ways between the ends of one order in 1,500 across blocks of the growing town: their costs, and those of the steps they take."""
+    """Ways between the ends of one order in 5,000 across blocks of the growing town: their costs, and those of the steps they take."""
     nodes = view(spark, d, "town_nodes")
     edges = save(cost.weights(hbi.sloped(nodes, view(spark, d, "town_links")), names=("elder",)), "town-weights")
     side = view(spark, d, "town").select("side").distinct()
-    ends = table(spark, d, "orders").filter("o_orderkey % 1500 = 7").join(F.broadcast(side), how="cross")  # one row
+    ends = table(spark, d, "orders").filter("o_orderkey % 5000 = 7").join(F.broadcast(side), how="cross")  # one row
     size = F.col("side") * F.col("side")
     pairs = ends.select(F.col("o_orderkey").cast("string").alias("run"), F.lit("elder").alias("graph"), (F.col("o_custkey") * 7919 % size).alias("o"), ((F.col("o_orderkey") * 104729 + 31) % size).alias("d"))
-    found = save(paths.single_paths(edges, pairs, 4, 20_000, nodes), "town-routes")
+    found = save(paths.single_paths(edges, pairs, 4, 50_000, nodes), "town-routes")
     step = F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("src"), F.get("nodes", i + 1).alias("dst")))
     taken = found.filter(F.size("nodes") > 1).select("run", F.explode(step).alias("s")).select("run", "s.*").join(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), ["src", "dst"]).groupBy("run").agg(F.sum("w").alias("walked"))
     return found.join(taken, "run", "left").select(F.col("run").cast("long").alias("o_orderkey"), F.col("cost").alias("seconds"), F.when(F.col("cost").isNotNull(), F.coalesce("walked", F.lit(0.0))).alias("walked"))
@@ -547,92 +546,98 @@ def _folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def _put(path: str, data: bytes) -> str:
-    """A file of report size, written by the driver into the shared folder."""
-    store, place = fs.FileSystem.from_uri(path)
-    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(place, compression=None) as out:
-        out.write(data)
-    return path
+def _lines(rows: DataFrame, file: Column, encoding: str, sep: str, *cells: Column, at: Column, heads: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of text files: heads first in each, then the rows' cells in the order of `at` (from 0)."""
+    body = rows.select(file.alias("file"), at.cast("long").alias("at"), F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]).alias("line"))
+    tops = body.select("file").distinct().select("file", F.posexplode(F.array(*[F.lit(h) for h in heads])).alias("k", "line")).select("file", (F.col("k") - len(heads)).cast("long").alias("at"), "line") if heads else None
+    return (body.unionByName(tops) if heads else body).withColumn("encoding", F.lit(encoding))
 
 
-def _text(rows: list[list], encoding: str, sep: str = ",") -> bytes:
-    return ("\n".join(sep.join("" if v is None else str(v) for v in r) for r in rows) + "\n").encode(encoding)
+_TEXT = "SELECT '{0}' AS encoding, o_orderkey AS id, '가' || o_orderpriority AS name, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS region FROM orders"
 
 
-@query("SELECT 'cp949' AS encoding, n_nationkey AS id, '가' || n_name AS name, CASE WHEN n_nationkey % 4 <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS region FROM nation UNION ALL SELECT 'utf-8-sig', n_nationkey, '가' || n_name, CASE WHEN n_nationkey % 4 <> 0 THEN CAST(n_regionkey AS VARCHAR) END FROM nation")
+@query(_TEXT.format("cp949") + " UNION ALL " + _TEXT.format("utf-8-sig"))
 def text_tables(spark, d):
-    """A table written in two encodings with two delimiters, the Korean text far behind the head, and read back."""
-    rows = [(r["n_nationkey"], "가" + r["n_name"], r["n_regionkey"] if r["n_nationkey"] % 4 else None) for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    """Orders written to files in two encodings with two delimiters, the Korean text far behind the head, and read back."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
     found = []
     for encoding, sep in (("cp949", "|"), ("utf-8-sig", "\t")):
-        padding = [["-1", "x" * 99, ""]] * 1000  # ASCII only
-        path = _put(f"{_folder(spark, 'text')}/t.csv", _text([["id", "이름", "region"], *padding, *rows], encoding, sep))
-        back = files.read_any(spark, path).filter("id <> '-1'")
-        found.append(back.select(F.lit(encoding).alias("encoding"), F.col("id").cast("int").alias("id"), F.col("이름").alias("name"), F.nullif("region", F.lit("")).alias("region")))
+        folder = _folder(spark, "text")
+        padding = [sep.join(["-1", "x" * 99, ""])] * 1000  # ASCII only
+        cells = (k, F.concat(F.lit("가"), "o_orderpriority"), F.when(k % 4 != 0, F.col("o_custkey")))
+        sinks.write_lines(_lines(o, F.format_string("t%d.csv", k % 8), encoding, sep, *cells, at=k, heads=(sep.join(["id", "이름", "region"]), *padding)), folder)
+        back = files.read_any(spark, f"{folder}/*.csv").filter("id <> '-1'")
+        found.append(back.select(F.lit(encoding).alias("encoding"), F.col("id").cast("long").alias("id"), F.col("이름").alias("name"), F.nullif("region", F.lit("")).alias("region")))
     return found[0].unionAll(found[1])
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, round(CAST(n_nationkey AS DOUBLE) / 7, 4) AS v FROM nation")
+@query("SELECT o_orderkey AS id, o_orderpriority AS name, round(CAST(o_orderkey AS DOUBLE) / 7, 4) AS v FROM orders")
 def csv_round_trip(spark, d):
-    """The spreadsheet sink, with its byte order mark and rounded numbers, read back."""
-    path = f"{_folder(spark, 'csv')}/out.csv"
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_nationkey").cast("double") / 7).alias("v"))
-    sinks.write_csv(sinks.rounded(n), path)
-    return files.read_any(spark, path).select(F.col("id").cast("int").alias("id"), "name", F.col("v").cast("double").alias("v"))
+    """The spreadsheet sink, a file for each task with its byte order mark and rounded numbers, read back."""
+    folder = _folder(spark, "csv")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey").cast("double") / 7).alias("v"))
+    sinks.write_csv_parts(sinks.rounded(o).repartition(4), folder)
+    return files.read_any(spark, f"{folder}/*.csv").select(F.col("id").cast("long").alias("id"), "name", F.col("v").cast("double").alias("v"))
 
 
-@query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 3 <> 0")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0")
 def csv_points(spark, d):
-    """Rows with coordinates of a text table, in the working projection's area; and no rows of a file that isn't there."""
-    rows = [(r[0], 126.9 + r[0] / 500 if r[0] % 3 else None, 37.5) for r in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # 25 rows
-    path = _put(f"{_folder(spark, 'points')}/p.csv", _text([["id", "lon", "lat"], *rows], "utf-8-sig"))
-    found = files.read_points(spark, path).filter("x BETWEEN 180000 AND 230000 AND y BETWEEN 500000 AND 600000")
-    return found.select(F.col("id").cast("int").alias("id")).unionAll(files.read_points(spark, path + ".none").select(F.col("lon").cast("int")))
+    """Rows with coordinates of text tables, in the working projection's area; and no rows of a file that isn't there."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    folder = _folder(spark, "points")
+    sinks.write_lines(_lines(c, F.format_string("p%d.csv", k % 4), "utf-8-sig", ",", k, F.when(k % 3 != 0, 126.9 + k % 97 / 500), F.lit("37.5"), at=k, heads=("id,lon,lat",)), folder)
+    found = files.read_points(spark, f"{folder}/*.csv").filter("x BETWEEN 180000 AND 230000 AND y BETWEEN 500000 AND 600000")
+    return found.select(F.col("id").cast("long").alias("id")).unionAll(files.read_points(spark, f"{folder}/none.csv").select(F.col("lon").cast("long")))
 
 
-_STATS = "SELECT layout, 'gu' || CAST(n_regionkey AS VARCHAR) || '구' AS gu, 'd' || CAST(n_nationkey AS VARCHAR) || '동' AS dong, CASE WHEN n_nationkey % 6 <> 0 THEN CAST(1000 + n_nationkey AS DOUBLE) END AS people FROM nation, (SELECT unnest(['plain', 'stacked', 'long']) AS layout)"
+_STATS = "SELECT layout, 'gu' || CAST(c_nationkey AS VARCHAR) || '구' AS gu, 'd' || CAST(c_custkey AS VARCHAR) || '동' AS dong, CASE WHEN c_custkey % 6 <> 0 THEN CAST(1000 + c_custkey AS DOUBLE) END AS people FROM customer, (SELECT unnest(['plain', 'stacked', 'long']) AS layout)"
 
 
 @query(_STATS)
 def statistics_tables(spark, d):
-    """One published statistic in its three header layouts, each written in another encoding and read back."""
-    own = table(spark, d, "nation").orderBy("n_regionkey", "n_nationkey").collect()  # 25 rows
-    value = lambda r: "X" if r["n_nationkey"] % 6 == 0 else f'"{1000 + r["n_nationkey"]:,}"'
-    plain, stacked, long = [["자치구", "동", "기준", "인구"], ["", "", "명", "명"]], [["동별(1)", "동별(2)", "동별(3)", "2024", "2024"], ["동별(1)", "동별(2)", "동별(3)", "인구", "인구"], ["동별(1)", "동별(2)", "동별(3)", "소계", "남자"]], [["동별", "항목", "구분", "단위", "2024"]]
-    for k, r in enumerate(own):
-        gu, dong, first = f"gu{r['n_regionkey']}구", f"d{r['n_nationkey']}동", k == 0 or own[k - 1]["n_regionkey"] != r["n_regionkey"]
-        if first:
-            plain.append([gu, "합계", 1, 9])
-            stacked.append(["합계", gu, "소계", 9, 9])
-            long.append([gu, "수", "계", "명", 9])
-        plain.append(["", dong, 1, value(r)])
-        stacked.append(["", gu if first else "", dong, value(r), 1])
-        long += [[dong, "수", "계", "명", value(r)], [dong, "수", "남", "명", 3]]
+    """A statistic of as many districts as customers in its three header layouts, each written in another encoding and read back."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+    c = table(spark, d, "customer")
+    firsts = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("first"))
+    c = c.join(F.broadcast(firsts), "c_nationkey")  # a row a nation
+    gu, dong = F.concat(F.lit("gu"), nation.cast("string"), F.lit("구")), F.concat(F.lit("d"), k.cast("string"), F.lit("동"))
+    value = F.when(k % 6 == 0, "X").otherwise(F.concat(F.lit('"'), F.format_number(1000 + k, 0), F.lit('"')))
+    place, own, first = (nation.cast("long") * 100_000_000 + k) * 4, F.lit(""), k == F.col("first")
+    heads = {"plain": ("자치구,동,기준,인구", ",,명,명"), "stacked": ("동별(1),동별(2),동별(3),2024,2024", "동별(1),동별(2),동별(3),인구,인구", "동별(1),동별(2),동별(3),소계,남자"), "long": ("동별,항목,구분,단위,2024",)}
+    totals = {"plain": (gu, F.lit("합계"), 1, 9), "stacked": (F.lit("합계"), gu, F.lit("소계"), 9, 9), "long": (gu, F.lit("수"), F.lit("계"), F.lit("명"), 9)}
+    lines = {"plain": [(own, dong, 1, value)], "stacked": [(own, F.when(first, gu), dong, value, 1)], "long": [(dong, F.lit("수"), F.lit("계"), F.lit("명"), value), (dong, F.lit("수"), F.lit("남"), F.lit("명"), 3)]}
     found = None
-    for layout, rows, encoding, column in (("plain", plain, "utf-8-sig", "인구"), ("stacked", stacked, "cp949", "인구"), ("long", long, "euc-kr", "계")):
-        path = _put(f"{_folder(spark, 'statistics')}/{layout}.csv", _text(rows, encoding))
-        one = tables.statistics(spark, path, [column]).select(F.lit(layout).alias("layout"), "gu", "dong", F.col(column).alias("people"))
+    for layout, encoding, column in (("plain", "utf-8-sig", "인구"), ("stacked", "cp949", "인구"), ("long", "euc-kr", "계")):
+        folder, file = _folder(spark, "statistics"), F.lit(f"{layout}.csv")
+        as_column = lambda cells: [x if isinstance(x, Column) else F.lit(x) for x in cells]
+        rows = _lines(c.filter(first), file, encoding, ",", *as_column(totals[layout]), at=place, heads=heads[layout])
+        for j, cells in enumerate(lines[layout]):
+            rows = rows.unionByName(_lines(c, file, encoding, ",", *as_column(cells), at=place + j + 1))
+        sinks.write_lines(rows, folder)
+        one = tables.statistics(spark, f"{folder}/{layout}.csv", [column]).select(F.lit(layout).alias("layout"), "gu", "dong", F.col(column).alias("people"))
         found = one if found is None else found.unionAll(one)
     return found
 
 
-@query(q(("zones",), "SELECT adm_cd, adm_cd_stat, adm_nm, gu, n_rings, round(x, 2) AS x, round(y, 2) AS y FROM (SELECT adm_cd, adm_cd_stat, adm_nm, gu, 1 + CAST(n_nationkey % 3 = 0 AS INT) AS n_rings, unnest([x0, x1, x1, x0]) AS x, unnest([y0, y0, y1, y1]) AS y FROM zones JOIN nation ON n_name = adm_nm)"))
+@query(f"""SELECT '11110' || lpad(CAST(k AS VARCHAR), 5, '0') AS adm_cd, '1101' || lpad(CAST(k AS VARCHAR), 4, '0') AS adm_cd_stat, 'n' || CAST(k AS VARCHAR) AS adm_nm, 'g' || CAST(c_nationkey AS VARCHAR) AS gu, 1 + CAST(k % 3 = 0 AS INT) AS n_rings,
+ CAST({X0} + 400 * (k % 50) + x AS DOUBLE) AS x, CAST({Y0} + 4 * (k // 50) + y AS DOUBLE) AS y FROM (SELECT c_custkey AS k, c_nationkey, unnest([0, 400, 400, 0]) AS x, unnest([0, 0, 400, 400]) AS y FROM customer)""")
 def geojson_zones(spark, d):
-    """Districts written as GeoJSON in degrees and read back: corners of their first rings, and the number of rings."""
-    import json
-
-    z = view(spark, d, "zones").join(table(spark, d, "nation").select(F.col("n_name").alias("adm_nm"), "n_nationkey"), "adm_nm")
-    corner = lambda a, b: F.array(*geo.project(F.col(a), F.col(b), 5186, 4326))
-    rows = z.withColumn("ring", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))).collect()  # 25 districts
-    features = []
-    for r in rows:
-        ring = [list(p) for p in r["ring"]]
-        many = r["n_nationkey"] % 3 == 0
-        shape = {"type": "MultiPolygon", "coordinates": [[ring], [ring]]} if many else {"type": "Polygon", "coordinates": [ring]}
-        features.append({"type": "Feature", "properties": {"ADM_CD": r["adm_cd"], "ADM_CD_STAT": r["adm_cd_stat"], "adm_nm": r["adm_nm"], "sggnm": r["gu"]}, "geometry": shape})
-    path = _put(f"{_folder(spark, 'zones')}/dong_boundary.geojson", json.dumps({"type": "FeatureCollection", "features": features}).encode())
-    zones = vector.read_zones(spark, path)
+    """As many districts as customers, written as GeoJSON files in degrees and read back: corners of their first rings, and the number of rings."""
+    k = F.col("c_custkey")
+    x, y = (X0 + 400 * (k % 50)).cast("double"), (Y0 + 4 * F.expr("c_custkey div 50")).cast("double")
+    corner = lambda a, b: F.array(*geo.project(x + a, y + b, 5186, 4326))
+    corners = save(table(spark, d, "customer").select("c_custkey", "c_nationkey", F.array(corner(0, 0), corner(400, 0), corner(400, 400), corner(0, 400)).alias("ring")), "corners")
+    ring = F.col("ring")
+    text_of = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    properties = F.struct(F.concat(F.lit("11110"), text_of(k, 5)).alias("ADM_CD"), F.concat(F.lit("1101"), text_of(k, 4)).alias("ADM_CD_STAT"), F.concat(F.lit("n"), k.cast("string")).alias("adm_nm"), F.concat(F.lit("g"), F.col("c_nationkey").cast("string")).alias("sggnm"))
+    feature = lambda kind, shape: F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit(kind).alias("type"), shape.alias("coordinates")).alias("geometry")))
+    line = F.when(k % 3 == 0, feature("MultiPolygon", F.array(F.array(ring), F.array(ring)))).otherwise(feature("Polygon", F.array(ring)))
+    folder, file = _folder(spark, "zones"), F.format_string("dong_boundary_%d.geojson", k % 4)
+    rows = _lines(corners, file, "utf-8", "", line, at=2 * k, heads=('{"type": "FeatureCollection", "features": [',))
+    last = rows.groupBy("file", "encoding").agg(F.max("at").alias("last"))
+    between = rows.join(last, ["file", "encoding"]).filter("at >= 0 AND at < last").select("file", (F.col("at") + 1).alias("at"), F.lit(",").alias("line"), "encoding")
+    sinks.write_lines(rows.unionByName(between).unionByName(last.select("file", (F.col("last") + 1).alias("at"), F.lit("]}").alias("line"), "encoding")), folder)
+    zones = vector.read_zones(spark, f"{folder}/*.geojson")
     return zones.select("adm_cd", "adm_cd_stat", "adm_nm", "gu", F.size("rings").alias("n_rings"), F.explode(F.col("rings")[0]).alias("p")).select("adm_cd", "adm_cd_stat", "adm_nm", "gu", "n_rings", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
 
 
@@ -657,12 +662,12 @@ def network_store(spark, d):
     return nodes.agg(F.count("*").alias("n_nodes"), F.round(F.sum("z"), 3).alias("z")).join(links.agg(F.count("*").alias("n_links"), F.count_if("is_stair").alias("n_stairs")), how="cross")
 
 
-@query("SELECT count(*) AS n FROM nation WHERE n_nationkey % 2 = 0")
+@query("SELECT count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0")
 def found_files(spark, d):
     """Files by ending, in any case, and part of the name, in nested folders; none where there is no folder."""
-    root = _folder(spark, "files")
-    for k in [r[0] for r in table(spark, d, "nation").select("n_nationkey").collect()]:  # 25 rows
-        _put(f"{root}/sub{k % 3}/{'road' if k % 2 == 0 else 'house'}_{k}.{'SHP' if k % 4 else 'shp'}", b"x")
-        _put(f"{root}/road_{k}.dbf", b"x")
+    root, k = _folder(spark, "files"), F.col("s_suppkey")
+    shape = F.format_string("sub%d/%s_%d.%s", k % 3, F.when(k % 2 == 0, "road").otherwise("house"), k, F.when(k % 4 != 0, "SHP").otherwise("shp"))
+    s = table(spark, d, "supplier")
+    sinks.write_lines(_lines(s, shape, "utf-8", "", F.lit("x"), at=F.lit(0)).unionByName(_lines(s, F.format_string("road_%d.dbf", k), "utf-8", "", F.lit("x"), at=F.lit(0))), root)
     found = files.find(spark, root, ["road", "street"], ".shp").unionAll(files.find(spark, root + "-none", ["road"], ".shp"))
     return found.agg(F.count("*").alias("n"))

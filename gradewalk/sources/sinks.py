@@ -8,12 +8,16 @@ import os
 import sqlite3
 import struct
 import tempfile
+import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewalk.operators.tables import save
+
 # Fixed values of the GeoPackage format.
 APPLICATION_ID, USER_VERSION = 0x47504B47, 10300
 _TABLES = """
@@ -34,6 +38,49 @@ def write_csv(df: DataFrame, path: str) -> None:
             writer.writerows(["" if v is None else v for v in r] for r in df.toLocalIterator())
 
 
+def write_lines(rows: DataFrame, folder: str) -> DataFrame:
+    """Text files from rows (file, encoding, at, line), each by one task line after line in the order of `at`; returns file and lines, stored."""
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        out, name, n, done = None, None, 0, []
+        for b in batches:
+            for file, encoding, line in zip(*(b.column(c).to_pylist() for c in ("file", "encoding", "line")), strict=True):
+                if file != name:
+                    if out is not None:
+                        out.close()
+                        done.append((name, n))
+                    store.create_dir(os.path.dirname(f"{base}/{file}"), recursive=True)
+                    out, name, n = io.TextIOWrapper(store.open_output_stream(f"{base}/{file}", compression=None), encoding, newline=""), file, 0
+                out.write(line + "\n")
+                n += 1
+        if out is not None:
+            out.close()
+            done.append((name, n))
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["file", "lines"])
+
+    return save(rows.select("file", "encoding", "at", "line").repartition("file").sortWithinPartitions("file", "at").mapInArrow(run, "file string, lines long"), "text-files")
+
+
+def write_csv_parts(df: DataFrame, folder: str) -> DataFrame:
+    """A table as spreadsheets' text files, one for each task, each with a header and a byte order mark; returns file and rows, stored."""
+    names = df.columns
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        file, n = f"part-{uuid.uuid4().hex}.csv", 0
+        with store.open_output_stream(f"{base}/{file}", compression=None) as out, io.TextIOWrapper(out, "utf-8-sig", newline="") as text:
+            writer = csv.writer(text)
+            writer.writerow(names)
+            for b in batches:
+                writer.writerows(["" if v is None else v for v in r] for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+                n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([n], pa.int64())], names=["file", "rows"])
+
+    return save(df.mapInArrow(run, "file string, rows long"), "text-parts")
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """df with doubles rounded; for the text sink only."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
