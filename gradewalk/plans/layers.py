@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -662,6 +664,24 @@ def network_store(spark, d):
     return nodes.agg(F.count("*").alias("n_nodes"), F.round(F.sum("z"), 3).alias("z")).join(links.agg(F.count("*").alias("n_links"), F.count_if("is_stair").alias("n_stairs")), how="cross")
 
 
+@query(q(("homes_wide",), "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(x - 25, 6) AS x0, round(y + 25, 6) AS y1, id * 3 AS label FROM homes_wide"))
+def gpkg_round_trip(spark, d):
+    """Cells around homes, written as GeoPackages by several tasks and read back: centres from the polygons, envelopes from their heads."""
+    folder = _folder(spark, "gpkg")
+    homes = view(spark, d, "homes_wide")
+    cells = homes.select("id", (F.col("id") * 3).alias("label"), sinks.cell_wkb(F.col("x") - 25, F.col("y") - 25, F.lit(50.0)).alias("wkb"), F.col("x").alias("_x"))
+    sinks.write_gpkg_parts(cells.repartitionByRange(4, "_x").drop("_x"), folder, "cells", "wkb", "POLYGON")
+    back = vector.read_gpkg(spark, folder, "cells")
+
+    @F.pandas_udf("x double, y double")
+    def centre(wkb: pd.Series) -> pd.DataFrame:
+        corners = [np.frombuffer(w, "<f8", 8, 13).reshape(4, 2).mean(axis=0) for w in wkb]
+        return pd.DataFrame(np.array(corners).reshape(-1, 2), columns=["x", "y"])
+
+    at = lambda c: F.col("attributes")[c].cast("long").alias(c)
+    return back.select(at("id"), at("label"), centre("wkb").alias("c"), "x0", "y1").select("id", "c.x", "c.y", "x0", "y1", "label")
+
+
 @query("SELECT count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0")
 def found_files(spark, d):
     """Files by ending, in any case, and part of the name, in nested folders; none where there is no folder."""

@@ -4,7 +4,9 @@ Shapefiles are read in ranges of their records, by several tasks each (see range
 
 from __future__ import annotations
 
+import sqlite3
 import struct
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.functions.geo import guess_code, parse_points, project
+from gradewalk.sources.files import contents
 from gradewalk.sources.ranges import Ranges, listed
 
 # Fixed values of the shapefile format: shape types and their dimensions.
@@ -157,6 +160,35 @@ def read_shapefiles(spark: SparkSession, root: str, keys: list[str], encoding: s
     return shape_splits(spark, root, keys, encoding).repartition(F.col("path"), F.col("first")).mapInPandas(decode, SHAPES)
 
 
+def read_gpkg(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """path, fid, wkb, x0, y0, x1, y1 (the stored envelope) and attributes (texts) of a layer in all GeoPackages under root; a task a file."""
+
+    def decode(batches):
+        names = ["path", "fid", "wkb", "x0", "y0", "x1", "y1", "attributes"]
+        types = [pa.string(), pa.int64(), pa.binary(), *[pa.float64()] * 4, pa.map_(pa.string(), pa.string())]
+        for b in batches:
+            for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with tempfile.TemporaryDirectory() as scratch:
+                    with open(f"{scratch}/layer.gpkg", "wb") as f:
+                        f.write(content)
+                    db = sqlite3.connect(f"{scratch}/layer.gpkg")
+                    found = db.execute('SELECT * FROM "' + table.replace('"', '""') + '"')
+                    keys = [c[0] for c in found.description]
+                    while rows := found.fetchmany(10_000):
+                        out = []
+                        for r in rows:
+                            own = dict(zip(keys, r, strict=True))
+                            fid, blob = own.pop("fid"), own.pop("geom")
+                            size = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
+                            x0, x1, y0, y1 = struct.unpack("<4d", blob[8:40]) if size else (None,) * 4
+                            out.append((path, fid, blob[8 + size :], x0, y0, x1, y1, [(k, None if v is None else str(v)) for k, v in own.items()]))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    db.close()
+
+    files = contents(spark, root).filter("lower(path) LIKE '%.gpkg'").select("path", "content")
+    return files.mapInArrow(decode, "path string, fid long, wkb binary, x0 double, y0 double, x1 double, y1 double, attributes map<string,string>")
+
+
 def to_working(layer: DataFrame, code: int | None = None) -> DataFrame:
     """A layer's parts in the working projection; a missing code is guessed from each file's coordinates."""
     if code is not None:

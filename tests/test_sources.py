@@ -218,7 +218,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_gpkg(cells, f"{tmp_path}/out/x.gpkg", "cells", "geom", "POLYGON")
     db = sqlite3.connect(f"{tmp_path}/out/x.gpkg")
     rows = db.execute("select name, v, k, geom from cells order by k").fetchall()
-    assert [r[:3] for r in rows] == [("가", 1.23456, 1), ("나", None, 2)] and rows[0][3][:2] == b"GP" and struct.unpack("<I", rows[0][3][9:13])[0] == 3
+    assert [r[:3] for r in rows] == [("가", 1.23456, 1), ("나", None, 2)] and rows[0][3][:2] == b"GP" and struct.unpack("<I", rows[0][3][41:45])[0] == 3
     assert db.execute("pragma application_id").fetchone()[0] == sinks.APPLICATION_ID
 
 
