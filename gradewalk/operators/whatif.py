@@ -18,6 +18,7 @@ from gradewalk.operators.paths import lowered, search, single_paths
 from gradewalk.operators.spatial import nearest_any
 from gradewalk.operators.stats import quantiles, share_below, spearman
 from gradewalk.operators.tables import save
+from gradewalk.operators.union import outline_pieces, union_areas, union_layer
 
 ALL = "ALL"
 
@@ -163,6 +164,17 @@ def cover_cells(reached: DataFrame, nodes: DataFrame, cell_m: float = 5.0, m: Mo
     return reached.select("name", "mode", "minutes", "u", "v").join(near, ["u", "v"]).select("name", "mode", "minutes", "gx", "gy").distinct()
 
 
+def isochrone_layer(reached: DataFrame, nodes: DataFrame, tolerance: float = 10.0, m: Model = DEFAULT) -> DataFrame:
+    """name, mode, minutes, area_m2, rings and geom (WKB MultiPolygon) of the land within the buffer of reached links, longest minutes first.
+
+    Areas are those of the whole outlines; rings and geom leave out points that matter less."""
+    n = lambda c, k: nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    by = ["name", "mode", "minutes"]
+    links = reached.select(*by, "u", "v").join(n("u", 0), "u").join(n("v", 1), "v")
+    pieces = save(outline_pieces(links, by, m.isochrone_buffer_m), "outlines")
+    return union_areas(pieces, by).join(union_layer(pieces, by, tolerance), by).orderBy("name", "mode", F.desc("minutes"))
+
+
 def isochrone_summary(cells: DataFrame, homes: DataFrame, cell_m: float = 5.0, m: Model = DEFAULT) -> DataFrame:
     """name, mode, minutes, area_km2, ratio_to_flat, n_res_bld (null under min_count)."""
     area = cells.groupBy("name", "mode", "minutes").agg((F.count("*") * cell_m * cell_m / 1e6).alias("area_km2"))

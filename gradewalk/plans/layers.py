@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from gradewalk.config import CODES
 from gradewalk.functions import cost, geo, text
-from gradewalk.operators import hbi, joins, network, paths, preview, report, shapes, spatial, stats, whatif
+from gradewalk.operators import hbi, joins, network, paths, preview, report, shapes, spatial, stats, union, whatif
 from gradewalk.operators.tables import save, shared_dir
 from gradewalk.plans.oracles import COSTS, EDGES, FULL, NET, ZONE_HOMES, both_ways, edge_rows, elder, gridded, interventions, q, rank, search
-from gradewalk.plans.queries import _scored, zoned
+from gradewalk.plans.queries import _reached, _scored, zoned
 from gradewalk.plans.registry import query, table
 from gradewalk.plans.synth import SIDE, X0, Y0, ctes, view
 from gradewalk.sources import files, sinks, stores, tables, vector
@@ -664,6 +664,31 @@ def network_store(spark, d):
     return nodes.agg(F.count("*").alias("n_nodes"), F.round(F.sum("z"), 3).alias("z")).join(links.agg(F.count("*").alias("n_links"), F.count_if("is_stair").alias("n_stairs")), how="cross")
 
 
+_BUFFERS = "b AS (SELECT c_custkey AS id, c_custkey % 5 AS kind, 60.0 + c_custkey % 50 AS len, 16 * 625 * sin(pi() / 16) AS p FROM customer)"
+
+
+@query(f"WITH {_BUFFERS} SELECT id, round(CASE kind WHEN 0 THEN p + 50 * len WHEN 1 THEN 2 * (p + 50 * len) - 2500 WHEN 2 THEN 2 * (p + 50 * len) - 625 - 3 * p / 4 WHEN 3 THEN p + 75 * len ELSE len * len + 100 * len + p - (len - 50) * (len - 50) END, 0) AS area_m2 FROM b")
+def buffer_unions(spark, d):
+    """Areas of united buffers of links that lie alone, cross, meet at a corner, overlap along a line, or go round a yard."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k.alias("id"), (k % 5).alias("kind"), (60.0 + k % 50).alias("len"), (X0 + 400.0 * (k % 200)).alias("x"), (Y0 + 400.0 * F.expr("c_custkey div 200")).alias("y"))
+    x, y, n = F.col("x"), F.col("y"), F.col("len")
+    way = lambda *v: F.struct(*[a.cast("double").alias(name) for a, name in zip(v, ("x0", "y0", "x1", "y1"), strict=True)])
+    one, up = way(x, y, x + n, y), way(x, y, x, y + n)
+    kinds = {0: [one], 1: [way(x - n / 2, y, x + n / 2, y), way(x, y - n / 2, x, y + n / 2)], 2: [one, up], 3: [one, way(x + n / 2, y, x + n * 1.5, y)], 4: [one, up, way(x + n, y, x + n, y + n), way(x, y + n, x + n, y + n)]}
+    ways = F.coalesce(*[F.when(F.col("kind") == kind, F.array(*parts)) for kind, parts in kinds.items()])
+    links = c.select("id", F.explode(ways).alias("w")).select("id", "w.*")
+    return union.union_areas(union.outline_pieces(links, ["id"], 25.0, cell_m=200.0), ["id"]).select("id", F.round("area_m2", 0).alias("area_m2"))
+
+
+@query(None)
+def isochrone_unions(spark, d):
+    """Isochrones as united buffers: area, and MultiPolygons without points that matter less, the longest first (tests hold unions against closed forms)."""
+    nodes = view(spark, d, "nodes")
+    layer = whatif.isochrone_layer(_reached(spark, d), nodes)
+    return layer.select("name", "mode", "minutes", F.round("area_m2", 0).alias("area_m2"), F.size("rings").alias("rings"), F.length("geom").alias("bytes"))
+
+
 @query(q(("homes_wide",), "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(x - 25, 6) AS x0, round(y + 25, 6) AS y1, id * 3 AS label FROM homes_wide"))
 def gpkg_round_trip(spark, d):
     """Cells around homes, written as GeoPackages by several tasks and read back: centres from the polygons, envelopes from their heads."""
