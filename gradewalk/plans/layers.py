@@ -541,6 +541,51 @@ def viewer_scale(spark, d):
     return back.select(F.size("j.cells").cast("long").alias("n_cells"), F.round(F.aggregate("j.cells", F.lit(0.0), lambda a, c: a + c[3]), 4).alias("hbi_sum"), "j.cap")
 
 
+def _spaced_sql(k: int) -> str:
+    """The k-th choice: the highest cell far enough from all earlier ones."""
+    earlier = " UNION ALL ".join(f"SELECT * FROM k{j}" for j in range(1, k))
+    free = f" WHERE NOT EXISTS (SELECT 1 FROM ({earlier}) e WHERE sqrt((e.cell_x - c.cell_x) * (e.cell_x - c.cell_x) + (e.cell_y - c.cell_y) * (e.cell_y - c.cell_y)) < 400)" if k > 1 else ""
+    return f"k{k} AS (SELECT {k} AS rank, cell_x, cell_y, hbi_mean FROM c{free} ORDER BY hbi_mean DESC, cell_x, cell_y LIMIT 1)"
+
+
+@query(q(("scored",), " UNION ALL ".join(f"SELECT rank, cell_x, cell_y, round(hbi_mean, 6) AS hbi_mean FROM k{k}" for k in range(1, 6)), f"c AS (SELECT (gx + 0.5) * CAST(250 AS DOUBLE) AS cell_x, (gy + 0.5) * CAST(250 AS DOUBLE) AS cell_y, hbi_mean FROM (SELECT {gridded('scored')}, round(avg(hbi), 9) AS hbi_mean FROM scored WHERE hbi IS NOT NULL GROUP BY ALL HAVING count(*) >= 5)),\n" + ",\n".join(_spaced_sql(k) for k in range(1, 6))))
+def spaced_cells(spark, d):
+    """The five highest cells that keep 400 m from each other."""
+    cells = hbi.grid(_scored(spark, d)).select("cell_x", "cell_y", F.round("hbi_mean", 9).alias("hbi_mean"))
+    chosen = [(k + 1, r["cell_x"], r["cell_y"], r["hbi_mean"]) for k, r in enumerate(whatif.spaced_top(cells, 400.0, 5))]  # a report of five rows
+    return spark.createDataFrame(chosen, "rank int, cell_x double, cell_y double, hbi_mean double")
+
+
+_PLACES = "pl AS (SELECT c_custkey AS k, 126.90003 + c_custkey * 7 % 1000 / CAST(5000 AS DOUBLE) AS lon, 37.40003 + c_custkey * 13 % 1000 / CAST(5000 AS DOUBLE) AS lat FROM customer)"
+
+
+def _degree_zones(spark, d) -> DataFrame:
+    """Boxes of 0.03 degrees with gaps between them, one for each nation."""
+    n = F.col("n_nationkey")
+    z = table(spark, d, "nation").select(F.concat(F.lit("g"), n.cast("string"), F.lit("구")).alias("gu"), (126.9 + 0.04 * (n % 5)).alias("x0"), (37.4 + 0.04 * F.expr("n_nationkey div 5")).alias("y0"))
+    z = z.withColumn("x1", F.col("x0") + 0.03).withColumn("y1", F.col("y0") + 0.03)
+    return z.withColumn("rings", F.array(_ring((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y0")), (F.col("x1"), F.col("y1")), (F.col("x0"), F.col("y1")), (F.col("x0"), F.col("y0")))))
+
+
+@query(f"WITH {_PLACES} SELECT 'P' || CAST(k AS VARCHAR) AS name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM pl JOIN nation ON lon > 126.9 + 0.04 * (n_nationkey % 5) AND lon < 126.93 + 0.04 * (n_nationkey % 5) AND lat > 37.4 + 0.04 * (n_nationkey // 5) AND lat < 37.43 + 0.04 * (n_nationkey // 5) WHERE k % 9 <> 0")
+def named_places(spark, d):
+    """Named points of a table inside a city's zones; those without coordinates fall out."""
+    k = F.col("c_custkey")
+    lon, lat = 126.90003 + k * 7 % 1000 / 5000, 37.40003 + k * 13 % 1000 / 5000
+    rows = table(spark, d, "customer").select(F.concat(F.lit(" P"), k.cast("string"), F.lit(" ")).alias("name"), F.when(k % 9 != 0, lon.cast("string")).alias("lon"), lat.cast("string").alias("lat"))
+    return tables.named_points(rows, "name", "lon", "lat", zones=_degree_zones(spark, d))
+
+
+@query("SELECT CAST(5181 AS INTEGER) AS code, count(*) AS agree, count(*) AS n FROM customer")
+def voted_projection(spark, d):
+    """The projection in which all facilities, some of them 20 m from the border, lie in the boroughs of their addresses."""
+    k, z = F.col("c_custkey"), _degree_zones(spark, d)
+    own = z.join(table(spark, d, "customer").select("c_custkey", F.concat(F.lit("g"), F.col("c_nationkey").cast("string"), F.lit("구")).alias("gu")), "gu")
+    px, py = geo.project(F.col("x0") + 0.0002 + k % 297 / 10_000, F.col("y0") + 0.0002 + k % 293 / 10_000, 4326, 5181)
+    rows = own.select(px.cast("string").alias("px"), py.cast("string").alias("py"), F.concat(F.lit("서울특별시 "), "gu", F.lit(" 1")).alias("address"))
+    return tables.vote_code(rows, "px", "py", "address", z).limit(1).select("code", "agree", "n")
+
+
 # files written and read back
 
 
