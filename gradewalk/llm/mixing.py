@@ -12,8 +12,9 @@ ranges, so their number is not bounded by a task either.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order; a source without words
 has target 0 and none of its documents are taken; null ids and repeated rows count as documents of their own (equal
-rows may swap their copies, which no result shows); columns of any name are carried in a struct and can't clash; an
-empty table gives an empty mix.
+rows may swap their copies, which no result shows); columns of any name are carried in a struct and can't clash; very
+long texts count with all their words, and one larger than its target is taken as often as its places fall; an empty table
+gives an empty mix.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ look at the texts: ablations are bit operations and counts over the ledger.
 
 Defined results: a null or empty text has no words, fails rule 0 and is rejected; rows are judged one by one, so
 repeated rows and null ids keep their own ledger rows; other columns are carried in a struct, so names like n_words
-can't clash; an empty table gives an empty ledger, and no ablations.
+can't clash; very long texts are measured whole, in one row's memory; an empty table gives an empty ledger, and no ablations.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ higher support, then block; without one the verdict is allow.
 
 Defined results: a null url, or one without `://`, has empty host and path, no list rule and the verdict allow; each
 row is judged alone, so repeated rows and null ids keep theirs; an empty table, or one with fewer than
-MIN_COUNT listed URLs, mines nothing.
+MIN_COUNT listed URLs, mines nothing; very long URLs bring all their tokens; columns other than page_id and url, of any name
+(host, path or rule too), are not looked at and can't clash.
 """
 
 from __future__ import annotations
