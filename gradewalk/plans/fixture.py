@@ -13,11 +13,11 @@ def _height(x, y, height: float = 70.0):
     return 30 + height * F.exp(-(F.pow(x - X0 - 1300, 2) + F.pow(y - Y0 - 1200, 2)) / (2 * 400.0**2))
 
 
-def dem(spark: SparkSession, size: int = 5, height: float = 70.0) -> DataFrame:
-    """row, col, z of pixels from the top left corner."""
+def dem(spark: SparkSession, size: int = 5, height: float = 70.0, ids: DataFrame | None = None) -> DataFrame:
+    """row, col, z of pixels from the top left corner; their numbers may come from a table (id)."""
     n = SIDE // size
     row, col = F.floor(F.col("id") / n).cast("int"), (F.col("id") % n).cast("int")
-    at = spark.range(n * n).select(row.alias("row"), col.alias("col"))
+    at = (spark.range(n * n) if ids is None else ids).select(row.alias("row"), col.alias("col"))
     return at.withColumn("z", _height(X0 + (F.col("col") + 0.5) * size, Y0 + SIDE - (F.col("row") + 0.5) * size, height))
 
 
@@ -52,11 +52,11 @@ def level(spark: SparkSession) -> DataFrame:
     return boxes(spark, [(X0 + 50.0, Y0 + 1990.0, X0 + 350.0, Y0 + 2010.0)], "")
 
 
-def buildings(spark: SparkSession, n: int = 500) -> DataFrame:
-    """id, x, y, use_code, kind, floor_text, area of 12 m boxes spread by a fixed rule."""
+def buildings(spark: SparkSession, n: int = 500, ids: DataFrame | None = None) -> DataFrame:
+    """id, x, y, use_code, kind, floor_text, area of 12 m boxes spread by a fixed rule; their numbers may come from a table (id)."""
     use = F.element_at(F.array(*[F.lit(u) for u in ["BDU001"] * 10 + ["BDU002"] * 6 + ["BDU003"] * 2 + ["BDU009"] + ["BDU011"]]), (F.col("id") * 7 % 20 + 1).cast("int"))
     x, y = X0 + 30 + (F.col("id") * 911) % 1939, Y0 + 30 + (F.col("id") * 577) % 1933
-    return spark.range(n).select("id", x.cast("double").alias("x"), y.cast("double").alias("y"), use.alias("use_code"), F.lit("").alias("kind"), (F.col("id") % 5 + 1).cast("string").alias("floor_text"), F.lit(144.0).alias("area"))
+    return (spark.range(n) if ids is None else ids).select("id", x.cast("double").alias("x"), y.cast("double").alias("y"), use.alias("use_code"), F.lit("").alias("kind"), (F.col("id") % 5 + 1).cast("string").alias("floor_text"), F.lit(144.0).alias("area"))
 
 
 def stops(spark: SparkSession) -> DataFrame:

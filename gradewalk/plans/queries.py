@@ -740,8 +740,9 @@ def viewer_payload(spark, d):
 
 @query(None)
 def fixture_run(spark, d):
-    """Network, index and grid of the made-up quarter, from its lines, polygons and heights (no tables of the driver)."""
-    layers = stages.Layers(fixture.lines(spark), fixture.stairs(spark), fixture.level(spark), fixture.buildings(spark), fixture.stops(spark), fixture.dem(spark), (fixture.X0, fixture.Y0 + 2000), 5.0)
+    """Network, index and grid of the made-up quarter, from its lines, polygons and heights, and a building for each customer."""
+    owners = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"))
+    layers = stages.Layers(fixture.lines(spark), fixture.stairs(spark), fixture.level(spark), fixture.buildings(spark, ids=owners), fixture.stops(spark), fixture.dem(spark), (fixture.X0, fixture.Y0 + 2000), 5.0)
     nodes, links = stages.network_stage(layers)
     return stages.export_stage(stages.index_stage(layers, nodes, links))["grid"]
 
@@ -749,7 +750,8 @@ def fixture_run(spark, d):
 @query(None)
 def raster_preview(spark, d):
     """The index on a raster of the hill (iterative search; no SQL)."""
-    return preview.raster_index(fixture.dem(spark, 50, 250.0), 50.0, spark.createDataFrame([(5, 5), (30, 20)], "row int, col int"))
+    pixels = fixture.dem(spark, 50, 250.0, view(spark, d, "hill").select(F.col("i").alias("id")))
+    return preview.raster_index(pixels, 50.0, spark.createDataFrame([(5, 5), (30, 20)], "row int, col int"))
 
 
 @query(q(("homes", "dests"), "SELECT facility, n, s AS sum_saved_bld_min FROM (SELECT 'f' || s_nationkey AS facility, count(*) AS n, round(sum(s_acctbal), 6) AS s FROM supplier GROUP BY s_nationkey) ORDER BY s DESC, facility DESC LIMIT 1"))
