@@ -247,11 +247,15 @@ def complete_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 def first_match(names: DataFrame, sites: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """names with the first site (by order) whose name contains key.
 
-    A name that contains the key contains its first three characters (or all of a shorter one): both sides meet by that."""
+    A name that contains the key contains all of its runs of three characters (or all of a shorter one): both sides meet by
+    the one of them that fewest sites have."""
     k, n = F.col(key), F.col(name)
-    parts = lambda w: F.when(F.length(n) >= w, F.transform(F.sequence(F.lit(1), F.length(n) - w + 1), lambda i: F.substr(n, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
-    grams = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[parts(w) for w in (1, 2, 3)])))
-    met = names.select(key, F.substring(key, 1, 3).alias("_g")).distinct().join(sites.select(name, order, grams.alias("_g")), "_g").filter(n.contains(k))
+    runs = lambda c, w: F.when(F.length(c) >= w, F.transform(F.sequence(F.lit(1), F.length(c) - w + 1), lambda i: F.substr(c, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+    pieces = sites.select(name, order, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[runs(n, w) for w in (1, 2, 3)]))).alias("_g"))
+    own = names.select(key).distinct().select(key, F.explode(F.when(F.length(k) <= 3, F.array(k)).otherwise(F.array_distinct(runs(k, 3)))).alias("_g"))
+    often = pieces.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = own.join(often, "_g", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r"))
+    met = rarest.filter("_r._n > 0").select(key, "_r._g").join(pieces, "_g").filter(n.contains(k))
     return names.join(met.groupBy(key).agg(F.min_by(name, order).alias(name)), key, "left")
 
 
