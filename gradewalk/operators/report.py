@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gradewalk.config import DEFAULT, Model
 from gradewalk.operators.stats import index_quantile
+from gradewalk.operators.tables import save
 
 #: Newer and older names of the same metric, the preferred first.
 VERSIONS = {"hbi_median": ("hbi_median", "hbi_median_v4")}
@@ -52,12 +53,14 @@ def outing_index(points: DataFrame, population: DataFrame) -> DataFrame:
     from gradewalk.operators.stats import p_value, spearman
 
     joined = points.join(population, "adm_cd").filter("pop60 > 0").withColumn("outing", F.col("n_points") / F.col("pop60"))
+    joined = save(joined, "outings")
     counted = spearman(joined, [], "hbi_mean", "outing").join(F.broadcast(joined.agg(F.count("*").alias("n"))), how="cross")
     return counted.filter("n >= 5").withColumn("p", p_value("rho", "n"))
 
 
 def overlap_of_quarters(rows: DataFrame, value: str, high_is_poor: bool = True) -> DataFrame:
     """One row n: districts in the top quarter of hbi_mean and in the poor quarter of value; null under 8 districts."""
+    rows = save(rows, "quarters")  # quantiles are held against the same bits
     h, v = index_quantile(rows, "hbi_mean", 0.75, 8).withColumnRenamed("q", "_h"), index_quantile(rows, value, 0.75 if high_is_poor else 0.25, 8).withColumnRenamed("q", "_v")
     poor = F.col(value) >= F.col("_v") if high_is_poor else F.col(value) <= F.col("_v")
     both = rows.join(F.broadcast(h), how="cross").join(F.broadcast(v), how="cross")  # two single rows
