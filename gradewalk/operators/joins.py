@@ -12,6 +12,7 @@ from gradewalk.functions.geo import cell, cell_centre, haversine
 from gradewalk.functions.text import digits, number, place_name, station_key
 from gradewalk.operators.spatial import with_any
 from gradewalk.operators.stats import best, pearson, quantiles, quartile_groups, share_below, spearman, tail_means
+from gradewalk.operators.tables import save
 
 LATEST = "__LATEST__"
 
@@ -248,15 +249,18 @@ def first_match(names: DataFrame, sites: DataFrame, key: str, name: str, order:
     """names with the first site (by order) whose name contains key.
 
     A name that contains the key contains all of its runs of three characters (or all of a shorter one): both sides meet by
-    the one of them that fewest sites have."""
+    the one of them that fewest names have. Of sites of one name the first stands for all. Spark would judge the runs by the
+    size of the file they come from and send them through the driver, so these joins are merges."""
     k, n = F.col(key), F.col(name)
     runs = lambda c, w: F.when(F.length(c) >= w, F.transform(F.sequence(F.lit(1), F.length(c) - w + 1), lambda i: F.substr(c, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
-    pieces = sites.select(name, order, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[runs(n, w) for w in (1, 2, 3)]))).alias("_g"))
-    own = names.select(key).distinct().select(key, F.explode(F.when(F.length(k) <= 3, F.array(k)).otherwise(F.array_distinct(runs(k, 3)))).alias("_g"))
+    least = save(sites.filter(n.isNotNull()).groupBy(name).agg(F.min(order).alias(order)), "first-sites")
+    pieces = least.select(name, order, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[runs(n, w) for w in (1, 2, 3)]))).alias("_g"))
+    keys = save(names.select(key).distinct(), "keys")
+    own = keys.select(key, F.explode(F.when(F.length(k) <= 3, F.array(k)).otherwise(F.array_distinct(runs(k, 3)))).alias("_g"))
     often = pieces.groupBy("_g").agg(F.count("*").alias("_n"))
-    rarest = own.join(often, "_g", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r"))
-    met = rarest.filter("_r._n > 0").select(key, "_r._g").join(pieces, "_g").filter(n.contains(k))
-    return names.join(met.groupBy(key).agg(F.min_by(name, order).alias(name)), key, "left")
+    rarest = own.hint("merge").join(often.hint("merge"), "_g", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r"))
+    met = rarest.filter("_r._n > 0").select(key, "_r._g").hint("merge").join(pieces.hint("merge"), "_g").filter(n.contains(k))
+    return names.hint("merge").join(met.groupBy(key).agg(F.min_by(name, order).alias(name)).hint("merge"), key, "left")
 
 
 def cell_or_nearest(points: DataFrame, key: str, cells: DataFrame, far_m: float = 400.0, m: Model = DEFAULT) -> DataFrame:

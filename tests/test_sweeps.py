@@ -138,3 +138,16 @@ def test_ranks_of_values_that_differ_between_computations(spark):
     of = rows.selectExpr("CAST(id AS STRING) AS adm_cd", "x AS hbi_mean", "id + 1 AS n_points")
     got = report.outing_index(of, spark.range(40).selectExpr("CAST(id AS STRING) AS adm_cd", "1.0D AS pop60")).first()
     assert (got["n"], round(got["rho"], 9)) == (40, 1)
+
+
+def test_first_match_sends_no_runs_through_the_driver(spark):
+    """Runs of many equal names: Spark took them for as small as their file, and broadcast them."""
+    from gradewalk.operators import joins
+
+    path = f"{tables.shared_dir(spark)}/equal-names"
+    spark.range(20_000).selectExpr("id", "concat('ring ', id % 3) AS name").write.mode("overwrite").parquet(path)
+    sites = spark.read.parquet(path)
+    keys = spark.createDataFrame([("ring",), ("g 2",), ("",), ("none",), (None,)], "key string")
+    found = joins.first_match(keys, sites, "key", "name", "id")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["key"]: r["name"] for r in found.collect()} == {"ring": "ring 0", "g 2": "ring 2", "": "ring 0", "none": None, None: None}
