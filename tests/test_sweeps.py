@@ -151,3 +151,11 @@ def test_first_match_sends_no_runs_through_the_driver(spark):
     found = joins.first_match(keys, sites, "key", "name", "id")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["key"]: r["name"] for r in found.collect()} == {"ring": "ring 0", "g 2": "ring 2", "": "ring 0", "none": None, None: None}
+
+
+def test_a_projection_names_each_value_once(spark):
+    """Written out, the formula repeated its parts thousands of times, and the vote computed all of them for each row."""
+    from gradewalk.functions import geo
+
+    for source, target in ((5174, 4326), (4326, 5174)):
+        assert str(geo.project(F.col("x"), F.col("y"), source, target)[0]).count("sin(") < 30
