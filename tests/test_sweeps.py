@@ -159,3 +159,21 @@ def test_a_projection_names_each_value_once(spark):
 
     for source, target in ((5174, 4326), (4326, 5174)):
         assert str(geo.project(F.col("x"), F.col("y"), source, target)[0]).count("sin(") < 30
+
+
+@pytest.mark.parametrize("kind", ["whole", "spread", "odd"])
+def test_means_within_a_radius_make_no_pairs(spark, kind):
+    rnd = random.Random(5)
+    at = (lambda: rnd.randrange(300) * 1.0) if kind == "whole" else (lambda: rnd.random() * 300 - 100)
+    points = [(at(), at(), None if k % 7 == 0 else float("inf") if kind == "odd" and k % 90 == 1 else rnd.random()) for k in range(1500)]
+    left = [(k, at(), at()) for k in range(120)] + [(500, None, 1.0), (501, float("nan"), 1.0), (502, 9e6, 1.0), (503, points[0][0], points[0][1]), (504, points[0][0] + 50, points[0][1])]
+    right = spark.createDataFrame(points, "rx double, ry double, v double")
+    found = spatial.mean_within(spark.createDataFrame(left, "id long, x double, y double"), right, 50.0, "v", "mean")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[-1]  # no join of points
+    got, want = {r["id"]: (r["n"], r["mean"]) for r in found.collect()}, {}
+    for i, x, y in left:
+        near = [v for a, b, v in points if x is not None and (x - a) ** 2 + (y - b) ** 2 <= 2500]
+        if near:
+            known = [v for v in near if v is not None]
+            want[i] = (len(near), pytest.approx(sum(known) / len(known), rel=1e-12) if known else None)
+    assert got == want
