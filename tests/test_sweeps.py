@@ -177,3 +177,13 @@ def test_means_within_a_radius_make_no_pairs(spark, kind):
             known = [v for v in near if v is not None]
             want[i] = (len(near), pytest.approx(sum(known) / len(known), rel=1e-12) if known else None)
     assert got == want
+
+
+def test_having_any_point_near_makes_no_pairs(spark):
+    """A thousand points at one place, and as many asked beside it: pairs of them would be a million."""
+    left = spark.range(1000).selectExpr("id", "id % 3 AS x", "0 AS y")
+    right = spark.range(1000).selectExpr("CAST(4 AS INT) AS rx", "CAST(0 AS INT) AS ry")
+    near, lone = (spatial.with_any(left, right, 2.0, "id", how=how) for how in ("left_semi", "left_anti"))
+    assert "FlatMapCoGroupsInArrow" in near._jdf.queryExecution().executedPlan().toString()
+    assert {r["x"] for r in near.collect()} == {2} and {r["x"] for r in lone.collect()} == {0, 1}
+    assert near.count() + lone.count() == 1000
