@@ -187,3 +187,11 @@ def test_having_any_point_near_makes_no_pairs(spark):
     assert "FlatMapCoGroupsInArrow" in near._jdf.queryExecution().executedPlan().toString()
     assert {r["x"] for r in near.collect()} == {2} and {r["x"] for r in lone.collect()} == {0, 1}
     assert near.count() + lone.count() == 1000
+
+
+def test_pairs_within_a_radius_are_merged(spark):
+    """Copies of points in their neighbouring cells came from a small file and went through the driver."""
+    points = spark.range(5).selectExpr("id", "id * 1.0D AS x", "0.0D AS y")
+    near = spatial.within(points, points.selectExpr("id AS other", "x AS rx", "y AS ry"), 1.0)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == 13
