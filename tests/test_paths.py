@@ -135,3 +135,22 @@ def test_ways_across_blocks(spark):
         for run, o, d in (("p1", 0, n - 1), ("p2", n - 2, 13)):
             way = got[run]["nodes"]
             assert way[0] == o and way[-1] == d and sum(cheapest[p] for p in zip(way, way[1:])) == pytest.approx(got[run]["cost"]) == pytest.approx(dijkstra(es, [o])[d])
+
+
+@pytest.mark.parametrize("task_edges", [10**6, 2_000])
+def test_ways_search_only_cells_they_pass(spark, task_edges, monkeypatch):
+    """No whole search for a pair: one overlay, or overlays of overlays."""
+    es, at = streets(36, 9)
+    monkeypatch.setattr(paths, "BLOCK_EDGES", task_edges)
+    monkeypatch.setattr(paths, "_search", lambda *a, **k: pytest.fail("a whole search"))
+    monkeypatch.setattr(paths, "_from_both_ends", lambda *a: pytest.fail("a whole search"))
+    monkeypatch.setattr(paths, "OVERLAY_SHARE", 1)
+    ends = {"far": (0, 36 * 36 - 1), "near": (40, 41), "back": (1_200, 30)}
+    pairs = spark.createDataFrame([(r, "g", *p) for r, p in ends.items()], "run string, graph string, o long, d long")
+    got = {r["run"]: r for r in paths.single_paths(frame(spark, {"g": es}), pairs, 2, 1_500, spark.createDataFrame(at, "node_id long, x double, y double")).collect()}
+    cheapest = {}
+    for a, b, w in es:
+        cheapest[a, b] = min(w, cheapest.get((a, b), 1e9))
+    for run, (o, d) in ends.items():
+        way = got[run]["nodes"]
+        assert way[0] == o and way[-1] == d and sum(cheapest[p] for p in zip(way, way[1:])) == pytest.approx(got[run]["cost"]) == pytest.approx(dijkstra(es, [o])[d])
