@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradewalk.operators import network
+from gradewalk.operators import network, spatial
 
 
 def test_merge_within_makes_no_pairs_of_copies(spark, monkeypatch):
@@ -12,3 +12,14 @@ def test_merge_within_makes_no_pairs_of_copies(spark, monkeypatch):
     monkeypatch.setattr(network, "labelled", lambda e, own=network.labelled: pairs.append(e.count()) or own(e))
     got = {r["id"]: r["node"] for r in network.merge_within(rows.unionAll(odd), "id", 1.0).collect()}
     assert pairs[0] <= 6 and got == {k: 0 if k < 897 else 897 if k < 900 else k for k in range(904)}
+
+
+def test_polygons_of_one_outline_are_tried_once(spark, monkeypatch):
+    points = spark.range(30).select("id", (F.col("id") + 0.5).alias("x"), F.lit(0.5).alias("y"))
+    boxes = spark.range(400).select(F.format_string("p%03d", 399 - F.col("id")).alias("pnu"), (F.col("id") % 4 * 5.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") % 4 * 5.0 + 5).alias("x1"), F.lit(1.0).alias("y1"))
+    tried = []
+    monkeypatch.setattr(spatial, "_covered", lambda p, *a, own=spatial._covered: tried.append(p.count()) or own(p, *a))
+    box = ("x0", "y0", "x1", "y1")
+    got = {r["id"]: (r["pnu"], r["x0"]) for r in spatial.in_polygons(points, "id", boxes, "pnu", spatial.inside_box(), 5.0, alike=box).collect()}
+    want = {r["id"]: (r["pnu"], r["x0"]) for r in spatial.in_polygons(points, "id", boxes, "pnu", spatial.inside_box(), 5.0).collect()}
+    assert tried == [4, 400] and got == want and got[0][0] == "p003" and got[29] == (None, None)
