@@ -14,6 +14,15 @@ def test_merge_within_makes_no_pairs_of_copies(spark, monkeypatch):
     assert pairs[0] <= 6 and got == {k: 0 if k < 897 else 897 if k < 900 else k for k in range(904)}
 
 
+def test_nearest_joins_places_not_copies(spark, monkeypatch):
+    left = spark.range(60).select("id", F.when(F.col("id") < 58, F.col("id") % 2 * 1.0).alias("x"), F.lit(0.0).alias("y"))
+    right = spark.range(80).select((1000 - F.col("id")).alias("to"), (F.col("id") % 2 * 1.0).alias("rx"), F.lit(0.5).alias("ry"))
+    sides = []
+    monkeypatch.setattr(spatial, "within", lambda a, b, *c, own=spatial.within: sides.append((a.count(), b.count())) or own(a, b, *c))
+    got = {r["id"]: (r["to"], r["d"]) for r in spatial.nearest(left, "id", right, 0.9, "to").collect()}
+    assert sides == [(2, 2)] and got == {k: (None, None) if k >= 58 else (922 if k % 2 == 0 else 921, 0.5) for k in range(60)}
+
+
 def test_polygons_of_one_outline_are_tried_once(spark, monkeypatch):
     points = spark.range(30).select("id", (F.col("id") + 0.5).alias("x"), F.lit(0.5).alias("y"))
     boxes = spark.range(400).select(F.format_string("p%03d", 399 - F.col("id")).alias("pnu"), (F.col("id") % 4 * 5.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") % 4 * 5.0 + 5).alias("x1"), F.lit(1.0).alias("y1"))
