@@ -1,7 +1,10 @@
 """Points of one place, and polygons of one outline, are tried once."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from gradewalk.functions import geo
 from gradewalk.operators import network, spatial
 
 
@@ -32,3 +35,12 @@ def test_polygons_of_one_outline_are_tried_once(spark, monkeypatch):
     got = {r["id"]: (r["pnu"], r["x0"]) for r in spatial.in_polygons(points, "id", boxes, "pnu", spatial.inside_box(), 5.0, alike=box).collect()}
     want = {r["id"]: (r["pnu"], r["x0"]) for r in spatial.in_polygons(points, "id", boxes, "pnu", spatial.inside_box(), 5.0).collect()}
     assert tried == [4, 400] and got == want and got[0][0] == "p003" and got[29] == (None, None)
+
+
+def test_principal_axis_of_many_points_in_good_time(spark):
+    """Its time grows with the points, not with a power of them."""
+    n = 200
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 3.0).alias("x"), (i * 4.0 + 7).alias("y")))
+    start = time.time()
+    a = spark.range(3).select(ring.alias("r")).select(geo.principal_axis(F.col("r")).alias("a")).first()["a"]
+    assert time.time() - start < 20 and [round(a[c], 6) for c in ("ax", "ay", "bx", "by", "cx", "cy")] == [0.0, 7.0, 597.0, 803.0, 298.5, 405.0]
