@@ -44,3 +44,13 @@ def test_principal_axis_of_many_points_in_good_time(spark):
     start = time.time()
     a = spark.range(3).select(ring.alias("r")).select(geo.principal_axis(F.col("r")).alias("a")).first()["a"]
     assert time.time() - start < 20 and [round(a[c], 6) for c in ("ax", "ay", "bx", "by", "cx", "cy")] == [0.0, 7.0, 597.0, 803.0, 298.5, 405.0]
+
+
+def test_interior_points_and_areas_of_many_corners_in_good_time(spark):
+    """A ring that is an expression of its own is worked out once for all of its sides."""
+    n = 300
+    corner = lambda i: F.struct((1000 + 500 * F.cos(i * 2 * 3.141592653589793 / n)).alias("x"), (1000 + 500 * F.sin(i * 2 * 3.141592653589793 / n)).alias("y"))
+    ring = F.transform(F.sequence(F.lit(0), F.col("last")), corner)
+    start = time.time()
+    got = spark.range(200).withColumn("last", F.lit(n - 1) + F.col("id").cast("int") * 0).select(geo.interior_point(ring).alias("p"), geo.ring_area(ring).alias("a")).collect()
+    assert time.time() - start < 20 and all(abs(r["p"]["x"] - 1000) < 5 and abs(r["p"]["y"] - 1000) < 1e-6 and abs(r["a"] - 785_340) < 100 for r in got)
