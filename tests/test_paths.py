@@ -62,6 +62,25 @@ def test_overlay_of_an_overlay(spark):
     assert {r["node"]: r["d"] for r in got} == pytest.approx(dijkstra(es, [5]))
 
 
+@pytest.mark.parametrize("patience", [64, 1])
+def test_large_blocks_hand_on_what_is_at_their_borders(spark, patience, monkeypatch):
+    """No small cells where a block holds many of them; they go on where these rounds do not end."""
+    es, at = streets(30, 4)
+    es += [(5_000, 5_001, 2.0), (5_001, 7, 1.0), (9, 5_002, 3.0)]
+    monkeypatch.setattr(paths, "ROOMY", 3)
+    monkeypatch.setattr(paths, "PATIENCE", patience)
+    used = []
+    monkeypatch.setattr(paths, "_over", lambda *a, own=paths._over: used.append(1) or own(*a))
+    monkeypatch.setattr(paths, "_by_rounds", lambda *a: pytest.fail("all nodes are kept between rounds"))
+    starts = {"r1": (False, [at[0][0]]), "r2": (True, [at[450][0], at[899][0]]), "r3": (False, [5_000]), "r4": (True, [5_002])}
+    sources = spark.createDataFrame([(r, "g", back, n) for r, (back, nodes) in starts.items() for n in nodes] + [("r5", "g", False, 10**15)], "run string, graph string, reverse boolean, node long")
+    places = spark.createDataFrame([*at, (5_000, -1.0, 0.0), (5_001, -1.0, 1.0), (5_002, 35.0, 35.0)], "node_id long, x double, y double")
+    got = paths.search(frame(spark, {"g": es}), sources, 1, 3_000, places=places, cell_edges=900).collect()
+    wanted = {(r, k): v for r, (back, nodes) in starts.items() for k, v in dijkstra([(b, a, w) for a, b, w in es] if back else es, nodes).items()}
+    assert {(r["run"], r["node"]): r["d"] for r in got} == pytest.approx(wanted) and len(got) == len(wanted)
+    assert bool(used) == (patience == 1)
+
+
 def test_blocks_hold_no_more_edges_than_they_may(spark):
     """Whether ids are far apart, hashed, or of two kinds."""
     rnd = random.Random(2)
