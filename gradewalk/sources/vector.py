@@ -1,6 +1,7 @@
 """Vector layers: shapefiles, GeoJSON zones and WKT line networks.
 
-Shapefiles are read in ranges of their records, by several tasks each (see ranges); texts are decoded in one task each."""
+Shapefiles are read in ranges of their records (see ranges) and GeoJSON in ranges of its bytes (see objects), by several
+tasks each."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.functions.geo import guess_code, parse_points, project
+from gradewalk.sources import objects
 from gradewalk.sources.files import contents
 from gradewalk.sources.ranges import Ranges, listed
 
@@ -226,13 +228,14 @@ def lines_of(layer: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("path", "n", "part").alias("line_id"), "points")
 
 
-def read_zones(spark: SparkSession, path: str) -> DataFrame:
+def read_zones(spark: SparkSession, path: str, at_once: int = objects.READ_AT_ONCE) -> DataFrame:
     """adm_cd, adm_cd_stat, adm_nm, gu, rings (working projection) and envelope of a GeoJSON collection's features.
 
-    All rings of a MultiPolygon stand side by side; the even-odd rule sorts holes out."""
+    All rings of a MultiPolygon stand side by side; the even-odd rule sorts holes out. A file is read by a task for each
+    at_once bytes; ordinal is where in it a feature begins."""
     ring = "array<array<array<double>>>"
-    schema = "features array<struct<properties:struct<ADM_CD:string,ADM_CD_STAT:string,adm_nm:string,sggnm:string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.posexplode("features").alias("ordinal", "f"))
+    schema = "properties struct<ADM_CD:string,ADM_CD_STAT:string,adm_nm:string,sggnm:string>, geometry struct<type:string,coordinates:string>"
+    rows = objects.read_objects(spark, path, "features", at_once).select(F.col("at").alias("ordinal"), F.from_json("text", schema).alias("f"))
     many, one = F.from_json("f.geometry.coordinates", f"array<{ring}>"), F.from_json("f.geometry.coordinates", ring)
     rings = F.when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(many)).otherwise(one)
 

@@ -103,6 +103,24 @@ def test_zones(spark, tmp_path):
     assert 190000 < rows["1"]["x0"] < rows["1"]["x1"] < 250000
 
 
+def test_geojson_in_ranges(spark, tmp_path):
+    """A collection on one line, with brackets, quotes and backslashes in texts, and arrays before and after that aren't its features."""
+    import json
+
+    square = [[[127.0, 37.5], [127.1, 37.5], [127.1, 37.6], [127.0, 37.5]]]
+    names = ["a{", 'b"]}', "c\\", 'd\\"[', '"features": [{', "각동", "x" * 300, "", "\\\\\\"]
+    feature = lambda k, name: {"type": "Feature", "properties": {"ADM_CD": str(k), "adm_nm": name, "features": [{"ADM_CD": "no"}]}, "geometry": {"type": "Polygon", "coordinates": square * (1 + k % 2)}}
+    rows = [feature(k, name) for k, name in enumerate(names)]
+    collection = {"other": [feature(90, "no")], "crs": {"features": [feature(91, "no")]}, "name": '{"features": [', "features": rows, "more": [feature(92, "no")], "last": {"a": {"b": [1]}}}
+    for text in (json.dumps(collection, ensure_ascii=False), "\ufeff" + json.dumps(collection, indent=2)):
+        path = write(tmp_path / "ranges.geojson", text)
+        for at_once in (37, 401, 1 << 20):
+            zones = vector.read_zones(spark, f"file://{path}", at_once)
+            got = [(r["adm_cd"], r["adm_nm"], len(r["rings"])) for r in zones.orderBy("ordinal").collect()]
+            assert got == [(str(k), name, 1 + k % 2) for k, name in enumerate(names)]
+    assert vector.read_zones(spark, f"file://{write(tmp_path / 'none.geojson', '{}')}", 1).count() == 0
+
+
 def test_wkt_network(spark):
     rows = spark.createDataFrame([("LINK", "1000", "중구", "LINESTRING (127 37, 127.1 37)"), ("LINK", "100", "중구", "LINESTRING (127 37, 127.1 37.1)"), ("NODE", "1", "중구", "POINT (127 37)"), ("LINK", "1100", "남구", "MULTILINESTRING ((0 0, 1 1),(2 2, 3 3))")], "kind string, code string, gu string, w string")
     assert vector.wkt_column(rows) == "w"
