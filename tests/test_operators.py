@@ -301,6 +301,16 @@ def test_routes(spark):
     assert m["n"] == 3 and m["r_adult_pred_vs_measured"] == pytest.approx(1)
 
 
+def test_routes_search_once_and_measure_the_steps_they_take(spark):
+    nodes, links, _, _ = hill(spark)
+    pairs = spark.createDataFrame([("r", 0, 4), ("here", 3, 3), ("none", 0, 987_654)], "name string, o long, d long")
+    longer = links.filter("u = 0 OR v = 0").withColumn("length", F.col("length") * 3)  # beside the links that ways take
+    found = whatif.routes(nodes, links.unionByName(longer), pairs)
+    assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()  # ways are stored, not searched for each use
+    got = {(r["name"], r["mode"]): r["length_m"] for r in found.collect()}
+    assert {got["r", m] for m in ("elder", "adult", "wheel", "flat")} == {100.0} and got["here", "flat"] == 0 and got["none", "flat"] is None
+
+
 def test_empty_inputs_give_empty_tables(spark):
     nodes, links, homes, dests = hill(spark)
     none = hbi.run(nodes, links, homes.limit(0), dests)
