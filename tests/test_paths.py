@@ -62,6 +62,24 @@ def test_overlay_of_an_overlay(spark):
     assert {r["node"]: r["d"] for r in got} == pytest.approx(dijkstra(es, [5]))
 
 
+@pytest.mark.parametrize(("roomy", "patience", "most", "cells"), [(16, 64, 3_000, 900), (3, 64, 3_000, 900), (3, 1, 3_000, 900), (16, 64, 900, 500), (16, 64, 10**6, 900)])
+def test_only_asked_nodes_are_found(spark, monkeypatch, roomy, patience, most, cells):
+    """By overlays, by borders, by both, by rounds, and in one task; some asked nodes are no nodes."""
+    es, at = streets(30, 5)
+    monkeypatch.setattr(paths, "ROOMY", roomy)
+    monkeypatch.setattr(paths, "PATIENCE", patience)
+    sources = spark.createDataFrame([("r1", "g", False, at[0][0]), ("r2", "g", True, at[450][0])], "run string, graph string, reverse boolean, node long")
+    asked = [at[0][0], at[31][0], at[899][0], 10**15]
+    places = spark.createDataFrame(at, "node_id long, x double, y double")
+    visited = []
+    monkeypatch.setattr(paths, "_asked", lambda *a, own=paths._asked: visited.append((own(*a), a[0])) or visited[-1][0])
+    got = paths.search(frame(spark, {"g": es}), sources, 2, most, places=places, cell_edges=cells, at=spark.createDataFrame([(k,) for k in asked], "node long")).collect()
+    one, other = dijkstra(es, [at[0][0]]), dijkstra([(b, a, w) for a, b, w in es], [at[450][0]])
+    wanted = {("r1", k): one[k] for k in asked if k in one} | {("r2", k): other[k] for k in asked if k in other}
+    assert {(r["run"], r["node"]): r["d"] for r in got} == pytest.approx(wanted) and len(got) == len(wanted)
+    assert bool(visited) == (most == 3_000) and all(blocks.count() < cells.select("block").distinct().count() for blocks, cells in visited[:1])
+
+
 @pytest.mark.parametrize("patience", [64, 1])
 def test_large_blocks_hand_on_what_is_at_their_borders(spark, patience, monkeypatch):
     """No small cells where a block holds many of them; they go on where these rounds do not end."""
