@@ -311,6 +311,14 @@ def test_routes_search_once_and_measure_the_steps_they_take(spark):
     assert {got["r", m] for m in ("elder", "adult", "wheel", "flat")} == {100.0} and got["here", "flat"] == 0 and got["none", "flat"] is None
 
 
+def test_searches_are_stored_where_they_are_asked_twice(spark):
+    nodes, links, homes, dests = hill(spark)
+    points = spark.createDataFrame([("a", 0.0, 0.0)], "name string, x double, y double")
+    reached = whatif.reached_links(whatif.isochrone_times(nodes, links, points), links, spark.createDataFrame([("a", 5)], "name string, minutes int"))
+    for found in (hbi.run(nodes, links, homes, dests), reached):
+        assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_inputs_give_empty_tables(spark):
     nodes, links, homes, dests = hill(spark)
     none = hbi.run(nodes, links, homes.limit(0), dests)
