@@ -54,6 +54,15 @@ def test_overlay_gives_the_distances_of_one_task(spark, hashed, monkeypatch):
     assert used and {(r["run"], r["node"]): r["d"] for r in got} == pytest.approx(wanted) and len(got) == len(wanted)
 
 
+def test_a_long_strip_of_small_cells_takes_levels_not_rounds(spark, monkeypatch):
+    rnd, wide, long = random.Random(6), 9, 300
+    es = [(a, b, rnd.uniform(1, 40)) for k in range(wide * long) for n in ([k + 1] if k % wide < wide - 1 else []) + ([k + wide] if k < wide * (long - 1) else []) for a, b in ((k, n), (n, k))]
+    sources = spark.createDataFrame([("r", "g", False, 4)], "run string, graph string, reverse boolean, node long")
+    monkeypatch.setattr(paths, "_by_rounds", lambda *a: pytest.fail("a round for each cell of the strip"))
+    got = paths.search(frame(spark, {"g": es}), sources, 1, 500).collect()
+    assert {r["node"]: r["d"] for r in got} == pytest.approx(dijkstra(es, [4])) and len(got) == wide * long
+
+
 def test_overlay_of_an_overlay(spark):
     es, at = streets(40, 8)
     sources = spark.createDataFrame([("r", "g", False, 5)], "run string, graph string, reverse boolean, node long")
