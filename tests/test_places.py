@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from gradewalk.functions import geo
-from gradewalk.operators import network, spatial
+from gradewalk.operators import hbi, network, spatial
 
 
 def test_merge_within_makes_no_pairs_of_copies(spark, monkeypatch):
@@ -54,3 +54,20 @@ def test_interior_points_and_areas_of_many_corners_in_good_time(spark):
     start = time.time()
     got = spark.range(200).withColumn("last", F.lit(n - 1) + F.col("id").cast("int") * 0).select(geo.interior_point(ring).alias("p"), geo.ring_area(ring).alias("a")).collect()
     assert time.time() - start < 20 and all(abs(r["p"]["x"] - 1000) < 5 and abs(r["p"]["y"] - 1000) < 1e-6 and abs(r["a"] - 785_340) < 100 for r in got)
+
+
+def test_nearest_copies_the_places_asked_for(spark, monkeypatch):
+    copied = []
+    monkeypatch.setattr(spatial, "_neighbours", lambda df, *a, own=spatial._neighbours: copied.append(df.columns) or own(df, *a))
+    left = spark.createDataFrame([(1, 9.9, 0.0), (2, 50.0, 0.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(k, float(k), 0.0) for k in range(12)], "to long, rx double, ry double")
+    got = {r["id"]: r["to"] for r in spatial.nearest(left, "id", right, 3.0, "to").collect()}
+    assert got == {1: 10, 2: None} and copied == [["_lx", "_ly"]]
+
+
+def test_legs_read_their_edges_from_a_table(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(hbi, "search", lambda edges, sources, *a, own=hbi.search, **k: seen.append((k["stored"], bool(edges.inputFiles()))) or own(edges, sources, *a, **k))
+    edges = spark.createDataFrame([("flat", 1, 2, 4.0), ("flat", 2, 1, 5.0)], "graph string, src long, dst long, w double")
+    got = hbi.round_trips(edges, spark.createDataFrame([("shop", 1)], "target string, node long"))
+    assert {(r["node"], r["go"], r["back"]) for r in got.collect()} == {(1, 0.0, 0.0), (2, 5.0, 4.0)} and seen == [(True, True)]
